@@ -5,8 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photowarden.llm import chat, packing
-from photowarden.llm.common import table
+from photowarden.llm import chat, media, packing, sharding
+from photowarden.llm.common import new_table, table
+
+
+N_SHARDS = 40
+#: The old layout of op1: sources dealt to so many shards, so the hot source's shard is far too large.
+OLD_SHARDS = 24
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    old = F.pmod(F.crc32(F.coalesce(F.col("source"), F.lit(""))), F.lit(OLD_SHARDS))
+    rows, _ = sharding.reshard(docs, old, N_SHARDS, new_table(spark, "shards"))
+    return rows.select(
+        "doc_id", sharding.utf8_bytes("text").alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32"),
+        F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op3_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_media(media.store_text(table(spark, sf_dir, "documents")))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +43,8 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op3_jpeg": op3_jpeg,
     "op8_packing": op8_packing,
     "op10_chat": op10_chat,
 }
