@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photowarden.llm import chat, media, packing, sharding
+from photowarden.llm import chat, media, packing, sharding, substring
 from photowarden.llm.common import new_table, table
 
 
@@ -28,6 +28,11 @@ def op3_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_media(media.store_text(table(spark, sf_dir, "documents")))
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring.dedup_windows(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -45,8 +50,31 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_jpeg": op3_jpeg,
+    "op4_substring": op4_substring,
     "op8_packing": op8_packing,
     "op10_chat": op10_chat,
 }
 
-ORACLES: dict[str, str] = {}
+OP4_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, p AS start, array_to_string(w[p + 1:p + 20], ' ') AS win
+  FROM words, unnest(range(len(w) - 19)) AS t(p) WHERE len(w) >= 20
+), later AS (
+  SELECT doc_id, start FROM (SELECT doc_id, start, row_number() OVER (PARTITION BY win ORDER BY doc_id, start) AS k FROM windows) WHERE k > 1
+), gone AS (
+  SELECT DISTINCT doc_id, start + d AS p FROM later, range(20) AS t(d)
+), each AS (
+  SELECT doc_id, p, w[p + 1] AS word FROM words, unnest(range(len(w))) AS t(p)
+), marked AS (
+  SELECT e.doc_id, e.p, e.word, g.p IS NOT NULL AS removed FROM each e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.p = g.p
+), sums AS (
+  SELECT doc_id, count(*) AS n_words, count_if(removed) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT removed) AS kept
+  FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN sums USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op4_substring": OP4_SQL}

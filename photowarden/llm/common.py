@@ -123,12 +123,47 @@ def window_hashes(words: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, _U)
-    a = np.zeros(n, _U)
-    m = _U(_MULT[1 - seed])
-    for i in range(size):
-        a *= m
-        a += words[i : i + n]
-    return mix(a)
+    step = 1 << 16
+    _, p, q = _power_tables(1 - seed, step + size)
+    out = np.empty(n, _U)
+    for a in range(0, n, step):
+        part = words[a : a + step + size - 1]
+        sums = np.zeros(len(part) + 1, _U)
+        np.cumsum(part * p[: len(part)], out=sums[1:])
+        k = len(part) - size + 1
+        out[a : a + k] = (sums[size:] - sums[:k]) * q[:k]
+    return mix(out)
+
+
+def word_hashes(texts: list[bytes], seeds: tuple[int, ...] = (0, 1), lower: bool = False) -> tuple[list[np.ndarray], np.ndarray]:
+    """Per seed the hashes of all words of the texts, one after the other, and each text's number of words."""
+    counts = np.zeros(len(texts), np.int64)
+    parts: list[list[np.ndarray]] = [[] for _ in seeds]
+    at, step = 0, 1 << 18
+    while at < len(texts):
+        end, total = at, 0
+        while end < len(texts) and (end == at or total + len(texts[end]) < step):
+            total += len(texts[end]) + 1
+            end += 1
+        buf = np.frombuffer(b"\n".join(texts[at:end]) + b"\n", np.uint8)
+        if lower:
+            buf = lowered(buf)
+        starts, ends = word_bounds(buf)
+        limits = np.cumsum([len(t) + 1 for t in texts[at:end]])
+        counts[at:end] = np.diff(np.searchsorted(starts, limits), prepend=0)
+        lo = 0
+        while lo < len(starts):  # a long text is hashed slice by slice
+            hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + 2 * step, side="right")))
+            base = starts[lo]
+            for k, seed in enumerate(seeds):
+                parts[k].append(span_hashes(buf[base : ends[hi - 1]], starts[lo:hi] - base, ends[lo:hi] - base, seed))
+            lo = hi
+        at = end
+    return [np.concatenate(p) if p else np.zeros(0, _U) for p in parts], counts
+
+
+def utf8(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
 
 
 def lowered(buf: np.ndarray) -> np.ndarray:
