@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photowarden.llm import chat, media, packing, sharding, substring
+from photowarden.llm import chat, media, neardup, packing, sharding, substring
 from photowarden.llm.common import new_table, table
 
 
@@ -33,6 +33,11 @@ def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -51,6 +56,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_jpeg": op3_jpeg,
     "op4_substring": op4_substring,
+    "op5_minhash": op5_minhash,
     "op8_packing": op8_packing,
     "op10_chat": op10_chat,
 }
@@ -77,4 +83,24 @@ SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)
 FROM documents d LEFT JOIN sums USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op4_substring": OP4_SQL}
+OP5_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p + 1:p + 4], ' ') AS s FROM words, unnest(range(greatest(len(w) - 3, 1))) AS t(p) WHERE len(w) > 0
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS m FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * m >= 80 * (p.n + q.n - m)
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM sizes UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+), lowest AS (
+  SELECT x AS doc_id, min(y) AS c FROM reach GROUP BY x
+)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(c, d.doc_id) AS component_id, coalesce(c, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN lowest USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op5_minhash": OP5_SQL, "op4_substring": OP4_SQL}
