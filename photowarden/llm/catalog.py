@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photowarden.llm import chat, media, mixing, neardup, packing, sharding, substring, topk
+from photowarden.llm import chat, langid, media, mixing, neardup, packing, sharding, substring, topk
 from photowarden.llm.common import new_table, table
 
 
@@ -48,6 +48,13 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
+    model = langid.train(*langid.training_sample(docs.filter(~held_out)))
+    return langid.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -74,6 +81,7 @@ QUERIES = {
     "op3_jpeg": op3_jpeg,
     "op4_substring": op4_substring,
     "op5_minhash": op5_minhash,
+    "op6_language": op6_language,
     "op8_packing": op8_packing,
     "op9_cover_tree": op9_cover_tree,
     "op10_chat": op10_chat,
