@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photowarden.llm import chat, langid, media, mixing, neardup, packing, sharding, substring, topk
+from photowarden.llm import chat, langid, mainblocks, media, mixing, neardup, packing, sharding, substring, topk
 from photowarden.llm.common import new_table, table
 
 
@@ -55,6 +55,11 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mainblocks.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return rows.select("page_id", "url", "text", "n_chars")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -82,6 +87,7 @@ QUERIES = {
     "op4_substring": op4_substring,
     "op5_minhash": op5_minhash,
     "op6_language": op6_language,
+    "op7_main_text": op7_main_text,
     "op8_packing": op8_packing,
     "op9_cover_tree": op9_cover_tree,
     "op10_chat": op10_chat,
