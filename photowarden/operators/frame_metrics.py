@@ -19,6 +19,7 @@ from photowarden.operators.windows import by_frame
 
 _V = np.arange(256) / 255.0
 LINEAR = np.where(_V > 0.04045, ((_V + 0.055) / 1.055) ** 2.4, _V / 12.92)
+_WEIGHTED = [w * LINEAR for w in LUMA]
 
 
 class Raster:
@@ -29,11 +30,21 @@ class Raster:
         self.r, self.g, self.b, self.a = (px[..., k] for k in range(4))
         self.width, self.height = width, height
         self._luma: np.ndarray | None = None
+        self._opaque: bool | None = None
+
+    @property
+    def opaque(self) -> bool:
+        """No pixel is transparent: masks can be left out."""
+        if self._opaque is None:
+            self._opaque = bool(self.a.all())
+        return self._opaque
 
     @property
     def luma(self) -> np.ndarray:
         if self._luma is None:
-            self._luma = LUMA[0] * LINEAR[self.r] + LUMA[1] * LINEAR[self.g] + LUMA[2] * LINEAR[self.b]
+            self._luma = _WEIGHTED[0][self.r]
+            self._luma += _WEIGHTED[1][self.g]
+            self._luma += _WEIGHTED[2][self.b]
         return self._luma
 
 
@@ -64,6 +75,8 @@ def red_intensity(f: Raster) -> float:
 
 def dominant(f: Raster) -> tuple[float, float, float]:
     """Mean colour of the pixels that aren't transparent."""
+    if f.opaque and f.a.size:
+        return tuple(float(c.mean()) for c in (f.r, f.g, f.b))
     seen = f.a != 0
     n = int(seen.sum())
     return tuple(float(c[seen].sum() / n) if n else 0.0 for c in (f.r, f.g, f.b))
@@ -71,7 +84,8 @@ def dominant(f: Raster) -> tuple[float, float, float]:
 
 def entropy(f: Raster) -> float:
     """Bits of the 256-bin luminance histogram, transparent pixels left out."""
-    bins = np.clip(np.floor(f.luma * 255 + 0.5), 0, 255).astype(np.int64)[f.a != 0]
+    bins = np.minimum((f.luma * 255 + 0.5).astype(np.int64), 255)
+    bins = bins.ravel() if f.opaque else bins[f.a != 0]
     if not bins.size:
         return 0.0
     p = np.bincount(bins) / bins.size
@@ -84,8 +98,8 @@ def chromatic(f: Raster) -> tuple[float, float]:
     n = int(seen.sum())
     if not n:
         return 0.0, 0.0
-    r, g, b = (c[seen].astype(np.float64) for c in (f.r, f.g, f.b))
-    return float(np.abs(r - g).sum() / np.sqrt(2) / n / 255), float(np.abs(b - (r + g) / 2).sum() / np.sqrt(6) / n / 255)
+    r, g, b = ((c if f.opaque else c[seen]).astype(np.int16) for c in (f.r, f.g, f.b))
+    return float(np.abs(r - g).sum() / np.sqrt(2) / n / 255), float(np.abs(2 * b - r - g).sum() / 2 / np.sqrt(6) / n / 255)
 
 
 def color_deviation(f: Raster, sample: int = 1024) -> tuple[float, float, float, float, float, float]:
@@ -99,8 +113,8 @@ def color_deviation(f: Raster, sample: int = 1024) -> tuple[float, float, float,
 
 def histogram(f: Raster) -> list[int]:
     """32 luminance bins; transparent pixels count in `pixels_seen` only, see scene_change."""
-    bins = np.minimum(np.floor(np.floor(f.luma * 255) / 8), 31).astype(np.int64)
-    return np.bincount(bins[f.a != 0], minlength=32).tolist()
+    bins = np.minimum((f.luma * 255).astype(np.int64) >> 3, 31)
+    return np.bincount(bins.ravel() if f.opaque else bins[f.a != 0], minlength=32).tolist()
 
 
 def spatial(f: Raster) -> tuple[float, float, float, float, float, float]:
@@ -229,6 +243,17 @@ def frame_metrics(frames: DataFrame, metrics: list[str]) -> DataFrame:
     return rows.mapInArrow(run, head + "".join(f", {m} {k}" for m, k in kinds.items()))
 
 
+def difference(now: np.ndarray, before: np.ndarray | None, motion_share: float = 0.1) -> tuple[float, float]:
+    """Mean channel difference, and share of pixels that moved by more than motion_share; no frame before is black."""
+    if not now.size:
+        return 0.0, 0.0
+    px = now.reshape(-1, 4).astype(np.int16)
+    if before is not None:
+        px = np.abs(px - before.reshape(-1, 4))
+    d = px[:, 0] + px[:, 1] + px[:, 2]
+    return float(d.sum(dtype=np.int64) / (len(d) * 765)), float((d > motion_share * 765).mean())
+
+
 def frame_difference(frames: DataFrame, motion_share: float = 0.1) -> DataFrame:
     """difference and motion against the previous frame of the video; a missing or unlike previous frame is black."""
     w = by_frame()
@@ -240,11 +265,9 @@ def frame_difference(frames: DataFrame, motion_share: float = 0.1) -> DataFrame:
             out: list[list[float]] = [[], []]
             for wide, high, now, old in zip(*(batch.column(k).to_pylist() for k in (3, 4, 5, 6)), strict=True):
                 n = (wide or 0) * (high or 0)
-                px = np.frombuffer(now or b"", np.uint8)[: n * 4].reshape(-1, 4)[:, :3].astype(np.int64)
-                past = np.frombuffer(old, np.uint8)[: n * 4].reshape(-1, 4)[:, :3] if old is not None else 0
-                d = np.abs(px - past).sum(1)
-                out[0].append(float(d.sum() / (n * 765)) if n else 0.0)
-                out[1].append(float((d > motion_share * 765).mean()) if n else 0.0)
+                moved = difference(np.frombuffer(now or b"", np.uint8)[: n * 4], np.frombuffer(old, np.uint8)[: n * 4] if old is not None else None, motion_share)
+                out[0].append(moved[0])
+                out[1].append(moved[1])
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out[0]), pa.array(out[1])], ["video_id", "frame_idx", "ts", "difference", "motion"])
 
     head = ", ".join(f"{n} {k}" for n, k in pairs.dtypes[:3])
