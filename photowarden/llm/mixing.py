@@ -70,31 +70,31 @@ def rake(cells: DataFrame, targets: dict[str, float | DataFrame], rounds: int =
     for m in margins:  # target shares of the margin, as weights; a margin value's target is spread over its cells once
         first = F.row_number().over(Window.partitionBy(m).orderBy(*margins)) == 1
         one = one.withColumn("_f", F.when(first, F.col(f"_t_{m}")).otherwise(0.0))
-        one = one.withColumn(f"_t_{m}", F.col(f"_t_{m}") / F.sum("_f").over(Window.partitionBy(F.lit(1))) * total)
+        one = one.withColumn(f"_t_{m}", F.coalesce(F.try_divide(F.col(f"_t_{m}"), F.sum("_f").over(Window.partitionBy(F.lit(1)))), F.lit(0.0)) * total)
     one = one.withColumn("raked", F.col("w0"))
     for _ in range(rounds):
         for m in margins:
             have = F.sum("raked").over(Window.partitionBy(m))
-            one = one.withColumn("raked", F.when(have > 0, F.col("raked") * F.col(f"_t_{m}") / have).otherwise(0.0))
+            one = one.withColumn("raked", F.when(have > 0, F.try_divide(F.col("raked") * F.col(f"_t_{m}"), have)).otherwise(0.0))
     return one.drop("_f", *(f"_t_{m}" for m in margins))
 
 
 def mix_to_targets(docs: DataFrame, targets: dict[str, float | DataFrame], id_column: str = "doc_id", rounds: int = ROUNDS) -> DataFrame:
     """docs: with tokens and the margins' columns. Adds probability and draw, and keeps the sampled documents."""
     margins = list(targets)
-    cell_names = [f"_m{k}" for k in range(len(margins))]
+    cell_names = [f"__pw_m{k}" for k in range(len(margins))]
     rows = docs.withColumns({c: F.coalesce(F.col(m).cast("string"), F.lit("")) for c, m in zip(cell_names, margins, strict=True)})
     summed = rows.groupBy(*cell_names).agg(F.sum("tokens").cast("double").alias("w0"))
     named = {c: targets[m] if not isinstance(targets[m], DataFrame) else targets[m].withColumnRenamed(m, c) for c, m in zip(cell_names, margins, strict=True)}
     raked = rake(summed, named, rounds)
-    factor = F.when(F.col("w0") > 0, F.col("raked") / F.col("w0")).otherwise(0.0)
-    cells = raked.withColumn("_factor", factor)
-    cells = cells.withColumn("_p", F.col("_factor") / F.max("_factor").over(Window.partitionBy(F.lit(1)))).select(*cell_names, F.coalesce("_p", F.lit(0.0)).alias("_p"))
+    factor = F.when(F.col("w0") > 0, F.try_divide("raked", "w0")).otherwise(0.0)
+    cells = raked.withColumn("__pw_factor", factor)
+    cells = cells.withColumn("__pw_p", F.try_divide(F.col("__pw_factor"), F.max("__pw_factor").over(Window.partitionBy(F.lit(1))))).select(*cell_names, F.coalesce("__pw_p", F.lit(0.0)).alias("__pw_p"))
     cells = common.written(cells, "cells")
     if cells.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS:
         joined = rows.join(F.broadcast(cells), cell_names)
     else:
-        salted = cells.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.withColumn("_salt", common.spread(id_column, SALTS).cast("int")).join(salted, [*cell_names, "_salt"]).drop("_salt")
-    sampled = joined.withColumns({"probability": F.col("_p"), "draw": draw(id_column)}).filter(F.col("draw") < F.col("probability"))
-    return sampled.drop("_p", *cell_names)
+        salted = cells.withColumn("__pw_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("__pw_salt", common.spread(id_column, SALTS).cast("int")).join(salted, [*cell_names, "__pw_salt"]).drop("__pw_salt")
+    sampled = joined.withColumns({"probability": F.col("__pw_p"), "draw": draw(id_column)}).filter(F.col("draw") < F.col("probability"))
+    return sampled.drop("__pw_p", *cell_names)

@@ -210,5 +210,5 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     if own == ["doc_id", "text"] or own == ["doc_id"]:
         return verdict.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     verdict = verdict.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
-    joined = docs.select(*(F.col(f"`{c}`") for c in own)).withColumn("_id", F.col("doc_id").cast("long")).join(verdict.withColumnRenamed("doc_id", "_id"), "_id", "left")
-    return joined.withColumn("kept", F.coalesce(F.col("_id") == F.col("component_id"), F.lit(True))).drop("_id")
+    joined = docs.select(*(F.col(f"`{c}`") for c in own)).withColumn("__pw_id", F.col("doc_id").cast("long")).join(verdict.withColumnRenamed("doc_id", "__pw_id"), "__pw_id", "left")
+    return joined.withColumn("kept", F.coalesce(F.col("__pw_id") == F.col("component_id"), F.lit(True))).drop("__pw_id")

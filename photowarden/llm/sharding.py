@@ -129,11 +129,11 @@ def reshard(docs: DataFrame, old_shard: Column, n_shards: int, path: str, id_col
     """
     spark = docs.sparkSession
     own = docs.columns
-    tie = [F.col(id_column), F.col("_size"), F.col("_crc")]
-    rows = docs.withColumns({"_old": old_shard.cast("int"), "_size": utf8_bytes(text), "_crc": F.crc32(F.coalesce(F.col(text), F.lit("")))})
+    tie = [F.col(id_column), F.col("__pw_size"), F.col("__pw_crc")]
+    rows = docs.withColumns({"__pw_old": old_shard.cast("int"), "__pw_size": utf8_bytes(text), "__pw_crc": F.crc32(F.coalesce(F.col(text), F.lit("")))})
 
     # 1. block totals; the number of blocks of an old shard follows from its bytes
-    sums = {r["_old"]: int(r["b"]) for r in rows.groupBy("_old").agg(F.sum("_size").alias("b")).collect()}
+    sums = {r["__pw_old"]: int(r["b"]) for r in rows.groupBy("__pw_old").agg(F.sum("__pw_size").alias("b")).collect()}
     if not sums:
         empty = docs.withColumns({"shard": F.lit(0).cast("int"), "slot": F.lit(0).cast("long")}).limit(0)
         return empty, ReshardPlan({}, [0] * n_shards, {})
@@ -147,41 +147,41 @@ def reshard(docs: DataFrame, old_shard: Column, n_shards: int, path: str, id_col
         shape.append((i, runs, blocks, first, *plan.ranges[i]))
         first += runs
     # one row an old shard: proven small enough to broadcast
-    shapes = F.broadcast(spark.createDataFrame(shape, "_old int, _runs int, _blocks int, _first int, _ends array<long>, _to array<int>"))
-    rows = rows.join(shapes, "_old").withColumn("_block", F.pmod(F.xxhash64(id_column), F.col("_blocks")).cast("int"))
-    rows = rows.withColumn("_run", (F.col("_first") + F.floor(F.col("_block") * F.col("_runs") / F.col("_blocks"))).cast("int"))
-    totals = common.written(rows.groupBy("_run", "_old", "_block").agg(F.sum("_size").alias("_bytes")), "blocks")
-    before = Window.partitionBy("_old").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.withColumn("_from", F.coalesce(F.sum("_bytes").over(before), F.lit(0).cast("long")))
+    shapes = F.broadcast(spark.createDataFrame(shape, "__pw_old int, __pw_runs int, __pw_blocks int, __pw_first int, __pw_ends array<long>, __pw_to array<int>"))
+    rows = rows.join(shapes, "__pw_old").withColumn("__pw_block", F.pmod(F.xxhash64(id_column), F.col("__pw_blocks")).cast("int"))
+    rows = rows.withColumn("__pw_run", (F.col("__pw_first") + F.floor(F.col("__pw_block") * F.col("__pw_runs") / F.col("__pw_blocks"))).cast("int"))
+    totals = common.written(rows.groupBy("__pw_run", "__pw_old", "__pw_block").agg(F.sum("__pw_size").alias("__pw_bytes")), "blocks")
+    before = Window.partitionBy("__pw_old").orderBy("__pw_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.withColumn("__pw_from", F.coalesce(F.sum("__pw_bytes").over(before), F.lit(0).cast("long")))
 
     # 2. the shard of a row: by the byte range that holds its middle
-    block = Window.partitionBy("_run", "_old", "_block").orderBy(*tie)
+    block = Window.partitionBy("__pw_run", "__pw_old", "__pw_block").orderBy(*tie)
 
     def placed(rows: DataFrame, per_run: DataFrame) -> DataFrame:
-        rows = rows.repartition("_run").join(per_run, "_run")
-        rows = rows.withColumn("_at", F.element_at("_starts", F.col("_block")) + F.sum("_size").over(block.rowsBetween(Window.unboundedPreceding, -0)) - F.col("_size") / 2)
-        index = F.size(F.filter("_ends", lambda e: e <= F.col("_at")))
-        return rows.withColumn("_shard", F.element_at("_to", F.least(index + 1, F.size("_to"))))
+        rows = rows.repartition("__pw_run").join(per_run, "__pw_run")
+        rows = rows.withColumn("__pw_at", F.element_at("__pw_starts", F.col("__pw_block")) + F.sum("__pw_size").over(block.rowsBetween(Window.unboundedPreceding, -0)) - F.col("__pw_size") / 2)
+        index = F.size(F.filter("__pw_ends", lambda e: e <= F.col("__pw_at")))
+        return rows.withColumn("__pw_shard", F.element_at("__pw_to", F.least(index + 1, F.size("__pw_to"))))
 
-    by_run = starts.groupBy("_run").agg(F.map_from_entries(F.collect_list(F.struct("_block", "_from"))).alias("_starts"))
-    narrow = placed(rows.select("_run", "_old", "_block", "_size", "_crc", "_ends", "_to", id_column), by_run)
-    counts = common.written(narrow.groupBy("_shard", "_run", "_old", "_block").agg(F.count("*").alias("_n")), "counts")
+    by_run = starts.groupBy("__pw_run").agg(F.map_from_entries(F.collect_list(F.struct("__pw_block", "__pw_from"))).alias("__pw_starts"))
+    narrow = placed(rows.select("__pw_run", "__pw_old", "__pw_block", "__pw_size", "__pw_crc", "__pw_ends", "__pw_to", id_column), by_run)
+    counts = common.written(narrow.groupBy("__pw_shard", "__pw_run", "__pw_old", "__pw_block").agg(F.count("*").alias("__pw_n")), "counts")
 
     # 3. slots: rows of the shard in earlier blocks, plus the place within the block
-    earlier = Window.partitionBy("_shard").orderBy("_old", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.withColumn("_base", F.coalesce(F.sum("_n").over(earlier), F.lit(0).cast("long")))
+    earlier = Window.partitionBy("__pw_shard").orderBy("__pw_old", "__pw_block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.withColumn("__pw_base", F.coalesce(F.sum("__pw_n").over(earlier), F.lit(0).cast("long")))
     per_run = (
-        bases.groupBy("_run").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("_block", "_shard"), "_base"))).alias("_bases"))
-        .join(by_run, "_run")
+        bases.groupBy("__pw_run").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("__pw_block", "__pw_shard"), "__pw_base"))).alias("__pw_bases"))
+        .join(by_run, "__pw_run")
     )
     full = placed(rows, per_run)
-    within = Window.partitionBy("_run", "_old", "_block", "_shard").orderBy(*tie)
-    full = full.withColumn("slot", F.element_at("_bases", F.struct("_block", "_shard")) + F.row_number().over(within) - 1)
-    full = full.select(*(F.col(f"`{c}`") for c in own if c not in ("shard", "slot")), F.col("_shard").alias("shard"), F.col("slot").cast("long").alias("slot"))
+    within = Window.partitionBy("__pw_run", "__pw_old", "__pw_block", "__pw_shard").orderBy(*tie)
+    full = full.withColumn("slot", F.element_at("__pw_bases", F.struct("__pw_block", "__pw_shard")) + F.row_number().over(within) - 1)
+    full = full.select(*(F.col(f"`{c}`") for c in own if c not in ("shard", "slot")), F.col("__pw_shard").alias("shard"), F.col("slot").cast("long").alias("slot"))
     affected = plan.affected
-    full.filter(F.col("shard").isin(affected)).write.partitionBy("shard").parquet(path)
+    full.filter(F.col("shard").isin(affected) if affected else F.lit(False)).write.partitionBy("shard").parquet(path)
     kinds = [f"`{n}` {k}" for n, k in full.dtypes]
-    result = spark.read.schema(", ".join(kinds)).parquet(path)
+    result = spark.read.schema(", ".join(kinds)).parquet(path).select(*(F.col(f"`{c}`") for c in full.columns))  # the folder column came last
     if len(affected) < n_shards:
         result = result.unionByName(full.filter(~F.col("shard").isin(affected)))
     return result, plan

@@ -66,7 +66,7 @@ def _ranges(n: np.ndarray) -> np.ndarray:
 
 def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
     order = pdf["doc_id"].fillna(_LAST).astype("int64") if pdf["doc_id"].isna().any() else pdf["doc_id"].astype("int64")
-    return pdf.assign(_order=order).sort_values(["_order", "text"], kind="stable", ignore_index=True)
+    return pdf.assign(__pw_order=order).sort_values(["__pw_order", "text"], kind="stable", ignore_index=True)
 
 
 def _counters(w0: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -128,8 +128,8 @@ def dedup_windows(docs: DataFrame, size: int = WINDOW, chunk_bytes: int = CHUNK_
     n_blocks_log = min(bits, max(6, bits - BLOCK_BITS))
     block_bits = bits - n_blocks_log
     own = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_sha256")]
-    dealt = docs.select(*(F.col(f"`{c}`") for c in own), common.spread("doc_id", chunks).alias("_chunk")).repartition("_chunk")
-    pair = dealt.select("_chunk", *(F.col(f"`{c}`") for c in own))
+    dealt = docs.select(*(F.col(f"`{c}`") for c in own), common.spread("doc_id", chunks).alias("__pw_chunk")).repartition("__pw_chunk")
+    pair = dealt.select("__pw_chunk", *(F.col(f"`{c}`") for c in own))
 
     def sketch(pdf: pd.DataFrame) -> pd.DataFrame:
         w0, *_ = _windows(_ordered(pdf), size)
@@ -137,8 +137,8 @@ def dedup_windows(docs: DataFrame, size: int = WINDOW, chunk_bytes: int = CHUNK_
         for row in (0, 1):
             values, n = np.unique(_counters(w0, row, bits), return_counts=True)
             for b, part in _by_block(values >> block_bits):
-                rows.append((row, b, int(pdf["_chunk"].iloc[0]), _pack(values[part] - (b << block_bits)), np.packbits(n[part] > 1).tobytes()))
-        return pd.DataFrame(rows, columns=["sketch_row", "block", "_chunk", "counters", "twice"])
+                rows.append((row, b, int(pdf["__pw_chunk"].iloc[0]), _pack(values[part] - (b << block_bits)), np.packbits(n[part] > 1).tobytes()))
+        return pd.DataFrame(rows, columns=["sketch_row", "block", "__pw_chunk", "counters", "twice"])
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         once, twice = np.zeros(1 << block_bits, bool), np.zeros(1 << block_bits, bool)
@@ -147,7 +147,7 @@ def dedup_windows(docs: DataFrame, size: int = WINDOW, chunk_bytes: int = CHUNK_
             twice[at] |= once[at] | np.unpackbits(np.frombuffer(more, np.uint8), count=len(at)).astype(bool)
             once[at] = True
         said = [np.packbits(twice[_unpack(c)]).tobytes() for c in pdf["counters"]]
-        return pdf[["_chunk", "sketch_row", "block"]].assign(bits=said)
+        return pdf[["__pw_chunk", "sketch_row", "block"]].assign(bits=said)
 
     def candidates(pdf: pd.DataFrame, masks: pd.DataFrame) -> pd.DataFrame:
         pdf = _ordered(pdf) if len(pdf) else pdf
@@ -158,8 +158,8 @@ def dedup_windows(docs: DataFrame, size: int = WINDOW, chunk_bytes: int = CHUNK_
             first = at[new]  # of equal windows the first in order comes first
             for b, part in _by_block((w0[first] >> _U(64 - n_blocks_log)).astype(np.int64)):
                 i = first[part]
-                rows.append((b, int(pdf["_chunk"].iloc[0]), w0[i].tobytes(), (w1[i] >> _U(32)).astype(np.uint32).tobytes(), pdf["_order"].to_numpy()[doc_row[i]].tobytes()))
-        return pd.DataFrame(rows, columns=["block", "_chunk", "keys", "more", "docs"])
+                rows.append((b, int(pdf["__pw_chunk"].iloc[0]), w0[i].tobytes(), (w1[i] >> _U(32)).astype(np.uint32).tobytes(), pdf["__pw_order"].to_numpy()[doc_row[i]].tobytes()))
+        return pd.DataFrame(rows, columns=["block", "__pw_chunk", "keys", "more", "docs"])
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         sizes = np.array([len(k) // 8 for k in pdf["keys"]])
@@ -171,7 +171,7 @@ def dedup_windows(docs: DataFrame, size: int = WINDOW, chunk_bytes: int = CHUNK_
         later[order[1:]] = (k0[order[1:]] == k0[order[:-1]]) & (k1[order[1:]] == k1[order[:-1]])
         ends = np.cumsum(sizes)
         said = [np.packbits(later[a:b]).tobytes() for a, b in zip(ends - sizes, ends, strict=True)]
-        return pdf[["_chunk", "block"]].assign(sketch_row=2, bits=said)[["_chunk", "sketch_row", "block", "bits"]]
+        return pdf[["__pw_chunk", "block"]].assign(sketch_row=2, bits=said)[["__pw_chunk", "sketch_row", "block", "bits"]]
 
     def remove(pdf: pd.DataFrame, masks: pd.DataFrame) -> pd.DataFrame:
         names = [*own, "n_words", "n_removed", "kept_sha256"]
@@ -206,16 +206,16 @@ def dedup_windows(docs: DataFrame, size: int = WINDOW, chunk_bytes: int = CHUNK_
             shas.append(hashlib.sha256(b" ".join(words)).hexdigest())
         return pdf.assign(text=texts, n_words=counts, n_removed=n_removed, kept_sha256=shas)[names]
 
-    sketches = pair.select("_chunk", "doc_id", "text").groupBy("_chunk").applyInPandas(sketch, "sketch_row int, block long, _chunk long, counters binary, twice binary")
-    bits_schema = "_chunk long, sketch_row int, block long, bits binary"
+    sketches = pair.select("__pw_chunk", "doc_id", "text").groupBy("__pw_chunk").applyInPandas(sketch, "sketch_row int, block long, __pw_chunk long, counters binary, twice binary")
+    bits_schema = "__pw_chunk long, sketch_row int, block long, bits binary"
     estimated = sketches.groupBy("sketch_row", "block").applyInPandas(merge, bits_schema)
     found = (
-        pair.select("_chunk", "doc_id", "text").groupBy("_chunk").cogroup(estimated.groupBy("_chunk"))
-        .applyInPandas(candidates, "block long, _chunk long, keys binary, more binary, docs binary")
+        pair.select("__pw_chunk", "doc_id", "text").groupBy("__pw_chunk").cogroup(estimated.groupBy("__pw_chunk"))
+        .applyInPandas(candidates, "block long, __pw_chunk long, keys binary, more binary, docs binary")
     )
     exact = found.groupBy("block").applyInPandas(group, bits_schema)
     schema = ", ".join(f"`{n}` {k}" for n, k in docs.select(*(F.col(f"`{c}`") for c in own)).dtypes) + ", n_words long, n_removed long, kept_sha256 string"
-    return pair.groupBy("_chunk").cogroup(estimated.unionByName(exact).groupBy("_chunk")).applyInPandas(remove, schema)
+    return pair.groupBy("__pw_chunk").cogroup(estimated.unionByName(exact).groupBy("__pw_chunk")).applyInPandas(remove, schema)
 
 
 def _joined_runs(data: bytes, kept: np.ndarray) -> str:

@@ -93,7 +93,7 @@ class DualSearch:
         self.top_id = np.full((len(queries), k), np.iinfo(np.int64).max, np.int64)
         self.q, self.r = CoverTree(queries), CoverTree(vectors)
         self.qn, self.rn = self.q.norm, self.r.norm
-        self.pruned = self.visited = 0
+        self.pruned = self.visited = self.scored = 0
         if len(queries) and len(vectors):
             self.members = [None] * len(self.q.centre)
             self._collect(0)
@@ -132,6 +132,7 @@ class DualSearch:
             self._visit(left[i], right[j])
 
     def _score(self, some: np.ndarray, points: np.ndarray) -> None:
+        self.scored += len(some) * len(points)
         for a in range(0, len(some), 256):
             rows = some[a : a + 256]
             scores = np.rint(self.q.points[rows] @ self.r.points[points].T).astype(np.int64)
