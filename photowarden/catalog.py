@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photowarden.functions import color, scalar
 from photowarden.operators import explore, flash, frame_metrics, quantiles, risk, spectral, temporal
-from photowarden.operators.windows import by_frame, last_rows
+from photowarden.params import Flags, Thresholds
+from photowarden.plans import analysis
 from photowarden.sources import frames as sources
 from photowarden.sources import sinks
 
@@ -245,13 +246,13 @@ def _coherence(spark, d):
     return temporal.coherence(signal(spark, d)).select("video_id", "frame_idx", "coherence_score", F.size("lags").alias("lags"))
 
 
-@query("periodicity", f"""WITH {SIGNAL}, v AS (SELECT video_id, list(brightness ORDER BY frame_idx) AS v FROM sig WHERE frame_idx <= 40 GROUP BY 1), s AS (SELECT *, len(v) AS n, list_avg(v) AS m FROM v WHERE len(v) >= 4),
-p AS (SELECT video_id, n, k, sum((v[i] - m) * (v[i + k] - m)) AS c, sqrt(sum((v[i] - m) * (v[i] - m)) * sum((v[i + k] - m) * (v[i + k] - m))) AS d FROM s, unnest(range(2, 20)) AS t(k), unnest(range(1, 41)) AS u(i) WHERE k < n // 2 AND i <= n - k GROUP BY ALL),
+@query("periodicity", f"""WITH {SIGNAL}, v AS (SELECT video_id, list(brightness ORDER BY frame_idx) AS v FROM sig GROUP BY 1), s AS (SELECT *, len(v) AS n, list_avg(v) AS m FROM v WHERE len(v) >= 4),
+p AS (SELECT video_id, n, k, sum((v[i] - m) * (v[i + k] - m)) AS c, sqrt(sum((v[i] - m) * (v[i] - m)) * sum((v[i + k] - m) * (v[i + k] - m))) AS d FROM s, unnest(range(2, n // 2)) AS t(k), unnest(range(1, n + 1)) AS u(i) WHERE i <= n - k GROUP BY ALL),
 c AS (SELECT video_id, k, CASE WHEN d > 0 THEN c / d ELSE 0 END AS c FROM p), e AS (SELECT *, c > lag(c) OVER (PARTITION BY video_id ORDER BY k) AND c > lead(c) OVER (PARTITION BY video_id ORDER BY k) AS peak FROM c),
 b AS (SELECT video_id, max(c) AS c, arg_max(k, c) AS k FROM e WHERE peak GROUP BY 1)
 SELECT s.video_id, coalesce(b.c > 0.25, false) AS is_periodic, (CASE WHEN b.c > 0.25 THEN b.k ELSE 0 END)::INTEGER AS period, round(CASE WHEN b.c > 0.25 THEN b.c ELSE 0.0 END, 6) AS confidence FROM s LEFT JOIN b USING (video_id)""")
 def _periodicity(spark, d):
-    first = signal(spark, d).filter("frame_idx <= 40").groupBy("video_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("frame_idx", "brightness"))), lambda x: x["brightness"]).alias("v"))
+    first = signal(spark, d).groupBy("video_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("frame_idx", "brightness"))), lambda x: x["brightness"]).alias("v"))
     return first.filter(F.size("v") >= 4).select("video_id", temporal.periodicity(F.col("v")).alias("p")).select("video_id", "p.*")
 
 
@@ -427,9 +428,9 @@ def _difference(spark, d):
     return frame_metrics.frame_difference(frames(spark, d)).drop("ts")
 
 
-@query("pixel_filters", with_(PIXELS, "SELECT video_id, frame_idx, count(*) AS pixels, round(avg(lum), 6) AS luminance FROM px WHERE pos % 4 = 0 GROUP BY 1, 2"))
+@query("pixel_filters", with_(PIXELS, "SELECT video_id, frame_idx, count(*) AS pixels, round(avg(lum), 6) AS luminance FROM px WHERE pos % greatest(1, 64 // 1024) = 0 GROUP BY 1, 2"))
 def _pixel_filters(spark, d):
-    px = frame_metrics.require_rgb(frame_metrics.valid_pixels(frame_metrics.pixels(frames(spark, d)).filter("a <> 0 and pos % 4 = 0")))
+    px = frame_metrics.require_rgb(frame_metrics.valid_pixels(frame_metrics.sampled_pixels(frame_metrics.pixels(frames(spark, d)).filter("a <> 0"), 64)))
     return px.groupBy("video_id", "frame_idx").agg(F.count("*").alias("pixels"), F.avg(color.luminance(F.col("r"), F.col("g"), F.col("b"))).alias("luminance"))
 
 
@@ -535,7 +536,7 @@ def _spectral(spark, d):
 
 @query("signal_spectra")
 def _signal_spectra(spark, d):
-    return spectral.spectra(signal(spark, d)).drop("amplitude", "phase", "ts")
+    return spectral.spectra(signal(spark, d)).drop("amplitude", "phase", "ts", "brightness")
 
 
 # ---- quantiles, explorer, formats ------------------------------------------------------------------------------------
@@ -641,3 +642,46 @@ def _scalars(spark, d):
 @query("first_bin_resolution", with_(SIGNAL, "SELECT round(coalesce(arg_min(brightness, (ts, brightness)) FILTER (WHERE brightness <> 0), 0.0), 6) AS bin_resolution FROM sig"))
 def _bin_resolution(spark, d):
     return sources.first_bin_resolution(signal(spark, d).withColumn("bin_resolution", F.col("brightness")))
+
+
+# ---- whole plans -----------------------------------------------------------------------------------------------------
+
+ANALYSIS = PIXELS + f""", fl AS (SELECT video_id, frame_idx, avg(lum) AS brightness, avg(r) / 255 AS red_intensity, avg(CASE WHEN lum > 0.5 THEN 1.0 ELSE 0.0 END) AS coverage FROM px GROUP BY 1, 2),
+hs AS (SELECT video_id, frame_idx, -sum(p * log2(p)) AS entropy FROM (SELECT video_id, frame_idx, floor(lum * 255 + 0.5) AS bin, count(*) / 64.0 AS p FROM px GROUP BY 1, 2, 3) GROUP BY 1, 2),
+an AS (SELECT fl.*, entropy, coalesce(abs(brightness - lag(brightness) OVER (PARTITION BY fl.video_id ORDER BY fl.frame_idx)), 0.0) AS intensity, coalesce(abs(red_intensity - lag(red_intensity) OVER (PARTITION BY fl.video_id ORDER BY fl.frame_idx)), 0.0) AS red_delta FROM fl JOIN hs ON fl.video_id = hs.video_id AND fl.frame_idx = hs.frame_idx)"""
+
+
+def analyzed(spark: SparkSession, d: str) -> DataFrame:
+    return analysis.analyze(frames(spark, d), Thresholds(0.05), Flags(red=True))
+
+
+@query("analysis", with_(ANALYSIS, """SELECT video_id, frame_idx, round((frame_idx - 1) / 30.0, 6) AS timestamp, round(brightness, 6) AS brightness, round(intensity, 6) AS intensity, intensity > 0.05 AS is_flash, round(entropy, 6) AS entropy,
+  round(red_intensity, 6) AS red_intensity, round(red_delta, 6) AS red_delta, frame_idx::BIGINT AS frames_analyzed FROM an"""))
+def _analysis(spark, d):
+    return analyzed(spark, d).select("video_id", "frame_idx", "timestamp", "brightness", "intensity", "is_flash", "entropy", "red_intensity", "red_delta", "frames_analyzed")
+
+
+@query("analysis_summary", with_(ANALYSIS, "SELECT video_id, count(*) AS frames, count_if(intensity > 0.05)::BIGINT AS flash_count, round(max(frame_idx - 1) / 30.0, 6) AS duration, 0::BIGINT AS violation_count, 0.3::DOUBLE AS cluster_gap FROM an GROUP BY 1"))
+def _summary(spark, d):
+    return analysis.summarize(analyzed(spark, d)).select("video_id", "frames", "flash_count", "duration", "violation_count", "cluster_gap")
+
+
+@query("analysis_report", with_(ANALYSIS, "SELECT video_id, count(*) AS frame_count, count_if(intensity > 0.05)::BIGINT AS flash_count, round(count_if(intensity > 0.05) / (count(*) / 60.0), 6) AS average_flash_rate, round(count(*) / (max(frame_idx - 1) / 30.0), 6) AS frame_rate FROM an GROUP BY 1"))
+def _report(spark, d):
+    return analysis.report(analyzed(spark, d)).select("video_id", "frame_count", "flash_count", "average_flash_rate", "frame_rate")
+
+
+@query("ndjson_rows", with_(FLAGGED, "SELECT to_json({'timestamp': frame_idx, 'video_id': video_id, 'is_flash': is_flash})::VARCHAR AS value FROM flagged"))
+def _ndjson(spark, d):
+    return sinks.ndjson_lines(flagged(spark, d).select(F.col("frame_idx").alias("timestamp"), "video_id", "is_flash"))
+
+
+@query("chart_export", with_(FLAGGED, "SELECT frame_idx, round(brightness, 6) AS brightness, round(intensity, 6) AS intensity FROM flagged"))
+def _chart_export(spark, d):
+    return explore.chart_columns(flagged(spark, d), "frame_idx", ["brightness", "intensity", "brightness"])
+
+
+@query("union_of_chunks", with_(FLAGGED, "SELECT video_id, count(*) AS frames FROM (SELECT video_id FROM flagged WHERE is_flash UNION ALL SELECT video_id FROM flagged WHERE NOT is_flash) GROUP BY 1"))
+def _union(spark, d):
+    rows = flagged(spark, d)
+    return rows.filter("is_flash").unionByName(rows.filter("not is_flash")).groupBy("video_id").agg(F.count("*").alias("frames"))

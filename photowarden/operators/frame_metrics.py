@@ -7,6 +7,7 @@ change needs only the previous 32-bin histogram.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 import numpy as np
@@ -219,8 +220,11 @@ def kernel_type(name: str) -> str:
     return "struct<" + ", ".join(f"{p}: {kind}" for p in parts) + ">" if parts else kind
 
 
-def frame_metrics(frames: DataFrame, metrics: list[str]) -> DataFrame:
-    """video_id, frame_idx, ts and one column a metric of KERNELS."""
+def frame_metrics(frames: DataFrame, metrics: list[str], with_difference: bool = False) -> DataFrame:
+    """video_id, frame_idx, ts and one column a metric of KERNELS; with_difference also difference and motion.
+
+    One pass over the pixels. Only the difference needs the frames of a video in order, and so an exchange of them.
+    """
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import _parse_datatype_string
 
@@ -231,16 +235,26 @@ def frame_metrics(frames: DataFrame, metrics: list[str]) -> DataFrame:
     def run(batches):
         for batch in batches:
             found: list[list] = [[] for _ in plan]
-            for w, h, rgba in zip(*(batch.column(k).to_pylist() for k in (3, 4, 5)), strict=True):
+            moved: list[tuple[float, float]] = []
+            past = batch.column(6).to_pylist() if with_difference else itertools.repeat(None)
+            for w, h, rgba, before in zip(*(batch.column(k).to_pylist() for k in (3, 4, 5)), past, strict=False):
                 raster = Raster(w or 0, h or 0, rgba or b"")
                 for column, (_, kernel, parts) in zip(found, plan, strict=True):
                     value = kernel(raster)
                     column.append(dict(zip(parts, map(float, value), strict=True)) if parts else value)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, arrow[m]) for c, m in zip(found, metrics, strict=True))], ["video_id", "frame_idx", "ts", *metrics])
+                if with_difference:
+                    n = (w or 0) * (h or 0) * 4
+                    moved.append(difference(np.frombuffer(rgba or b"", np.uint8)[:n], np.frombuffer(before, np.uint8)[:n] if before is not None else None))
+            extra = [pa.array([m[k] for m in moved], pa.float64()) for k in (0, 1)] if with_difference else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, arrow[m]) for c, m in zip(found, metrics, strict=True)), *extra], ["video_id", "frame_idx", "ts", *metrics, *["difference", "motion"][: len(extra)]])
 
     rows = frames.select("video_id", "frame_idx", "ts", "width", "height", "rgba")
+    if with_difference:
+        w = by_frame()
+        same = (F.lag("width").over(w) == F.col("width")) & (F.lag("height").over(w) == F.col("height"))
+        rows = rows.withColumn("before", F.when(same, F.lag("rgba").over(w)))
     head = ", ".join(f"{n} {k}" for n, k in rows.dtypes[:3])
-    return rows.mapInArrow(run, head + "".join(f", {m} {k}" for m, k in kinds.items()))
+    return rows.mapInArrow(run, head + "".join(f", {m} {k}" for m, k in kinds.items()) + ", difference double, motion double" * with_difference)
 
 
 def difference(now: np.ndarray, before: np.ndarray | None, motion_share: float = 0.1) -> tuple[float, float]:
@@ -254,24 +268,9 @@ def difference(now: np.ndarray, before: np.ndarray | None, motion_share: float =
     return float(d.sum(dtype=np.int64) / (len(d) * 765)), float((d > motion_share * 765).mean())
 
 
-def frame_difference(frames: DataFrame, motion_share: float = 0.1) -> DataFrame:
+def frame_difference(frames: DataFrame) -> DataFrame:
     """difference and motion against the previous frame of the video; a missing or unlike previous frame is black."""
-    w = by_frame()
-    same = (F.lag("width").over(w) == F.col("width")) & (F.lag("height").over(w) == F.col("height"))
-    pairs = frames.select("video_id", "frame_idx", "ts", "width", "height", "rgba", F.when(same, F.lag("rgba").over(w)).alias("before"))
-
-    def run(batches):
-        for batch in batches:
-            out: list[list[float]] = [[], []]
-            for wide, high, now, old in zip(*(batch.column(k).to_pylist() for k in (3, 4, 5, 6)), strict=True):
-                n = (wide or 0) * (high or 0)
-                moved = difference(np.frombuffer(now or b"", np.uint8)[: n * 4], np.frombuffer(old, np.uint8)[: n * 4] if old is not None else None, motion_share)
-                out[0].append(moved[0])
-                out[1].append(moved[1])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out[0]), pa.array(out[1])], ["video_id", "frame_idx", "ts", "difference", "motion"])
-
-    head = ", ".join(f"{n} {k}" for n, k in pairs.dtypes[:3])
-    return pairs.mapInArrow(run, head + ", difference double, motion double")
+    return frame_metrics(frames, [], with_difference=True)
 
 
 def scene_change(with_histogram: DataFrame) -> DataFrame:
@@ -289,9 +288,16 @@ def scene_change(with_histogram: DataFrame) -> DataFrame:
 
 def pixels(frames: DataFrame) -> DataFrame:
     """The exploded form, one row a pixel: for tests and ad-hoc SQL, not for production."""
-    at = lambda k: F.conv(F.substring(F.hex("rgba"), F.col("pos") * 8 + 1 + 2 * k, F.lit(2)), 16, 10).cast("int")
-    rows = frames.select("*", F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("pos"))
-    return rows.select("video_id", "frame_idx", "pos", (F.col("pos") % F.col("width")).alias("x"), F.floor(F.col("pos") / F.col("width")).cast("int").alias("y"), *(at(k).alias(c) for k, c in enumerate("rgba")))
+    at = lambda i, k: F.conv(F.substring(F.hex("rgba"), i * 8 + 1 + 2 * k, F.lit(2)), 16, 10).cast("int")
+    wide = F.col("width")
+    one = lambda i: F.struct(i.alias("pos"), (i % wide).alias("x"), F.floor(i / wide).cast("int").alias("y"), *(at(i, k).alias(c) for k, c in enumerate("rgba")))
+    every = F.transform(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1), one)
+    return frames.select("video_id", "frame_idx", F.inline(every))
+
+
+def sampled_pixels(px: DataFrame, pixels_a_frame: int, sample: int = 1024) -> DataFrame:
+    """A systematic sample: every (pixels/sample)-th pixel, all of a small frame."""
+    return px.filter(F.col("pos") % max(1, pixels_a_frame // sample) == 0)
 
 
 def valid_pixels(px: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,38 +72,38 @@ def spectrum(values: np.ndarray, fs: float = 60.0) -> dict:
 _TYPE = "dominant_frequency double, dominant_inst_freq double, spectral_flatness double, confidence double, bin_resolution double, window_size int, amplitude array<double>, phase array<double>"
 
 
-def spectra(signal: DataFrame, fs: float = 60.0, size: int = SIZE) -> DataFrame:
-    """Spectrum of the last `size` values at every frame; empty until there are enough.
+def spectrum_of(values: Column, fs: float = 60.0, size: int = SIZE) -> Column:
+    """Struct of the spectrum of the last `size` values of an array of up to size + 1; empty until there are enough.
 
-    The instantaneous frequency of a bin is its centre plus what its phase moved beyond the expected advance between
-    this frame and the one before; both windows are in the batch row, so no state is kept.
+    The instantaneous frequency of a bin is its centre plus what its phase moved beyond the expected advance since the
+    window one value earlier; both windows are in the array, so no state is kept.
     """
-    rows = signal.select("video_id", "frame_idx", "ts", F.collect_list(clean_unit(F.col("brightness"))).over(last_rows(size + 1)).alias("v"))
+    names = [c.split(" ")[0] for c in _TYPE.split(", ")]
+
+    @F.pandas_udf(_TYPE)
+    def run(arrays: pd.Series) -> pd.DataFrame:
+        rows = []
+        for v in arrays:
+            if len(v[-size:]) < LEAST:
+                rows.append((0.0, 0.0, 0.0, 0.0, 0.0, len(v), [], []))
+                continue
+            now = spectrum(v[-size:], fs)
+            k = now["bin"]
+            inst = k * fs / size
+            if k and len(v) > size:
+                moved = now["phase"][k] - spectrum(v[:size], fs)["phase"][k] - 2 * np.pi * k / size
+                inst += ((moved + np.pi) % (2 * np.pi) - np.pi) * fs / (2 * np.pi)
+            rows.append((now["dominant_frequency"], float(inst), now["flatness"], now["confidence"], now["bin_resolution"], size, now["amplitude"], now["phase"]))
+        return pd.DataFrame(rows, columns=names)
+
+    return run(values)
 
-    def run(batches):
-        names = ["video_id", "frame_idx", "ts", *(c.split(" ")[0] for c in _TYPE.split(", "))]
-        kinds = [*(pa.float64(),) * 5, pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64())]
-        for batch in batches:
-            out: list[list] = [[] for _ in kinds]
-            for v in batch.column(3).to_pylist():
-                v = np.array(v)
-                if len(v[-size:]) < LEAST:
-                    row = (0.0, 0.0, 0.0, 0.0, 0.0, len(v), [], [])
-                else:
-                    now = spectrum(v[-size:], fs)
-                    k = now["bin"]
-                    inst = k * fs / size
-                    if k and len(v) > size:
-                        dphi = now["phase"][k] - spectrum(v[:size], fs)["phase"][k] - 2 * np.pi * k / size
-                        dphi = (dphi + np.pi) % (2 * np.pi) - np.pi
-                        inst += dphi * fs / (2 * np.pi)
-                    row = (now["dominant_frequency"], float(inst), now["flatness"], now["confidence"], now["bin_resolution"], size, now["amplitude"].tolist(), now["phase"].tolist())
-                for column, value in zip(out, row, strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names)
-
-    head = ", ".join(f"{n} {k}" for n, k in rows.dtypes[:3])
-    return rows.mapInArrow(run, f"{head}, {_TYPE}")
+
+def spectra(signal: DataFrame, fs: float = 60.0, size: int = SIZE) -> DataFrame:
+    """Adds the fields of spectrum_of over the last values of brightness at every frame."""
+    window = F.collect_list(clean_unit(F.col("brightness"))).over(last_rows(size + 1))
+    rows = signal.withColumn("_v", window).withColumn("_s", spectrum_of(F.col("_v"), fs, size))
+    return rows.select(*(F.col(f"`{c}`") for c in signal.columns), "_s.*")
 
 
 def vector_spectra(rows: DataFrame, values: Column, key: str, fs: float = 60.0) -> DataFrame:

@@ -201,8 +201,8 @@ def red_window(rows: DataFrame, k: int = 30, least: int = 5, threshold: float =
     return rows.withColumn("red_metrics", made).drop("_n", "_t", "_row", "_first", "_inside", "_times", "_avg", "_max", "_on")
 
 
-def contrast_windows(colors: DataFrame, interval: float = 1 / 30, window_seconds: float = 1.0, half_life: float = 1 / 3, threshold: float = 2.3, stream_half_life: float | None = None) -> DataFrame:
-    """Colour contrast over a sliding range of time: rows where the range holds enough samples.
+def with_contrast_windows(colors: DataFrame, interval: float = 1 / 30, window_seconds: float = 1.0, half_life: float = 1 / 3, threshold: float = 2.3, stream_half_life: float | None = None) -> DataFrame:
+    """Adds contrast_window: colour contrast over a sliding range of time, null where the range holds too few samples.
 
     Colour differences are to the previous sample; a window's differences are those within it. Weights halve every
     half_life; stream_weighted is the decayed mean over all differences so far, in closed form.
@@ -216,22 +216,27 @@ def contrast_windows(colors: DataFrame, interval: float = 1 / 30, window_seconds
     grow = F.exp(lam * (F.col("ts") - start))
     rows = rows.withColumn("_g", F.when(F.col("_d").isNotNull(), grow))
     stream = F.sum(F.col("_d") * F.col("_g")).over(so_far()) / F.sum("_g").over(so_far())
-    rows = rows.withColumns({"sample_count": within_seconds("count(*)", span), "start_time": within_seconds("min(ts)", span), "_all": within_seconds("collect_list(struct(ts, _d))", span), "_stream": stream})
-    rows = rows.filter(F.col("sample_count") >= least)
-    rows = rows.withColumn("_ds", F.filter(F.slice(F.array_sort("_all"), 2, 1_000_000), lambda x: x["_d"].isNotNull()))
-    n = F.size("_ds")
+    rows = rows.withColumns({"_count": within_seconds("count(*)", span), "_from": within_seconds("min(ts)", span), "_all": within_seconds("collect_list(struct(ts, _d))", span), "_stream": stream})
+    rows = rows.withColumn("_ds", F.filter(F.slice(F.array_sort("_all"), F.lit(2), F.greatest(F.size("_all"), F.lit(1))), lambda x: x["_d"].isNotNull()))
     add = lambda f: F.aggregate("_ds", F.lit(0.0), lambda s, x: s + f(x))
-    mean = add(lambda x: x["_d"]) / n
-    rows = rows.withColumns({"_mean": mean, "_n": n})
+    rows = rows.withColumn("_n", F.greatest(F.size("_ds"), F.lit(1)))
+    rows = rows.withColumn("_mean", add(lambda x: x["_d"]) / F.col("_n"))
     std = F.sqrt(add(lambda x: (x["_d"] - F.col("_mean")) * (x["_d"] - F.col("_mean"))) / F.col("_n"))
     weight = lambda x: F.exp(-(F.col("ts") - x["ts"]) * (math.log(2) / half_life))
     hits = F.size(F.filter("_ds", lambda x: x["_d"] >= threshold))
-    return rows.select(
-        "video_id", "frame_idx", "start_time", F.col("ts").alias("end_time"), (F.col("ts") - F.col("start_time")).alias("duration"), "sample_count",
+    made = F.struct(
+        F.col("_from").alias("start_time"), F.col("ts").alias("end_time"), (F.col("ts") - F.col("_from")).alias("duration"), F.col("_count").alias("sample_count"),
         half_up(F.least(F.lit(100.0), F.col("_mean") / threshold * 100), 2).alias("sensitivity"), half_up(std, 2).alias("fluctuations"), half_up(F.col("_mean"), 2).alias("average_delta_e"),
         half_up(F.array_max(F.transform("_ds", lambda x: x["_d"])), 2).alias("max_delta_e"), hits.cast("long").alias("significant_changes"),
-        half_up(add(lambda x: x["_d"] * weight(x)) / add(weight), 2).alias("weighted_average_delta_e"), half_up(F.col("_stream"), 2).alias("stream_weighted_average_delta_e"),
+        half_up(F.try_divide(add(lambda x: x["_d"] * weight(x)), add(weight)), 2).alias("weighted_average_delta_e"), half_up(F.col("_stream"), 2).alias("stream_weighted_average_delta_e"),
     )
+    rows = rows.withColumn("contrast_window", F.when(F.col("_count") >= least, made))
+    return rows.drop("_lab", "_d", "_g", "_count", "_from", "_all", "_stream", "_ds", "_n", "_mean")
+
+
+def contrast_windows(colors: DataFrame, **options: float) -> DataFrame:
+    """video_id, frame_idx and the fields of with_contrast_windows, where the range holds enough samples."""
+    return with_contrast_windows(colors, **options).filter("contrast_window is not null").select("video_id", "frame_idx", "contrast_window.*")
 
 
 def last_k(rows: DataFrame, k: int) -> DataFrame:

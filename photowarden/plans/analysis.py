@@ -1,7 +1,9 @@
 """The whole analysis of frames as one declarative plan: a wide nested row a frame, and summaries of videos.
 
-Pixel work is one Arrow pass (and one more for the frame difference, which needs the previous raster); all temporal
-metrics share one exchange and one sort by (video_id, frame_idx).
+The pixels are read once, exchanged once (the frame difference needs the previous raster of a video) and met in one
+Arrow pass; all temporal metrics are windows over that one order, so nothing is joined.
+
+A summary reads the rows several times: summarise a written analysis, or rows cut by `sources.store.materialized`.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from photowarden.functions.scalar import base_file_name, magnitude, to_fixed
 from photowarden.operators import flash, frame_metrics, risk, spectral, temporal
 from photowarden.operators.windows import by_frame, so_far
 from photowarden.params import Flags, Sampling, Thresholds
+from photowarden.sources.store import materialized
 
 PIXEL_METRICS = ["brightness", "coverage", "red_intensity", "dominant_color", "entropy", "chromatic", "color_deviation", "spatial", "edges", "pattern", "histogram", "pixel_contrast"]
 KEYS = ["video_id", "frame_idx"]
@@ -22,8 +25,7 @@ KEYS = ["video_id", "frame_idx"]
 def analyze(frames: DataFrame, thresholds: Thresholds | None = None, flags: Flags | None = None, sampling: Sampling | None = None, spectral_fps: float = 60.0) -> DataFrame:
     """One row a frame: video_id, frame_idx and the nested metrics. Flags decide which optional groups are planned."""
     thresholds, flags, sampling = thresholds or Thresholds(), flags or Flags(), sampling or Sampling()
-    rows = frame_metrics.frame_metrics(frames, PIXEL_METRICS)
-    rows = rows.join(frame_metrics.frame_difference(frames).drop("ts"), KEYS)
+    rows = frame_metrics.frame_metrics(frames, PIXEL_METRICS, with_difference=True)
     start = F.min("ts").over(so_far())
     rows = rows.withColumn("relative_timestamp", F.col("ts") - start)
     rows = flash.temporal_change(flash.with_flashes(rows, thresholds.brightness_change))
@@ -38,8 +40,7 @@ def analyze(frames: DataFrame, thresholds: Thresholds | None = None, flags: Flag
     for c in "rgb":
         rows = rows.withColumn(f"mean_{c}", F.col(f"color_deviation.mean_{c}"))
     rows = temporal.color_spikes(temporal.color_history(rows))
-    spectra = spectral.spectra(rows.select(*KEYS, "ts", "brightness"), spectral_fps).drop("ts")
-    rows = rows.join(spectra, KEYS)
+    rows = spectral.spectra(rows, spectral_fps)
     inputs = {
         "psi_score": F.col("psi.score"), "red": F.col("red_intensity"), "chroma_rg": F.col("chromatic.red_green"), "chroma_by": F.col("chromatic.blue_yellow"), "flicker_hz": F.col("dominant_frequency"),
     }
@@ -48,8 +49,10 @@ def analyze(frames: DataFrame, thresholds: Thresholds | None = None, flags: Flag
     rows = risk.risk_levels(risk.with_flash_peaks(rows.withColumns(inputs)))
     if flags.red:
         rows = temporal.red_window(temporal.red_states(rows))
+    if flags.temporal_contrast:
+        rows = temporal.with_contrast_windows(rows, sampling.interval)
     n = F.row_number().over(by_frame())
-    out = rows.select(
+    return rows.select(
         *KEYS, F.col("ts").alias("timestamp"), "relative_timestamp", "brightness", "is_flash", "intensity",
         F.struct(
             F.struct("color_deviation.r", "color_deviation.g", "color_deviation.b").alias("current"), _channels("variance").alias("temporal"), F.col("spikes"), _channels("change").alias("average_change")
@@ -63,14 +66,10 @@ def analyze(frames: DataFrame, thresholds: Thresholds | None = None, flags: Flag
         "red_intensity", F.col("red_delta_frame").alias("red_delta"), "dominant_color", F.col("lab").alias("dominant_lab"), "cie76_delta", F.col("pattern").alias("patterned_stimulus_score"),
         F.col("scene_change").alias("scene_change_score"), "spectral_flatness", magnitude(F.col("change_r"), F.col("change_g"), F.col("change_b")).alias("color_change_magnitude"), F.col("pixel_contrast").alias("contrast_sensitivity"),
         *([F.col("red_metrics"), F.col("red_on").alias("red_state"), F.col("red_transition")] if flags.red else []),
+        *([F.col("contrast_window").alias("temporal_contrast_sensitivity")] if flags.temporal_contrast else []),
         F.col("flashes").alias("flash_count"), "risk_level", "risk_debt", n.cast("long").alias("frames_analyzed"),
         F.floor(n / F.greatest(F.lit(0.001), F.col("relative_timestamp")) + 0.5).alias("fps"), F.col("flashes").alias("sequence_length"),
     )
-    if flags.temporal_contrast:
-        windows = temporal.contrast_windows(rows.select(*KEYS, "ts", "r", "g", "b"), sampling.interval)
-        struct = F.struct(*(c for c in windows.columns if c not in KEYS)).alias("temporal_contrast_sensitivity")
-        out = out.join(windows.select(*KEYS, struct), KEYS, "left")
-    return out
 
 
 def _channels(prefix: str):
@@ -80,6 +79,7 @@ def _channels(prefix: str):
 def summarize(rows: DataFrame, thresholds: Thresholds | None = None, sampling: Sampling | None = None, names: DataFrame | None = None) -> DataFrame:
     """One row a video: totals, violations, clusters, severity and thresholds. names: video_id, name (optional)."""
     thresholds, sampling = thresholds or Thresholds(), sampling or Sampling()
+    rows = materialized(rows.select(*KEYS, "relative_timestamp", "brightness", "intensity", "is_flash", "risk_level", F.struct("psi.score").alias("psi")))
     flagged = rows.select(*KEYS, F.col("relative_timestamp").alias("ts"), "brightness", "intensity", "is_flash")
     base = rows.groupBy("video_id").agg(
         F.max("relative_timestamp").alias("duration"), F.count_if("is_flash").alias("flash_count"), F.max_by("risk_level", "frame_idx").alias("risk_level"), F.count("*").alias("frames")
@@ -100,7 +100,7 @@ def short_summary(summary: DataFrame) -> DataFrame:
 
 def cluster_report(rows: DataFrame, gap: float = 0.3) -> DataFrame:
     """Per video: formatted cluster statistics and the list of clusters; videos without flashes have no row."""
-    flagged = rows.select(*KEYS, F.col("relative_timestamp").alias("ts"), "is_flash")
+    flagged = materialized(rows.select(*KEYS, F.col("relative_timestamp").alias("ts"), "is_flash"))
     found = flash.clusters(flagged, gap)
     item = F.struct("cluster_id", to_fixed(F.col("start_time"), 3).alias("start_time"), to_fixed(F.col("end_time"), 3).alias("end_time"), to_fixed(F.col("end_time") - F.col("start_time"), 3).alias("duration"), "start_frame", "end_frame", "count")
     listed = found.groupBy("video_id").agg(F.sort_array(F.collect_list(item)).alias("clusters"))
@@ -109,6 +109,7 @@ def cluster_report(rows: DataFrame, gap: float = 0.3) -> DataFrame:
 
 def report(rows: DataFrame) -> DataFrame:
     """Per video: totals, mean flash rate (at 60 frames a second), risk factors and recommendations."""
+    rows = materialized(rows.select(*KEYS, "relative_timestamp", "intensity", "is_flash", "risk_level"))
     flagged = rows.select(*KEYS, "intensity", "is_flash")
     counts = risk.recommendations(risk.risk_factors(flash.flash_counts(flagged)))
     ends = rows.groupBy("video_id").agg(F.max("relative_timestamp").alias("duration"), F.max_by("risk_level", "frame_idx").alias("risk_level"))
