@@ -11,6 +11,7 @@
    hold every pair that can reach T collisions. A large group is cut into blocks, and every pair of blocks is a task.
 4. A task counts collisions of all its pairs and, from most collisions down, confirms on full shingle sets those of at
    least T whose classes it hasn't yet linked. It returns links of a spanning forest: never all pairs of a group.
+   Blocks come first; pairs of blocks then start from the trees inside them and return only links between trees.
 5. The components of these links are the result.
 
 T is so far below K times the threshold that a link is missed with a probability under 1e-5.
@@ -28,7 +29,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from photowarden.llm import common
@@ -112,14 +113,15 @@ def overlaps(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return hits[ends] - hits[ends - sizes]
 
 
-def link_block(sets: list[np.ndarray], pairs: np.ndarray, side: np.ndarray, percent: int = PERCENT, least: int = T) -> list[tuple[int, int]]:
+def link_block(sets: list[np.ndarray], pairs: np.ndarray, side: np.ndarray, percent: int = PERCENT, least: int = T, label: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links of a spanning forest of the sets' exact similarity graph; with two sides, of links between them.
 
-    pairs: signatures, a row a set. Classes in the same tree are not compared again.
+    pairs: signatures, a row a set. label: equal for sets that are linked already. Sets in the same tree are not
+    compared again.
     """
     n = len(sets)
     size = np.array([len(s) for s in sets])
-    label = np.arange(n)
+    label = np.arange(n) if label is None else label.copy()
     across = side.min() != side.max()
     links: list[tuple[int, int]] = []
     equal = np.zeros((n, n), np.int16)
@@ -165,10 +167,12 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     )
     lists = common.written(prefixes, "lists")
 
-    # stars around each list's most central member, and their components
+    # stars around each list's most central member, and their components; a class keeps one leader and ties the others to it
     leaders = common.written(lists.groupBy("pair").agg(F.max(F.struct("weight", "rep"))["rep"].alias("leader"), F.count("*").alias("n")).filter("n > 1").select("pair", "leader"), "leaders")
     stars = lists.join(leaders, "pair").filter("leader <> rep").groupBy("leader", "rep").agg(F.count("*").alias("n")).select("leader", "rep")
-    groups = connected_components(stars, "leader", "rep")
+    stars = common.written(stars.withColumn("best", F.max("leader").over(Window.partitionBy("rep"))), "stars")  # PREFIX rows a class at most
+    ties = stars.filter("leader <> best").groupBy("leader", "best").agg(F.count("*").alias("n")).select("leader", F.col("best").alias("rep"))
+    groups = connected_components(ties.unionByName(stars.filter("leader = best").select("leader", "rep")), "leader", "rep")
     sizes = signed.select(F.col("doc_id").alias("node"), "n_shingles").groupBy("node").agg(F.max("n_shingles").alias("n_shingles"))
     member = groups.join(sizes, "node")
     blocks = F.greatest(F.ceil(F.col("n") / F.least(F.lit(MOST_BLOCK), F.greatest(F.lit(LEAST_BLOCK), F.ceil(F.col("n") / BLOCKS)))), F.ceil(F.col("b") / BLOCK_BYTES))
@@ -187,25 +191,31 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
             )
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(placed, "doc_id").select("doc_id", "text", "component", "blocks", "block")
-    sets = texts.mapInArrow(full, "doc_id long, component long, blocks int, block int, set_key binary, items binary, pairs binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    tasks = sets.withColumn("other", other).select("doc_id", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_key", "items", "pairs")
+    sets = common.written(texts.mapInArrow(full, "doc_id long, component long, blocks int, block int, set_key binary, items binary, pairs binary"), "sets")
 
     def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates(["doc_id", "set_key"]).sort_values(["doc_id", "set_key"], ignore_index=True)
         side = pdf["block"].to_numpy()
+        tree, label = np.unique(pdf["tree"].to_numpy(), return_inverse=True)
         found = []
         if len(pdf) > 1 and (pdf["i"].iloc[0] == pdf["j"].iloc[0] or side.min() != side.max()):
             items = [np.frombuffer(s, _U) for s in pdf["items"]]
             pairs = np.frombuffer(b"".join(pdf["pairs"]), _U).reshape(len(pdf), K)
-            found = link_block(items, pairs, side, percent)
-        ids = pdf["doc_id"].to_numpy()
-        return pd.DataFrame([(ids[a], ids[b]) for a, b in found], columns=["a", "b"], dtype="int64")
-
-    links = tasks.groupBy("component", "i", "j").applyInPandas(confirm, "a long, b long")
-    found = connected_components(links, "a", "b")
-
-    by_class = common.written(classes.join(found, classes["rep"] == found["node"], "left").select("set_key", "rep", F.coalesce("component", "rep").alias("component_id")), "by_class")
+            found = link_block(items, pairs, side, percent, label=label)
+        return pd.DataFrame([(tree[label[a]], tree[label[b]]) for a, b in found], columns=["a", "b"], dtype="int64")
+
+    columns = ("component", "i", "j", "doc_id", "block", "tree", "set_key", "items", "pairs")
+    own_block = sets.withColumns({"i": F.col("block"), "j": F.col("block"), "tree": F.col("doc_id")}).select(*columns)
+    inner = connected_components(own_block.groupBy("component", "i", "j").applyInPandas(confirm, "a long, b long"), "a", "b")
+    # between blocks, with the trees inside blocks known: only links between trees are looked for and returned
+    several = sets.filter("blocks > 1").join(inner.withColumnRenamed("component", "tree"), F.col("doc_id") == F.col("node"), "left").withColumn("tree", F.coalesce("tree", "doc_id"))
+    other = several.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("other <> block")
+    crossed = other.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).select(*columns)
+    links = crossed.groupBy("component", "i", "j").applyInPandas(confirm, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("n"))
+    outer = connected_components(links, "a", "b").select(F.col("node").alias("_tree"), F.col("component").alias("_root"))
+
+    within = classes.join(inner, classes["rep"] == inner["node"], "left").select("set_key", F.coalesce("component", "rep").alias("_tree"))
+    by_class = common.written(within.join(outer, "_tree", "left").select("set_key", F.coalesce("_root", "_tree").alias("component_id")), "by_class")
     verdict = signed.join(by_class, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     if own == ["doc_id", "text"] or own == ["doc_id"]:
         return verdict.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
