@@ -6,6 +6,7 @@ to six places on both sides.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,9 +35,10 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
 
 
 def query(name: str, sql: str | None = None):
-    def add(f):
+    def add(f, sql=sql):
         QUERIES[name] = lambda spark, d: rounded(f(spark, d))
         if sql is not None:
+            sql = re.sub(r"(\* 10+ \+) 0\.5\)", rf"\1 {0.5 + scalar.NEAR_HALF})", sql)
             ORACLES[name] = sql.replace(", 6) AS ", f" + {TIE}, 6) AS ")
         return f
 

@@ -7,11 +7,13 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+NEAR_HALF = 1e-9
+
 
 def half_up(x: Column, places: int = 0) -> Column:
-    """Rounds halves towards plus infinity."""
+    """Rounds halves towards plus infinity; what is a half but for the order of a sum counts as one."""
     scale = 10.0**places
-    return F.floor(x * scale + 0.5) / scale
+    return F.floor(x * scale + (0.5 + NEAR_HALF)) / scale
 
 
 def to_fixed(x: Column, places: int) -> Column:

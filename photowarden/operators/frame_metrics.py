@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from photowarden.functions.color import LUMA
+from photowarden.functions.scalar import NEAR_HALF
 from photowarden.operators.windows import by_frame
 
 _V = np.arange(256) / 255.0
@@ -27,8 +28,8 @@ class Raster:
     """A frame's channels as (height, width) arrays, with planes that several kernels need computed once."""
 
     def __init__(self, width: int, height: int, rgba: bytes):
-        px = np.frombuffer(rgba, np.uint8)[: width * height * 4].reshape(height, width, 4)
-        self.r, self.g, self.b, self.a = (px[..., k] for k in range(4))
+        planes = np.ascontiguousarray(np.frombuffer(rgba, np.uint8)[: width * height * 4].reshape(-1, 4).T)
+        self.r, self.g, self.b, self.a = planes.reshape(4, height, width)
         self.width, self.height = width, height
         self._luma: np.ndarray | None = None
         self._opaque: bool | None = None
@@ -43,9 +44,9 @@ class Raster:
     @property
     def luma(self) -> np.ndarray:
         if self._luma is None:
-            self._luma = _WEIGHTED[0][self.r]
-            self._luma += _WEIGHTED[1][self.g]
-            self._luma += _WEIGHTED[2][self.b]
+            self._luma = np.take(_WEIGHTED[0], self.r)
+            self._luma += np.take(_WEIGHTED[1], self.g)
+            self._luma += np.take(_WEIGHTED[2], self.b)
         return self._luma
 
 
@@ -100,7 +101,11 @@ def chromatic(f: Raster) -> tuple[float, float]:
     if not n:
         return 0.0, 0.0
     r, g, b = ((c if f.opaque else c[seen]).astype(np.int16) for c in (f.r, f.g, f.b))
-    return float(np.abs(r - g).sum() / np.sqrt(2) / n / 255), float(np.abs(2 * b - r - g).sum() / 2 / np.sqrt(6) / n / 255)
+    by = (b << 1) - r - g
+    r -= g
+    np.abs(r, out=r)
+    np.abs(by, out=by)
+    return float(r.sum(dtype=np.int64) / np.sqrt(2) / n / 255), float(by.sum(dtype=np.int64) / 2 / np.sqrt(6) / n / 255)
 
 
 def color_deviation(f: Raster, sample: int = 1024) -> tuple[float, float, float, float, float, float]:
@@ -169,7 +174,7 @@ def lab_plane(f: Raster) -> np.ndarray:
 
 def contrast(labs: np.ndarray, threshold: float = 2.3, window: int = 50, decay: float = 0.1, sample: bool = False, weights: np.ndarray | None = None) -> dict:
     """Colour differences of consecutive Lab columns; weights: of the differences, instead of index decay."""
-    half = lambda x, p: float(np.floor(x * 10**p + 0.5) / 10**p)
+    half = lambda x, p: float(np.floor(x * 10**p + (0.5 + NEAR_HALF)) / 10**p)
     if labs.shape[1] < 2:
         return dict.fromkeys(CONTRAST, 0.0) | {"significant_changes": 0, "total_samples": int(labs.shape[1]), "window_size": window, "weight_decay": decay}
     d = np.sqrt(((labs[:, 1:] - labs[:, :-1]) ** 2).sum(0))
