@@ -46,7 +46,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs, tables = common.table(spark, sf_dir, "documents"), common.Scratch(spark)
     for name, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = tables.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        tables.keep(name.replace(" ", "-"))
     return docs

@@ -56,6 +56,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that an operator writes to the shared folder on its way, by name; it deletes its own when all that was
+    made of them is written too."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[str, str] = {}
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """As the function written(), under a name that isn't in use."""
+        path = new_table(self.spark, name)
+        df.write.parquet(path)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def keep(self, *names: str) -> None:
+        """Delete every table but these."""
+        for name in [n for n in self.paths if n not in names]:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

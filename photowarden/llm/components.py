@@ -14,18 +14,26 @@ from photowarden.llm import common
 MAX_ROUNDS = 60
 
 
-def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
-    """node, component (the least node reachable) of every node that has a link; null ends are ignored."""
+def connected_components(links: DataFrame, a: str, b: str, scratch: common.Scratch | None = None, name: str = "components") -> DataFrame:
+    """node, component (the least node reachable) of every node that has a link; null ends are ignored.
+
+    Links and superseded rounds are deleted; with `scratch` the result's table is handed over to it under `name`.
+    """
+    own = common.Scratch(links.sparkSession)
     pairs = links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null")
-    both = common.written(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))), "links")
-    labels = common.written(both.groupBy(F.col("v").alias("node")).agg(F.least(F.min("u"), F.first("v")).alias("component")), "labels")
-    for _ in range(MAX_ROUNDS):
+    both = own.written(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))), "links")
+    labels = own.written(both.groupBy(F.col("v").alias("node")).agg(F.least(F.min("u"), F.first("v")).alias("component")), "labels-0")
+    for k in range(1, MAX_ROUNDS + 1):
         heard = both.join(labels.withColumnRenamed("component", "_c"), F.col("u") == F.col("node")).groupBy(F.col("v").alias("node")).agg(F.min("_c").alias("_heard"))
         hooked = labels.join(heard, "node", "left").select("node", F.col("component").alias("_was"), F.least("component", "_heard").alias("_next"))
         ahead = labels.select(F.col("node").alias("_next"), F.col("component").alias("_beyond"))
-        moved = common.written(hooked.join(ahead, "_next", "left").select("node", "_was", F.least("_next", "_beyond").alias("component")), "labels")
+        moved = own.written(hooked.join(ahead, "_next", "left").select("node", "_was", F.least("_next", "_beyond").alias("component")), f"labels-{k}")
         changed = moved.filter("_was <> component").limit(1).count()
         labels = moved.select("node", "component")
+        own.keep("links", f"labels-{k}")
         if not changed:
+            own.keep(f"labels-{k}")
+            if scratch is not None:
+                scratch.paths[name] = own.paths[f"labels-{k}"]
             return labels
     raise RuntimeError("components did not settle")

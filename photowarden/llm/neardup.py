@@ -153,30 +153,33 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     """Adds n_shingles, component_id (the smallest doc_id reachable by links) and kept (it is the document's own)."""
     spark = docs.sparkSession
     common.prepare(spark)
+    scratch = common.Scratch(spark)
     own = [c for c in docs.columns if c not in ("n_shingles", "component_id", "kept")]
-    signed = common.written(_signatures(docs, size), "signatures")
+    signed = scratch.written(_signatures(docs, size), "signatures")
 
     # classes of equal sets, and their pairs that more than one class has
-    classes = common.written(signed.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = scratch.written(signed.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
     reps = signed.join(classes, [signed["set_key"] == classes["set_key"], signed["doc_id"] == classes["rep"]]).select("rep", "pairs")
-    posted = common.written(reps.select("rep", F.explode("pairs").alias("pair")), "pairs")
-    shared = common.written(posted.groupBy("pair").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
+    posted = scratch.written(reps.select("rep", F.explode("pairs").alias("pair")), "pairs")
+    shared = scratch.written(posted.groupBy("pair").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
     by_rep = posted.join(shared, "pair").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "pair"))).alias("p"))  # K entries at most
     prefixes = by_rep.withColumn("room", PREFIX - (K - F.size("p"))).filter("room > 0").select(
         "rep", F.explode(F.slice("p", F.lit(1), F.col("room"))["pair"]).alias("pair"), F.aggregate("p", F.lit(0).cast("long"), lambda s, x: s + x["df"]).alias("weight"),
     )
-    lists = common.written(prefixes, "lists")
+    lists = scratch.written(prefixes, "lists")
+    scratch.keep("signatures", "classes", "lists")
 
     # stars around each list's most central member, and their components; a class keeps one leader and ties the others to it
-    leaders = common.written(lists.groupBy("pair").agg(F.max(F.struct("weight", "rep"))["rep"].alias("leader"), F.count("*").alias("n")).filter("n > 1").select("pair", "leader"), "leaders")
+    leaders = scratch.written(lists.groupBy("pair").agg(F.max(F.struct("weight", "rep"))["rep"].alias("leader"), F.count("*").alias("n")).filter("n > 1").select("pair", "leader"), "leaders")
     stars = lists.join(leaders, "pair").filter("leader <> rep").groupBy("leader", "rep").agg(F.count("*").alias("n")).select("leader", "rep")
-    stars = common.written(stars.withColumn("best", F.max("leader").over(Window.partitionBy("rep"))), "stars")  # PREFIX rows a class at most
+    stars = scratch.written(stars.withColumn("best", F.max("leader").over(Window.partitionBy("rep"))), "stars")  # PREFIX rows a class at most
     ties = stars.filter("leader <> best").groupBy("leader", "best").agg(F.count("*").alias("n")).select("leader", F.col("best").alias("rep"))
-    groups = connected_components(ties.unionByName(stars.filter("leader = best").select("leader", "rep")), "leader", "rep")
+    groups = connected_components(ties.unionByName(stars.filter("leader = best").select("leader", "rep")), "leader", "rep", scratch, "groups")
+    scratch.keep("signatures", "classes", "groups")
     sizes = signed.select(F.col("doc_id").alias("node"), "n_shingles").groupBy("node").agg(F.max("n_shingles").alias("n_shingles"))
     member = groups.join(sizes, "node")
     blocks = F.greatest(F.ceil(F.col("n") / F.least(F.lit(MOST_BLOCK), F.greatest(F.lit(LEAST_BLOCK), F.ceil(F.col("n") / BLOCKS)))), F.ceil(F.col("b") / BLOCK_BYTES))
-    shapes = common.written(member.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.col("n_shingles") * 8).alias("b")).select("component", blocks.cast("int").alias("blocks")), "shapes")
+    shapes = scratch.written(member.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.col("n_shingles") * 8).alias("b")).select("component", blocks.cast("int").alias("blocks")), "shapes")
     placed = groups.join(shapes, "component").select(F.col("node").alias("doc_id"), "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
 
     # full sets of the candidates, one copy for each pair of blocks that their block is in
@@ -191,7 +194,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
             )
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(placed, "doc_id").select("doc_id", "text", "component", "blocks", "block")
-    sets = common.written(texts.mapInArrow(full, "doc_id long, component long, blocks int, block int, set_key binary, items binary, pairs binary"), "sets")
+    sets = scratch.written(texts.mapInArrow(full, "doc_id long, component long, blocks int, block int, set_key binary, items binary, pairs binary"), "sets")
+    scratch.keep("signatures", "classes", "sets")
 
     def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates(["doc_id", "set_key"]).sort_values(["doc_id", "set_key"], ignore_index=True)
@@ -206,17 +210,20 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 
     columns = ("component", "i", "j", "doc_id", "block", "tree", "set_key", "items", "pairs")
     own_block = sets.withColumns({"i": F.col("block"), "j": F.col("block"), "tree": F.col("doc_id")}).select(*columns)
-    inner = connected_components(own_block.groupBy("component", "i", "j").applyInPandas(confirm, "a long, b long"), "a", "b")
+    inner = connected_components(own_block.groupBy("component", "i", "j").applyInPandas(confirm, "a long, b long"), "a", "b", scratch, "inner")
     # between blocks, with the trees inside blocks known: only links between trees are looked for and returned
     several = sets.filter("blocks > 1").join(inner.withColumnRenamed("component", "tree"), F.col("doc_id") == F.col("node"), "left").withColumn("tree", F.coalesce("tree", "doc_id"))
     other = several.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("other <> block")
     crossed = other.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).select(*columns)
     links = crossed.groupBy("component", "i", "j").applyInPandas(confirm, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("n"))
-    outer = connected_components(links, "a", "b").select(F.col("node").alias("_tree"), F.col("component").alias("_root"))
+    outer = connected_components(links, "a", "b", scratch, "outer").select(F.col("node").alias("_tree"), F.col("component").alias("_root"))
+    scratch.keep("signatures", "classes", "inner", "outer")
 
     within = classes.join(inner, classes["rep"] == inner["node"], "left").select("set_key", F.coalesce("component", "rep").alias("_tree"))
-    by_class = common.written(within.join(outer, "_tree", "left").select("set_key", F.coalesce("_root", "_tree").alias("component_id")), "by_class")
+    by_class = scratch.written(within.join(outer, "_tree", "left").select("set_key", F.coalesce("_root", "_tree").alias("component_id")), "by_class")
     verdict = signed.join(by_class, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    verdict = scratch.written(verdict, "verdict")
+    scratch.keep("verdict")
     if own == ["doc_id", "text"] or own == ["doc_id"]:
         return verdict.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     verdict = verdict.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
