@@ -12,8 +12,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no letter, no text) go; a missing lang is filled in."""
+    """Documents without a language (no letter, no text) go; a missing lang is filled in, if any document has a usable label."""
     model = langid.train(*langid.training_sample(docs))
+    if model is None:
+        return langid.with_letters(docs.select(*COLUMNS))
     kept = langid.predict(docs.select(*COLUMNS), model).filter("lang_pred <> 'und'")
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 

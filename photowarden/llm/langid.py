@@ -199,6 +199,18 @@ def predict_text(model: ByteCnn | None, texts: list[str | None]) -> tuple[list[s
     return langs, scores
 
 
+def with_letters(docs: DataFrame) -> DataFrame:
+    """The rows whose text has a letter, by the rule of predict_text; no model is needed."""
+    common.prepare(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([bool(t and _LETTER.search(t)) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def predict(docs: DataFrame, model: ByteCnn | None) -> DataFrame:
     """Adds lang_pred and score; only the text is read for them."""
     common.prepare(docs.sparkSession)

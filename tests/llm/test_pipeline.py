@@ -43,6 +43,17 @@ def test_stages_and_result(spark, sf):
     assert got.length.sum() == sum(len(own.encode(r["text"])) // 4 + 1 for r in kept[3].values())
 
 
+def test_language_without_usable_labels(spark):
+    """Without a model only null texts and those without a letter go, and lang stays null."""
+    texts = [None, "", "12 34 !", "some words", "x", "один два"]
+    for label in (None, "en"):  # no label; a label only where there is no letter
+        rows = [(k, t, label if k == 2 else None, "web", 1) for k, t in enumerate(texts)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+        got = corpus_pipeline.language(spark, df, "")
+        assert got.columns == list(corpus_pipeline.COLUMNS)
+        assert sorted(tuple(r) for r in got.collect()) == [r for r in rows if r[0] > 2]
+
+
 def docs_table(rows):
     out = []
     for r in rows.values():
