@@ -201,22 +201,43 @@ def red_window(rows: DataFrame, k: int = 30, least: int = 5, threshold: float =
     return rows.withColumn("red_metrics", made).drop("_n", "_t", "_row", "_first", "_inside", "_times", "_avg", "_max", "_on")
 
 
+#: Powers of e that a block of the decayed mean spans: what is a whole block older weighs below the precision of a double.
+DECAY_BLOCK = 300.0
+
+
+def with_decayed_mean(rows: DataFrame, value: str, lam: float, into: str) -> DataFrame:
+    """Adds the mean of the values so far, weighted by exp(-lam * age); null before the first value.
+
+    Weights grow with time from the start of a block of time, so they stay within a double's range; a block takes over
+    the sums of the one before it. A row belongs to the block of the latest time with a value so far.
+    """
+    w, inside = by_frame(), Window.partitionBy("video_id", "_block").orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, 0)
+    some = F.col(value).isNotNull()
+    power = lam * (F.col("ts") - F.min("ts").over(Window.partitionBy("video_id")))
+    rows = rows.withColumn("_power", power)
+    rows = rows.withColumn("_block", F.coalesce(F.floor(F.max(F.when(some, F.col("_power"))).over(so_far()) / DECAY_BLOCK), F.lit(0)))
+    rows = rows.withColumn("_g", F.when(some, F.exp(F.col("_power") - F.col("_block") * DECAY_BLOCK)))
+    rows = rows.withColumns({"_sum": F.sum(F.col(value) * F.col("_g")).over(inside), "_weight": F.sum("_g").over(inside)})
+    old = F.lag("_block").over(w)
+    fade = F.exp((old - F.col("_block")) * DECAY_BLOCK)
+    rows = rows.withColumns({f"{c}_in": F.when(F.col("_block") != old, F.lag(c).over(w) * fade) for c in ("_sum", "_weight")})
+    whole = lambda c: F.col(c) + F.coalesce(F.last(f"{c}_in", ignorenulls=True).over(so_far()), F.lit(0.0))
+    return rows.withColumn(into, whole("_sum") / whole("_weight")).drop("_power", "_block", "_g", "_sum", "_weight", "_sum_in", "_weight_in")
+
+
 def with_contrast_windows(colors: DataFrame, interval: float = 1 / 30, window_seconds: float = 1.0, half_life: float = 1 / 3, threshold: float = 2.3, stream_half_life: float | None = None) -> DataFrame:
     """Adds contrast_window: colour contrast over a sliding range of time, null where the range holds too few samples.
 
     Colour differences are to the previous sample; a window's differences are those within it. Weights halve every
-    half_life; stream_weighted is the decayed mean over all differences so far, in closed form.
+    half_life; stream_weighted is the decayed mean over all differences so far, in closed form by blocks of time.
     """
     least = max(5, math.ceil(1 / interval))
     span = max(window_seconds, least * interval)
     rows = colors.withColumn("_lab", rgb_to_lab(F.col("r"), F.col("g"), F.col("b")))
     rows = rows.withColumn("_d", cie76(F.col("_lab"), F.lag("_lab").over(by_frame())))
     lam = math.log(2) / (stream_half_life or half_life)
-    start = F.min("ts").over(Window.partitionBy("video_id"))
-    grow = F.exp(lam * (F.col("ts") - start))
-    rows = rows.withColumn("_g", F.when(F.col("_d").isNotNull(), grow))
-    stream = F.sum(F.col("_d") * F.col("_g")).over(so_far()) / F.sum("_g").over(so_far())
-    rows = rows.withColumns({"_count": within_seconds("count(*)", span), "_from": within_seconds("min(ts)", span), "_all": within_seconds("collect_list(struct(ts, _d))", span), "_stream": stream})
+    rows = with_decayed_mean(rows, "_d", lam, "_stream")
+    rows = rows.withColumns({"_count": within_seconds("count(*)", span), "_from": within_seconds("min(ts)", span), "_all": within_seconds("collect_list(struct(ts, _d))", span)})
     rows = rows.withColumn("_ds", F.filter(F.slice(F.array_sort("_all"), F.lit(2), F.greatest(F.size("_all"), F.lit(1))), lambda x: x["_d"].isNotNull()))
     add = lambda f: F.aggregate("_ds", F.lit(0.0), lambda s, x: s + f(x))
     rows = rows.withColumn("_n", F.greatest(F.size("_ds"), F.lit(1)))
@@ -231,7 +252,7 @@ def with_contrast_windows(colors: DataFrame, interval: float = 1 / 30, window_se
         half_up(F.try_divide(add(lambda x: x["_d"] * weight(x)), add(weight)), 2).alias("weighted_average_delta_e"), half_up(F.col("_stream"), 2).alias("stream_weighted_average_delta_e"),
     )
     rows = rows.withColumn("contrast_window", F.when(F.col("_count") >= least, made))
-    return rows.drop("_lab", "_d", "_g", "_count", "_from", "_all", "_stream", "_ds", "_n", "_mean")
+    return rows.drop("_lab", "_d", "_count", "_from", "_all", "_stream", "_ds", "_n", "_mean")
 
 
 def contrast_windows(colors: DataFrame, **options: float) -> DataFrame:

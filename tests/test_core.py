@@ -128,6 +128,32 @@ def test_risk_debt_crosses_blocks(spark):
     assert got == pytest.approx(want, abs=1e-12)
 
 
+def test_contrast_stream_of_a_long_video(spark):
+    """The decayed mean is the fold's, long after exp(lam * t) leaves a double's range, and over a pause."""
+    rng = np.random.default_rng(3)
+    times = [k / 10 for k in range(8000)] + [2000 + k / 10 for k in range(100)]
+    rows = [("v", k + 1, t, float(g)) for k, (t, g) in enumerate(zip(times, rng.integers(0, 256, len(times)).tolist(), strict=True))]
+    df = spark.createDataFrame(rows, "video_id string, frame_idx int, ts double, r double").withColumns({"g": F.col("r"), "b": F.col("r")})
+    windows = temporal.with_contrast_windows(df, interval=0.1).select("frame_idx", F.col("contrast_window.stream_weighted_average_delta_e").alias("mean"))
+    got = {r["frame_idx"]: r["mean"] for r in windows.filter("mean is not null").collect()}
+    labs = [r["l"] for r in df.orderBy("frame_idx").select(color.rgb_to_lab(F.col("r"), F.col("g"), F.col("b")).alias("l")).collect()]
+    s = w = 0.0
+    for k in range(1, len(times)):
+        fade = math.exp(-3 * math.log(2) * (times[k] - times[k - 1]))
+        s, w = s * fade + math.dist(labs[k], labs[k - 1]), w * fade + 1
+        if k + 1 in got:
+            assert got[k + 1] == pytest.approx(s / w, abs=0.0051), k
+    assert len(got) > 8000
+
+
+def test_decayed_mean_over_missing_values(spark):
+    """A row without a value has the mean so far, also a long time after the last value."""
+    rows = [("v", 1, 0.0, None), ("v", 2, 1.0, 4.0), ("v", 3, 2.0, 8.0), ("v", 4, 5000.0, None), ("v", 5, 9000.0, 3.0), ("v", 6, 9001.0, 5.0), ("w", 1, 0.0, 1.0)]
+    df = spark.createDataFrame(rows, "video_id string, frame_idx int, ts double, x double")
+    got = [r["m"] for r in temporal.with_decayed_mean(df, "x", math.log(2), "m").orderBy("video_id", "frame_idx").collect()]
+    assert got[0] is None and got[1:] == pytest.approx([4.0, 20 / 3, 20 / 3, 3.0, 13 / 3, 1.0])
+
+
 def test_periodicity():
     x = np.sin(2 * np.pi * np.arange(100) / 10)
     assert temporal.highest_peak(x)[:2] == (True, 10)
