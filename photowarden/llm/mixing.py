@@ -3,7 +3,11 @@
 Token weights are summed over the cells of source, language and topic. Raking scales the cells to each margin's target
 shares in turn; after `rounds` rounds a cell's factor is its raked weight over its own. A document's sampling
 probability is its cell's factor over the greatest factor, so expected tokens have the raked shares and no probability
-exceeds one; a document stays when the number that its id hashes to, between zero and one, is below it.
+exceeds one; a document stays when the number that its id hashes to, between zero and one, is below it. The cell with the
+greatest factor, however small, so sets how much of all others stays.
+
+With a `total`, the raked weights are scaled to so many tokens instead, whatever the greatest factor is: a document's
+expected copies are its cell's factor times that scale, of which it gets the whole ones and by its draw one for the rest.
 
 The cells are one row a combination that occurs; they are put in one partition (sorted, so they may spill) and all
 margins are window sums there, so that raking has no shuffle. Documents are joined to cells by a broadcast only while
@@ -12,7 +16,7 @@ there are at most `BROADCAST_CELLS` of them, and else by a join on cell and salt
 Defined results: a null source, language or topic is a value of its own (empty string); null text has no tokens; a cell
 without tokens has factor zero, so its documents go; a margin value without a target keeps its own share of the rest;
 repeated rows share their id's fate; a null id hashes as the empty string; an empty table gives no rows; extra columns
-are carried along unless they are named tokens, topic, probability or draw, which are replaced.
+are carried along unless they are named tokens, topic, probability, draw or, with a total, copy, which are replaced.
 """
 
 from __future__ import annotations
@@ -79,8 +83,12 @@ def rake(cells: DataFrame, targets: dict[str, float | DataFrame], rounds: int =
     return one.drop("_f", *(f"_t_{m}" for m in margins))
 
 
-def mix_to_targets(docs: DataFrame, targets: dict[str, float | DataFrame], id_column: str = "doc_id", rounds: int = ROUNDS) -> DataFrame:
-    """docs: with tokens and the margins' columns. Adds probability and draw, and keeps the sampled documents."""
+def mix_to_targets(docs: DataFrame, targets: dict[str, float | DataFrame], id_column: str = "doc_id", rounds: int = ROUNDS, total: float | None = None) -> DataFrame:
+    """docs: with tokens and the margins' columns. Adds probability and draw, and keeps the sampled documents.
+
+    total: the expected tokens of the result. probability is then the expected number of copies, which may exceed one,
+    and copy counts a document's copies from 0.
+    """
     margins = list(targets)
     cell_names = [f"__pw_m{k}" for k in range(len(margins))]
     rows = docs.withColumns({c: F.coalesce(F.col(m).cast("string"), F.lit("")) for c, m in zip(cell_names, margins, strict=True)})
@@ -89,12 +97,20 @@ def mix_to_targets(docs: DataFrame, targets: dict[str, float | DataFrame], id_co
     raked = rake(summed, named, rounds)
     factor = F.when(F.col("w0") > 0, F.try_divide("raked", "w0")).otherwise(0.0)
     cells = raked.withColumn("__pw_factor", factor)
-    cells = cells.withColumn("__pw_p", F.try_divide(F.col("__pw_factor"), F.max("__pw_factor").over(Window.partitionBy(F.lit(1))))).select(*cell_names, F.coalesce("__pw_p", F.lit(0.0)).alias("__pw_p"))
+    every = Window.partitionBy(F.lit(1))
+    scaled = F.try_divide(F.col("__pw_factor"), F.max("__pw_factor").over(every)) if total is None else F.try_divide(F.col("__pw_factor") * float(total), F.sum("raked").over(every))
+    cells = cells.withColumn("__pw_p", scaled).select(*cell_names, F.coalesce("__pw_p", F.lit(0.0)).alias("__pw_p"))
     cells = common.written(cells, "cells")
     if cells.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS:
         joined = rows.join(F.broadcast(cells), cell_names)
     else:
         salted = cells.withColumn("__pw_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = rows.withColumn("__pw_salt", common.spread(id_column, SALTS).cast("int")).join(salted, [*cell_names, "__pw_salt"]).drop("__pw_salt")
-    sampled = joined.withColumns({"probability": F.col("__pw_p"), "draw": draw(id_column)}).filter(F.col("draw") < F.col("probability"))
+    sampled = joined.withColumns({"probability": F.col("__pw_p"), "draw": draw(id_column)})
+    if total is None:
+        sampled = sampled.filter(F.col("draw") < F.col("probability"))
+    else:
+        whole = F.floor("probability")
+        copies = whole + (F.col("draw") < F.col("probability") - whole).cast("long")
+        sampled = sampled.withColumn("__pw_n", copies).filter("__pw_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__pw_n") - 1))).drop("__pw_n")
     return sampled.drop("__pw_p", *cell_names)

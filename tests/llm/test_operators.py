@@ -107,6 +107,27 @@ def test_mixing_awkward(spark):
     assert mixing.mix_to_targets(df.filter("tokens = 0"), catalog.MIX_TARGETS).count() == 0
 
 
+def test_tiny_cell_leaves_the_others(spark):
+    """With a stated total, a document of a new source and language costs the others next to nothing."""
+    rows = [(k, "abcd"[min(k % 10, 3)], "en" if k % 3 else "de", "prose", 1000) for k in range(2000)]
+    schema = "doc_id long, source string, lang string, topic string, tokens long"
+    skewed = [*rows, (-1, "tiny", "xx", "prose", 20), (-2, None, None, None, 0)]
+    total = sum(r[-1] for r in rows)
+    got = mixing.mix_to_targets(spark.createDataFrame(skewed, schema), catalog.MIX_TARGETS, total=total).toPandas()
+    assert not got.duplicated(["doc_id", "copy"]).any()
+    copies = got.groupby("doc_id").size()
+    p = got.groupby("doc_id").probability.first()
+    assert ((copies == np.floor(p)) | (copies == np.floor(p) + 1)).all() and copies[-1] > 1
+    assert got.tokens.sum() == pytest.approx(total, rel=0.02)
+    plain = mixing.mix_to_targets(spark.createDataFrame(rows, schema), catalog.MIX_TARGETS, total=total).toPandas()
+    assert got.doc_id[got.doc_id >= 0].nunique() == pytest.approx(plain.doc_id.nunique(), rel=0.02)
+    shares = got.groupby("source").tokens.sum() / got.tokens.sum()
+    cells = spark.createDataFrame(skewed, schema).groupBy("source", "lang", "topic").agg(F.sum("tokens").cast("double").alias("w0"))
+    raked = mixing.rake(cells, catalog.MIX_TARGETS).toPandas().groupby("source").raked.sum()
+    assert all(shares[s] == pytest.approx(raked[s] / raked.sum(), abs=0.02) for s in "abcd")
+    assert mixing.mix_to_targets(spark.createDataFrame([], schema), catalog.MIX_TARGETS, total=total).count() == 0
+
+
 # ---- media -----------------------------------------------------------------------------------------------------------
 
 
