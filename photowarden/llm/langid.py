@@ -6,7 +6,7 @@ A document's language is that of the length-weighted mean of its windows' log-pr
 probability of that language. The whole text is read.
 
 Training uses a bounded sample: about `per_language` documents of each language, drawn by a hash of their id, and at most
-`sample_bytes` of each.
+`sample_bytes` of each; each epoch goes through all windows of the sample.
 
 Defined results: null text, or text without a letter, is `und` with score 0; unlabelled documents are only predicted; a
 training set without labels predicts `und` for all; repeated rows have equal results; an empty table gives no rows; extra
@@ -115,7 +115,7 @@ def train(texts: list[str], labels: list[str], seed: int = SEED) -> ByteCnn | No
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in model.parameters()]
     step = 0
     for _ in range(EPOCHS):
-        order = rng.permutation(len(x))[: 60 * BATCH]  # the sample is bounded, and so is an epoch
+        order = rng.permutation(len(x))  # all windows of the sample
         for a in range(0, len(order), BATCH):
             rows = order[a : a + BATCH]
             step += 1

@@ -316,6 +316,20 @@ def test_language_gradients():
         at = np.unravel_index(np.abs(g).argmax(), g.shape)
         step = 1e-2
         p[at] += step
+def test_language_trains_on_the_whole_sample(monkeypatch):
+    """Every window is seen in every epoch, so a language of one short text too."""
+    seen = []
+
+    def count(model, x, y, weight):
+        seen.append(y.copy())
+        return [np.zeros_like(p) for p in model.parameters()]
+
+    monkeypatch.setattr(langid, "_gradients", count)
+    langid.train(["abc " * 3000] * 200 + ["xyz"], ["a"] * 200 + ["b"])
+    y = np.concatenate(seen)
+    assert (y == 0).sum() == langid.EPOCHS * 200 * (langid.SAMPLE_BYTES // langid.WINDOW + 1) and (y == 1).sum() == langid.EPOCHS * 2
+
+
         up = loss()
         p[at] -= 2 * step
         down = loss()
