@@ -20,6 +20,7 @@ from __future__ import annotations
 import html as htmllib
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -66,7 +67,7 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
     if attributes and "=" in attributes:
         for m in _ATTR.finditer(attributes):
             value = m[2] or m[3] or m[4] or ""
-            found += [w for w in _SPLIT.split(_CAMEL.sub("-", value).lower()) if w and not w.isdigit()][:8]
+            found += [w for w in _SPLIT.split(_CAMEL.sub("-", value).lower()) if w and not w.isdigit()]
     return tuple(found)
 
 
@@ -187,8 +188,8 @@ def page_vectors(blocks: list[Block]) -> np.ndarray:
         row = out[k]
         row[:PATH_DIM] = _path_vector(b.path)
         words = b.text.split(" ")
-        for w in words[:64]:  # the words of a block's vector; its text is kept whole
-            row[PATH_DIM + _hash(w.lower(), WORD_DIM)] += 1
+        for w, n in Counter(map(str.lower, words)).items():
+            row[PATH_DIM + _hash(w, WORD_DIM)] += n
         leaf = b.path[-1][0] if b.path else ""
         row[-NUMBERS:] = (
             np.log1p(len(b.text)) / 6, np.log1p(len(words)) / 5, b.link_chars / max(1, len(b.text)), leaf == "p", leaf in ("h1", "h2", "h3", "h4"), leaf == "li",

@@ -389,6 +389,17 @@ def test_lstm_gradients():
 
     def loss():
         z = model.forward(x, mask).astype(np.float64)
+def test_long_blocks_and_many_names():
+    """A block's vector counts words after the 64th, and its path has the ninth name of a class."""
+    plain, long = (mainblocks.Block("word " * 64 + end, (), 0) for end in ("word", "comment"))
+    one, two = mainblocks.page_vectors([plain])[0], mainblocks.page_vectors([long])[0]
+    words = slice(mainblocks.PATH_DIM, mainblocks.PATH_DIM + mainblocks.WORD_DIM)
+    assert not np.array_equal(one[words], two[words]) and np.count_nonzero(two[words]) == 2
+    names = "a b c d e f g h comments".split()
+    (block,) = mainblocks.leaf_blocks(f'<div class="{" ".join(names)}">text</div>')
+    assert block.path == (("div", *names),)
+
+
         return float(((np.log1p(np.exp(-np.abs(z))) + np.maximum(z, 0) - z * y) * mask).sum() / mask.sum())
 
     for p, g in zip(model.parameters(), model.gradients(x, mask, y), strict=True):
