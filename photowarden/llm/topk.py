@@ -6,7 +6,7 @@ both together: a pair of nodes can score at most q.c + |q| R + |c| r + r R (cent
 pruned when that is below the worst k-th score of the query node's group. Per query the blocks' best k are merged.
 
 Scores are integers and compared exactly; ties go to the smaller id. Equal vectors share one point of the tree, of which
-a query needs the k + 1 smallest ids only (its own may be one).
+a query needs the k + 1 smallest distinct ids only (its own may be one), and k rows of each.
 
 Defined results: vectors that are null, empty, or hold a null or non-finite component take no part; vectors of another
 length than the query's are no candidates; a null id takes no part; rows that share an id are one candidate each; an
@@ -157,6 +157,12 @@ class DualSearch:
             self.top_id[q[best], place[best]] = ids[best]
 
 
+def first_owners(ids: np.ndarray, k: int) -> np.ndarray:
+    """Of the sorted ids that share a vector those that can be among a query's best k, whichever id is its own."""
+    repeat = np.arange(len(ids)) - np.searchsorted(ids, ids)
+    return ids[(repeat < k) & (np.cumsum(repeat == 0) <= k + 1)]
+
+
 def valid(vector: str) -> Column:
     c = F.col(vector)
     bad = F.exists(c, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -183,7 +189,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "ve
         points, inverse = np.unique(np.stack(r["v"].to_numpy())[order], axis=0, return_inverse=True)
         by_point = np.argsort(inverse.ravel(), kind="stable")
         cuts = np.cumsum(np.bincount(inverse.ravel()))[:-1]
-        owners = [o[: k + 1] for o in np.split(ids[order][by_point], cuts)]
+        owners = [first_owners(o, k) for o in np.split(ids[order][by_point], cuts)]
         found = DualSearch(np.stack(q["v"].to_numpy()), q["id"].to_numpy(), points, owners, k)
         held = found.top_score != _NONE
         at = np.nonzero(held)

@@ -508,6 +508,26 @@ def test_cover_tree_invariants():
         return tree.leaf[node] if tree.leaf[node] is not None else np.concatenate([points(c) for c in tree.children[node]])
 
     assert sorted(points(0).tolist()) == list(range(500))
+@pytest.mark.parametrize("repeats", [1, 2, 6, 9])
+def test_top_k_repeated_rows(spark, repeats):
+    """A query's own repeated rows take no place of the others of its block that share its vector; a flag makes one a query."""
+    block = lambda c: common.spread(c, topk.LEAST_BLOCKS)
+    others = [r["id"] for r in spark.range(51, 1000).filter(block("id") == block(F.lit(50).cast("long"))).orderBy("id").limit(8).collect()]
+    ids = [50] * repeats + [others[0], *others]
+    df = spark.createDataFrame([(i, [1.0, 2.0], k == 0) for k, i in enumerate(ids)], "vec_id long, embedding array<double>, asks boolean")
+    got = sorted(tuple(r) for r in topk.top_k(df, F.col("asks"), 5).collect())
+    assert got == [(50, n + 1, i, 5) for n, i in enumerate([others[0], *others[:4]])]
+
+
+def test_first_owners():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        ids = np.sort(rng.integers(0, 9, int(rng.integers(1, 40))))
+        for own in range(-1, 9):
+            some = topk.first_owners(ids, 3)
+            assert some[some != own][:3].tolist() == ids[ids != own][:3].tolist()
+
+
     for node in range(len(tree.centre)):
         p = points(node)
         assert np.sqrt(((tree.points[p] - tree.points[tree.centre[node]]) ** 2).sum(1)).max() <= tree.radius[node] + 1e-9
