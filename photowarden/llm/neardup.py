@@ -14,7 +14,8 @@
    Blocks come first; pairs of blocks then start from the trees inside them and return only links between trees.
 5. The components of these links are the result.
 
-T is so far below K times the threshold that a link is missed with a probability under 1e-5.
+T follows from the threshold: it is the greatest number with which a link is missed with a probability under `MISS`.
+A threshold so low that even one equal coordinate is missed more often is refused.
 
 Defined results: null text, empty text and text without words have an empty set and are linked with nothing; fewer words
 than a shingle are one shingle; rows that share a doc_id are one document and share its component; a null doc_id has a
@@ -25,6 +26,7 @@ n_shingles, component_id or kept, which are replaced.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -38,8 +40,7 @@ from photowarden.llm.components import connected_components
 SHINGLE = 4
 PERCENT = 80
 K = 64
-T = 36
-PREFIX = K - T + 1
+MISS = 1e-5
 #: Blocks of a candidate group: at most so many for their number of classes, and so many classes and set bytes in one.
 BLOCKS, LEAST_BLOCK, MOST_BLOCK, BLOCK_BYTES = 32, 64, 2048, 8 << 20
 _U = np.uint64
@@ -47,6 +48,22 @@ _SHIFT = _U(58)
 _EDGES = np.arange(K, dtype=_U) << _SHIFT
 
 
+def collisions(percent: int) -> int:
+    """T: so many equal coordinates are asked for, of pairs with at least this similarity."""
+    p, missed = percent / 100, 0.0
+    for t in range(K + 1):  # missed: the probability of fewer than t
+        more = missed + math.comb(K, t) * p**t * (1 - p) ** (K - t)
+        if more > MISS:
+            break
+        missed = more
+    if not 0 < p <= 1 or t == 0:
+        raise ValueError(f"percent = {percent}: {K} coordinates find similarities of 17 to 100 percent only")
+    return t
+
+
+T = collisions(PERCENT)
+
+
 def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
     """Sorted 64-bit hashes of each text's distinct shingles of lower-cased words."""
     (words,), counts = common.word_hashes(texts, (0,), lower=True)
@@ -151,6 +168,8 @@ def link_block(sets: list[np.ndarray], pairs: np.ndarray, side: np.ndarray, perc
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Adds n_shingles, component_id (the smallest doc_id reachable by links) and kept (it is the document's own)."""
+    least = collisions(percent)
+    prefix = K - least + 1
     spark = docs.sparkSession
     common.prepare(spark)
     scratch = common.Scratch(spark)
@@ -163,7 +182,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     posted = scratch.written(reps.select("rep", F.explode("pairs").alias("pair")), "pairs")
     shared = scratch.written(posted.groupBy("pair").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
     by_rep = posted.join(shared, "pair").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "pair"))).alias("p"))  # K entries at most
-    prefixes = by_rep.withColumn("room", PREFIX - (K - F.size("p"))).filter("room > 0").select(
+    prefixes = by_rep.withColumn("room", prefix - (K - F.size("p"))).filter("room > 0").select(
         "rep", F.explode(F.slice("p", F.lit(1), F.col("room"))["pair"]).alias("pair"), F.aggregate("p", F.lit(0).cast("long"), lambda s, x: s + x["df"]).alias("weight"),
     )
     lists = scratch.written(prefixes, "lists")
@@ -172,7 +191,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     # stars around each list's most central member, and their components; a class keeps one leader and ties the others to it
     leaders = scratch.written(lists.groupBy("pair").agg(F.max(F.struct("weight", "rep"))["rep"].alias("leader"), F.count("*").alias("n")).filter("n > 1").select("pair", "leader"), "leaders")
     stars = lists.join(leaders, "pair").filter("leader <> rep").groupBy("leader", "rep").agg(F.count("*").alias("n")).select("leader", "rep")
-    stars = scratch.written(stars.withColumn("best", F.max("leader").over(Window.partitionBy("rep"))), "stars")  # PREFIX rows a class at most
+    stars = scratch.written(stars.withColumn("best", F.max("leader").over(Window.partitionBy("rep"))), "stars")  # rows a class: its prefix at most
     ties = stars.filter("leader <> best").groupBy("leader", "best").agg(F.count("*").alias("n")).select("leader", F.col("best").alias("rep"))
     groups = connected_components(ties.unionByName(stars.filter("leader = best").select("leader", "rep")), "leader", "rep", scratch, "groups")
     scratch.keep("signatures", "classes", "groups")
@@ -205,7 +224,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         if len(pdf) > 1 and (pdf["i"].iloc[0] == pdf["j"].iloc[0] or side.min() != side.max()):
             items = [np.frombuffer(s, _U) for s in pdf["items"]]
             pairs = np.frombuffer(b"".join(pdf["pairs"]), _U).reshape(len(pdf), K)
-            found = link_block(items, pairs, side, percent, label=label)
+            found = link_block(items, pairs, side, percent, least, label)
         return pd.DataFrame([(tree[label[a]], tree[label[b]]) for a, b in found], columns=["a", "b"], dtype="int64")
 
     columns = ("component", "i", "j", "doc_id", "block", "tree", "set_key", "items", "pairs")

@@ -268,6 +268,22 @@ def test_near_duplicates_awkward(spark):
     assert neardup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_duplicates_at_another_threshold(spark):
+    """Pairs of a similarity just above and below one half."""
+    rows = []
+    for k in range(40):
+        w = [f"w{k}_{j}" for j in range(103)]
+        other = w[: 70 if k % 4 else 60] + [f"x{k}_{j}" for j in range(33)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(other))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df, percent=50).collect())
+    assert got == brute_near(rows, percent=50) and len({c for _, _, c in got}) == 50
+    assert neardup.collisions(80) == 36 and neardup.collisions(100) == 64
+    for bad in (0, 10, 101):
+        with pytest.raises(ValueError):
+            neardup.near_duplicates(df, percent=bad)
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(2)
     a = np.unique(rng.integers(0, 2**63, 400, dtype=np.uint64))
@@ -300,6 +316,20 @@ def test_language_awkward(spark):
     assert {r["lang_pred"] for r in langid.predict(awkward(spark), None).collect()} == {"und"}
 
 
+def test_language_trains_on_the_whole_sample(monkeypatch):
+    """Every window is seen in every epoch, so a language of one short text too."""
+    seen = []
+
+    def count(model, x, y, weight):
+        seen.append(y.copy())
+        return [np.zeros_like(p) for p in model.parameters()]
+
+    monkeypatch.setattr(langid, "_gradients", count)
+    langid.train(["abc " * 3000] * 200 + ["xyz"], ["a"] * 200 + ["b"])
+    y = np.concatenate(seen)
+    assert (y == 0).sum() == langid.EPOCHS * 200 * (langid.SAMPLE_BYTES // langid.WINDOW + 1) and (y == 1).sum() == langid.EPOCHS * 2
+
+
 def test_language_gradients():
     rng = np.random.default_rng(0)
     model = langid.train(["abc def ghi " * 5, "xyz uvw rst " * 5], ["a", "b"])
@@ -316,20 +346,6 @@ def test_language_gradients():
         at = np.unravel_index(np.abs(g).argmax(), g.shape)
         step = 1e-2
         p[at] += step
-def test_language_trains_on_the_whole_sample(monkeypatch):
-    """Every window is seen in every epoch, so a language of one short text too."""
-    seen = []
-
-    def count(model, x, y, weight):
-        seen.append(y.copy())
-        return [np.zeros_like(p) for p in model.parameters()]
-
-    monkeypatch.setattr(langid, "_gradients", count)
-    langid.train(["abc " * 3000] * 200 + ["xyz"], ["a"] * 200 + ["b"])
-    y = np.concatenate(seen)
-    assert (y == 0).sum() == langid.EPOCHS * 200 * (langid.SAMPLE_BYTES // langid.WINDOW + 1) and (y == 1).sum() == langid.EPOCHS * 2
-
-
         up = loss()
         p[at] -= 2 * step
         down = loss()
@@ -373,6 +389,17 @@ def test_other_layouts(labeller):
     assert text.startswith("A title of it First paragraph with & and a link in it. Second one") and "cookies" not in text and "disagree" not in text and "©" not in text
 
 
+def test_long_blocks_and_many_names():
+    """A block's vector counts words after the 64th, and its path has the ninth name of a class."""
+    plain, long = (mainblocks.Block("word " * 64 + end, (), 0) for end in ("word", "comment"))
+    one, two = mainblocks.page_vectors([plain])[0], mainblocks.page_vectors([long])[0]
+    words = slice(mainblocks.PATH_DIM, mainblocks.PATH_DIM + mainblocks.WORD_DIM)
+    assert not np.array_equal(one[words], two[words]) and np.count_nonzero(two[words]) == 2
+    names = "a b c d e f g h comments".split()
+    (block,) = mainblocks.leaf_blocks(f'<div class="{" ".join(names)}">text</div>')
+    assert block.path == (("div", *names),)
+
+
 def test_pages_awkward(spark, labeller):
     rows = [(1, "u", None), (2, "u", ""), (3, "u", "<p>unclosed <b>text"), (4, "u", "<<<>>> &amp; < b"), (5, None, "<script>var a = '<p>x</p>'"), (None, "u", "<article><p>" + "word " * 20_000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit(1), "n_blocks": F.lit(2)})
@@ -389,17 +416,6 @@ def test_lstm_gradients():
 
     def loss():
         z = model.forward(x, mask).astype(np.float64)
-def test_long_blocks_and_many_names():
-    """A block's vector counts words after the 64th, and its path has the ninth name of a class."""
-    plain, long = (mainblocks.Block("word " * 64 + end, (), 0) for end in ("word", "comment"))
-    one, two = mainblocks.page_vectors([plain])[0], mainblocks.page_vectors([long])[0]
-    words = slice(mainblocks.PATH_DIM, mainblocks.PATH_DIM + mainblocks.WORD_DIM)
-    assert not np.array_equal(one[words], two[words]) and np.count_nonzero(two[words]) == 2
-    names = "a b c d e f g h comments".split()
-    (block,) = mainblocks.leaf_blocks(f'<div class="{" ".join(names)}">text</div>')
-    assert block.path == (("div", *names),)
-
-
         return float(((np.log1p(np.exp(-np.abs(z))) + np.maximum(z, 0) - z * y) * mask).sum() / mask.sum())
 
     for p, g in zip(model.parameters(), model.gradients(x, mask, y), strict=True):
@@ -492,22 +508,6 @@ def test_top_k(spark, kind):
     assert got == brute_top(rows, 5)
 
 
-def test_trees_prune():
-    rng = np.random.default_rng(4)
-    centres = rng.integers(-1000, 1000, (12, 4)).astype(float)
-    v = np.unique(centres[rng.integers(0, 12, 3000)] + rng.integers(-20, 21, (3000, 4)), axis=0)
-    found = topk.DualSearch(v[::40], np.full(len(v[::40]), -1), v, [np.array([k]) for k in range(len(v))], 5)
-    assert found.pruned and found.scored < 0.5 * len(v) * len(v[::40])
-
-
-def test_cover_tree_invariants():
-    rng = np.random.default_rng(0)
-    tree = topk.CoverTree(rng.random((500, 3)) * 100)
-
-    def points(node):
-        return tree.leaf[node] if tree.leaf[node] is not None else np.concatenate([points(c) for c in tree.children[node]])
-
-    assert sorted(points(0).tolist()) == list(range(500))
 @pytest.mark.parametrize("repeats", [1, 2, 6, 9])
 def test_top_k_repeated_rows(spark, repeats):
     """A query's own repeated rows take no place of the others of its block that share its vector; a flag makes one a query."""
@@ -528,6 +528,22 @@ def test_first_owners():
             assert some[some != own][:3].tolist() == ids[ids != own][:3].tolist()
 
 
+def test_trees_prune():
+    rng = np.random.default_rng(4)
+    centres = rng.integers(-1000, 1000, (12, 4)).astype(float)
+    v = np.unique(centres[rng.integers(0, 12, 3000)] + rng.integers(-20, 21, (3000, 4)), axis=0)
+    found = topk.DualSearch(v[::40], np.full(len(v[::40]), -1), v, [np.array([k]) for k in range(len(v))], 5)
+    assert found.pruned and found.scored < 0.5 * len(v) * len(v[::40])
+
+
+def test_cover_tree_invariants():
+    rng = np.random.default_rng(0)
+    tree = topk.CoverTree(rng.random((500, 3)) * 100)
+
+    def points(node):
+        return tree.leaf[node] if tree.leaf[node] is not None else np.concatenate([points(c) for c in tree.children[node]])
+
+    assert sorted(points(0).tolist()) == list(range(500))
     for node in range(len(tree.centre)):
         p = points(node)
         assert np.sqrt(((tree.points[p] - tree.points[tree.centre[node]]) ** 2).sum(1)).max() <= tree.radius[node] + 1e-9
