@@ -11,12 +11,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch; long texts make a batch of a few MB.
+#: Rows of an Arrow batch that Python works on at once; Spark bounds a batch by bytes.
 BATCH_ROWS = 256
 
 
-def prepare(spark: SparkSession, batch_rows: int = BATCH_ROWS) -> None:
-    """Send this package to the executors once per context, and bound the Arrow batches by rows."""
+def prepare(spark: SparkSession) -> None:
+    """Send this package to the executors, once per context. No setting of the session is touched."""
     sc = spark.sparkContext
     if getattr(sc, "_photowarden_shipped", None) is None:
         top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -29,7 +29,13 @@ def prepare(spark: SparkSession, batch_rows: int = BATCH_ROWS) -> None:
                         z.write(full, os.path.relpath(full, os.path.dirname(top)))
         sc.addPyFile(path)
         sc._photowarden_shipped = path
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+
+
+def slices(batches, rows: int = BATCH_ROWS):
+    """Arrow batches in pieces of at most so many rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -90,13 +96,29 @@ def spread(col, n: int):
 # ---- hashing of words in numpy ---------------------------------------------------------------------------------
 
 _U = np.uint64
-_MULT = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Words are hashed as polynomials modulo this prime: a power of two as modulus has collisions for every base.
+PRIME = (1 << 61) - 1
+_BASE = (0x1B97F4A7C159E37B, 0x0AE3D27D4EB4F2B2)
 #: Space, tab, newline, vertical tab, form feed and carriage return part words.
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers: dict[int, tuple] = {}
+_LOW31, _LOW30 = _U((1 << 31) - 1), _U((1 << 30) - 1)
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """64-bit integers modulo the prime."""
+    x = (x & _U(PRIME)) + (x >> _U(61))
+    return np.where(x >= _U(PRIME), x - _U(PRIME), x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime of integers below it, from 31-bit halves."""
+    a1, a0, b1, b0 = a >> _U(31), a & _LOW31, b >> _U(31), b & _LOW31
+    middle = a1 * b0 + a0 * b1
+    return reduced(reduced((a1 * b1 << _U(1)) + (middle >> _U(30)) + ((middle & _LOW30) << _U(31))) + reduced(a0 * b0))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -110,20 +132,40 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def _power_tables(seed: int, n: int):
+    """Powers of the base and of its inverse modulo the prime."""
     have = _powers.get(seed)
-    if have is None or len(have[1]) < n:
-        size = max(n, 1 << 19)
-        base = _MULT[seed]
-        inverse = pow(base, -1, 1 << 64)
-        p = np.full(size, base, _U)
-        p[0] = 1
-        q = np.full(size, inverse, _U)
-        q[0] = 1
-        letters = mix(np.arange(1, 257, dtype=_U) * _U(0xD6E8FEB86659FD93 + 2 * seed))
-        have = _powers[seed] = (letters, np.multiply.accumulate(p), np.multiply.accumulate(q))
+    if have is None or len(have[0]) < n:
+        size = 1 << max(19, (n - 1).bit_length())
+        have = []
+        for base in (_BASE[seed], pow(_BASE[seed], -1, PRIME)):
+            table = np.ones(size, _U)
+            k = 1
+            while k < size:
+                table[k : 2 * k] = times(table[:k], np.full(k, pow(base, k, PRIME), _U))
+                k *= 2
+            have.append(table)
+        have = _powers[seed] = tuple(have)
     return have
 
 
+def _sums(values: np.ndarray, powers: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of values times powers, as sums of low and high halves; small: the values are below 2^20."""
+    low, high = np.zeros(len(values) + 1, _U), np.zeros(len(values) + 1, _U)
+    if small:
+        np.cumsum(values * (powers & _LOW31), out=low[1:])
+        np.cumsum(values * (powers >> _U(31)), out=high[1:])
+    else:
+        product = times(values, powers)
+        np.cumsum(product & _LOW31, out=low[1:])
+        np.cumsum(product >> _U(31), out=high[1:])
+    return low, high
+
+
+def _joined(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    high = reduced(high)
+    return reduced(reduced(low) + (high >> _U(30)) + ((high & _LOW30) << _U(31)))
+
+
 def word_bounds(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words [^\\x20\\x09-\\x0D]+ in bytes."""
     inside = np.zeros(len(buf) + 2, np.int8)
@@ -133,11 +175,10 @@ def word_bounds(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each byte span, by prefix sums of a polynomial; equal spans have equal hashes anywhere."""
-    letters, p, q = _power_tables(seed, len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, _U)
-    np.cumsum(letters[buf] * p[: len(buf)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * q[starts] + (ends - starts).astype(_U))
+    """A 64-bit hash of each byte span of at most 4 MiB of bytes; equal spans have equal hashes anywhere."""
+    p, q = _power_tables(seed, len(buf) + 1)
+    low, high = _sums(buf.astype(_U) + _U(1), p[: len(buf)], True)
+    return mix(times(_joined(low[ends] - low[starts], high[ends] - high[starts]), q[starts]) ^ ((ends - starts).astype(_U) << _U(48)))
 
 
 def window_hashes(words: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
@@ -146,14 +187,13 @@ def window_hashes(words: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, _U)
     step = 1 << 16
-    _, p, q = _power_tables(1 - seed, step + size)
+    p, q = _power_tables(1 - seed, step + size)
     out = np.empty(n, _U)
     for a in range(0, n, step):
-        part = words[a : a + step + size - 1]
-        sums = np.zeros(len(part) + 1, _U)
-        np.cumsum(part * p[: len(part)], out=sums[1:])
+        part = reduced(words[a : a + step + size - 1])
+        low, high = _sums(part, p[: len(part)], False)
         k = len(part) - size + 1
-        out[a : a + k] = (sums[size:] - sums[:k]) * q[:k]
+        out[a : a + k] = times(_joined(low[size:] - low[:k], high[size:] - high[:k]), q[:k])
     return mix(out)
 
 
