@@ -9,10 +9,15 @@ There are no labelled pages, so the labeller is trained on pages from a generato
 article's: page skeletons of many kinds with menus, headers, footers, sidebars, notices, adverts, forms and comments
 under usual and unusual names, in random pseudo-words, so that layout and not vocabulary decides.
 
+A page is read in one pass of linear time, whatever it holds. Scripts and other raw elements end at their literal end
+tag, whatever stands between. A quote after an equals sign runs to the next such quote; from the first tag on that so
+would never end, tags end at the next ">".
+
 Defined results: null or empty html, and a page without main blocks, has empty text and no characters; scripts, styles,
-form controls and head matter are never text; unclosed tags end where an enclosing element or the page does; repeated
-rows have equal results; an empty table gives no rows; extra columns are carried along unless they are named text,
-n_chars or n_blocks, which are replaced.
+form controls and head matter are never text; unclosed tags end where an enclosing element or the page does; a raw
+element without its end tag runs to the end of the page; very long pages are read whole, every block, word and name
+counts; blocks with equal vectors and surroundings have equal labels; repeated rows have equal results; an empty table
+gives no rows; extra columns are carried along unless they are named text, n_chars or n_blocks, which are replaced.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +42,9 @@ PAGES, EPOCHS, BATCH, RATE, SEED = 640, 6, 32, 0.01, 11
 #: Blocks that are labelled at once.
 AT_ONCE = 4096
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
+#: A start tag; a quoted value may hold ">". Nothing is tried twice.
+_START = re.compile(r"<([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -55,10 +63,61 @@ _ENDS_P = frozenset("address article aside blockquote details div dl fieldset fi
 _HOLDERS = frozenset("ul ol dl table div section article main body nav aside header footer form".split())
 
 
+_RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
+
+
+class Node:
+    """An element under its ancestors: its names and, once asked for, the vector of the path down to it."""
+
+    __slots__ = ("_below", "_sums", "_vector", "depth", "names", "parent")
+
+    def __init__(self, names: tuple[str, ...] = (), parent: Node | None = None):
+        self.names, self.parent = names, parent
+        self.depth = parent.depth + 1 if parent else 0
+        self._below: dict[tuple[str, ...], Node] = {}
+        self._sums: np.ndarray | None = None
+        self._vector: np.ndarray | None = None
+
+    def child(self, names: tuple[str, ...]) -> Node:
+        """The same node for the same names: pages of one layout share their paths."""
+        got = self._below.get(names)
+        if got is None:
+            got = self._below[names] = Node(names, self)
+            _made[0] += 1
+        return got
+
+    def sums(self) -> np.ndarray:
+        """Counts of the path's hashed names; each element adds its own to those of the one above, once."""
+        missing: list[Node] = []
+        node: Node | None = self
+        while node is not None and node._sums is None:
+            missing.append(node)
+            node = node.parent
+        above = node._sums if node is not None else np.zeros(PATH_DIM, np.float32)
+        for node in reversed(missing):
+            node._sums = above.copy()
+            for k, name in enumerate(node.names):
+                node._sums[_hash(("#" if k else "<") + name, PATH_DIM)] += 1.0
+            above = node._sums
+        return above
+
+    def vector(self) -> np.ndarray:
+        if self._vector is None:
+            got = self.sums().copy()
+            for name in self.names:
+                got[_hash("leaf " + name, PATH_DIM)] += 0.5
+            self._vector = np.minimum(got, 2, out=got)
+        return self._vector
+
+
+#: The root of the paths, which is made anew after so many nodes.
+_root, _made, _MOST_NODES = [Node()], [0], 20_000
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[tuple[str, ...], ...]
+    path: Node
     link_chars: int
 
 
@@ -71,129 +130,146 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(found)
 
 
+def tokens(page: str):
+    """(kind, name, attributes or text) in order: text, start and end; comments and the content of raw elements are left out."""
+    at, n, plain_tags = 0, len(page), False
+    while at < n:
+        lt = page.find("<", at)
+        if lt < 0:
+            yield "text", "", page[at:]
+            return
+        if lt > at:
+            yield "text", "", page[at:lt]
+        follows = page[lt + 1 : lt + 2]
+        if follows == "!" or follows == "?":
+            if page.startswith("<!--", lt):
+                end, width = page.find("-->", lt + 2), 3  # "<!-->" is a whole comment
+            elif page.startswith("<![CDATA[", lt):
+                end, width = page.find("]]>", lt), 3
+                if end >= 0:
+                    yield "text", "", page[lt + 9 : end].replace("&", "&amp;")
+            else:
+                end, width = page.find(">", lt), 1
+            if end < 0:
+                return
+            at = end + width
+        elif follows == "/" and page[lt + 2 : lt + 3].isascii() and page[lt + 2 : lt + 3].isalpha():
+            end = page.find(">", lt)
+            if end < 0:
+                return
+            yield "end", _NAME.match(page, lt + 2)[0].lower(), ""
+            at = end + 1
+        elif follows.isascii() and follows.isalpha():
+            m = None if plain_tags else _START.match(page, lt)
+            if m is not None:
+                tag, attributes, at = m[1].lower(), m[2], m.end()
+            else:
+                plain_tags, end = True, page.find(">", lt)
+                if end < 0:
+                    return
+                name = _NAME.match(page, lt + 1)
+                tag, attributes, at = name[0].lower(), page[name.end() : end], end + 1
+            yield "start", tag, attributes
+            if tag in RAW and not attributes.rstrip().endswith("/"):
+                closing = _RAW_ENDS[tag].search(page, at)
+                if closing is None:
+                    return
+                at = closing.start()
+        elif follows == "/":  # an end tag without a name is a comment
+            end = page.find(">", lt)
+            if end < 0:
+                return
+            at = end + 1
+        else:
+            yield "text", "", "<"
+            at = lt + 1
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """Blocks with text in page order."""
     blocks: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, Node]] = []
+    opened: dict[str, list[int]] = {}  # places in the stack by tag
+    holders: list[int] = []
     text: list[str] = []
     links = in_link = dropped = 0
-    raw_until = ""
+    if _made[0] > _MOST_NODES:
+        _root[0], _made[0] = Node(), 0
+    root = _root[0]
 
     def flush() -> None:
         nonlocal links
         if text:
             joined = " ".join(htmllib.unescape("".join(text)).split())
             if joined:
-                blocks.append(Block(joined, tuple(names for _, names in stack), min(links, len(joined))))
+                blocks.append(Block(joined, stack[-1][1] if stack else root, min(links, len(joined))))
             text.clear()
         links = 0
 
     def pop_to(k: int) -> None:
         nonlocal dropped
         flush()
-        for tag, _ in stack[k:]:
+        for tag, _ in reversed(stack[k:]):
             dropped -= tag in DROPPED
+            opened[tag].pop()
+            if tag in _HOLDERS:
+                holders.pop()
         del stack[k:]
 
-    for m in _TOKEN.finditer(page):
-        words = m[5]
-        if words is not None or m[1] is not None:
-            if not dropped and not raw_until:
-                part = words if words is not None else m[1].replace("&", "&amp;")
-                text.append(part)
+    for kind, tag, rest in tokens(page):
+        if kind == "text":
+            if not dropped:
+                text.append(rest)
                 if in_link:
-                    links += len(part.strip())
-            continue
-        tag = m[3]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if raw_until:
-            if m[2] and tag == raw_until:
-                raw_until = ""
-                if tag in DROPPED:
-                    dropped -= 1
-            continue
-        if m[2]:
+                    links += len(rest.strip())
+        elif kind == "end":
             if tag in INLINE:
-                if tag == "a":
-                    in_link = 0
-                continue
-            if tag == "br":
+                in_link = 0 if tag == "a" else in_link
+            elif tag == "br" or not opened.get(tag):
                 flush()
-                continue
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop_to(k)
-                    break
             else:
-                flush()
-            continue
-        if tag in INLINE:
+                pop_to(opened[tag][-1])
+        elif tag in INLINE:
             in_link = 1 if tag == "a" else in_link
-            continue
-        if tag in RAW and not m[4].rstrip().endswith("/"):
+        else:
             flush()
-            raw_until = tag
+            in_link = 0
+            if tag in VOID:
+                continue
+            ends = CLOSES.get(tag, ())
+            if tag in _ENDS_P:
+                ends = (*ends, "p")
+            nearest = max((opened[e][-1] for e in ends if opened.get(e)), default=-1)
+            if nearest > (holders[-1] if holders and tag != "body" else -1):
+                pop_to(nearest)
+            if rest.rstrip().endswith("/"):
+                continue
+            opened.setdefault(tag, []).append(len(stack))
+            if tag in _HOLDERS:
+                holders.append(len(stack))
+            stack.append((tag, (stack[-1][1] if stack else root).child(_names(tag, rest))))
             dropped += tag in DROPPED
-            continue
-        flush()
-        in_link = 0
-        if tag in VOID:
-            continue
-        ends = CLOSES.get(tag, ())
-        if tag in _ENDS_P:
-            ends = (*ends, "p")
-        if ends:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ends:
-                    pop_to(k)
-                    break
-                if stack[k][0] in _HOLDERS and tag != "body":
-                    break
-        if m[4].rstrip().endswith("/"):
-            continue
-        stack.append((tag, _names(tag, m[4])))
-        dropped += tag in DROPPED
     flush()
     return blocks
 
 
+@lru_cache(1 << 16)
 def _hash(token: str, n: int) -> int:
-    return zlib.crc32(token.encode()) % n
-
-
-_path_vectors: dict[tuple, np.ndarray] = {}
-
-
-def _path_vector(path: tuple[tuple[str, ...], ...]) -> np.ndarray:
-    got = _path_vectors.get(path)
-    if got is None:
-        got = np.zeros(PATH_DIM, np.float32)
-        for depth, names in enumerate(reversed(path)):
-            for k, name in enumerate(names):
-                got[_hash(("#" if k else "<") + name, PATH_DIM)] += 1.0
-                if depth == 0:
-                    got[_hash("leaf " + name, PATH_DIM)] += 0.5
-        np.minimum(got, 2, out=got)
-        if len(_path_vectors) > 20_000:
-            _path_vectors.clear()
-        _path_vectors[path] = got
-    return got
+    return zlib.crc32(token.encode("utf-8", "surrogatepass")) % n
 
 
 def page_vectors(blocks: list[Block]) -> np.ndarray:
     out = np.zeros((len(blocks), INPUTS), np.float32)
     for k, b in enumerate(blocks):
         row = out[k]
-        row[:PATH_DIM] = _path_vector(b.path)
+        row[:PATH_DIM] = b.path.vector()
         words = b.text.split(" ")
         for w, n in Counter(map(str.lower, words)).items():
             row[PATH_DIM + _hash(w, WORD_DIM)] += n
-        leaf = b.path[-1][0] if b.path else ""
+        leaf = b.path.names[0] if b.path.names else ""
         row[-NUMBERS:] = (
             np.log1p(len(b.text)) / 6, np.log1p(len(words)) / 5, b.link_chars / max(1, len(b.text)), leaf == "p", leaf in ("h1", "h2", "h3", "h4"), leaf == "li",
-            sum(b.text.count(c) for c in ".,;!?") / (1 + len(words)), len(b.path) / 10, k / max(1, len(blocks) - 1), b.text[-1:] in ".!?",
+            sum(b.text.count(c) for c in ".,;!?") / (1 + len(words)), b.path.depth / 10, k / max(1, len(blocks) - 1), b.text[-1:] in ".!?",
         )
     words = out[:, PATH_DIM : PATH_DIM + WORD_DIM]
     np.minimum(np.log1p(words) / 2, 1, out=words)
@@ -462,12 +538,12 @@ def main_text(pages: list[str | None], model: Labeller) -> list[tuple[str, int]]
 
 def extract(pages: DataFrame, model: Labeller | None = None, column: str = "html") -> DataFrame:
     """Adds text, n_chars and n_blocks in place of the html column."""
-    common.prepare(pages.sparkSession, 64)
+    common.prepare(pages.sparkSession)
     model = model or trained()
     own = [c for c in pages.columns if c not in (column, "text", "n_chars", "n_blocks")]
 
     def run(batches):
-        for batch in batches:
+        for batch in common.slices(batches, 64):
             found = main_text(batch.column(len(own)).to_pylist(), model)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array([t for t, _ in found], pa.string()), pa.array([len(t) for t, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())],
