@@ -5,21 +5,23 @@ filter's response is max-pooled over the window, and a softmax over the pooled r
 A document's language is that of the length-weighted mean of its windows' log-probabilities; the score is the mean
 probability of that language. The whole text is read.
 
-Training uses a bounded sample: about `per_language` documents of each language, drawn by a hash of their id, and at most
-`sample_bytes` of each; each epoch goes through all windows of the sample.
-
-Defined results: null text, or text without a letter, is `und` with score 0; unlabelled documents are only predicted; a
-training set without labels predicts `und` for all; repeated rows have equal results; an empty table gives no rows; extra
-columns are carried along unless they are named lang_pred or score, which are replaced.
+Training uses a bounded sample of windows: about `per_language` of each language, drawn by a hash of id and place from
+all windows of all its texts, so a long text counts with all its parts. Each epoch goes through the whole sample. The
+languages are the classes of the network, MOST_LANGUAGES of them at most: the driver holds its weights and the sample.
+
+Defined results: null text, or text without a letter (Unicode category L), is `und` with score 0; unlabelled documents are
+only predicted; a training set without labels predicts `und` for all; very long texts are read whole; of languages that
+are equally likely the first in order of name is taken; repeated rows have equal results; an empty table gives no rows;
+extra columns are carried along unless they are named lang_pred or score, which are replaced.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,11 +30,13 @@ from photowarden.llm import common
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS, EMBED = 16, 8
-PER_LANGUAGE, SAMPLE_BYTES = 400, 8192
+PER_LANGUAGE, MOST_LANGUAGES = 4000, 1000
 EPOCHS, BATCH, RATE, SEED = 4, 64, 0.01, 7
+#: Share of the training texts (windows, in the query) of which a short part is learned too.
+SHORT = 0.1
 #: Windows that are scored at once.
 AT_ONCE = 256
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass
@@ -84,24 +88,23 @@ def windows_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return buf.reshape(n, WINDOW), lengths
 
 
-def train(texts: list[str], labels: list[str], seed: int = SEED) -> ByteCnn | None:
-    """Minibatch Adam on the cross entropy of windows; languages count alike however many windows they have."""
+def train(texts: list[str | bytes], labels: list[str], seed: int = SEED) -> ByteCnn | None:
+    """Minibatch Adam on the cross entropy of all windows; languages count alike however many windows they have."""
     languages = sorted(set(labels))
-    if not languages:
-        return None
     rng = np.random.default_rng(seed)
     xs, ys = [], []
     for text, label in zip(texts, labels, strict=True):
-        data = common.utf8(text)[:SAMPLE_BYTES]
-        if not data or not _LETTER.search(text):
+        data = common.utf8(text) if isinstance(text, str) else text
+        if not _LETTER.search(data.decode("utf-8", "ignore")):
             continue
-        w, lengths = windows_of(data)
-        keep = lengths >= min(16, len(data))
-        xs.append(w[keep])
-        ys += [languages.index(label)] * int(keep.sum())
-        cut = int(rng.integers(8, 80))  # a short one, so that short texts are known too
-        xs.append(windows_of(data[:cut])[0])
-        ys.append(languages.index(label))
+        w, _ = windows_of(data)
+        xs.append(w)
+        ys += [languages.index(label)] * len(w)
+        if rng.random() < SHORT:  # a part of it, so that short texts are known too
+            cut = int(rng.integers(8, 80))
+            at = int(rng.integers(0, max(1, len(data) - cut + 1)))
+            xs.append(windows_of(data[at : at + cut])[0])
+            ys.append(languages.index(label))
     if not xs:
         return None
     x, y = np.concatenate(xs), np.array(ys)
@@ -155,18 +158,22 @@ def _adam(parameters, gradients, moments, step: int) -> None:
         p -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
 
 
-def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, sample_bytes: int = SAMPLE_BYTES) -> tuple[list[str], list[str]]:
-    """About per_language texts of each language and their languages, drawn by a hash of the id."""
-    labelled = docs.filter("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return [], []
-    chance = F.lit(0.0)
-    for lang, n in counts.items():
-        chance = F.when(F.col("lang") == lang, min(1.0, per_language / n)).otherwise(chance)
-    lot = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_003)) / 1_000_003.0
-    rows = labelled.filter(lot < chance).select(F.col("doc_id").cast("string"), F.substring("text", 1, sample_bytes).alias("text"), "lang").orderBy("doc_id", "text").collect()
-    return [r["text"] for r in rows], [r["lang"] for r in rows]
+def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[bytes], list[str]]:
+    """About per_language windows of each language and their languages, drawn from whole texts."""
+    spark = docs.sparkSession
+    data = F.col("text").cast("binary")
+    labelled = docs.filter("lang is not null and text is not null and text <> ''").select(F.col("doc_id").cast("string").alias("id"), data.alias("data"), "lang", F.ceil(F.octet_length("text") / WINDOW).cast("int").alias("n"))
+    counts = labelled.groupBy("lang").agg(F.sum("n").alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} different labels: they are the classes of one network")
+    # one row a language, at most MOST_LANGUAGES: small enough to broadcast
+    chances = F.broadcast(spark.createDataFrame([(r["lang"], per_language / r["n"]) for r in counts], "lang string, chance double"))
+    lot = lambda i: F.pmod(F.xxhash64("key", i), F.lit(1_000_003)) / 1_000_003.0
+    drawn = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: lot(i) < F.col("chance"))
+    keyed = labelled.withColumn("key", F.xxhash64("id", "data")).join(chances, "lang")
+    rows = keyed.select("lang", "id", "data", F.explode(drawn).alias("i"))
+    rows = rows.select("lang", "id", "i", F.substring("data", F.col("i") * WINDOW + 1, F.lit(WINDOW)).alias("window")).orderBy("lang", "id", "i", "window").collect()
+    return [bytes(r["window"]) for r in rows], [r["lang"] for r in rows]
 
 
 def predict_text(model: ByteCnn | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -205,7 +212,7 @@ def with_letters(docs: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in common.slices(batches):
             yield batch.filter(pa.array([bool(t and _LETTER.search(t)) for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
@@ -218,7 +225,7 @@ def predict(docs: DataFrame, model: ByteCnn | None) -> DataFrame:
     at = own.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in common.slices(batches):
             langs, scores = predict_text(model, batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*own, "lang_pred", "score"])
 
