@@ -2,18 +2,19 @@
 
 Each document is tokenised, ends with a separator id, and is cut into full windows and one remainder. Remainders are
 placed, longest first, into the open window with the least sufficient room; a segment tree over the remaining
-capacities finds it in log2(capacity) steps. Documents are dealt by a hash of their id to bins of about
-`docs_per_bin`, so that bins are independent tasks of bounded size at any scale; the waste is at most a few open
-windows a bin.
+capacities finds it in log2(capacity) steps. Pieces are dealt by a hash of their id, start and checksum to bins of the
+pieces of about `docs_per_bin` documents, so that bins are independent tasks of bounded size at any scale, also where many
+rows have no id or share one; the waste is at most a few open windows a bin.
 
-Defined results: null or empty text is a document of the separator alone; null ids are one more key; repeated rows are
-packed each on its own; an empty table gives no rows; extra columns are ignored.
+Defined results: null or empty text is a document of the separator alone; very long texts are many pieces, all of them
+kept; null ids are one more key; repeated rows are packed each on its own; pieces of equal length go in order of id, start
+and checksum, and windows of equal room latest first; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import base64
 import math
+import os
 import zlib
 from array import array
 
@@ -28,30 +29,48 @@ from photowarden.llm import common
 CAPACITY = 2048
 END_ID = 1
 DOCS_PER_BIN = 4096
-TOKENIZER = "byte_bpe_50k.tiktoken"
+TOKENIZER = "byte_bpe_50k.json"
+#: Pieces whose ids a worker keeps.
+MOST_KNOWN = 1 << 18
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 class Bpe:
-    """Ids of byte_bpe_50k.json's vocabulary as little-endian 32-bit bytes, computed from the same vocabulary's rank file.
+    """Ids of a byte-level BPE file as little-endian 32-bit bytes, made by `tokenizers` with add_special_tokens=False.
 
-    The rank file's library gives the ids of `tokenizers` with add_special_tokens=False (the tests compare them) in a
-    fifth of the time. The special token's string in a text is the special token, as there.
+    The vocabulary's pattern cuts texts into pieces that are tokenised independently of each other, so each different
+    piece is given to `tokenizers` once and kept (the tests compare whole texts). A text with a special token's string
+    in it is given to `tokenizers` whole.
     """
 
-    def __init__(self, path: str, special: str = "<|endoftext|>"):
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the unit of parallelism
         import public_tokenizers
-        import tiktoken
+        import regex
+        from tokenizers import Tokenizer
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self._special = special
-        self._enc = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={special: len(ranks)})
+        self._tok = Tokenizer.from_file(path)
+        self._special = [t.content for t in self._tok.get_added_tokens_decoder().values()]
+        self._pieces = regex.compile(public_tokenizers.PATTERN).findall
+        self._known: dict[str, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self._tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, text: str) -> bytes:
-        if self._special in text:
-            return array("I", self._enc.encode(text, allowed_special="all")).tobytes()
-        return array("I", self._enc.encode_ordinary(text)).tobytes()
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        whole = {k for k, t in enumerate(texts) if any(s in t for s in self._special)}
+        cut = [self._pieces(t) if k not in whole else [] for k, t in enumerate(texts)]
+        new = list(set().union(*cut) - self._known.keys())
+        self._known.update(zip(new, self._ids(new), strict=True))
+        out = [b"".join(map(self._known.__getitem__, pieces)) for pieces in cut]
+        for k in whole:
+            (out[k],) = self._ids([texts[k]])
+        if len(self._known) > MOST_KNOWN:
+            self._known.clear()
+        return out
 
 
 _loaded: dict[str, Bpe] = {}
@@ -76,10 +95,10 @@ def tokenize(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY,
 
     def cut(batches):
         tok = tokenizer(path or tokenizer_path())
-        for batch in batches:
+        for batch in common.slices(batches):
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = tok.encode(text or "") + end
+            for doc, ids in zip(batch.column(0).to_pylist(), tok.encode_all([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+                ids += end
                 n = len(ids) // 4
                 for s in range(0, n, capacity):
                     part = ids[4 * s : 4 * (s + capacity)]
@@ -156,7 +175,8 @@ def pack(pieces: DataFrame, n_docs: int, capacity: int = CAPACITY, docs_per_bin:
         first = int(pdf["_bin"].iloc[0]) << 32
         return pdf[kept].assign(sequence_id=window + first, offset=offset)
 
-    return pieces.withColumn("_bin", common.spread("doc_id", bins)).groupBy("_bin").applyInPandas(place, schema)
+    lot = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(bins))
+    return pieces.withColumn("_bin", lot).groupBy("_bin").applyInPandas(place, schema)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False, docs_per_bin: int = DOCS_PER_BIN) -> DataFrame:
