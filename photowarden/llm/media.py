@@ -9,13 +9,15 @@ A payload of bytes is stored without loss in the format's own unit: one byte is
 segment, and payloads of more than 8191 rows take several frames, one after the other. A comment segment keeps the
 payload's length before padding.
 
-Defined results: null text is empty and has one row of zero bytes; a null or damaged image gives null features; repeated
-rows each have a result; an empty table gives no rows; extra columns are ignored.
+Defined results: null text is empty and has one row of zero bytes; very long texts take as many frames as they need; a
+null or damaged image (among them one whose scan is too short for the size it claims) gives null features and costs the
+others nothing; repeated rows each have a result; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 
@@ -150,15 +152,23 @@ def store_payloads(payloads: list[bytes], lengths: list[int]) -> list[bytes]:
     return [b"".join(p) for p in parts]
 
 
+_SCAN_END = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]")
+
+
 class Frame:
-    """The parsed markers of one baseline frame."""
+    """The parsed markers of one baseline frame, and where its luminance is coded.
+
+    A scan has all components interleaved, or each component has a scan of its own; of those only the first component's
+    is read. A size that the scan's bytes cannot hold is damage.
+    """
 
-    __slots__ = ("ac", "at", "comment", "components", "dc", "end", "height", "layout", "quant", "restart", "scan", "width")
+    __slots__ = ("ac", "at", "comment", "components", "dc", "end", "height", "layout", "quant", "restart", "scan", "scan_end", "width")
 
     def __init__(self, data: bytes, at: int = 0):
         if data[at : at + 2] != b"\xff\xd8":
             raise ValueError("no start of image")
         self.comment, self.restart, self.quant, self.dc, self.ac, self.components = b"", 0, {}, {}, {}, []
+        self.layout: list = []
         at += 2
         while True:
             if data[at] != 0xFF:
@@ -167,6 +177,8 @@ class Frame:
             if kind == 0xFF:
                 at += 1
                 continue
+            if kind == 0xD9:
+                break
             (n,) = struct.unpack_from(">H", data, at + 2)
             body = data[at + 4 : at + 2 + n]
             at += 2 + n
@@ -191,25 +203,37 @@ class Frame:
                 self.comment = body
             elif kind == 0xDA:
                 tables = {body[1 + 2 * i]: (body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])}
-                break
-            elif kind == 0xD9:
-                raise ValueError("no scan")
-        if len(tables) != len(self.components):
-            raise ValueError("only interleaved scans")
-        single = len(self.components) == 1
-        # blocks of an MCU in order: component, DC table, AC table
-        self.layout = [(k, self.dc[tables[c][0]], self.ac[tables[c][1]]) for k, (c, h, v, _) in enumerate(self.components) for _ in range(1 if single else h * v)]
-        self.scan = at
-        while (at := data.index(b"\xff", at)) >= 0 and (data[at + 1] == 0 or 0xD0 <= data[at + 1] <= 0xD7):
-            at = data.index(b"\xff\xd9", at) if self.restart and data.find(b"\xff\xd9", at) >= 0 else at + 2
-        self.end = at  # of the scan
+                at = self._scan(data, at, tables)
+        self.end = at
+        if not self.layout:
+            raise ValueError("no scan of luminance")
+
+    def _scan(self, data: bytes, at: int, tables: dict[int, tuple[int, int]]) -> int:
+        end = _SCAN_END.search(data, at)
+        if end is None:
+            raise ValueError("no end of scan")
+        if not self.components or not self.width or not self.height or self.components[0][3] not in self.quant:
+            raise ValueError("a scan without frame or quantiser")
+        every = len(tables) == len(self.components)
+        if not every and len(tables) != 1:
+            raise ValueError("some components interleaved")
+        if self.components[0][0] in tables and not self.layout:
+            single = len(tables) == 1
+            # blocks of an MCU in order: component, DC table, AC table
+            self.layout = [(k, self.dc[tables[c][0]], self.ac[tables[c][1]]) for k, (c, h, v, _) in enumerate(self.components) if c in tables for _ in range(1 if single else h * v)]
+            self.scan, self.scan_end = at, end.start()
+            across, down, _, _ = self.grid()
+            if across * down * len(self.layout) * 2 > (self.scan_end - self.scan) * 8:  # two codes a block
+                raise ValueError("more blocks than bits")
+        return end.start()
 
     def grid(self) -> tuple[int, int, int, int]:
         """MCUs across and down, luminance blocks across and down an MCU."""
-        if len(self.components) == 1:
-            return -(-self.width // 8), -(-self.height // 8), 1, 1
         wide, high = max(c[1] for c in self.components), max(c[2] for c in self.components)
-        return -(-self.width // (8 * wide)), -(-self.height // (8 * high)), self.components[0][1], self.components[0][2]
+        _, h, v, _ = self.components[0]
+        if len(self.layout) == 1:  # of the luminance alone
+            return -(-self.width * h // (8 * wide)), -(-self.height * v // (8 * high)), 1, 1
+        return -(-self.width // (8 * wide)), -(-self.height // (8 * high)), h, v
 
     def key(self) -> tuple:
         return self.restart, tuple(self.layout)
@@ -300,7 +324,7 @@ def thumbnails(images: list[bytes | None]) -> list[list[tuple[Frame, np.ndarray]
     for data in images:
         try:
             parsed.append(parse_frames(data) if data else None)
-        except (ValueError, IndexError, KeyError, struct.error):
+        except (ValueError, IndexError, KeyError, AttributeError, ZeroDivisionError, struct.error):
             parsed.append(None)
     found: dict[tuple[int, int], np.ndarray] = {}
     groups: dict[tuple, list[tuple[int, int]]] = {}
@@ -326,7 +350,7 @@ def thumbnails(images: list[bytes | None]) -> list[list[tuple[Frame, np.ndarray]
 
 def _decoded(images, parsed, some, restart, layout):
     frames = [parsed[k][i] for k, i in some]
-    scans = [images[k][f.scan : f.end] for (k, _), f in zip(some, frames, strict=True)]
+    scans = [images[k][f.scan : f.scan_end] for (k, _), f in zip(some, frames, strict=True)]
     sizes = [f.grid()[0] * f.grid()[1] for f in frames]
     try:
         planes = decode_dc(scans, sizes, restart, layout)
@@ -360,7 +384,7 @@ def store_text(docs: DataFrame) -> DataFrame:
     common.prepare(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in common.slices(batches):
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
             payloads = [b + bytes(-len(b) % WIDE if b else WIDE) for b in raw]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(store_payloads(payloads, [len(b) for b in raw]), pa.binary())], ["doc_id", "media"])
@@ -368,6 +392,7 @@ def store_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, media binary")
 
 
+_LENGTH = re.compile(rb"bytes=(\d{1,18})")
 _FEATURES = {
     "doc_id": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(),
     "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "width": pa.int32(), "height": pa.int32(), "frames": pa.int32(),
@@ -379,7 +404,7 @@ def read_media(stored: DataFrame) -> DataFrame:
     common.prepare(stored.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in common.slices(batches):
             docs, media = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows = []
             for doc, data, frames in zip(docs, media, thumbnails(media), strict=True):
@@ -388,8 +413,8 @@ def read_media(stored: DataFrame) -> DataFrame:
                     rows.append((doc, None, None, None, None, size, sha, None, None, None, None))
                     continue
                 payload = b"".join(p.tobytes() for _, p in frames)
-                said = frames[0][0].comment
-                n = int(said[6:]) if said.startswith(b"bytes=") else len(payload)
+                said = _LENGTH.fullmatch(frames[0][0].comment)
+                n = int(said[1]) if said else len(payload)
                 wide, high = frames[0][0].width, sum(f.height for f, _ in frames)
                 pixels = frames[0][1] if len(frames) == 1 else np.concatenate([p for _, p in frames])
                 feature = f"{wide}x{high}:{thumbnail_hash(pixels)}"

@@ -2,14 +2,15 @@
 
 Old shard sizes are supplies, new capacities are demands, and a byte that changes shard costs one (or what a cost
 matrix says); a minimum-cost flow between shards gives the fewest moved bytes. Every arc is then a byte range of an old
-shard, a range is a run of blocks (old shard, hash of doc_id) with rows at both ends split by their middle byte, and
+shard, a range is a run of blocks (old shard, hash of doc_id and checksum) with rows at both ends split by their middle byte, and
 only the files of shards that give or get a block are written again.
 
 Only shard totals (bounded by the number of shards) reach the driver. Byte offsets come from block totals and a window
 inside each block, so a hot old shard is many blocks. The text crosses the network once, dealt by runs of blocks.
 
-Defined results: null text has no bytes, so 16 with the overhead; a null shard key is a shard of its own kind (hash of
-null); repeated rows are placed each on its own, ties ordered by size and checksum; an empty table gives no rows; extra
+Defined results: null text has no bytes, so 16 with the overhead; rows with a null shard
+key are in an old shard of their own, NO_SHARD, of which all bytes move; very long texts are rows like others, and a shard
+may differ from its capacity by half of one; repeated rows are placed each on its own, ties ordered by size and checksum; an empty table gives no rows; extra
 columns are carried along, and the columns that this module adds begin with an underscore until the end.
 """
 
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from photowarden.llm import common
 
 ROW_OVERHEAD = 16
+#: The old shard of rows whose shard key is null.
+NO_SHARD = -(1 << 31)
 #: Blocks of an old shard: so many at least, and more so that a block holds about this many bytes.
 LEAST_BLOCKS, BLOCK_BYTES = 64, 64 << 20
 #: Runs of blocks, the unit in which rows are dealt to tasks.
@@ -130,7 +133,7 @@ def reshard(docs: DataFrame, old_shard: Column, n_shards: int, path: str, id_col
     spark = docs.sparkSession
     own = docs.columns
     tie = [F.col(id_column), F.col("__pw_size"), F.col("__pw_crc")]
-    rows = docs.withColumns({"__pw_old": old_shard.cast("int"), "__pw_size": utf8_bytes(text), "__pw_crc": F.crc32(F.coalesce(F.col(text), F.lit("")))})
+    rows = docs.withColumns({"__pw_old": F.coalesce(old_shard.cast("int"), F.lit(NO_SHARD)), "__pw_size": utf8_bytes(text), "__pw_crc": F.crc32(F.coalesce(F.col(text), F.lit("")))})
 
     # 1. block totals; the number of blocks of an old shard follows from its bytes
     sums = {r["__pw_old"]: int(r["b"]) for r in rows.groupBy("__pw_old").agg(F.sum("__pw_size").alias("b")).collect()}
@@ -140,6 +143,7 @@ def reshard(docs: DataFrame, old_shard: Column, n_shards: int, path: str, id_col
     plan = plan_reshard(sums, even_capacities(sum(sums.values()), n_shards), cost)
     total = sum(sums.values())
     n_runs = max(LEAST_RUNS, total // RUN_BYTES)
+    tasks, usual = total // RUN_BYTES, int(spark.conf.get("spark.sql.shuffle.partitions"))
     shape, first = [], 0
     for i in sorted(sums):
         runs = max(1, round(n_runs * sums[i] / total))
@@ -148,7 +152,7 @@ def reshard(docs: DataFrame, old_shard: Column, n_shards: int, path: str, id_col
         first += runs
     # one row an old shard: proven small enough to broadcast
     shapes = F.broadcast(spark.createDataFrame(shape, "__pw_old int, __pw_runs int, __pw_blocks int, __pw_first int, __pw_ends array<long>, __pw_to array<int>"))
-    rows = rows.join(shapes, "__pw_old").withColumn("__pw_block", F.pmod(F.xxhash64(id_column), F.col("__pw_blocks")).cast("int"))
+    rows = rows.join(shapes, "__pw_old").withColumn("__pw_block", F.pmod(F.xxhash64(id_column, "__pw_crc"), F.col("__pw_blocks")).cast("int"))
     rows = rows.withColumn("__pw_run", (F.col("__pw_first") + F.floor(F.col("__pw_block") * F.col("__pw_runs") / F.col("__pw_blocks"))).cast("int"))
     totals = common.written(rows.groupBy("__pw_run", "__pw_old", "__pw_block").agg(F.sum("__pw_size").alias("__pw_bytes")), "blocks")
     before = Window.partitionBy("__pw_old").orderBy("__pw_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -158,7 +162,7 @@ def reshard(docs: DataFrame, old_shard: Column, n_shards: int, path: str, id_col
     block = Window.partitionBy("__pw_run", "__pw_old", "__pw_block").orderBy(*tie)
 
     def placed(rows: DataFrame, per_run: DataFrame) -> DataFrame:
-        rows = rows.repartition("__pw_run").join(per_run, "__pw_run")
+        rows = (rows.repartition(tasks, "__pw_run") if tasks > usual else rows.repartition("__pw_run")).join(per_run, "__pw_run")
         rows = rows.withColumn("__pw_at", F.element_at("__pw_starts", F.col("__pw_block")) + F.sum("__pw_size").over(block.rowsBetween(Window.unboundedPreceding, -0)) - F.col("__pw_size") / 2)
         index = F.size(F.filter("__pw_ends", lambda e: e <= F.col("__pw_at")))
         return rows.withColumn("__pw_shard", F.element_at("__pw_to", F.least(index + 1, F.size("__pw_to"))))
