@@ -6,13 +6,13 @@ round is written to the shared folder. A hub's links meet only as partial minima
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from photowarden.llm import common
 
-MAX_ROUNDS = 60
-
 
 def connected_components(links: DataFrame, a: str, b: str, scratch: common.Scratch | None = None, name: str = "components") -> DataFrame:
     """node, component (the least node reachable) of every node that has a link; null ends are ignored.
@@ -23,7 +23,7 @@ def connected_components(links: DataFrame, a: str, b: str, scratch: common.Scrat
     pairs = links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null")
     both = own.written(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))), "links")
     labels = own.written(both.groupBy(F.col("v").alias("node")).agg(F.least(F.min("u"), F.first("v")).alias("component")), "labels-0")
-    for k in range(1, MAX_ROUNDS + 1):
+    for k in itertools.count(1):  # labels only fall, so it ends
         heard = both.join(labels.withColumnRenamed("component", "_c"), F.col("u") == F.col("node")).groupBy(F.col("v").alias("node")).agg(F.min("_c").alias("_heard"))
         hooked = labels.join(heard, "node", "left").select("node", F.col("component").alias("_was"), F.least("component", "_heard").alias("_next"))
         ahead = labels.select(F.col("node").alias("_next"), F.col("component").alias("_beyond"))
@@ -36,4 +36,3 @@ def connected_components(links: DataFrame, a: str, b: str, scratch: common.Scrat
             if scratch is not None:
                 scratch.paths[name] = own.paths[f"labels-{k}"]
             return labels
-    raise RuntimeError("components did not settle")

@@ -2,24 +2,33 @@
 
 1. A document's set of word shingles gives a signature of `K` coordinates (fast similarity sketching: a coordinate of
    two signatures is equal with the probability of their Jaccard similarity, and one hash of each shingle fills most).
-   Documents with equal sets are one class from here on.
+   Documents with equal sets are one class from here on, told by the digest of the set.
 2. Classes are posted under their coordinate-value pairs. Two signatures with at least T equal coordinates share one of
    the K-T+1 rarest pairs of either, in one order of all pairs by frequency. So a class is posted only under those
    (prefix), pairs that nobody shares count towards the prefix but are not posted, and a class whose whole prefix is
    unshared is out: frequent pairs, as of boilerplate, are skipped unless a class has little else.
-3. A posting list is joined as a star around its most central member; the stars' components are candidate groups, which
-   hold every pair that can reach T collisions. A large group is cut into blocks, and every pair of blocks is a task.
-4. A task counts collisions of all its pairs and, from most collisions down, confirms on full shingle sets those of at
-   least T whose classes it hasn't yet linked. It returns links of a spanning forest: never all pairs of a group.
-   Blocks come first; pairs of blocks then start from the trees inside them and return only links between trees.
-5. The components of these links are the result.
+3. The lists are merged. First each list's most central member meets every other member, and collisions of the whole
+   signatures are counted for those pairs: classes with at least T are tied. Then, in lists whose other members are not
+   all tied together yet, these are compared across the groups of tied ones. What is tied makes families.
+4. Families get their full shingle sets, and links are confirmed on them, from most collisions down, until each family
+   is known to be whole or to fall apart.
+5. The components of the confirmed links are the result.
+
+Lists and families of more than a block are compared in tasks of two blocks. Of the groups that are tied or linked already
+the greatest is never compared with itself, so its members are in one task for each block of the others, and copies are
+made of the others only. All that leaves a task is a spanning forest, never all pairs of a group. A list of many classes
+that are mostly unrelated costs the square of its length over the block's; the order of the prefix keeps such lists to
+classes that have more than T still more frequent coordinates.
+
+With `exact`, classes are posted under their shingles themselves: two sets that are similar enough share one of the rarest
+shingles of either, as many as the threshold leaves room for. No link is missed; there are more and longer lists.
 
 T follows from the threshold: it is the greatest number with which a link is missed with a probability under `MISS`.
 A threshold so low that even one equal coordinate is missed more often is refused.
 
 Defined results: null text, empty text and text without words have an empty set and are linked with nothing; fewer words
-than a shingle are one shingle; rows that share a doc_id are one document and share its component; a null doc_id has a
-null component and is kept; an empty table gives no rows; extra columns are carried along unless they are named
+than a shingle are one shingle; very long texts are read whole; rows that share a doc_id are one document, which has all
+their links and the size of the greatest set; a null doc_id has a null component and size, links nothing and is kept; an empty table gives no rows; extra columns are carried along unless they are named
 n_shingles, component_id or kept, which are replaced.
 """
 
@@ -29,9 +38,9 @@ import hashlib
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from photowarden.llm import common
@@ -41,8 +50,8 @@ SHINGLE = 4
 PERCENT = 80
 K = 64
 MISS = 1e-5
-#: Blocks of a candidate group: at most so many for their number of classes, and so many classes and set bytes in one.
-BLOCKS, LEAST_BLOCK, MOST_BLOCK, BLOCK_BYTES = 32, 64, 2048, 8 << 20
+#: Most members and bytes of a block, and of a bucket of tasks.
+MOST, BLOCK_BYTES, BUCKET_BYTES = 2048, 8 << 20, 16 << 20
 _U = np.uint64
 _SHIFT = _U(58)
 _EDGES = np.arange(K, dtype=_U) << _SHIFT
@@ -106,18 +115,27 @@ def signature(items: np.ndarray) -> np.ndarray:
     return out
 
 
-def _signatures(docs: DataFrame, size: int) -> DataFrame:
+def _digest(items: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(items.tobytes(), digest_size=16).digest() if len(items) else None
+
+
+def _short(pairs: np.ndarray) -> bytes:
+    """A signature at 16 bits a coordinate: equal coordinates stay equal, so collisions are only overestimated."""
+    return pairs.astype(np.uint16).tobytes()
+
+
+def _signatures(docs: DataFrame, size: int, exact: bool) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in common.slices(batches):
             sets = shingle_sets([common.utf8(t) for t in batch.column(1).to_pylist()], size)
-            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            pairs = [signature(s).view(np.int64) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(pairs, pa.list_(pa.int64()))],
-                ["doc_id", "set_key", "n_shingles", "pairs"],
-            )
+            pairs = [s if exact else signature(s) if len(s) else None for s in sets]
+            columns = [
+                batch.column(0), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([None if p is None else p.view(np.int64) for p in pairs], pa.list_(pa.int64())), pa.array([b"" if exact or p is None else _short(p) for p in pairs], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n", "pairs", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, set_key binary, n_shingles long, pairs array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, key binary, n long, pairs array<long>, sig binary")
 
 
 def overlaps(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
@@ -130,121 +148,233 @@ def overlaps(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return hits[ends] - hits[ends - sizes]
 
 
-def link_block(sets: list[np.ndarray], pairs: np.ndarray, side: np.ndarray, percent: int = PERCENT, least: int = T, label: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the sets' exact similarity graph; with two sides, of links between them.
+def _matrix(sigs: list[bytes]) -> np.ndarray:
+    flat = np.frombuffer(b"".join(sigs), np.uint16)
+    return flat.reshape(len(sigs), -1 if len(flat) else 0)
+
+
+def able(sig: np.ndarray, size: np.ndarray, r: int, others: np.ndarray, least: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the others those that can be similar to r by collisions and sizes, from most collisions down, and those."""
+    fits = 100 * np.minimum(size[r], size[others]) >= percent * np.maximum(size[r], size[others])
+    others = others[fits]
+    equal = (sig[others] == sig[r]).sum(1)
+    hit = equal >= least
+    order = np.argsort(-equal[hit], kind="stable")
+    return others[hit][order], equal[hit][order]
+
 
-    pairs: signatures, a row a set. label: equal for sets that are linked already. Sets in the same tree are not
-    compared again.
+def forest(label: np.ndarray, major: np.ndarray, across: bool, partners) -> list[tuple[int, int]]:
+    """Pairs (of row numbers) that join the labels as far as `partners` allows.
+
+    partners(r, others): of the others, all with other labels than r's, those that are its partners, in any order; it may
+    stop after some, if it is told of them again. Rows of the greatest group come last and are met by the others only.
+    across: only pairs of which one is of the greatest group.
     """
-    n = len(sets)
+    label = np.unique(label, return_inverse=True)[1]
+    links = []
+    for r in np.flatnonzero(~major).tolist():
+        others = major if across else (np.arange(len(label)) > r) | major
+        todo = np.flatnonzero(others & (label != label[r]))
+        for x in partners(r, todo, label):
+            if label[x] != label[r]:
+                label[label == label[x]] = label[r]
+                links.append((r, x))
+    return links
+
+
+def related(sig: np.ndarray, size: np.ndarray, label: np.ndarray, major: np.ndarray, across: bool, least: int, percent: int) -> list[tuple[int, int]]:
+    """A forest of the pairs with enough collisions."""
+    return forest(label, major, across, lambda r, todo, _: able(sig, size, r, todo, least, percent)[0].tolist())
+
+
+def linked(sets: list[np.ndarray], sig: np.ndarray, label: np.ndarray, major: np.ndarray, across: bool, least: int, percent: int) -> list[tuple[int, int]]:
+    """A forest of the pairs whose full sets are similar; rows of one tree are not compared again."""
     size = np.array([len(s) for s in sets])
-    label = np.arange(n) if label is None else label.copy()
-    across = side.min() != side.max()
-    links: list[tuple[int, int]] = []
-    equal = np.zeros((n, n), np.int16)
-    for c in range(pairs.shape[1]):
-        _, rank = np.unique(pairs[:, c], return_inverse=True)
-        equal += rank[:, None] == rank[None, :]
-    able = (equal >= least) & (100 * np.minimum(size[:, None], size[None, :]) >= percent * np.maximum(size[:, None], size[None, :]))
-    able &= side[:, None] != side[None, :] if across else ~np.eye(n, dtype=bool)
-    weight = np.where(able, equal, 0).sum(1)
-    for r in np.argsort(-weight, kind="stable").tolist():  # the most central first: it links most
-        todo = np.flatnonzero(able[r])
-        able[:, r] = False
-        todo = todo[np.argsort(-equal[r, todo], kind="stable")]
+
+    def partners(r, todo, label):
+        todo, _ = able(sig, size, r, todo, least, percent)
         step = 64
-        while True:
-            todo = todo[label[todo] != label[r]]
-            if not len(todo):
-                break
+        while len(todo := todo[label[todo] != label[r]]):
             now, todo = todo[:step], todo[step:]
-            common_items = overlaps(sets[r], [sets[x] for x in now.tolist()])
-            for x in now[100 * common_items >= percent * (size[r] + size[now] - common_items)].tolist():
-                if label[x] != label[r]:
-                    label[label == label[x]] = label[r]
-                    links.append((r, x))
-    return links
+            shared = overlaps(sets[r], [sets[x] for x in now.tolist()])
+            yield from now[100 * shared >= percent * (size[r] + size[now] - shared)].tolist()
+
+    return forest(label, major, across, partners)
+
+
+def _tasks(members: DataFrame, group: str) -> DataFrame:
+    """key and task of every member (group, key, label, bytes) of a group of several labels, with whether it is of the
+    greatest label (major) and whether only pairs of a major and another are asked for (across)."""
+    counts = members.groupBy(group, "label").agg(F.count("*").alias("c"), F.sum("bytes").alias("b"))
+    top = F.max(F.struct("c", "label", "b"))
+    shape = counts.groupBy(group).agg(top.alias("top"), F.sum("c").alias("c"), F.sum("b").alias("b"), F.count("*").alias("k")).filter("k > 1")
+    blocks = lambda c, b: F.greatest(F.ceil(c / MOST), F.ceil(b / BLOCK_BYTES), F.lit(1)).cast("int")
+    shape = shape.select(
+        group, F.col("top.label").alias("top"), blocks(F.col("c"), F.col("b")).alias("n_all"), blocks(F.col("top.c"), F.col("top.b")).alias("n_top"),
+        blocks(F.col("c") - F.col("top.c"), F.col("b") - F.col("top.b")).alias("n_rest"),
+    )
+    lot = F.xxhash64("key")
+    mine = F.pmod(lot, F.when(F.col("major"), F.col("n_top")).otherwise(F.col("n_rest"))).cast("int")
+    task = lambda i, j, across: F.struct(i.alias("i"), j.alias("j"), across.alias("across"))
+    others = lambda n: F.sequence(F.lit(0), n - 1)
+    placed = members.join(shape, group).withColumn("major", F.col("label") == F.col("top")).withColumn("mine", mine)
+    with_top = F.when(F.col("major"), F.transform(others(F.col("n_rest")), lambda j: task(F.col("mine"), j, F.lit(True))))
+    with_top = with_top.otherwise(F.transform(others(F.col("n_top")), lambda i: task(i, F.col("mine"), F.lit(True))))
+    with_rest = F.transform(others(F.col("n_rest")), lambda o: task(-1 - F.least("mine", o), F.greatest("mine", o), F.lit(False)))
+    many = F.when(F.col("major"), with_top).otherwise(F.concat(with_top, with_rest))
+    all_in_one = F.array(task(F.lit(0), F.lit(0), F.lit(False)))
+    rows = placed.select(group, "key", "label", "major", F.explode(F.when(F.col("n_all") == 1, all_in_one).otherwise(many)).alias("t"))
+    return rows.select(F.hash(group, "t.i", "t.j").alias("lot"), F.struct(group, "t.i", "t.j").alias("task"), "key", "label", "major", "t.across")
+
+
+def _compare(rows: DataFrame, bucket_rows: int, least: int, percent: int, full: bool) -> DataFrame:
+    """Pairs of labels that each task joins. rows: those of _tasks with sig, n and, for full sets, items."""
+    buckets = max(1, -(-bucket_rows // BUCKET_BYTES))
+    columns = ["task", "key", "label", "major", "across", "sig", "n"] + ["items"] * full
+    dealt = rows.select(F.pmod("lot", F.lit(buckets)).alias("bucket"), F.to_json("task").alias("task"), *columns[1:])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, sort_keys=[("task", "ascending"), ("key", "ascending")]))
+        task, keys, labels = (table.column(c).to_pylist() for c in ("task", "key", "label"))
+        major, across, size = (table.column(c).to_numpy() for c in ("major", "across", "n"))
+        sigs = table.column("sig").to_pylist()
+        items = table.column("items") if full else None
+        found: list[tuple[bytes, bytes]] = []
+        at = 0
+        while at < len(task):
+            end = at
+            while end < len(task) and task[end] == task[at]:
+                end += 1
+            rows = [k for k in range(at, end) if k == at or keys[k] != keys[k - 1]]
+            if len({labels[k] for k in rows}) > 1:
+                label, some = np.unique([labels[k].hex() for k in rows], return_inverse=True)[1], np.array(rows)
+                args = (_matrix([sigs[k] for k in rows]), *([] if full else [size[some]]), label, major[some], bool(across[at]), least, percent)
+                pairs = linked([np.frombuffer(items[k].as_py(), _U) for k in rows], *args) if full else related(*args)
+                found += [(labels[rows[a]], labels[rows[b]]) for a, b in pairs]
+            at = end
+        return pa.Table.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    return dealt.groupBy("bucket").applyInArrow(run, "a binary, b binary")
+
+
+def _tied(edges: DataFrame, nodes: DataFrame, least: int, percent: int) -> DataFrame:
+    """Of the pairs (leader, key) those with enough collisions."""
+    one = nodes.select(F.col("key").alias("leader"), F.col("n").alias("m"), F.col("sig").alias("sig_l"))
+    pairs = edges.join(one, "leader").join(nodes.select("key", "n", "sig"), "key")
+    pairs = pairs.filter(100 * F.least("m", "n") >= percent * F.greatest("m", "n")).select("leader", "key", "sig_l", "sig")
+
+    def run(batches):
+        for batch in common.slices(batches, 8192):
+            equal = (_matrix(batch.column(2).to_pylist()) == _matrix(batch.column(3).to_pylist())).sum(1)
+            kept = batch.filter(pa.array(equal >= least))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
+
+    return pairs.mapInArrow(run, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def _labelled(keys: DataFrame, components: DataFrame, column: str) -> DataFrame:
+    """keys with the component of `column` in its place, or itself."""
+    named = components.select(F.col("node").alias(column), F.col("component").alias("__pw_to"))
+    return keys.join(named, column, "left").withColumn(column, F.coalesce("__pw_to", column)).drop("__pw_to")
+
+
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, exact: bool = False) -> DataFrame:
     """Adds n_shingles, component_id (the smallest doc_id reachable by links) and kept (it is the document's own)."""
     least = collisions(percent)
-    prefix = K - least + 1
     spark = docs.sparkSession
     common.prepare(spark)
     scratch = common.Scratch(spark)
     own = [c for c in docs.columns if c not in ("n_shingles", "component_id", "kept")]
-    signed = scratch.written(_signatures(docs, size), "signatures")
+    signed = scratch.written(_signatures(docs, size, exact), "signatures")
+    usable = signed.filter("key is not null and doc_id is not null")
+    if exact:
+        least, posts, prefix = 0, F.col("n"), F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    else:
+        posts, prefix = F.lit(K), F.lit(K - least + 1)
 
     # classes of equal sets, and their pairs that more than one class has
-    classes = scratch.written(signed.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = signed.join(classes, [signed["set_key"] == classes["set_key"], signed["doc_id"] == classes["rep"]]).select("rep", "pairs")
-    posted = scratch.written(reps.select("rep", F.explode("pairs").alias("pair")), "pairs")
+    classes = scratch.written(usable.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")), "classes")
+    reps = usable.join(classes.select("key", F.col("rep").alias("doc_id")), ["key", "doc_id"])
+    nodes = scratch.written(reps.groupBy("key").agg(F.max("n").alias("n"), F.max("sig").alias("sig")), "nodes")
+    posted = scratch.written(reps.select("key", "n", F.explode("pairs").alias("pair")), "pairs")
     shared = scratch.written(posted.groupBy("pair").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
-    by_rep = posted.join(shared, "pair").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "pair"))).alias("p"))  # K entries at most
-    prefixes = by_rep.withColumn("room", prefix - (K - F.size("p"))).filter("room > 0").select(
-        "rep", F.explode(F.slice("p", F.lit(1), F.col("room"))["pair"]).alias("pair"), F.aggregate("p", F.lit(0).cast("long"), lambda s, x: s + x["df"]).alias("weight"),
+    by_key = posted.join(shared, "pair").groupBy("key", "n").agg(F.sort_array(F.collect_set(F.struct("df", "pair"))).alias("p"))
+    prefixes = by_key.withColumn("room", (prefix - (posts - F.size("p"))).cast("int")).filter("room > 0").select(
+        "key", F.explode(F.slice("p", F.lit(1), F.col("room"))["pair"]).alias("pair"), F.aggregate("p", F.lit(0).cast("long"), lambda s, x: s + x["df"]).alias("weight"),
     )
     lists = scratch.written(prefixes, "lists")
-    scratch.keep("signatures", "classes", "lists")
-
-    # stars around each list's most central member, and their components; a class keeps one leader and ties the others to it
-    leaders = scratch.written(lists.groupBy("pair").agg(F.max(F.struct("weight", "rep"))["rep"].alias("leader"), F.count("*").alias("n")).filter("n > 1").select("pair", "leader"), "leaders")
-    stars = lists.join(leaders, "pair").filter("leader <> rep").groupBy("leader", "rep").agg(F.count("*").alias("n")).select("leader", "rep")
-    stars = scratch.written(stars.withColumn("best", F.max("leader").over(Window.partitionBy("rep"))), "stars")  # rows a class: its prefix at most
-    ties = stars.filter("leader <> best").groupBy("leader", "best").agg(F.count("*").alias("n")).select("leader", F.col("best").alias("rep"))
-    groups = connected_components(ties.unionByName(stars.filter("leader = best").select("leader", "rep")), "leader", "rep", scratch, "groups")
-    scratch.keep("signatures", "classes", "groups")
-    sizes = signed.select(F.col("doc_id").alias("node"), "n_shingles").groupBy("node").agg(F.max("n_shingles").alias("n_shingles"))
-    member = groups.join(sizes, "node")
-    blocks = F.greatest(F.ceil(F.col("n") / F.least(F.lit(MOST_BLOCK), F.greatest(F.lit(LEAST_BLOCK), F.ceil(F.col("n") / BLOCKS)))), F.ceil(F.col("b") / BLOCK_BYTES))
-    shapes = scratch.written(member.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.col("n_shingles") * 8).alias("b")).select("component", blocks.cast("int").alias("blocks")), "shapes")
-    placed = groups.join(shapes, "component").select(F.col("node").alias("doc_id"), "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-
-    # full sets of the candidates, one copy for each pair of blocks that their block is in
+    scratch.keep("signatures", "classes", "nodes", "lists")
+
+    # merging: each list's most central member with all others, then the others across what is tied
+    leaders = scratch.written(lists.groupBy("pair").agg(F.max(F.struct("weight", "key"))["key"].alias("leader"), F.count("*").alias("n")).filter("n > 1"), "leaders")
+    met = lists.select("pair", "key").join(leaders, "pair").filter("leader <> key")
+    edges = met.groupBy("leader", "key").agg(F.count("*").alias("lists")).select("leader", "key")
+    tied = connected_components(_tied(edges, nodes, least, percent), "a", "b", scratch, "tied")
+    rest = _labelled(met.filter("n > 2").select("pair", "key", F.col("key").alias("label")), tied, "label")
+    tasks = scratch.written(_tasks(rest.withColumn("bytes", F.lit(K * 2)), "pair"), "tasks")
+    n_rows = tasks.count()
+    more = _compare(tasks.join(nodes, "key"), n_rows * 1024, least, percent, full=False)
+    merged = connected_components(more.groupBy("a", "b").agg(F.count("*").alias("n")), "a", "b", scratch, "merged")
+    family = _labelled(_labelled(classes.select("key", "rep", F.col("key").alias("family")), tied, "family"), merged, "family")
+    family = scratch.written(family, "family")
+    several = family.groupBy("family").agg(F.count("*").alias("members")).filter("members > 1")
+    wanted = scratch.written(family.join(several, "family").select("key", F.col("rep").alias("doc_id"), "family"), "wanted")
+    scratch.keep("signatures", "classes", "wanted")
+
+    # full sets of the families
     def full(batches):
-        for batch in batches:
+        for batch in common.slices(batches):
             sets = shingle_sets([common.utf8(t) for t in batch.column("text").to_pylist()], size)
-            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            pairs = [signature(s).tobytes() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in ("doc_id", "component", "blocks", "block")] + [pa.array(keys, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(pairs, pa.binary())],
-                ["doc_id", "component", "blocks", "block", "set_key", "items", "pairs"],
-            )
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(placed, "doc_id").select("doc_id", "text", "component", "blocks", "block")
-    sets = scratch.written(texts.mapInArrow(full, "doc_id long, component long, blocks int, block int, set_key binary, items binary, pairs binary"), "sets")
-    scratch.keep("signatures", "classes", "sets")
-
-    def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["doc_id", "set_key"]).sort_values(["doc_id", "set_key"], ignore_index=True)
-        side = pdf["block"].to_numpy()
-        tree, label = np.unique(pdf["tree"].to_numpy(), return_inverse=True)
-        found = []
-        if len(pdf) > 1 and (pdf["i"].iloc[0] == pdf["j"].iloc[0] or side.min() != side.max()):
-            items = [np.frombuffer(s, _U) for s in pdf["items"]]
-            pairs = np.frombuffer(b"".join(pdf["pairs"]), _U).reshape(len(pdf), K)
-            found = link_block(items, pairs, side, percent, least, label)
-        return pd.DataFrame([(tree[label[a]], tree[label[b]]) for a, b in found], columns=["a", "b"], dtype="int64")
-
-    columns = ("component", "i", "j", "doc_id", "block", "tree", "set_key", "items", "pairs")
-    own_block = sets.withColumns({"i": F.col("block"), "j": F.col("block"), "tree": F.col("doc_id")}).select(*columns)
-    inner = connected_components(own_block.groupBy("component", "i", "j").applyInPandas(confirm, "a long, b long"), "a", "b", scratch, "inner")
-    # between blocks, with the trees inside blocks known: only links between trees are looked for and returned
-    several = sets.filter("blocks > 1").join(inner.withColumnRenamed("component", "tree"), F.col("doc_id") == F.col("node"), "left").withColumn("tree", F.coalesce("tree", "doc_id"))
-    other = several.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("other <> block")
-    crossed = other.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).select(*columns)
-    links = crossed.groupBy("component", "i", "j").applyInPandas(confirm, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("n"))
-    outer = connected_components(links, "a", "b", scratch, "outer").select(F.col("node").alias("_tree"), F.col("component").alias("_root"))
-    scratch.keep("signatures", "classes", "inner", "outer")
-
-    within = classes.join(inner, classes["rep"] == inner["node"], "left").select("set_key", F.coalesce("component", "rep").alias("_tree"))
-    by_class = scratch.written(within.join(outer, "_tree", "left").select("set_key", F.coalesce("_root", "_tree").alias("component_id")), "by_class")
-    verdict = signed.join(by_class, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    verdict = scratch.written(verdict, "verdict")
+            right = [k for k, (s, key) in enumerate(zip(sets, batch.column("key").to_pylist(), strict=True)) if _digest(s) == key]  # rows of a repeated id
+            sets = [sets[k] for k in right]
+            kept = batch.take(pa.array(right, pa.int64()))
+            columns = [kept.column("key"), kept.column("family"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([b"" if exact else _short(signature(s)) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "family", "n", "items", "sig"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id").select("key", "family", "text")
+    sets = scratch.written(texts.mapInArrow(full, "key binary, family binary, n long, items binary, sig binary"), "sets")
+
+    # links: in families of more than a block the greatest set meets all others first, then all across what is linked
+    sized = sets.select("family", "key", F.col("key").alias("label"), (F.col("n") * 8 + 2 * K).alias("bytes"))
+    large = sized.groupBy("family").agg(F.count("*").alias("c"), F.sum("bytes").alias("b")).filter((F.col("c") > MOST) | (F.col("b") > BLOCK_BYTES)).select("family")
+    hubs = _hub_links(sets.join(large, "family"), percent)
+    stars = connected_components(hubs, "a", "b", scratch, "stars")
+    tasks = scratch.written(_tasks(_labelled(sized, stars, "label"), "family"), "links_of")
+    held = tasks.join(sets.select("key", "n", "items", "sig"), "key")
+    n_bytes = tasks.join(sized.select("key", "bytes"), "key").agg(F.sum("bytes")).first()[0] or 0
+    links = _compare(held, n_bytes, least, percent, full=True)
+
+    # rows that share an id link their classes
+    repeated = usable.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("z")).filter("a <> z").select("doc_id", "a")
+    same = _labelled(_labelled(usable.join(repeated, "doc_id").select("a", F.col("key").alias("b")), stars, "a"), stars, "b")
+    every = links.unionByName(same).groupBy("a", "b").agg(F.count("*").alias("n"))
+    whole = connected_components(every, "a", "b", scratch, "whole")
+    by_class = _labelled(_labelled(classes.select("key", "rep", F.col("key").alias("root")), stars, "root"), whole, "root")
+    by_class = scratch.written(by_class, "by_class")
+    least_id = by_class.groupBy("root").agg(F.min("rep").alias("component_id"))
+    by_class = by_class.join(least_id, "root").select("key", "component_id")
+    verdict = signed.filter("doc_id is not null").select("doc_id", "key", "n").join(by_class, "key", "left")
+    verdict = verdict.groupBy("doc_id").agg(F.max("n").alias("n_shingles"), F.min("component_id").alias("component_id"))
+    verdict = scratch.written(verdict.withColumn("component_id", F.coalesce("component_id", "doc_id")), "verdict")
     scratch.keep("verdict")
-    if own == ["doc_id", "text"] or own == ["doc_id"]:
-        return verdict.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    verdict = verdict.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
     joined = docs.select(*(F.col(f"`{c}`") for c in own)).withColumn("__pw_id", F.col("doc_id").cast("long")).join(verdict.withColumnRenamed("doc_id", "__pw_id"), "__pw_id", "left")
     return joined.withColumn("kept", F.coalesce(F.col("__pw_id") == F.col("component_id"), F.lit(True))).drop("__pw_id")
+
+
+def _hub_links(sets: DataFrame, percent: int) -> DataFrame:
+    """Links of each family's member with the greatest set to others."""
+    hub = sets.groupBy("family").agg(F.max(F.struct("n", "key")).alias("h")).select("family", F.col("h.key").alias("hub"))
+    hub = sets.select("key", F.col("items").alias("hub_items")).join(hub, F.col("key") == F.col("hub")).select("family", "hub", "hub_items")
+    pairs = sets.join(hub, "family").filter("hub <> key").select("hub", "key", "hub_items", "items")
+
+    def run(batches):
+        for batch in common.slices(batches, 64):
+            found = []
+            for a, b, one, two in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                one, two = np.frombuffer(one, _U), np.frombuffer(two, _U)
+                shared = int(overlaps(one, [two])[0])
+                if 100 * shared >= percent * (len(one) + len(two) - shared):
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    return pairs.mapInArrow(run, "a binary, b binary")

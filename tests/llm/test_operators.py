@@ -356,7 +356,7 @@ def test_near_duplicates(spark, tables):
     assert got == brute_near([(r["doc_id"], r["text"]) for r in df.collect()])
 
 
-def test_near_duplicate_group_in_blocks(spark):
+def test_near_duplicate_group_in_blocks(spark, monkeypatch):
     """A hub with copies that differ from each other, more than one block of them, and a chain."""
     rng = np.random.default_rng(5)
     base = [f"w{k}" for k in range(120)]
@@ -367,8 +367,44 @@ def test_near_duplicate_group_in_blocks(spark):
             w[at] = f"x{k}_{at}"
         rows.append((k, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df).collect())
-    assert got == brute_near(rows)
+    want = brute_near(rows)
+    for most, exact in ((neardup.MOST, False), (20, False), (20, True)):
+        monkeypatch.setattr(neardup, "MOST", most)
+        got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df, exact=exact).collect())
+        assert got == want
+
+
+def test_near_duplicates_of_two_groups_and_strays(spark, monkeypatch):
+    """Two groups around unlike centres that share passages, members that fit neither, chains; in blocks of eight."""
+    monkeypatch.setattr(neardup, "MOST", 8)
+    rng = np.random.default_rng(8)
+    common_part = [f"c{k}" for k in range(60)]
+    rows = []
+    for g in range(3):
+        base = common_part + [f"g{g}_{k}" for k in range(60)]
+        for k in range(40):
+            w = list(base)
+            for at in rng.choice(120, int(rng.integers(0, 9)), replace=False):
+                w[at] = f"x{g}_{k}_{at}"
+            rows.append((len(rows), " ".join(w)))
+    chain = [f"h{k}" for k in range(150)]
+    for k in range(30):
+        rows.append((len(rows), " ".join(chain[k * 2 : k * 2 + 90])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_near(rows)
+    for exact in (False, True):
+        assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df, exact=exact).collect()) == want
+
+
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    """A null id links nothing, even where its text is another's; rows that share an id join their links; any columns."""
+    long, short, other = (" ".join(f"{c}{k}" for k in range(n)) for c, n in (("a", 25), ("b", 6), ("c", 30)))
+    rows = [(None, long), (None, long), (5, long), (1, long), (1, short), (7, short), (2, long), (9, other), (9, other), (None, other)]
+    narrow = spark.createDataFrame(rows, "doc_id long, text string")
+    for df in (narrow, narrow.withColumn("more", F.lit("x")), narrow.withColumns({"kept": F.lit(3), "key": F.lit(1), "family": F.lit(1)})):
+        got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(df).collect()), key=repr)
+        want = [(None, None, None, True)] * 3 + [(1, 22, 1, True)] * 2 + [(2, 22, 1, False), (5, 22, 1, False), (7, 3, 1, False)] + [(9, 27, 9, True)] * 2
+        assert got == sorted(want, key=repr)
 
 
 def test_near_duplicates_awkward(spark):
@@ -615,6 +651,9 @@ def test_tokens_are_the_tokenizers(spark, tables):
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     texts = [r["text"] for r in tables["documents"].limit(60).collect()] + ["", "  a  b ", "\n x", "it's 'since <|endoftext|> x", "a\x85b c  ", "ñandú 123 ½ 日本語", "x" * 5000]
+    rng = np.random.default_rng(0)
+    odd = np.array(list(" \t\n\r\x0b\x0c\x1c\x1f\x85\xa0\u1680\u2003\u2028\u202f\u3000\u200b\ufeff  \n ab1!'sé½語\u0301"))
+    texts += ["".join(rng.choice(odd, int(rng.integers(1, 40)))) for _ in range(3000)]
     own = packing.tokenizer(packing.tokenizer_path())
     for t in texts:
         assert np.frombuffer(own.encode(t), np.uint32).tolist() == tok.encode(t, add_special_tokens=False).ids
