@@ -756,10 +756,47 @@ def test_trees_prune():
     rng = np.random.default_rng(4)
     centres = rng.integers(-1000, 1000, (12, 4)).astype(float)
     v = np.unique(centres[rng.integers(0, 12, 3000)] + rng.integers(-20, 21, (3000, 4)), axis=0)
-    found = topk.DualSearch(v[::40], np.full(len(v[::40]), -1), v, [np.array([k]) for k in range(len(v))], 5)
+    found = topk.DualSearch(topk.CoverTree(v[::40]), np.full(len(v[::40]), -1), topk.CoverTree(v), [np.array([k]) for k in range(len(v))], 5)
     assert found.pruned and found.scored < 0.5 * len(v) * len(v[::40])
 
 
+def test_tree_of_the_embeddings(spark, sf):
+    """A true tree also where little can be pruned: many nodes, the share scored is reported, and the result is brute force's."""
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").filter(topk.valid("embedding")).select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("double")).alias("v")).orderBy("vec_id").collect()
+    ids, v = np.array([r["vec_id"] for r in rows]), np.array([r["v"] for r in rows])
+    tree, asks = topk.CoverTree(v), np.flatnonzero(ids % 50 == 0)
+    assert len(tree.centre) > 1
+    found = topk.DualSearch(topk.CoverTree(v[asks]), ids[asks], topk.CoverTree.load(tree.dump()), [ids[k : k + 1] for k in range(len(ids))], 5)
+    print(f"nodes {len(tree.centre)}, scored {found.scored / (len(asks) * len(ids)):.3f}, pruned {found.pruned}")
+    got = sorted((int(ids[q]), n + 1, int(found.top_id[k, n]), int(found.top_score[k, n])) for k, q in enumerate(asks) for n in range(5))
+    assert got == brute_top(list(zip(ids.tolist(), v.tolist(), strict=True)), 5)
+
+
+def test_scores_beyond_doubles(spark):
+    """Integer scores above 2^53 and 2^62, beyond a long, and negative."""
+    rows = [(0, [3e9, 1.0]), (1, [3e9, 1.0]), (2, [3e9, 2.0]), (3, [-3e9, 5.0]), (4, [2.0**52 - 1, -1.0]), (50, [2.0**40, 3.0]), (5, [2.0**40, 7.0]), (6, [2.0**40, 8.0]), (7, [1e200, 0.0]), (8, [-1e200, 0.0])]
+    got = [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, 9).collect()]
+    got += [tuple(r) for r in topk.top_k(spark.createDataFrame([(k, [1e200 * k, 1.0]) for k in range(1, 80)], "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, 2).collect()]
+    assert got[-2:] == [(50, 1, 1, 2**63 - 1), (50, 2, 2, 2**63 - 1)]
+    got = got[:-2]
+    cut = lambda x: min(max(x, -(2**63) + 1), 2**63 - 1)
+    want = []
+    for q, v in rows:
+        if q % 50 == 0:
+            scored = sorted((-cut(sum(int(a) * int(b) for a, b in zip(v, w, strict=True))), i) for i, w in rows if i != q)
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
+    assert sorted(got) == sorted(want)
+
+
+def test_several_blocks_and_groups(spark, monkeypatch):
+    for name, value in (("REFERENCES", 40), ("QUERIES", 3), ("GROUP", 2)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(6)
+    rows = [(k, [float(x) for x in rng.integers(-9, 10, 5 if k % 3 else 6)]) for k in range(900)]
+    got = sorted(tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, 5).collect())
+    assert got == brute_top(rows, 5)
+
+
 def test_cover_tree_invariants():
     rng = np.random.default_rng(0)
     tree = topk.CoverTree(rng.random((500, 3)) * 100)
