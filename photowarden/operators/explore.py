@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from photowarden.sources.store import materialized
+
 NUMBERED = "_row"
 #: Other names under which a flat column may be asked for.
 ALIASES = {"edge_detection.edge_density": "edge_detection.density", "edge_detection.edge_count": "edge_detection.count", "edge_detection.temporal_edge_change": "edge_detection.change", "temporal_coherence.coherence_score": "temporal_coherence.score"}
@@ -44,8 +46,19 @@ def search_fields(df: DataFrame, text: str) -> list[str]:
 
 
 def numbered(rows: DataFrame, order: str, by: list[str] | None = None) -> DataFrame:
-    w = Window.partitionBy(*(by or [F.lit(1)])).orderBy(order)
-    return rows.withColumn(NUMBERED, F.row_number().over(w) - 1)
+    """Adds the row's number from 0 in the order, of its group or of all rows.
+
+    Of all rows: they are sorted over all partitions and written, and each partition's rows begin where those before it
+    end; only the partitions' counts meet in one place.
+    """
+    if by:
+        return rows.withColumn(NUMBERED, F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1)
+    placed = materialized(rows.orderBy(order).withColumn("_place", F.monotonically_increasing_id()))
+    part = F.shiftright("_place", 33).cast("int")  # fixed by that function: 31 bits of partition, 33 of row
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(counts.select("_part", before.alias("_start")))  # one row a partition
+    return placed.withColumn("_part", part).join(starts, "_part").withColumn(NUMBERED, (F.col("_start") + (F.col("_place").bitwiseAND((1 << 33) - 1))).cast("long")).drop("_part", "_place", "_start")
 
 
 def zoom(rows: DataFrame, center: int, width: int = 40) -> DataFrame:

@@ -1,16 +1,20 @@
 """Flashes, clusters and violation windows.
 
-Everything is keyed by video: one exchange and one sort serve all windows, and a fold (an `aggregate` over a video's
-sorted frames, inside Catalyst) runs the window state machine, which no associative aggregate can.
+Everything is keyed by video: one exchange and one sort serve all windows. The window state machine, which no associative
+aggregate can run, goes over a video's narrow rows in an Arrow group, from window to window and not from frame to frame.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from photowarden.functions.scalar import clean_unit
 from photowarden.operators.windows import by_frame, within_seconds
+from photowarden.runtime import ship
 
 
 
@@ -82,7 +86,30 @@ def rolling_flashes(flagged: DataFrame, seconds: float = 1.0, allowed: int = 3)
 
 
 _WINDOW = "struct<start_time:double,start_frame:int,end_frame:int,frame_count:int,flash_count:int,closed_at:double>"
-_STATE = f"struct<ws:double,wf:int,k:int,last:double,frames:int,done:array<{_WINDOW}>>"
+_STATE = f"first double, ws double, wf int, k int, last double, frames int, done array<{_WINDOW}>"
+
+
+def closed_windows(frame: np.ndarray, ts: np.ndarray, is_flash: np.ndarray, length: float) -> tuple[list[dict], tuple | None]:
+    """Closed windows of a video's frames in order, and time, frame and flashes of the one left open."""
+    starts, flashes = np.flatnonzero(is_flash), np.concatenate(([0], np.cumsum(is_flash)))
+    sorted_times = bool((np.diff(ts) >= 0).all())
+    done, at = [], 0
+    while (nth := int(np.searchsorted(starts, at))) < len(starts):
+        opens = int(starts[nth])
+        until = ts[opens] + length
+        if sorted_times:
+            closes = int(np.searchsorted(ts, until))
+        else:
+            later = np.flatnonzero(ts[opens:] >= until)
+            closes = opens + int(later[0]) if len(later) else len(ts)
+        if closes >= len(ts):
+            return done, (float(ts[opens]), int(frame[opens]), int(flashes[-1] - flashes[opens]))
+        done.append({
+            "start_time": float(ts[opens]), "start_frame": int(frame[opens]), "end_frame": int(frame[closes]) - 1, "frame_count": int(frame[closes] - frame[opens]),
+            "flash_count": int(flashes[closes + 1] - flashes[opens]), "closed_at": float(ts[closes]),
+        })
+        at = closes + 1
+    return done, None
 
 
 def violation_windows(flagged: DataFrame, allowed: int = 3, length: float = 1.0) -> DataFrame:
@@ -90,25 +117,22 @@ def violation_windows(flagged: DataFrame, allowed: int = 3, length: float = 1.0)
 
     A window opens at the first flash outside of a window and closes at the first frame, flash or not, that is `length`
     or more later; a flash on that frame counts, and opens no window. Returns one row a video: first, last (times),
-    frames, ws, wf, k (the open window, null if none) and done (closed windows).
+    frames, ws, wf, k (the open window, null if none) and done (closed windows). A task holds the numbers of one video.
     """
-    frames = flagged.groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct("frame_idx", "ts", "is_flash"))).alias("f"))
-    none = F.lit(None).cast("double")
-    start = F.struct(none.alias("ws"), F.lit(None).cast("int").alias("wf"), F.lit(0).alias("k"), none.alias("last"), F.lit(0).alias("frames"), F.array().cast(f"array<{_WINDOW}>").alias("done")).cast(_STATE)
+    ship()
+    rows = flagged.select("video_id", "frame_idx", F.col("ts").cast("double").alias("ts"), "is_flash")
+    schema = f"video_id {dict(rows.dtypes)['video_id']}, {_STATE}"
+    kinds = to_arrow_schema(flagged.sparkSession.createDataFrame([], schema).schema)
 
-    def step(s, x):
-        opens = x["is_flash"] & s["ws"].isNull()
-        ws, wf = F.when(opens, x["ts"]).otherwise(s["ws"]), F.when(opens, x["frame_idx"]).otherwise(s["wf"])
-        k = s["k"] + x["is_flash"].cast("int")
-        closes = F.coalesce(x["ts"] >= ws + length, F.lit(False))
-        item = F.struct(ws.alias("start_time"), wf.alias("start_frame"), (x["frame_idx"] - 1).alias("end_frame"), (x["frame_idx"] - wf).alias("frame_count"), k.alias("flash_count"), x["ts"].alias("closed_at"))
-        return F.struct(
-            F.when(closes, none).otherwise(ws).alias("ws"), F.when(closes, F.lit(None).cast("int")).otherwise(wf).alias("wf"), F.when(closes, 0).otherwise(k).alias("k"),
-            x["ts"].alias("last"), (s["frames"] + 1).alias("frames"), F.when(closes, F.concat(s["done"], F.array(item))).otherwise(s["done"]).alias("done"),
-        ).cast(_STATE)
+    def run(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("frame_idx").to_numpy(), kind="stable")
+        frame, ts, is_flash = (table.column(c).to_numpy()[order] for c in ("frame_idx", "ts", "is_flash"))
+        done, left = closed_windows(frame, ts, is_flash.astype(bool), length)
+        ws, wf, k = left or (None, None, 0)
+        row = {"video_id": table.column("video_id")[0].as_py(), "first": float(ts[0]), "ws": ws, "wf": wf, "k": k, "last": float(ts[-1]), "frames": len(ts), "done": done}
+        return pa.Table.from_pylist([row], schema=kinds)
 
-    folded = frames.select("video_id", F.col("f")[0]["ts"].alias("first"), F.aggregate("f", start, step).alias("s"))
-    return folded.select("video_id", "first", "s.*")
+    return rows.groupBy("video_id").applyInArrow(run, schema)
 
 
 def violations(flagged: DataFrame, allowed: int = 3, length: float = 1.0, compat: bool = False) -> DataFrame:
@@ -145,17 +169,19 @@ def violation_statistics(flagged: DataFrame, allowed: int = 3, length: float = 1
 def associated_clusters(flagged: DataFrame, gap: float = 0.3, allowed: int = 3, length: float = 1.0) -> DataFrame:
     """Violations with the clusters that overlap them, as known when the window closed.
 
-    Flashes up to the closing frame are joined to windows by video and cut; the cluster that was open then ends at its
-    last flash so far. The join key is the video, so a window meets its own video's clusters only.
+    A cluster overlaps if it began before the window's end and has a flash after its start, up to the closing frame.
+    Windows of a video don't overlap, so each flash looks back to the last window that began before it: windows and
+    flashes are put in one order, and nothing is joined by range.
     """
-    found = violations(flagged, allowed, length).select("video_id", "start_frame", "start_time", "end_time", "closed_at")
+    found = violations(flagged, allowed, length)
     new = F.coalesce((F.col("ts") - F.lag("ts").over(by_frame()) > gap).cast("int"), F.lit(1))
-    flashes = flagged.filter("is_flash").withColumn("_new", new).withColumn("cluster_id", F.sum("_new").over(by_frame()).cast("int")).select("video_id", "cluster_id", "ts")
-    spans = flashes.groupBy("video_id", "cluster_id").agg(F.sort_array(F.collect_list("ts")).alias("times"))
-    pairs = found.join(spans, "video_id")
-    known = F.filter("times", lambda t: t <= F.col("closed_at"))
-    cut = pairs.withColumn("times", known).filter(F.size("times") > 0).withColumns({"c_start": F.element_at("times", 1), "c_end": F.element_at("times", -1)})
-    cut = cut.filter((F.col("c_end") > F.col("start_time")) & (F.col("c_start") < F.col("end_time")))
-    return cut.select(
-        "video_id", "start_frame", "cluster_id", F.size("times").cast("long").alias("count"), F.greatest("c_start", "start_time").alias("overlap_start"), F.least("c_end", "end_time").alias("overlap_end")
-    )
+    flashes = flagged.filter("is_flash").withColumn("_new", new).withColumn("cluster_id", F.sum("_new").over(by_frame()).cast("int"))
+    of_cluster = Window.partitionBy("video_id", "cluster_id").orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, 0)
+    flashes = flashes.withColumns({"c_start": F.min("ts").over(of_cluster), "nth": F.count("*").over(of_cluster)})
+    window = F.struct("start_frame", "start_time", "end_time", "closed_at")
+    events = flashes.select("video_id", F.col("ts").alias("at"), F.lit(0).alias("kind"), F.struct("cluster_id", "ts", "c_start", "nth").alias("flash"), F.lit(None).cast("struct<start_frame:int,start_time:double,end_time:double,closed_at:double>").alias("w"))
+    events = events.unionByName(found.select("video_id", F.col("start_time").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(events.schema["flash"].dataType).alias("flash"), window.alias("w")))
+    so_far = Window.partitionBy("video_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    met = events.withColumn("w", F.last("w", ignorenulls=True).over(so_far)).filter((F.col("kind") == 0) & (F.col("flash.ts") <= F.col("w.closed_at")) & (F.col("flash.c_start") < F.col("w.end_time")))
+    met = met.groupBy("video_id", "w", F.col("flash.cluster_id").alias("cluster_id")).agg(F.max("flash.nth").alias("count"), F.min("flash.c_start").alias("c_start"), F.max("flash.ts").alias("c_end"))
+    return met.select("video_id", "w.start_frame", "cluster_id", "count", F.greatest("c_start", "w.start_time").alias("overlap_start"), F.least("c_end", "w.end_time").alias("overlap_end"))

@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from photowarden.functions.color import LUMA
-from photowarden.functions.scalar import NEAR_HALF
 from photowarden.operators.windows import by_frame
+from photowarden.runtime import ship
 
 _V = np.arange(256) / 255.0
 LINEAR = np.where(_V > 0.04045, ((_V + 0.055) / 1.055) ** 2.4, _V / 12.92)
@@ -28,12 +28,23 @@ class Raster:
     """A frame's channels as (height, width) arrays, with planes that several kernels need computed once."""
 
     def __init__(self, width: int, height: int, rgba: bytes):
-        planes = np.ascontiguousarray(np.frombuffer(rgba, np.uint8)[: width * height * 4].reshape(-1, 4).T)
-        self.r, self.g, self.b, self.a = planes.reshape(4, height, width)
-        self.width, self.height = width, height
+        self._pixels = np.frombuffer(rgba, np.uint8)[: width * height * 4].reshape(-1, 4)
+        self._planes: list[np.ndarray | None] = [None] * 4
+        self.width, self.height, self.size = width, height, width * height
         self._luma: np.ndarray | None = None
         self._opaque: bool | None = None
 
+    def _plane(self, k: int) -> np.ndarray:
+        got = self._planes[k]
+        if got is None:
+            got = self._planes[k] = np.ascontiguousarray(self._pixels[:, k]).reshape(self.height, self.width)
+        return got
+
+    r = property(lambda self: self._plane(0))
+    g = property(lambda self: self._plane(1))
+    b = property(lambda self: self._plane(2))
+    a = property(lambda self: self._plane(3))
+
     @property
     def opaque(self) -> bool:
         """No pixel is transparent: masks can be left out."""
@@ -49,6 +60,12 @@ class Raster:
             self._luma += np.take(_WEIGHTED[2], self.b)
         return self._luma
 
+    def mean_luma(self) -> float:
+        """By the plane if it is there, else by the counts of the channels' values."""
+        if self._luma is not None:
+            return float(self._luma.mean())
+        return sum(float(np.bincount(c.ravel(), minlength=256) @ w) for c, w in zip((self.r, self.g, self.b), _WEIGHTED, strict=True)) / self.size
+
 
 def sobel(gray: np.ndarray) -> np.ndarray:
     """Gradient magnitude; zero on the border."""
@@ -64,7 +81,7 @@ def sobel(gray: np.ndarray) -> np.ndarray:
 
 
 def brightness(f: Raster) -> float:
-    return float(f.luma.mean()) if f.luma.size else 0.0
+    return f.mean_luma() if f.size else 0.0
 
 
 def coverage(f: Raster, threshold: float = 0.5) -> float:
@@ -72,13 +89,13 @@ def coverage(f: Raster, threshold: float = 0.5) -> float:
 
 
 def red_intensity(f: Raster) -> float:
-    return float(f.r.mean() / 255) if f.r.size else 0.0
+    return int(np.add.reduce(f.r, axis=None, dtype=np.uint64)) / f.size / 255 if f.size else 0.0
 
 
 def dominant(f: Raster) -> tuple[float, float, float]:
     """Mean colour of the pixels that aren't transparent."""
     if f.opaque and f.a.size:
-        return tuple(float(c.mean()) for c in (f.r, f.g, f.b))
+        return tuple(int(np.add.reduce(c, axis=None, dtype=np.uint64)) / f.size for c in (f.r, f.g, f.b))
     seen = f.a != 0
     n = int(seen.sum())
     return tuple(float(c[seen].sum() / n) if n else 0.0 for c in (f.r, f.g, f.b))
@@ -174,7 +191,7 @@ def lab_plane(f: Raster) -> np.ndarray:
 
 def contrast(labs: np.ndarray, threshold: float = 2.3, window: int = 50, decay: float = 0.1, sample: bool = False, weights: np.ndarray | None = None) -> dict:
     """Colour differences of consecutive Lab columns; weights: of the differences, instead of index decay."""
-    half = lambda x, p: float(np.floor(x * 10**p + (0.5 + NEAR_HALF)) / 10**p)
+    half = lambda x, p: float(np.floor(x * 10**p + 0.5) / 10**p)
     if labs.shape[1] < 2:
         return dict.fromkeys(CONTRAST, 0.0) | {"significant_changes": 0, "total_samples": int(labs.shape[1]), "window_size": window, "weight_decay": decay}
     d = np.sqrt(((labs[:, 1:] - labs[:, :-1]) ** 2).sum(0))
@@ -233,6 +250,7 @@ def frame_metrics(frames: DataFrame, metrics: list[str], with_difference: bool =
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import _parse_datatype_string
 
+    ship()
     kinds = {m: kernel_type(m) for m in metrics}
     arrow = {m: to_arrow_type(_parse_datatype_string(k)) for m, k in kinds.items()}
     plan = [(m, KERNELS[m][0], KERNELS[m][2]) for m in metrics]

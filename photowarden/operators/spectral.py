@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from photowarden.functions.scalar import clean_unit
 from photowarden.operators.windows import last_rows
+from photowarden.runtime import ship
 
 SIZE, LEAST, LOW, HIGH = 64, 64, 3.0, 50.0
 
@@ -46,29 +46,43 @@ def flatness(amplitude: np.ndarray, low: int | None = None, high: int | None = N
     return float(np.exp(np.log(p + eps).mean()) / mean) if mean else 0.0
 
 
-def spectrum(values: np.ndarray, fs: float = 60.0) -> dict:
-    """Windowed spectrum of one signal: amplitude and phase by bin, dominant bin in 3..50 Hz, confidence in dB."""
-    n = len(values)
+def spectra_of(values: np.ndarray, fs: float = 60.0) -> dict[str, np.ndarray]:
+    """Windowed spectra of equally long signals (a row each): amplitude and phase by bin, dominant bin in 3..50 Hz,
+    flatness of that band, confidence in dB. Lengths that are no power of two are padded with zeros."""
+    rows, n = values.shape
     h = hann(n)
-    z = padded_fft((values - np.median(values)) * h)
-    m = len(z)
-    half = z[: m // 2]
+    m = max(2, 1 << (n - 1).bit_length())
+    if m > 4096 or not np.isfinite(values).all():
+        raise ValueError("signals must be finite and of at most 4096 values")
+    half = np.fft.rfft((values - np.median(values, axis=1, keepdims=True)) * h, m)[:, : m // 2]
     amplitude = np.abs(half) * (2 / h.sum() if h.sum() > 0 else 0.0)
-    amplitude[0] /= 2
+    amplitude[:, 0] /= 2
     low, high = max(1, int(np.floor(LOW * m / fs))), min(m // 2 - 1, int(np.ceil(HIGH * m / fs)))
-    band = amplitude[low : high + 1]
-    k = low + int(band.argmax()) if len(band) and band.max() > 0 else 0
-    confidence = 0.0
-    if k:
-        near = [amplitude[i] for i in range(max(low, k - 4), min(high, k + 4) + 1) if i != k]
-        if near:
-            confidence = 10 * np.log10(amplitude[k] ** 2 / max(float(np.mean(np.square(near))), 1e-12))
+    power = amplitude[:, low : high + 1] ** 2
+    if not power.shape[1]:
+        k, flat, confidence = np.zeros(rows, np.int64), np.zeros(rows), np.zeros(rows)
+    else:
+        k = np.where(power.max(1) > 0, low + power.argmax(1), 0)
+        eps = np.maximum(1e-20, 1e-12 * power.max(1, keepdims=True))
+        mean = power.mean(1)
+        flat = np.divide(np.exp(np.log(power + eps).mean(1)), mean, out=np.zeros(rows), where=mean > 0)
+        sums = np.concatenate((np.zeros((rows, 1)), np.cumsum(power, axis=1)), axis=1)
+        first, last, at = np.clip(k - 4 - low, 0, None), np.clip(k + 5 - low, 0, power.shape[1]), np.clip(k - low, 0, None)
+        every = np.arange(rows)
+        top, near = power[every, at], last - first - 1
+        noise = np.divide(sums[every, last] - sums[every, first] - top, near, out=np.zeros(rows), where=near > 0)
+        confidence = np.where((k > 0) & (near > 0), 10 * np.log10(np.maximum(top, 1e-300) / np.maximum(noise, 1e-12)), 0.0)
     return {
-        "bin": k, "dominant_frequency": k * fs / m if k else 0.0, "amplitude": amplitude, "phase": np.angle(half), "flatness": flatness(amplitude, low, high),
-        "confidence": float(confidence), "bin_resolution": fs / m, "window_size": n,
+        "bin": k, "dominant_frequency": k * fs / m, "amplitude": amplitude, "phase": np.angle(half), "flatness": flat, "confidence": confidence,
+        "bin_resolution": np.full(rows, fs / m), "window_size": np.full(rows, n),
     }
 
 
+def spectrum(values: np.ndarray, fs: float = 60.0) -> dict:
+    """spectra_of one signal."""
+    return {c: v[0] for c, v in spectra_of(values[None], fs).items()}
+
+
 _TYPE = "dominant_frequency double, dominant_inst_freq double, spectral_flatness double, confidence double, bin_resolution double, window_size int, amplitude array<double>, phase array<double>"
 
 
@@ -76,25 +90,34 @@ def spectrum_of(values: Column, fs: float = 60.0, size: int = SIZE) -> Column:
     """Struct of the spectrum of the last `size` values of an array of up to size + 1; empty until there are enough.
 
     The instantaneous frequency of a bin is its centre plus what its phase moved beyond the expected advance since the
-    window one value earlier; both windows are in the array, so no state is kept.
+    window one value earlier; both windows are in the array, so no state is kept. A batch is transformed at once.
     """
     names = [c.split(" ")[0] for c in _TYPE.split(", ")]
-
-    @F.pandas_udf(_TYPE)
-    def run(arrays: pd.Series) -> pd.DataFrame:
-        rows = []
-        for v in arrays:
-            if len(v[-size:]) < LEAST:
-                rows.append((0.0, 0.0, 0.0, 0.0, 0.0, len(v), [], []))
-                continue
-            now = spectrum(v[-size:], fs)
-            k = now["bin"]
-            inst = k * fs / size
-            if k and len(v) > size:
-                moved = now["phase"][k] - spectrum(v[:size], fs)["phase"][k] - 2 * np.pi * k / size
-                inst += ((moved + np.pi) % (2 * np.pi) - np.pi) * fs / (2 * np.pi)
-            rows.append((now["dominant_frequency"], float(inst), now["flatness"], now["confidence"], now["bin_resolution"], size, now["amplitude"], now["phase"]))
-        return pd.DataFrame(rows, columns=names)
+    ship()
+
+    @F.arrow_udf(_TYPE)
+    def run(arrays: pa.Array) -> pa.Array:
+        sizes = np.diff(arrays.offsets.to_numpy())
+        flat, ends = arrays.flatten().to_numpy(), np.cumsum(sizes)
+        full = np.flatnonzero(np.minimum(sizes, size) >= LEAST)
+        window = ends[full][:, None] - size + np.arange(size)
+        now = spectra_of(flat[window], fs) if len(full) else None
+        out = {c: np.zeros(len(sizes)) for c in names[:5]}
+        if now is not None:
+            k, every = now["bin"], np.arange(len(full))
+            longer = np.flatnonzero((sizes[full] > size) & (k > 0))
+            move = np.zeros(len(full))
+            if len(longer):
+                before = spectra_of(flat[window[longer] - 1], fs)
+                moved = now["phase"][longer, k[longer]] - before["phase"][np.arange(len(longer)), k[longer]] - 2 * np.pi * k[longer] / size
+                move[longer] = ((moved + np.pi) % (2 * np.pi) - np.pi) * fs / (2 * np.pi)
+            for c, v in zip(names[:5], (now["dominant_frequency"], k * fs / size + move, now["flatness"], now["confidence"], now["bin_resolution"]), strict=True):
+                out[c][full[every]] = v
+        held = np.zeros(len(sizes), np.int64)
+        held[full] = size // 2
+        offsets = pa.array(np.concatenate(([0], np.cumsum(held))), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(now[c].ravel() if now is not None else np.zeros(0))) for c in ("amplitude", "phase")]
+        return pa.StructArray.from_arrays([*(pa.array(out[c]) for c in names[:5]), pa.array(np.minimum(sizes, size), pa.int32()), *lists], names)
 
     return run(values)
 
@@ -108,11 +131,19 @@ def spectra(signal: DataFrame, fs: float = 60.0, size: int = SIZE) -> DataFrame:
 
 def vector_spectra(rows: DataFrame, values: Column, key: str, fs: float = 60.0) -> DataFrame:
     """Spectrum of one array a row: key, dominant_frequency, spectral_flatness, confidence."""
+    ship()
     only = rows.select(key, values.alias("v"))
 
     def run(batches):
         for batch in batches:
-            found = [spectrum(np.array(v), fs) for v in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([float(f[c]) for f in found]) for c in ("dominant_frequency", "flatness", "confidence"))], [key, "dominant_frequency", "spectral_flatness", "confidence"])
+            lists = batch.column(1)
+            sizes = np.diff(lists.offsets.to_numpy())
+            flat, ends = lists.flatten().to_numpy(), np.cumsum(sizes)
+            out = np.zeros((3, len(sizes)))
+            for n in np.unique(sizes[sizes > 0]).tolist():
+                some = np.flatnonzero(sizes == n)
+                found = spectra_of(flat[(ends - sizes)[some][:, None] + np.arange(n)], fs)
+                out[:, some] = [found[c] for c in ("dominant_frequency", "flatness", "confidence")]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out)], [key, "dominant_frequency", "spectral_flatness", "confidence"])
 
     return only.mapInArrow(run, f"{key} {only.dtypes[0][1]}, dominant_frequency double, spectral_flatness double, confidence double")

@@ -6,12 +6,14 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from photowarden.functions.color import cie76, red_area_fraction, rgb_to_lab
 from photowarden.functions.scalar import clean_unit, half_up
 from photowarden.operators.windows import by_frame, last_rows, so_far, within_seconds
+from photowarden.runtime import ship
 
 
 def delta(column: str) -> Column:
@@ -58,21 +60,45 @@ def temporal_contrast(signal: DataFrame, frames: int = 15, compat: bool = False)
     return rows.withColumn("max_rate", F.max("current_rate").over(so_far())).drop("_b", "_rate")
 
 
+def coherence_of(values: np.ndarray, max_lag: int = 10) -> np.ndarray:
+    """Autocorrelation at lags 1.. of each row of equally long windows (rows by values); a constant's variance is 1e-8."""
+    n = values.shape[1]
+    x = values - values.mean(1, keepdims=True)
+    variance = (x * x).mean(1)
+    variance = np.where(variance == 0, 1e-8, variance)
+    lags = range(1, min(max_lag, n - 1) + 1)
+    return np.stack([(x[:, : n - k] * x[:, k:]).sum(1) / ((n - k) * variance) for k in lags], 1) if n >= 2 else np.zeros((len(x), 0))
+
+
+_COHERENCE = "coherence_score double, lags array<struct<lag:int,correlation:double>>"
+
+
 def coherence(signal: DataFrame, window: int = 30, max_lag: int = 10) -> DataFrame:
-    """Adds coherence_score, the mean absolute autocorrelation of the last values, and lags (lag, correlation)."""
-    rows = signal.withColumn("_v", F.collect_list(clean_unit(F.col("brightness"))).over(last_rows(window)))
-    n = F.size("_v")
-    rows = rows.withColumn("_m", F.aggregate("_v", F.lit(0.0), lambda s, x: s + x) / n)
-    variance = F.aggregate("_v", F.lit(0.0), lambda s, x: s + (x - F.col("_m")) * (x - F.col("_m"))) / n
-    rows = rows.withColumn("_s", F.when(variance == 0, 1e-8).otherwise(variance))
-    product = lambda lag: F.aggregate(
-        F.zip_with(F.slice("_v", F.lit(1), n - lag), F.slice("_v", lag + 1, n - lag), lambda a, b: (a - F.col("_m")) * (b - F.col("_m"))), F.lit(0.0), lambda s, x: s + x
-    )
-    lag = F.struct
-    lags = F.when(n >= 2, F.transform(F.sequence(F.lit(1), F.greatest(F.least(F.lit(max_lag), n - 1), F.lit(1))), lambda k: lag(k.alias("lag"), (product(k) / ((n - k) * F.col("_s"))).alias("correlation"))))
-    rows = rows.withColumn("lags", F.coalesce(lags, F.array().cast("array<struct<lag:int,correlation:double>>")))
-    score = F.when(F.size("lags") > 0, F.aggregate("lags", F.lit(0.0), lambda s, x: s + F.abs(x["correlation"])) / F.size("lags")).otherwise(0.0)
-    return rows.withColumn("coherence_score", score).drop("_v", "_m", "_s")
+    """Adds coherence_score, the mean absolute autocorrelation of the last values, and lags (lag, correlation).
+
+    The windows of a batch go through numpy together, by length.
+    """
+
+    @F.arrow_udf(_COHERENCE)
+    def run(windows: pa.Array) -> pa.Array:
+        sizes = np.diff(windows.offsets.to_numpy())
+        flat, first = windows.flatten().to_numpy(), np.cumsum(sizes) - sizes
+        n_lags = np.clip(sizes - 1, 0, max_lag)
+        ends = np.cumsum(n_lags)
+        score, found = np.zeros(len(sizes)), np.empty(int(n_lags.sum()))
+        for n in np.unique(sizes[sizes >= 2]).tolist():
+            rows = np.flatnonzero(sizes == n)
+            got = coherence_of(flat[first[rows][:, None] + np.arange(n)], max_lag)
+            score[rows] = np.abs(got).mean(1)
+            found[(ends - n_lags)[rows][:, None] + np.arange(got.shape[1])] = got
+        number = np.arange(len(found)) - np.repeat(ends - n_lags, n_lags) + 1
+        pairs = pa.StructArray.from_arrays([pa.array(number, pa.int32()), pa.array(found)], ["lag", "correlation"])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pairs)
+        return pa.StructArray.from_arrays([pa.array(score), lists], ["coherence_score", "lags"])
+
+    ship()
+    rows = signal.withColumn("_c", run(F.collect_list(clean_unit(F.col("brightness"))).over(last_rows(window))))
+    return rows.withColumns({"coherence_score": F.col("_c.coherence_score"), "lags": F.col("_c.lags")}).drop("_c")
 
 
 def highest_peak(values: np.ndarray, min_lag: int = 2, threshold: float = 0.25) -> tuple[bool, int, float]:
@@ -82,22 +108,33 @@ def highest_peak(values: np.ndarray, min_lag: int = 2, threshold: float = 0.25)
         return False, 0, 0.0
     x = np.where(np.isfinite(values), values, 0.0)
     x = x - x.mean()
-    lags = range(min_lag, n // 2)
-    corr = []
-    for k in lags:
-        a, b = x[: n - k], x[k:]
-        norm = np.sqrt((a * a).sum() * (b * b).sum())
-        corr.append((a * b).sum() / norm if norm > 0 else 0.0)
-    peaks = [(corr[i], -lags[i]) for i in range(1, len(corr) - 1) if corr[i] > corr[i - 1] and corr[i] > corr[i + 1]]
-    if not peaks or max(peaks)[0] <= threshold:
+    lags = np.arange(min_lag, n // 2)
+    if len(lags) < 3:
+        return False, 0, 0.0
+    wide = 1 << (2 * n - 1).bit_length()
+    spectrum = np.fft.rfft(x, wide)
+    products = np.fft.irfft(spectrum * spectrum.conj(), wide)[lags]
+    squares = np.concatenate(([0.0], np.cumsum(x * x)))
+    norm = np.sqrt(squares[n - lags] * (squares[n] - squares[lags]))
+    corr = np.divide(products, norm, out=np.zeros(len(lags)), where=norm > 0)
+    peaks = np.flatnonzero((corr[1:-1] > corr[:-2]) & (corr[1:-1] > corr[2:])) + 1
+    if not len(peaks):
         return False, 0, 0.0
-    value, lag = max(peaks)
-    return True, -lag, float(value)
+
+    def plain(lag: int) -> float:
+        a, b = x[: n - lag], x[lag:]
+        return float((a * b).sum() / np.sqrt((a * a).sum() * (b * b).sum()))
+
+    highest = peaks[corr[peaks] >= corr[peaks].max() - 1e-9]  # told apart by plain sums
+    best, lag = max((plain(k), -k) for k in lags[highest].tolist())
+    return (True, -lag, best) if best > threshold else (False, 0, 0.0)
 
 
 def periodicity(values: Column, min_lag: int = 2, threshold: float = 0.25) -> Column:
     """struct<is_periodic, period, confidence> of an array of doubles, computed in Arrow batches."""
 
+    ship()
+
     @F.pandas_udf("is_periodic boolean, period int, confidence double")
     def run(arrays: pd.Series) -> pd.DataFrame:
         found = [highest_peak(np.array([np.nan if x is None else x for x in a], float), min_lag, threshold) for a in arrays]

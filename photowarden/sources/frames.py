@@ -6,10 +6,14 @@ table has video_id, frame_idx, ts and brightness (0..1).
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from photowarden.runtime import ship
+
 FRAMES = T.StructType([
     T.StructField("video_id", T.StringType()), T.StructField("frame_idx", T.IntegerType()), T.StructField("ts", T.DoubleType()),
     T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("rgba", T.BinaryType()),
@@ -23,16 +27,30 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FRAMES).parquet(path)
 
 
+def rgba_of(data: np.ndarray, channels: int) -> bytes:
+    """Opaque RGBA bytes of an image's grey, BGR or BGRA bytes."""
+    px = data.reshape(-1, channels)
+    out = np.full((len(px), 4), 255, np.uint8)
+    out[:, :3] = px if channels == 1 else px[:, 2::-1]
+    if channels == 4:
+        out[:, 3] = px[:, 3]
+    return out.tobytes()
+
+
 def read_images(spark: SparkSession, path: str, fps: float = 30.0) -> DataFrame:
-    """Decoded image files named <video>/<frame>.<ext> as frames; the image source gives BGR rows, top first."""
-    images = spark.read.format("image").load(path).select("image.*")
+    """Decoded image files named <video>/<frame>.<ext> as frames; the image source gives grey or BGR(A) rows, top first."""
+    ship()
+    images = spark.read.format("image").load(path).select("image.*").filter("height > 0 and width > 0")
     name = F.split("origin", "/")
     stem = F.regexp_extract(F.element_at(name, -1), r"(\d+)", 1).cast("int")
-    pixel = F.transform(
-        F.sequence(F.lit(0), F.col("width") * F.col("height") - 1),
-        lambda i: F.concat(*(F.substring(F.hex("data"), (i * F.col("nChannels") + c) * 2 + 1, F.lit(2)) for c in (2, 1, 0)), F.lit("FF")),
-    )
-    return images.select(F.element_at(name, -2).alias("video_id"), stem.alias("frame_idx"), (stem / fps).alias("ts"), "width", "height", F.unhex(F.array_join(pixel, "")).alias("rgba"))
+    rows = images.select(F.element_at(name, -2).alias("video_id"), stem.alias("frame_idx"), (stem / fps).alias("ts"), "width", "height", "nChannels", "data")
+
+    def run(batches):
+        for batch in batches:
+            made = [rgba_of(np.frombuffer(d, np.uint8), n) for n, d in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(made, pa.binary())], FRAMES.names)
+
+    return rows.mapInArrow(run, FRAMES)
 
 
 def signal_from_events(events: DataFrame, unit: float = EVENT_UNIT, full_scale: float = EVENT_FULL_SCALE) -> DataFrame:
@@ -56,17 +74,32 @@ def frames_from_embeddings(embeddings: DataFrame, fps: float = 30.0) -> DataFram
     return numbered.select("video_id", "frame_idx", ((F.col("frame_idx") - 1) / fps).alias("ts"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.unhex(F.array_join(pixels, "")).alias("rgba"))
 
 
+def kept_times(ts: np.ndarray, least_gap: float) -> list[int]:
+    """Positions of sorted times that a greedy limiter keeps."""
+    kept, at = [], 0
+    while at < len(ts):
+        kept.append(at)
+        at = max(at + 1, int(np.searchsorted(ts, ts[at] + least_gap * (1 - 1e-9))))
+        while at < len(ts) and ts[at] - ts[kept[-1]] < least_gap:
+            at += 1
+    return kept
+
+
 def limit_rate(rows: DataFrame, least_gap: float = 1 / 60) -> DataFrame:
     """Greedy limiter: a row is dropped when it comes less than `least_gap` after the last row that was kept.
 
-    A fold over each video's times finds the kept ones; rows join back on their number.
+    A task finds the kept times of one video, from kept one to kept one; rows join back on their number.
     """
-    times = rows.groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct("ts", "frame_idx"))).alias("t"))
-    start = F.struct(F.lit(float("-inf")).alias("last"), F.array().cast("array<int>").alias("kept"))
-    step = lambda s, x: F.when(
-        x["ts"] - s["last"] >= least_gap, F.struct(x["ts"].alias("last"), F.concat(s["kept"], F.array(x["frame_idx"])).alias("kept"))
-    ).otherwise(s)
-    kept = times.select("video_id", F.explode(F.aggregate("t", start, step)["kept"]).alias("frame_idx"))
+    ship()
+    narrow = rows.select("video_id", "frame_idx", F.col("ts").cast("double").alias("ts"))
+    kinds = dict(narrow.dtypes)
+
+    def run(table: pa.Table) -> pa.Table:
+        ts, frame = table.column("ts").to_numpy(), table.column("frame_idx").to_numpy()
+        order = np.lexsort((frame, ts))
+        return table.select(["video_id", "frame_idx"]).take(pa.array(order[kept_times(ts[order], least_gap)]))
+
+    kept = narrow.groupBy("video_id").applyInArrow(run, f"video_id {kinds['video_id']}, frame_idx {kinds['frame_idx']}")
     return rows.join(kept, ["video_id", "frame_idx"], "left_semi")
 
 

@@ -29,8 +29,7 @@ def read_ndjson(spark: SparkSession, path: str, schema: T.StructType | None = No
     """One row a line; blank lines are skipped and a bad line fails the read."""
     lines = spark.read.text(path).select(F.rtrim(F.regexp_replace("value", "\r$", "")).alias("value")).filter(F.trim("value") != "")
     if schema is None:
-        reader = spark.read.option("mode", "FAILFAST")
-        return (reader.schema(schema) if schema else reader).json(path)
+        return spark.read.option("mode", "FAILFAST").json(path)
     return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,6 +94,21 @@ def write_json(rows: DataFrame, path: str, by: str = "video_id") -> None:
     json_documents(rows, by).select("document").write.mode("overwrite").text(path)
 
 
+def json_arrays(rows: DataFrame) -> DataFrame:
+    """value: lines of JSON arrays of the rows, one array a partition, and so a file; no partition is held in memory."""
+
+    def run(batches):
+        some = False
+        for batch in batches:
+            lines = [("," if some or k else "[") + r for k, r in enumerate(batch.column(0).to_pylist())]
+            some = some or bool(lines)
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array(["]"], pa.string())], ["value"])
+
+    return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).mapInArrow(run, "value string")
+
+
 def export_charts(rows: DataFrame, charts: list[tuple[str, list[str]]], path: str, formats: tuple[str, ...] = ("csv",)) -> DataFrame:
     """All rows of the distinct x and y columns of the charts, in the asked formats; missing is empty in CSV."""
     out = rows.select(*dict.fromkeys(c for x, ys in charts for c in (x, *ys)))
@@ -103,7 +119,7 @@ def export_charts(rows: DataFrame, charts: list[tuple[str, list[str]]], path: st
         elif f == "ndjson":
             out.write.mode("overwrite").option("ignoreNullFields", "false").json(target)
         elif f == "json":
-            out.select(F.to_json(F.struct("*")).alias("r")).agg(F.to_json(F.collect_list(F.from_json("r", out.schema))).alias("value")).write.mode("overwrite").text(target)
+            json_arrays(out).write.mode("overwrite").text(target)
         else:
             raise ValueError(f"unknown format {f}")
     return out
@@ -122,11 +138,6 @@ def export_selected(rows: DataFrame, path: str, csv: bool = True, json: bool = F
     return done
 
 
-def update_sink(send: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that hands every micro-batch on."""
-    return lambda batch, number: send(batch, number)
-
-
 def flash_alerts(send: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that hands on the flashes of every micro-batch."""
     return lambda batch, number: send(batch.filter("is_flash"), number)

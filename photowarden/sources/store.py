@@ -2,23 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local session without one gets its own."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not sc.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if getattr(sc, "_photowarden_store", None) is None:
-        sc._photowarden_store = "file://" + tempfile.mkdtemp(prefix="photowarden-")
-    return sc._photowarden_store
+from photowarden.runtime import shared_folder
 
 
 def materialized(df: DataFrame) -> DataFrame:
