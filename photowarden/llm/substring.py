@@ -92,14 +92,27 @@ def _counters(w0: np.ndarray, row: int, bits: int) -> np.ndarray:
 
 
 def _pack(values: np.ndarray) -> bytes:
-    """Sorted integers by differences, of two bytes each where those are enough."""
-    d = np.diff(values, prepend=0)
-    narrow = bool(not len(d) or d.max() < 1 << 16)
-    return bytes([narrow]) + d.astype(np.uint16 if narrow else np.uint32).tobytes()
+    """Integers as differences from the least, of as few bytes as they all need."""
+    least = int(values.min()) if len(values) else 0
+    rest = (values - least).astype("<u8")
+    wide = max(1, -(-int(rest.max()).bit_length() // 8)) if len(values) else 1
+    return bytes([wide]) + least.to_bytes(8, "little", signed=True) + rest.view(np.uint8).reshape(-1, 8)[:, :wide].tobytes()
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, np.uint16 if data[0] else np.uint32, offset=1), dtype=np.int64)
+    wide, least = data[0], int.from_bytes(data[1:9], "little", signed=True)
+    part = np.frombuffer(data, np.uint8, offset=9).reshape(-1, wide)
+    rest = np.zeros((len(part), 8), np.uint8)
+    rest[:, :wide] = part
+    return rest.view("<u8").ravel().astype(np.int64) + least
+
+
+def _pack_sorted(values: np.ndarray) -> bytes:
+    return _pack(np.diff(values, prepend=0))
+
+
+def _unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(data))
 
 
 def _by_block(block: np.ndarray):
@@ -155,7 +168,7 @@ def dedup_windows(docs: DataFrame, size: int = WINDOW, chunk_bytes: int | None =
     late = F.col("doc_id").isNull()
     order = F.when(late, F.xxhash64(F.col("text"))).otherwise(F.col("doc_id").cast("long"))
     pair = docs.select(*(F.col(f"`{c}`") for c in own), late.alias("__pw_late"), order.alias("__pw_order")).withColumn("__pw_chunk", common.spread("__pw_order", chunks)).repartition("__pw_chunk")
-    narrow = pair.select("__pw_chunk", "__pw_late", "__pw_order", F.col("text").cast("string").alias("text"))
+    # all passes read all columns, so that they share one exchange
     carried = pair.select(*(F.col(f"`{c}`") for c in own if c != "text"), F.col("text").cast("string").alias("text"), "__pw_chunk", "__pw_late", "__pw_order")
 
     def sketch(table: pa.Table) -> pa.Table:
@@ -164,16 +177,16 @@ def dedup_windows(docs: DataFrame, size: int = WINDOW, chunk_bytes: int | None =
         for row in (0, 1):
             values, n = np.unique(_counters(w, row, bits), return_counts=True)
             for b, part in _by_block(values >> block_bits):
-                rows.append((row, b, chunk, _pack(values[part] - (b << block_bits)), np.packbits(n[part] > 1).tobytes()))
+                rows.append((row, b, chunk, _pack_sorted(values[part] - (b << block_bits)), np.packbits(n[part] > 1).tobytes()))
         return _table(rows, sketch_row=pa.int32(), block=pa.int64(), __pw_chunk=pa.int64(), counters=pa.binary(), twice=pa.binary())
 
     def merge(table: pa.Table) -> pa.Table:
         once, twice = np.zeros(1 << block_bits, bool), np.zeros(1 << block_bits, bool)
         for counters, more in zip(table.column("counters"), table.column("twice"), strict=True):
-            at = _unpack(counters.as_py())
+            at = _unpack_sorted(counters.as_py())
             twice[at] |= once[at] | np.unpackbits(np.frombuffer(more.as_py(), np.uint8), count=len(at)).astype(bool)
             once[at] = True
-        said = [np.packbits(twice[_unpack(c.as_py())]).tobytes() for c in table.column("counters")]
+        said = [np.packbits(twice[_unpack_sorted(c.as_py())]).tobytes() for c in table.column("counters")]
         return pa.Table.from_arrays([table.column("__pw_chunk"), table.column("sketch_row"), table.column("block"), pa.array(said, pa.binary())], ["__pw_chunk", "sketch_row", "block", "bits"])
 
     def candidates(table: pa.Table, masks: pa.Table) -> pa.Table:
@@ -186,13 +199,14 @@ def dedup_windows(docs: DataFrame, size: int = WINDOW, chunk_bytes: int | None =
             doc, nulls, chunk = table.column("__pw_order").to_numpy(), table.column("__pw_late").to_numpy(), table.column("__pw_chunk")[0].as_py()
             for b, part in _by_block((key[:, 0] >> _U(64 - exact_log)).astype(np.int64)):
                 last = nulls[first[part]]
-                rows.append((b, chunk, key[part].tobytes(), doc[first[part]].tobytes(), np.packbits(last).tobytes() if last.any() else b""))
+                rows.append((b, chunk, key[part].tobytes(), _pack(doc[first[part]]), np.packbits(last).tobytes() if last.any() else b""))
         return _table(rows, block=pa.int64(), __pw_chunk=pa.int64(), keys=pa.binary(), docs=pa.binary(), late=pa.binary())
 
     def group(table: pa.Table) -> pa.Table:
-        sizes = [len(d) // 8 for d in table.column("docs").to_pylist()]
+        held = [_unpack(d) for d in table.column("docs").to_pylist()]
+        sizes = [len(d) for d in held]
         key = np.frombuffer(b"".join(table.column("keys").to_pylist()), _U).reshape(-1, 2)
-        doc = np.frombuffer(b"".join(table.column("docs").to_pylist()), np.int64)
+        doc = np.concatenate(held)
         last = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) if x else np.zeros(n, np.uint8) for x, n in zip(table.column("late").to_pylist(), sizes, strict=True)])
         order = np.lexsort((doc, last, key[:, 1], key[:, 0]))
         later = np.zeros(len(doc), bool)
@@ -233,10 +247,10 @@ def dedup_windows(docs: DataFrame, size: int = WINDOW, chunk_bytes: int | None =
         columns = [pa.array(left, pa.string()) if c == "text" else table.column(c) for c in own]
         return pa.Table.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(shas, pa.string())], [*own, *_NEW]).cast(out_schema)
 
-    sketches = narrow.groupBy("__pw_chunk").applyInArrow(sketch, "sketch_row int, block long, __pw_chunk long, counters binary, twice binary")
+    sketches = carried.groupBy("__pw_chunk").applyInArrow(sketch, "sketch_row int, block long, __pw_chunk long, counters binary, twice binary")
     bits_schema = "__pw_chunk long, sketch_row int, block long, bits binary"
     estimated = sketches.groupBy("sketch_row", "block").applyInArrow(merge, bits_schema)
-    found = narrow.groupBy("__pw_chunk").cogroup(estimated.groupBy("__pw_chunk")).applyInArrow(candidates, "block long, __pw_chunk long, keys binary, docs binary, late binary")
+    found = carried.groupBy("__pw_chunk").cogroup(estimated.groupBy("__pw_chunk")).applyInArrow(candidates, "block long, __pw_chunk long, keys binary, docs binary, late binary")
     exact = found.groupBy("block").applyInArrow(group, bits_schema)
     kinds = dict(carried.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in own) + ", n_words long, n_removed long, kept_sha256 string"
