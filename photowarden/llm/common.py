@@ -2,33 +2,21 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
-import zipfile
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from photowarden.runtime import shared_folder, ship
+
 #: Rows of an Arrow batch that Python works on at once; Spark bounds a batch by bytes.
 BATCH_ROWS = 256
 
 
 def prepare(spark: SparkSession) -> None:
     """Send this package to the executors, once per context. No setting of the session is touched."""
-    sc = spark.sparkContext
-    if getattr(sc, "_photowarden_shipped", None) is None:
-        top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        path = os.path.join(tempfile.mkdtemp(), "photowarden_code.zip")  # only the driver's file server reads it
-        with zipfile.ZipFile(path, "w") as z:
-            for d, _, names in os.walk(top):
-                for n in names:
-                    if n.endswith(".py"):
-                        full = os.path.join(d, n)
-                        z.write(full, os.path.relpath(full, os.path.dirname(top)))
-        sc.addPyFile(path)
-        sc._photowarden_shipped = path
+    ship(spark)
 
 
 def slices(batches, rows: int = BATCH_ROWS):
@@ -38,19 +26,6 @@ def slices(batches, rows: int = BATCH_ROWS):
             yield batch.slice(at, rows)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local session without one gets its own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found
-    sc = spark.sparkContext
-    if not sc.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if getattr(sc, "_photowarden_folder", None) is None:
-        sc._photowarden_folder = "file://" + tempfile.mkdtemp(prefix="photowarden-")
-    return sc._photowarden_folder
-
-
 def new_table(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -1,11 +1,12 @@
 """The pipeline against its stages done plainly."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from photowarden.llm import common, langid, mixing, packing
 from photowarden.llm.catalog import MIX_TARGETS
-from tests.llm.test_operators import WORD, brute_near
+from tests.llm.test_operators import WORD, awkward, brute_near
 
 
 def test_stages_and_result(spark, sf):
@@ -54,6 +55,29 @@ def test_language_without_usable_labels(spark):
         assert sorted(tuple(r) for r in got.collect()) == [r for r in rows if r[0] > 2]
 
 
+def test_a_contradicted_label_is_replaced(spark):
+    """A label that the text contradicts with a high score changes; one that it doesn't, and unlabelled texts, are predicted."""
+    en, de = ["the", "cat", "and", "with", "house", "that", "this"], ["der", "hund", "und", "mit", "haus", "dass", "diese"]
+    rng = np.random.default_rng(0)
+    text = lambda words: " ".join(rng.choice(words, 60))
+    rows = [(k, text(en if k % 2 else de), "en" if k % 2 else "de", None, 1) for k in range(200)] + [(900, text(de), "en", "x", 1), (901, text(en), None, "x", 1), (None, text(de), "de", None, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("score", F.lit(3))
+    got = {r["doc_id"]: r["lang"] for r in corpus_pipeline.language(spark, df, "").collect()}
+    assert got == {k: "en" if k % 2 else "de" for k in range(200)} | {900: "de", 901: "en", None: "de"}
+
+
+def test_stages_on_awkward_tables(spark):
+    """Nulls everywhere, repeated rows, clashing columns and empty tables pass every stage."""
+    df = awkward(spark).withColumn("n_chars", F.length("text").cast("long"))
+    for docs in (df, df.filter("false")):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            got = stage(spark, docs, "")
+            assert got.columns == list(corpus_pipeline.COLUMNS), name
+            rows = got.count()
+            assert (rows > 0) == (docs.count() > 0), name
+        assert (corpus_pipeline.pack(spark, docs, "").count() > 0) == (docs.count() > 0)
+
+
 def docs_table(rows):
     out = []
     for r in rows.values():
