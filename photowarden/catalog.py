@@ -532,11 +532,6 @@ def _spectral(spark, d):
     return spectral.vector_spectra(table(spark, d, "embeddings"), F.transform("embedding", lambda x: x.cast("double")), "vec_id")
 
 
-@query("signal_spectra")
-def _signal_spectra(spark, d):
-    return spectral.spectra(signal(spark, d)).drop("amplitude", "phase", "ts", "brightness")
-
-
 # ---- quantiles, explorer, formats ------------------------------------------------------------------------------------
 
 

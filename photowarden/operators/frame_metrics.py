@@ -311,11 +311,21 @@ def scene_change(with_histogram: DataFrame) -> DataFrame:
 
 def pixels(frames: DataFrame) -> DataFrame:
     """The exploded form, one row a pixel: for tests and ad-hoc SQL, not for production."""
-    at = lambda i, k: F.conv(F.substring(F.hex("rgba"), i * 8 + 1 + 2 * k, F.lit(2)), 16, 10).cast("int")
-    wide = F.col("width")
-    one = lambda i: F.struct(i.alias("pos"), (i % wide).alias("x"), F.floor(i / wide).cast("int").alias("y"), *(at(i, k).alias(c) for k, c in enumerate("rgba")))
-    every = F.transform(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1), one)
-    return frames.select("video_id", "frame_idx", F.inline(every))
+    ship()
+
+    def run(batches):
+        for batch in batches:
+            rasters = [np.frombuffer(x or b"", np.uint8).reshape(-1, 4).astype(np.int32) for x in batch.column(3).to_pylist()]
+            flat = np.concatenate(rasters) if rasters else np.zeros((0, 4), np.int32)
+            offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in rasters]))), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(flat[:, k]))) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists], ["video_id", "frame_idx", "width", *"rgba"])
+
+    rows = frames.select("video_id", "frame_idx", "width", "rgba")
+    head = ", ".join(f"{n} {k}" for n, k in rows.dtypes[:3])
+    lists = rows.mapInArrow(run, head + "".join(f", {c} array<int>" for c in "rgba"))
+    every = lists.select("video_id", "frame_idx", "width", F.posexplode(F.arrays_zip(*"rgba")).alias("pos", "p"))
+    return every.select("video_id", "frame_idx", "pos", (F.col("pos") % F.col("width")).alias("x"), F.floor(F.col("pos") / F.col("width")).cast("int").alias("y"), "p.*")
 
 
 def sampled_pixels(px: DataFrame, pixels_a_frame: int, sample: int = 1024) -> DataFrame:

@@ -25,6 +25,13 @@ def read_json_document(spark: SparkSession, path: str, schema: T.StructType | No
     return df
 
 
+def read_json_documents(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rows of documents {"analysis": rows} that stand one after the other in files, pretty or not, as `sinks.write_json` has
+    them: a document begins at a line that is "{" or begins with it and ends before the next such line."""
+    text = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"\n(?=\{)")).alias("value"))
+    return text.select(F.inline(F.from_json("value", T.StructType([T.StructField("analysis", T.ArrayType(schema))]))["analysis"]))
+
+
 def read_ndjson(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """One row a line; blank lines are skipped and a bad line fails the read."""
     lines = spark.read.text(path).select(F.rtrim(F.regexp_replace("value", "\r$", "")).alias("value")).filter(F.trim("value") != "")

@@ -138,6 +138,11 @@ def export_selected(rows: DataFrame, path: str, csv: bool = True, json: bool = F
     return done
 
 
+def append_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that keeps every micro-batch as Parquet under its number: one that is run again replaces itself."""
+    return lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
 def flash_alerts(send: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that hands on the flashes of every micro-batch."""
     return lambda batch, number: send(batch.filter("is_flash"), number)
