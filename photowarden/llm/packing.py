@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import zlib
 from array import array
 
@@ -31,27 +32,27 @@ END_ID = 1
 DOCS_PER_BIN = 4096
 TOKENIZER = "byte_bpe_50k.json"
 #: Pieces whose ids a worker keeps.
-MOST_KNOWN = 1 << 18
+MOST_KNOWN = 1 << 19
+# The characters that Unicode calls white space.
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_PIECE = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 class Bpe:
     """Ids of a byte-level BPE file as little-endian 32-bit bytes, made by `tokenizers` with add_special_tokens=False.
 
-    The vocabulary's pattern cuts texts into pieces that are tokenised independently of each other, so each different
-    piece is given to `tokenizers` once and kept (the tests compare whole texts). A text with a special token's string
-    in it is given to `tokenizers` whole.
+    Where white space begins a token always begins, so a run of white space with the word after it is tokenised
+    independently of the rest: each different such piece is given to `tokenizers` once and kept (the tests compare whole
+    texts). A text with a special token's string in it is given to `tokenizers` whole.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the unit of parallelism
-        import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
         self._special = [t.content for t in self._tok.get_added_tokens_decoder().values()]
-        self._pieces = regex.compile(public_tokenizers.PATTERN).findall
         self._known: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -62,7 +63,7 @@ class Bpe:
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         whole = {k for k, t in enumerate(texts) if any(s in t for s in self._special)}
-        cut = [self._pieces(t) if k not in whole else [] for k, t in enumerate(texts)]
+        cut = [_PIECE.findall(t) if k not in whole else [] for k, t in enumerate(texts)]
         new = list(set().union(*cut) - self._known.keys())
         self._known.update(zip(new, self._ids(new), strict=True))
         out = [b"".join(map(self._known.__getitem__, pieces)) for pieces in cut]
