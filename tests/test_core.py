@@ -259,3 +259,153 @@ def test_stream_equals_batch(spark, tmp_path):
     spans = {(r["video_id"], r["start_frame"], r["end_frame"], r["count"]) for r in flash.clusters(batch, 0.06).collect()}
     closed = {(r["video_id"], r["start_frame"], r["end_frame"], r["flash_count"]) for r in got if r["kind"] == "cluster"}
     assert closed <= spans and len(spans - closed) <= 2
+
+
+def test_rounding_is_plain(spark):
+    row = spark.createDataFrame([(0.4999999995, 0.5, -0.5, 1.25)], "a double, b double, c double, d double")
+    got = row.select(*(scalar.half_up(F.col(c)).alias(c) for c in "abc"), scalar.half_up(F.col("d"), 1).alias("d")).first()
+    assert tuple(got) == (0.0, 1.0, 0.0, 1.3)
+
+
+def test_kept_times_are_the_greedy_ones():
+    rng = np.random.default_rng(0)
+    for gap in (0.0, 0.1, 0.25, 1 / 3):
+        for step in (0.05, 1 / 3, 0.1):
+            ts = np.sort(rng.integers(0, 60, 80) * step)
+            want, last = [], -math.inf
+            for k, t in enumerate(ts.tolist()):
+                if t - last >= gap:
+                    want.append(k)
+                    last = t
+            assert sources.kept_times(ts, gap) == want
+
+
+def test_closed_windows_are_the_folds():
+    """Against a frame-by-frame fold, with times in order and not."""
+    rng = np.random.default_rng(1)
+    for trial in range(200):
+        n = int(rng.integers(1, 60))
+        ts = rng.integers(0, 40, n) / 8
+        ts = np.sort(ts) if trial % 2 else ts
+        hit = rng.random(n) < 0.4
+        done, ws, wf, k = [], None, None, 0
+        for i in range(n):
+            if hit[i] and ws is None:
+                ws, wf = float(ts[i]), i + 1
+            k += bool(hit[i])
+            if ws is not None and ts[i] >= ws + 1.0:
+                done.append({"start_time": ws, "start_frame": wf, "end_frame": i, "frame_count": i + 1 - wf, "flash_count": k, "closed_at": float(ts[i])})
+                ws, wf, k = None, None, 0
+        got, left = flash.closed_windows(np.arange(1, n + 1), ts, hit, 1.0)
+        assert got == done and left == (None if ws is None else (ws, wf, k))
+
+
+def test_coherence_against_plain_sums(spark):
+    rng = np.random.default_rng(2)
+    values = [0.5] * 12 + rng.random(40).tolist() + [float("nan"), 2.0]
+    rows = signal(spark, [(k / 10, v) for k, v in enumerate(values)])
+    clean = [v if 0 <= v <= 1 else 0.0 for v in values]
+    for r in temporal.coherence(rows).orderBy("frame_idx").collect():
+        v = np.array(clean[max(0, r["frame_idx"] - 30) : r["frame_idx"]])
+        d, n = v - v.mean(), len(v)
+        s = (d * d).mean() or 1e-8
+        want = [float((d[: n - k] * d[k:]).sum() / ((n - k) * s)) for k in range(1, min(10, n - 1) + 1)]
+        assert [x["lag"] for x in r["lags"]] == list(range(1, len(want) + 1)) and [x["correlation"] for x in r["lags"]] == pytest.approx(want, abs=1e-9)
+        assert r["coherence_score"] == pytest.approx(np.mean(np.abs(want)) if want else 0.0, abs=1e-9)
+
+
+def test_peaks_by_fft_are_those_of_plain_sums():
+    rng = np.random.default_rng(4)
+    for n in (4, 7, 20, 63, 200):
+        x = rng.random(n)
+        d = x - x.mean()
+        corr = {k: float((d[: n - k] * d[k:]).sum() / np.sqrt((d[: n - k] ** 2).sum() * (d[k:] ** 2).sum())) for k in range(2, n // 2)}
+        peaks = [(c, -k) for k, c in corr.items() if k - 1 in corr and k + 1 in corr and c > corr[k - 1] and c > corr[k + 1]]
+        found, lag, value = temporal.highest_peak(x, threshold=-1)
+        assert found == bool(peaks) and (not peaks or ((value, -lag) == (pytest.approx(max(peaks)[0]), max(peaks)[1])))
+
+
+def test_spectra_in_batches():
+    rng = np.random.default_rng(5)
+    for n in (64, 50, 7):
+        x = rng.random((5, n))
+        x[3] = 0.25
+        many = spectral.spectra_of(x)
+        for k in range(5):
+            one = spectral.spectrum(x[k])
+            assert all(np.allclose(many[c][k], one[c]) for c in many)
+            z = spectral.padded_fft((x[k] - np.median(x[k])) * spectral.hann(n))
+            assert np.allclose(many["amplitude"][k][1:], np.abs(z[1 : len(z) // 2]) * 2 / spectral.hann(n).sum())
+        assert many["bin"][3] == 0 and many["confidence"][3] == 0
+        high = min(many["amplitude"].shape[1] - 1, math.ceil(50 * 2 * many["amplitude"].shape[1] / 60))
+        low = max(1, int(3 * 2 * many["amplitude"].shape[1] / 60))
+        assert many["flatness"][0] == pytest.approx(spectral.flatness(many["amplitude"][0], low, high))
+
+
+def test_statistics_of_groups(spark):
+    from photowarden.operators import quantiles
+
+    rng = np.random.default_rng(6)
+    rows = [(g, float(rng.integers(0, 9)) if k % 5 else None) for g in ("a", "b", None) for k in range(37)] + [("c", None), ("c", float("nan")), ("d", float("inf")), ("d", 2.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r["g"]: r for r in quantiles.statistics(df, "x", ["g"]).collect()}
+    for g in ("a", "b", None, "d"):
+        x = [v for k, v in rows if k == g and v is not None and math.isfinite(v)]
+        r = got[g]
+        assert (r["size"], r["distinct_values"], r["min"], r["max"]) == (len(x), len(set(x)), min(x), max(x))
+        assert [r["median"], r["p90"], r["p95"]] == pytest.approx(np.quantile(x, [0.5, 0.9, 0.95]).tolist())
+    assert got["c"]["size"] == 0 and got["c"]["median"] is None
+    ranks = {r["g"]: r for r in quantiles.latency_statistics(df, "x", ["g"]).collect()}
+    x = sorted(v for k, v in rows if k == "a" and v is not None)
+    assert [ranks["a"][c] for c in ("p50", "p95", "p99")] == [x[min(int(len(x) * q), len(x) - 1)] for q in (0.5, 0.95, 0.99)] and ranks["a"]["n"] == len(x)
+
+
+def test_rows_are_numbered_over_partitions(spark):
+    df = spark.range(1000).select(((F.col("id") * 7919) % 1009).alias("x")).repartition(7)
+    got = explore.numbered(df, "x").orderBy("x").collect()
+    assert [r[explore.NUMBERED] for r in got] == list(range(1000))
+    assert explore.numbered(df.filter("false"), "x").count() == 0
+
+
+def test_clusters_of_windows(spark):
+    """A cluster that began before the window, one inside it, one that goes on after it, and one elsewhere."""
+    times = [0.0, 0.2, 0.9, 1.1, 1.4, 1.6, 3.0, 5.0, 5.1, 5.2, 5.3, 6.5]
+    points = [(t, t not in (3.0, 6.5)) for t in times]
+    got = sorted((r["start_frame"], r["cluster_id"], r["count"], r["overlap_start"], r["overlap_end"]) for r in flash.associated_clusters(flagged(spark, points), 0.3).collect())
+    assert got == [(1, 1, 2, 0.0, 0.2), (1, 2, 2, 0.9, 1.0), (8, 3, 4, 5.0, pytest.approx(5.3))]
+
+
+def test_image_files(spark, tmp_path):
+    """Bitmaps in a folder a video; and frames as Parquet."""
+    import struct
+
+    px = {(v, k): np.random.default_rng(k).integers(0, 256, (3, 5, 3), dtype=np.uint8) for v in ("a", "b") for k in (1, 2)}
+    for (v, k), rgb in px.items():
+        rows = b"".join(rgb[y, :, ::-1].tobytes() + b"\0" for y in (2, 1, 0))  # bottom first, BGR, rows of 16 bytes
+        (tmp_path / v).mkdir(exist_ok=True)
+        (tmp_path / v / f"{k}.bmp").write_bytes(b"BM" + struct.pack("<IHHI", 54 + len(rows), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 5, 3, 1, 24, 0, len(rows), 0, 0, 0, 0) + rows)
+    (tmp_path / "a" / "junk.bmp").write_bytes(b"no image")
+    got = sources.read_images(spark, f"{tmp_path}/*/*.bmp", fps=10)
+    assert {(r["video_id"], r["frame_idx"], r["ts"], r["width"], r["height"]): np.frombuffer(r["rgba"], np.uint8).reshape(3, 5, 4)[:, :, :3].tolist() for r in got.collect()} == {(v, k, k / 10, 5, 3): x.tolist() for (v, k), x in px.items()}
+    got.write.parquet(str(tmp_path / "frames"))
+    assert sources.read_frames(spark, str(tmp_path / "frames")).filter("length(rgba) = 60").count() == 4
+
+
+def test_json_arrays(spark, tmp_path):
+    df = spark.range(50).select(F.col("id").alias("a"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("b"))
+    sinks.export_charts(df, [("a", ["b"])], str(tmp_path), ("json",))
+    files = [f for f in (tmp_path / "json").iterdir() if f.suffix == ".txt" and f.stat().st_size]
+    rows = [r for f in files for r in json.loads(f.read_text())]
+    assert sorted(r["a"] for r in rows) == list(range(50)) and all(r["b"] == (r["a"] if r["a"] % 2 == 0 else None) for r in rows)
+
+
+def test_sinks_of_streams(spark, tmp_path):
+    """A batch that is run again replaces itself; alerts are the flashes only."""
+    batch = flagged(spark, [(0, 1), (1, 0), (2, 1)])
+    keep = sinks.append_sink(str(tmp_path))
+    for number in (0, 1, 1):
+        keep(batch, number)
+    assert spark.read.parquet(str(tmp_path)).count() == 6
+    seen = []
+    sinks.flash_alerts(lambda b, n: seen.append((n, b.count())))(batch, 4)
+    assert seen == [(4, 2)]
