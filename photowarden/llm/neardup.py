@@ -52,6 +52,8 @@ K = 64
 MISS = 1e-5
 #: Most members and bytes of a block, and of a bucket of tasks.
 MOST, BLOCK_BYTES, BUCKET_BYTES = 2048, 8 << 20, 16 << 20
+#: Members of families (40 bytes each) that are sent to all tasks; more of them meet their texts by an exchange of both.
+BROADCAST_ROWS = 1 << 18
 _U = np.uint64
 _SHIFT = _U(58)
 _EDGES = np.arange(K, dtype=_U) << _SHIFT
@@ -296,9 +298,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     classes = scratch.written(usable.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")), "classes")
     reps = usable.join(classes.select("key", F.col("rep").alias("doc_id")), ["key", "doc_id"])
     nodes = scratch.written(reps.groupBy("key").agg(F.max("n").alias("n"), F.max("sig").alias("sig")), "nodes")
-    posted = scratch.written(reps.select("key", "n", F.explode("pairs").alias("pair")), "pairs")
+    posted = scratch.written(reps.select("key", F.explode("pairs").alias("pair")), "pairs")
     shared = scratch.written(posted.groupBy("pair").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
-    by_key = posted.join(shared, "pair").groupBy("key", "n").agg(F.sort_array(F.collect_set(F.struct("df", "pair"))).alias("p"))
+    by_key = posted.join(shared, "pair").groupBy("key").agg(F.sort_array(F.collect_set(F.struct("df", "pair"))).alias("p"))
+    by_key = by_key.join(nodes.select("key", "n"), "key") if exact else by_key
     prefixes = by_key.withColumn("room", (prefix - (posts - F.size("p"))).cast("int")).filter("room > 0").select(
         "key", F.explode(F.slice("p", F.lit(1), F.col("room"))["pair"]).alias("pair"), F.aggregate("p", F.lit(0).cast("long"), lambda s, x: s + x["df"]).alias("weight"),
     )
@@ -331,7 +334,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
             columns = [kept.column("key"), kept.column("family"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([b"" if exact else _short(signature(s)) for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["key", "family", "n", "items", "sig"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id").select("key", "family", "text")
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # then the texts stay where they are
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(F.broadcast(wanted) if few else wanted, "doc_id").select("key", "family", "text")
     sets = scratch.written(texts.mapInArrow(full, "key binary, family binary, n long, items binary, sig binary"), "sets")
 
     # links: in families of more than a block the greatest set meets all others first, then all across what is linked
