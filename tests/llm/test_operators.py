@@ -132,6 +132,17 @@ def test_mixing_awkward(spark):
     assert mixing.mix_to_targets(df.filter("tokens = 0"), catalog.MIX_TARGETS).count() == 0
 
 
+@pytest.mark.parametrize("total", [None, 5000.0])
+def test_many_cells_are_joined_with_salt(spark, monkeypatch, total):
+    """Beyond the bound of a broadcast the same documents are sampled, hot cell or not."""
+    rows = [(k, "hot" if k % 3 else f"s{k}", "en", "prose", 10 + k % 7) for k in range(900)] + [(None, None, None, "prose", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, topic string, tokens long")
+    want = rows_of(mixing.mix_to_targets(df, catalog.MIX_TARGETS, total=total).toPandas())
+    monkeypatch.setattr(mixing, "BROADCAST_CELLS", 0)
+    got = mixing.mix_to_targets(df, catalog.MIX_TARGETS, total=total)
+    assert rows_of(got.toPandas()) == want and 0 < len(want)
+
+
 def test_tiny_cell_leaves_the_others(spark):
     """With a stated total, a document of a new source and language costs the others next to nothing."""
     rows = [(k, "abcd"[min(k % 10, 3)], "en" if k % 3 else "de", "prose", 1000) for k in range(2000)]
