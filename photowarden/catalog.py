@@ -475,10 +475,10 @@ def _red_states(spark, d):
 
 @query("red_window", with_(RED, """, wi AS (SELECT *, count(*) OVER w AS n, avg(area) OVER w AS av, max(area) OVER w AS mx, avg(on_) OVER w AS fr, sum(tr) OVER w - first_value(tr) OVER w AS t, ts - min(ts) OVER w AS sec FROM rt WINDOW w AS (PARTITION BY video_id ORDER BY frame_idx ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)),
 ev AS (SELECT *, CASE WHEN n >= 5 THEN t ELSE 0 END AS trans, floor(CASE WHEN n >= 5 THEN t ELSE 0 END / 2.0) AS events FROM wi), rr AS (SELECT *, CASE WHEN events > 0 AND sec > 0 THEN least(events / sec, 60.0) ELSE 0.0 END AS rate FROM ev)
-SELECT video_id, frame_idx, floor(CASE WHEN n >= 5 THEN av ELSE area END * 1000 + 0.5) / 1000 AS red_area_avg, floor(CASE WHEN n >= 5 THEN mx ELSE area END * 1000 + 0.5) / 1000 AS red_area_max, floor(CASE WHEN n >= 5 THEN fr ELSE on_ END * 1000 + 0.5) / 1000 AS red_on_fraction,
-  trans::BIGINT AS red_transitions, events::BIGINT AS red_flash_events, floor(rate * 1000 + 0.5) / 1000 AS red_flash_per_second, rate BETWEEN 3 AND 30 AS red_flicker_in_risk_band FROM rr"""))
+SELECT video_id, frame_idx, round(CASE WHEN n >= 5 THEN av ELSE area END, 6) AS red_area_avg, round(CASE WHEN n >= 5 THEN mx ELSE area END, 6) AS red_area_max, round(CASE WHEN n >= 5 THEN fr ELSE on_ END, 6) AS red_on_fraction,
+  trans::BIGINT AS red_transitions, events::BIGINT AS red_flash_events, round(rate, 6) AS red_flash_per_second, rate BETWEEN 3 AND 30 AS red_flicker_in_risk_band FROM rr"""))
 def _red_window(spark, d):
-    return temporal.red_window(temporal.red_states(vivid(spark, d))).select("video_id", "frame_idx", "red_metrics.*").drop("red_area_threshold_used", "window_duration_ms")
+    return temporal.red_window(temporal.red_states(vivid(spark, d)), places=None).select("video_id", "frame_idx", "red_metrics.*").drop("red_area_threshold_used", "window_duration_ms")
 
 
 @query("color_history", with_(COLORS, """, dd AS (SELECT *, abs(r - lag(r) OVER w) AS dr, abs(g - lag(g) OVER w) AS dg, abs(b - lag(b) OVER w) AS db FROM col WINDOW w AS (PARTITION BY video_id ORDER BY frame_idx))

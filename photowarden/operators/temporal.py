@@ -217,8 +217,10 @@ def duration_seconds(times: Column) -> Column:
     return F.when(n <= 1, 0.0).when(known.isNull(), (n - 1) / 30.0).otherwise(known / F.when(F.coalesce(median < 1, F.abs(span) < 10), 1.0).otherwise(1000.0))
 
 
-def red_window(rows: DataFrame, k: int = 30, least: int = 5, threshold: float = 0.25) -> DataFrame:
-    """Adds red_metrics over the last k frames of red_states; with fewer than `least` frames, of this frame alone."""
+def red_window(rows: DataFrame, k: int = 30, least: int = 5, threshold: float = 0.25, places: int | None = 3) -> DataFrame:
+    """Adds red_metrics over the last k frames of red_states; with fewer than `least` frames, of this frame alone.
+
+    places: decimals of the shares and the rate (None: all)."""
     n = F.count("*").over(last_rows(k))
     first_kept = F.row_number().over(by_frame()) - n + 1
     rows = rows.withColumns({"_n": n, "_t": F.sum("red_transition").over(last_rows(k)), "_row": F.row_number().over(by_frame()), "_first": first_kept})
@@ -229,10 +231,11 @@ def red_window(rows: DataFrame, k: int = 30, least: int = 5, threshold: float =
     transitions = F.when(enough, F.col("_inside")).otherwise(0)
     events = F.floor(transitions / 2)
     rate = F.when((events > 0) & (seconds > 0), F.least(events / seconds, F.lit(60.0))).otherwise(0.0)
-    pick = lambda many, one: half_up(F.when(enough, F.col(many)).otherwise(F.col(one).cast("double")), 3)
+    cut = lambda x: half_up(x, places) if places is not None else x
+    pick = lambda many, one: cut(F.when(enough, F.col(many)).otherwise(F.col(one).cast("double")))
     made = F.struct(
         pick("_avg", "red_area").alias("red_area_avg"), pick("_max", "red_area").alias("red_area_max"), pick("_on", "red_on").alias("red_on_fraction"), transitions.cast("long").alias("red_transitions"),
-        events.cast("long").alias("red_flash_events"), half_up(rate, 3).alias("red_flash_per_second"), rate.between(3.0, 30.0).alias("red_flicker_in_risk_band"),
+        events.cast("long").alias("red_flash_events"), cut(rate).alias("red_flash_per_second"), rate.between(3.0, 30.0).alias("red_flicker_in_risk_band"),
         F.lit(threshold).alias("red_area_threshold_used"), F.floor(seconds * 1000 + 0.5).cast("long").alias("window_duration_ms"),
     )
     return rows.withColumn("red_metrics", made).drop("_n", "_t", "_row", "_first", "_inside", "_times", "_avg", "_max", "_on")
