@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,10 +21,11 @@ def prepare(spark: SparkSession) -> None:
 
 
 def slices(batches, rows: int = BATCH_ROWS):
-    """Arrow batches in pieces of at most so many rows."""
+    """Arrow batches in pieces of at most so many rows; what the last ones took is given back to the system."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def new_table(spark: SparkSession, name: str) -> str:
