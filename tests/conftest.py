@@ -37,5 +37,7 @@ def duck(sf_dir):
 
 
 def rows_of(pdf):
+    import pandas as pd
+
     cols = sorted(pdf.columns)
-    return sorted((tuple(None if v != v else v for v in r) for r in pdf[cols].astype(object).itertuples(index=False, name=None)), key=repr)
+    return sorted((tuple(None if v is pd.NA or v != v else v for v in r) for r in pdf[cols].astype(object).itertuples(index=False, name=None)), key=repr)
