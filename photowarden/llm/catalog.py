@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photowarden.llm import chat, langid, mainblocks, media, mixing, neardup, packing, sharding, substring, topk
+from photowarden.llm import chat, embdup, fim, langid, mainblocks, media, mixing, neardup, packing, phrases, sharding, substring, topk
 from photowarden.llm.common import new_table, table
 
 
@@ -80,6 +80,19 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows.unionByName(planted)))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdup.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fim.restored(fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", F.col("sha256").alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_mixing": op2_mixing,
@@ -91,6 +104,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_cover_tree": op9_cover_tree,
     "op10_chat": op10_chat,
+    "op11_phrases": op11_phrases,
+    "op12_near_vectors": op12_near_vectors,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 OP4_SQL = r"""
@@ -177,5 +193,70 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
 """
 
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), words AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), totals AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang
+), grams AS (
+  SELECT lang, m, array_to_string(w[p + 1:p + m], ' ') AS phrase, count(*) AS f
+  FROM words, unnest(range(1, 6)) AS s(m), unnest(range(len(w) - m + 1)) AS t(p) WHERE len(w) >= m GROUP BY ALL HAVING count(*) >= 100
+), longer AS (
+  SELECT lang, array_to_string(string_split(phrase, ' ')[p + 1:p + k], ' ') AS phrase, max(f) AS f
+  FROM grams, unnest(range(2, m)) AS s(k), unnest(range(m - k + 1)) AS t(p) WHERE m > 2 GROUP BY 1, 2
+), candidates AS (
+  SELECT g.* FROM grams g LEFT JOIN longer o ON g.lang = o.lang AND g.phrase = o.phrase WHERE m > 1 AND (o.f IS NULL OR 100 * o.f < 100 * g.f)
+), cuts AS (
+  SELECT *, array_to_string(string_split(phrase, ' ')[:k], ' ') AS one, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS two
+  FROM candidates, unnest(range(1, m)) AS s(k)
+), scored AS (
+  SELECT c.lang, c.phrase, c.k, c.f AS a, x.f AS l, y.f AS r, n, (1000::HUGEINT * c.f * n // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts c JOIN grams x ON c.lang = x.lang AND one = x.phrase JOIN grams y ON c.lang = y.lang AND two = y.phrase JOIN totals t ON c.lang = t.lang
+), lowest AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM scored) WHERE o = 1
+)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest) WHERE rank <= 2000
+"""
+
+OP12_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), w AS (
+  SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS size FROM v
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM w a JOIN w b ON a.vec_id <> b.vec_id WHERE list_inner_product(a.v, b.v) / (a.size * b.size) >= 0.95
+), reach AS (
+  SELECT vec_id AS x, vec_id AS y FROM w UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+), lowest AS (
+  SELECT x AS vec_id, min(y) AS c FROM reach GROUP BY x
+), degree AS (
+  SELECT x AS vec_id, count(*) AS n FROM links GROUP BY x
+)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(c, e.vec_id) AS component_id, coalesce(c, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN lowest USING (vec_id) LEFT JOIN degree USING (vec_id)
+"""
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), n AS (
+  SELECT *, len(w)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d
+), cut AS (
+  SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+    least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM n
+), parts AS (
+  SELECT *, array_to_string(w[:a], '') AS prefix, array_to_string(w[a + 1:b], '') AS middle, array_to_string(w[b + 1:], '') AS suffix FROM cut
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM parts
+"""
+
 ORACLES: dict[str, str] = {
+    "op11_phrases": OP11_SQL, "op12_near_vectors": OP12_SQL, "op13_fill_in_middle": OP13_SQL,
     "op2_mixing": mixing_sql(MIX_DOCS, "doc_id, source, lang, topic, tokens, round(p, 6) AS probability"), "op9_cover_tree": OP9_SQL, "op5_minhash": OP5_SQL, "op4_substring": OP4_SQL}
