@@ -31,6 +31,8 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS, EMBED = 16, 8
 PER_LANGUAGE, MOST_LANGUAGES = 4000, 1000
+#: Windows of the training sample, which the driver gets: 20 MB.
+MOST_WINDOWS = 80_000
 EPOCHS, BATCH, RATE, SEED = 4, 64, 0.01, 7
 #: Share of the training texts (windows, in the query) of which a short part is learned too.
 SHORT = 0.1
@@ -55,18 +57,21 @@ class ByteCnn:
 
     def pooled(self, windows: np.ndarray, argmax: bool = False):
         """Max-pooled responses (n, widths * filters), and with argmax their positions."""
-        x = self.embed[windows]
-        n, length, e = x.shape
+        x = np.ascontiguousarray(self.embed[windows].transpose(0, 2, 1))
+        n, e, length = x.shape
         parts, places = [], []
         for w, bank, bias in zip(WIDTHS, self.banks, self.biases, strict=True):
             steps = length - w + 1
-            cols = np.empty((n, steps, w * e), np.float32)
+            cols = np.empty((n, w * e, steps), np.float32)
             for j in range(w):
-                cols[:, :, j * e : (j + 1) * e] = x[:, j : j + steps]
-            response = (cols.reshape(-1, w * e) @ bank).reshape(n, steps, -1)
+                cols[:, j * e : (j + 1) * e] = x[:, :, j : j + steps]
+            response = np.matmul(bank.T, cols)
             if argmax:
-                places.append(response.argmax(1))
-            parts.append(response.max(1) + bias)
+                at = response.argmax(2)
+                places.append(at)
+                parts.append(np.take_along_axis(response, at[:, :, None], 2)[:, :, 0] + bias)
+            else:
+                parts.append(response.max(2) + bias)
         return (np.concatenate(parts, 1), places) if argmax else np.concatenate(parts, 1)
 
     def log_probabilities(self, windows: np.ndarray) -> np.ndarray:
@@ -145,7 +150,10 @@ def _gradients(model: ByteCnn, x: np.ndarray, y: np.ndarray, weight: np.ndarray)
             seen = x[rows, places[k] + j]
             part = slice(j * EMBED, (j + 1) * EMBED)
             d_bank[part] = np.einsum("nf,nfe->ef", d, model.embed[seen])
-            np.add.at(d_embed, seen.ravel(), (d[:, :, None] * model.banks[k][part].T[None]).reshape(-1, EMBED))
+            given = (d[:, :, None] * model.banks[k][part].T[None]).reshape(-1, EMBED)
+            flat = seen.ravel()
+            for c in range(EMBED):
+                d_embed[:, c] += np.bincount(flat, given[:, c], 256)
         d_banks.append(d_bank)
         d_biases.append(d.sum(0))
     return [d_embed, *d_banks, *d_biases, hidden.T @ p, p.sum(0)]
@@ -159,21 +167,22 @@ def _adam(parameters, gradients, moments, step: int) -> None:
 
 
 def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[bytes], list[str]]:
-    """About per_language windows of each language and their languages, drawn from whole texts."""
+    """About per_language windows of each language and their languages, drawn from whole texts; fewer where so many
+    languages would give more than MOST_WINDOWS. Of more than MOST_LANGUAGES labels the rarest, by windows, are no classes."""
     spark = docs.sparkSession
     data = F.col("text").cast("binary")
     labelled = docs.filter("lang is not null and text is not null and text <> ''").select(F.col("doc_id").cast("string").alias("id"), data.alias("data"), "lang", F.ceil(F.octet_length("text") / WINDOW).cast("int").alias("n"))
-    counts = labelled.groupBy("lang").agg(F.sum("n").alias("n")).limit(MOST_LANGUAGES + 1).collect()
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} different labels: they are the classes of one network")
+    counts = labelled.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    per_language = min(per_language, MOST_WINDOWS // max(1, len(counts)))
     # one row a language, at most MOST_LANGUAGES: small enough to broadcast
     chances = F.broadcast(spark.createDataFrame([(r["lang"], per_language / r["n"]) for r in counts], "lang string, chance double"))
     lot = lambda i: F.pmod(F.xxhash64("key", i), F.lit(1_000_003)) / 1_000_003.0
     drawn = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: lot(i) < F.col("chance"))
     keyed = labelled.withColumn("key", F.xxhash64("id", "data")).join(chances, "lang")
     rows = keyed.select("lang", "id", "data", F.explode(drawn).alias("i"))
-    rows = rows.select("lang", "id", "i", F.substring("data", F.col("i") * WINDOW + 1, F.lit(WINDOW)).alias("window")).orderBy("lang", "id", "i", "window").collect()
-    return [bytes(r["window"]) for r in rows], [r["lang"] for r in rows]
+    rows = rows.select("lang", "id", "i", F.substring("data", F.col("i") * WINDOW + 1, F.lit(WINDOW)).alias("window")).select("lang", "id", "i", "window").toArrow()
+    rows = rows.sort_by([(c, "ascending") for c in ("lang", "id", "i", "window")])
+    return rows["window"].to_pylist(), rows["lang"].to_pylist()
 
 
 def predict_text(model: ByteCnn | None, texts: list[str | None]) -> tuple[list[str], list[float]]:

@@ -38,7 +38,7 @@ from photowarden.llm import common
 
 PATH_DIM, WORD_DIM, NUMBERS, HIDDEN = 96, 24, 10, 20
 INPUTS = PATH_DIM + WORD_DIM + NUMBERS
-PAGES, EPOCHS, BATCH, RATE, SEED = 640, 6, 32, 0.01, 11
+PAGES, EPOCHS, BATCH, RATE, SEED = 960, 6, 32, 0.01, 11
 #: Blocks that are labelled at once.
 AT_ONCE = 4096
 
@@ -52,6 +52,8 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 DROPPED = frozenset("script style noscript template svg math iframe object canvas audio video head title select textarea button option datalist".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+# Where elements of another language begin.
+FOREIGN = ("svg", "math")
 # Elements inside a line of text; all others begin and end blocks.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 # A start tag of the key ends an open element of the value first.
@@ -132,7 +134,7 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
 
 def tokens(page: str):
     """(kind, name, attributes or text) in order: text, start and end; comments and the content of raw elements are left out."""
-    at, n, plain_tags = 0, len(page), False
+    at, n, plain_tags, foreign = 0, len(page), False, ""
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
@@ -157,8 +159,9 @@ def tokens(page: str):
             end = page.find(">", lt)
             if end < 0:
                 return
-            yield "end", _NAME.match(page, lt + 2)[0].lower(), ""
-            at = end + 1
+            tag = _NAME.match(page, lt + 2)[0].lower()
+            yield "end", tag, ""
+            at, foreign = end + 1, "" if tag == foreign else foreign
         elif follows.isascii() and follows.isalpha():
             m = None if plain_tags else _START.match(page, lt)
             if m is not None:
@@ -170,7 +173,9 @@ def tokens(page: str):
                 name = _NAME.match(page, lt + 1)
                 tag, attributes, at = name[0].lower(), page[name.end() : end], end + 1
             yield "start", tag, attributes
-            if tag in RAW and not attributes.rstrip().endswith("/"):
+            if tag in FOREIGN and not foreign and not attributes.endswith("/"):
+                foreign = tag
+            if tag in RAW and not foreign:
                 closing = _RAW_ENDS[tag].search(page, at)
                 if closing is None:
                     return
@@ -200,7 +205,7 @@ def leaf_blocks(page: str) -> list[Block]:
     def flush() -> None:
         nonlocal links
         if text:
-            joined = " ".join(htmllib.unescape("".join(text)).split())
+            joined = " ".join("".join(text).split())
             if joined:
                 blocks.append(Block(joined, stack[-1][1] if stack else root, min(links, len(joined))))
             text.clear()
@@ -219,7 +224,7 @@ def leaf_blocks(page: str) -> list[Block]:
     for kind, tag, rest in tokens(page):
         if kind == "text":
             if not dropped:
-                text.append(rest)
+                text.append(htmllib.unescape(rest))  # a reference ends where its text does
                 if in_link:
                     links += len(rest.strip())
         elif kind == "end":
@@ -242,8 +247,8 @@ def leaf_blocks(page: str) -> list[Block]:
             nearest = max((opened[e][-1] for e in ends if opened.get(e)), default=-1)
             if nearest > (holders[-1] if holders and tag != "body" else -1):
                 pop_to(nearest)
-            if rest.rstrip().endswith("/"):
-                continue
+            if rest.endswith("/") and (tag in FOREIGN or any(opened.get(f) for f in FOREIGN)):
+                continue  # a slash closes void and foreign elements only
             opened.setdefault(tag, []).append(len(stack))
             if tag in _HOLDERS:
                 holders.append(len(stack))
@@ -377,6 +382,9 @@ JUNK_NAMES = {
     "share": "share social share-buttons tools tags meta byline-links author-box".split(),
 }
 
+DOC_NAMES = "doc docs document documentation doc-content manual guide page article-content markdown-body".split()
+DOC_SIDE_NAMES = "sidebar toc contents docs-nav tree side-menu".split()
+
 
 class PageMaker:
     """Random pages whose main blocks are known."""
@@ -385,6 +393,7 @@ class PageMaker:
         self.rng = np.random.default_rng(seed)
         letters = np.array(list("abcdefghijklmnopqrstuvwxyzäöüéèñçß"))
         self.words = ["".join(self.rng.choice(letters, self.rng.integers(1, 9))) for _ in range(3000)]
+        self.names = "usual"
 
     def pick(self, some):
         return some[int(self.rng.integers(len(some)))]
@@ -403,8 +412,10 @@ class PageMaker:
         return " ".join(parts)
 
     def attributes(self, names: list[str], always: bool) -> str:
-        if not always and self.chance(0.4):
+        if self.names == "none" or not always and self.chance(0.4):
             return ""
+        if self.names == "hashed":  # as build tools make them
+            names = ["css-" + self.pick(self.words), self.pick(self.words) + "_" + self.pick(self.words)]
         return f' {self.pick(["class", "class", "id"])}="{self.pick(names)}"'
 
     def link(self, low: int = 1, high: int = 3) -> str:
@@ -432,7 +443,8 @@ class PageMaker:
             elif kind < 0.84:
                 out.append(self.pick(["<h2>%s</h2>", "<h3>%s</h3>", "<p><b>%s<br>"]) % self.phrase(1, 7))
             elif kind < 0.9:
-                out.append("<ul>" + "".join(f"<li>{self.sentences(1, 2)}</li>" for _ in range(int(self.rng.integers(2, 5)))) + "</ul>")
+                tag = self.pick(["ul", "ul", "ol"])
+                out.append(f"<{tag}>" + "".join(f"<li>{self.sentences(1, 2)}</li>" for _ in range(int(self.rng.integers(2, 5)))) + f"</{tag}>")
             elif kind < 0.94:
                 out.append(f"<blockquote>{self.sentences(1, 3)}</blockquote>")
             elif kind < 0.97:
@@ -462,8 +474,53 @@ class PageMaker:
             body = self.pick(["%s", "<p>%s</p>", "<h3>" + self.phrase(1, 3) + "</h3><p>%s</p>", "<div>%s</div>"]) % body
         return f"<{tag}{attrs}>{body}</{tag}>"
 
-    def page(self) -> tuple[str, list[tuple[str, bool]]]:
+    def link_column(self) -> str:
+        links = [self.link() for _ in range(int(self.rng.integers(3, 9)))]
+        return self.pick(["<br>", "<br>", " | ", "</p><p>"]).join(links)
+
+    def table_page(self) -> str:
+        """The page is a table: a row with the site's name, a column of links beside the text, a row with rights."""
+        text = "<p>".join(self.paragraph() for _ in range(int(self.rng.integers(2, 9)))) if self.chance(0.4) else self.main()
+        cells = [f"<td>{self.link_column()}</td>", f"<td>\x01{text}\x02</td>"]
+        if self.chance(0.3):
+            cells.append(f"<td>{self.link_column() if self.chance(0.5) else self.phrase(2, 9)}</td>")
+        if self.chance(0.3):
+            cells[:2] = cells[1::-1]
+        top = f"<tr><td colspan=2>{self.pick(['<img src=l.gif> ', ''])}{self.phrase(1, 4)}</td></tr>" * self.chance(0.85)
+        bar = f"<tr><td colspan=2>{' | '.join(self.link(1, 1) for _ in range(4))}</td></tr>" * self.chance(0.4)
+        end = f"<tr><td colspan=2>{self.pick(['&copy; ', 'Copyright ', ''])}2003 {self.phrase(1, 6)}</td></tr>" * self.chance(0.85)
+        return f"<table{self.attributes(ARTICLE_NAMES[-1:], False)}>{top}{bar}<tr>{''.join(cells)}</tr>{end}</table>"
+
+    def document_page(self) -> str:
+        """A manual's page: contents beside it, code and numbered steps in it, then the next page and a question to the reader."""
+        contents = "<ul>" + "".join(f"<li>{self.link()}</li>" for _ in range(int(self.rng.integers(3, 12)))) + "</ul>"
+        side = self.pick(["<div%s>%s</div>", "<nav%s>%s</nav>", "<aside%s>%s</aside>"]) % (self.attributes(DOC_SIDE_NAMES, self.chance(0.8)), contents)
+        parts = [f"<h1>{self.phrase(1, 5)}</h1>"]
+        for _ in range(int(self.rng.integers(2, 9))):
+            steps = "".join(f"<li>{self.sentences(1, 1) if self.chance(0.6) else self.phrase(2, 9)}</li>" for _ in range(int(self.rng.integers(2, 6))))
+            parts.append(self.pick([f"<p>{self.paragraph()}</p>", f"<p>{self.paragraph()}</p>", f"<pre>{self.phrase(2, 9)}</pre>", f"<pre><code>{self.phrase(2, 9)}</code></pre>", f"<ol>{steps}</ol>", f"<h2>{self.phrase(1, 4)}</h2>", f"<dl><dt>{self.phrase(1, 2)}</dt><dd>{self.sentences(1, 1)}</dd></dl>"]))
+        tag = self.pick(["section", "section", "div", "main", "article"])
+        body = f"<{tag}{self.attributes(DOC_NAMES, True)}>\x01{''.join(parts)}\x02</{tag}>"
+        ask = self.pick(["<form%s><label>%s</label><button>Yes</button></form>", "<form%s><p>%s</p><button>Yes</button></form>", "<div%s>%s</div>"]) % (self.attributes(["feedback", "helpful", "rating", "survey"], False), self.phrase(3, 7) + "?")
+        turn = f"<div{self.attributes(['pager', 'prev-next', 'pagination'], False)}>{self.link()} {self.link()}</div>" * self.chance(0.5)
+        rest = turn + ask * self.chance(0.7)
+        return self.junk("header") * self.chance(0.5) + (side + body + rest if self.chance(0.7) else body + rest + side) + self.junk("footer") * self.chance(0.6)
+
+    def thread_page(self) -> str:
+        """A forum: the first post is the text, the replies are comments."""
+        post = "".join(f"<p>{self.paragraph()}</p>" for _ in range(int(self.rng.integers(1, 6))))
+        first = f"<div{self.attributes(['post', 'topic', 'op', 'first-post', 'question', 'message'], True)}>\x01<h1>{self.phrase(2, 8)}</h1>{post}\x02</div>"
+        return self.junk("nav") + first + self.junk("comments") + self.junk("footer") * self.chance(0.7)
+
+    def page(self) -> str:
         """The html with marks around main parts, which are taken out again by `example`."""
+        self.names = "none" if self.chance(0.12) else "hashed" if self.chance(0.12) else "usual"
+        kind = self.rng.random()
+        if kind < 0.3:
+            if kind < 0.12 and self.names == "usual":
+                self.names = "none"
+            body = self.table_page() if kind < 0.12 else self.document_page() if kind < 0.24 else self.thread_page()
+            return f"<html><head><title>{self.phrase(2, 6)}</title></head><body>{body}" + self.pick(["</body></html>", ""])
         before = [k for k, p in (("header", 0.35), ("nav", 0.7), ("notice", 0.2), ("ad", 0.5), ("form", 0.15), ("aside", 0.15)) if self.chance(p)]
         after = [k for k, p in (("share", 0.2), ("comments", 0.35), ("aside", 0.35), ("ad", 0.2), ("form", 0.12), ("nav", 0.12), ("notice", 0.12), ("footer", 0.75)) if self.chance(p)]
         main = self.main()

@@ -362,8 +362,22 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     verdict = verdict.groupBy("doc_id").agg(F.max("n").alias("n_shingles"), F.min("component_id").alias("component_id"))
     verdict = scratch.written(verdict.withColumn("component_id", F.coalesce("component_id", "doc_id")), "verdict")
     scratch.keep("verdict")
-    joined = docs.select(*(F.col(f"`{c}`") for c in own)).withColumn("__pw_id", F.col("doc_id").cast("long")).join(verdict.withColumnRenamed("doc_id", "__pw_id"), "__pw_id", "left")
-    return joined.withColumn("kept", F.coalesce(F.col("__pw_id") == F.col("component_id"), F.lit(True))).drop("__pw_id")
+    joined = docs.filter("doc_id is not null").select(*(F.col(f"`{c}`") for c in own)).withColumn("__pw_id", F.col("doc_id").cast("long")).join(verdict.withColumnRenamed("doc_id", "__pw_id"), "__pw_id", "left")
+    joined = joined.withColumn("kept", F.coalesce(F.col("__pw_id") == F.col("component_id"), F.lit(True))).drop("__pw_id")
+    return joined.unionByName(_unlinked(docs.filter("doc_id is null").select(*(F.col(f"`{c}`") for c in own)), size))
+
+
+def _unlinked(rows: DataFrame, size: int) -> DataFrame:
+    """Rows without an id: their set's size, no component, and they stay."""
+
+    def run(batches):
+        for batch in common.slices(batches):
+            n = [len(s) for s in shingle_sets([common.utf8(t) for t in batch.column(batch.num_columns - 1).to_pylist()], size)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64())], [*batch.schema.names[:-1], "n_shingles"])
+
+    kinds = ", ".join(f"`{n}` {k}" for n, k in rows.dtypes)
+    sized = rows.withColumn("__pw_text", F.col("text").cast("string")).mapInArrow(run, f"{kinds}, n_shingles long")
+    return sized.withColumn("component_id", F.lit(None).cast("long")).withColumn("kept", F.lit(True))
 
 
 def _hub_links(sets: DataFrame, percent: int) -> DataFrame:

@@ -20,8 +20,8 @@ import zlib
 from array import array
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +54,7 @@ class Bpe:
         self._tok = Tokenizer.from_file(path)
         self._special = [t.content for t in self._tok.get_added_tokens_decoder().values()]
         self._known: dict[str, bytes] = {}
+        self._before: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self._tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -64,13 +65,16 @@ class Bpe:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         whole = {k for k, t in enumerate(texts) if any(s in t for s in self._special)}
         cut = [_PIECE.findall(t) if k not in whole else [] for k, t in enumerate(texts)]
-        new = list(set().union(*cut) - self._known.keys())
+        missing = set().union(*cut) - self._known.keys()
+        for piece in missing & self._before.keys():  # frequent pieces pass from one generation to the next
+            self._known[piece] = self._before[piece]
+        new = list(missing - self._before.keys())
         self._known.update(zip(new, self._ids(new), strict=True))
         out = [b"".join(map(self._known.__getitem__, pieces)) for pieces in cut]
         for k in whole:
             (out[k],) = self._ids([texts[k]])
-        if len(self._known) > MOST_KNOWN:
-            self._known.clear()
+        if len(self._known) > MOST_KNOWN // 2:
+            self._before, self._known = self._known, {}
         return out
 
 
@@ -170,14 +174,15 @@ def pack(pieces: DataFrame, n_docs: int, capacity: int = CAPACITY, docs_per_bin:
     kept = pieces.columns
     schema = ", ".join(f"`{n}` {k}" for n, k in pieces.dtypes) + ", sequence_id long, offset long"
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
-        window, offset = best_fit_decreasing(pdf["length"].to_numpy(), capacity)
-        first = int(pdf["_bin"].iloc[0]) << 32
-        return pdf[kept].assign(sequence_id=window + first, offset=offset)
+    def place(table: pa.Table) -> pa.Table:
+        keys = [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")]
+        table = table.take(pc.sort_indices(table, sort_keys=keys, null_placement="at_end"))
+        window, offset = best_fit_decreasing(table.column("length").to_numpy(), capacity)
+        first = table.column("_bin")[0].as_py() << 32
+        return table.select(kept).append_column("sequence_id", pa.array(window + first)).append_column("offset", pa.array(offset))
 
     lot = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(bins))
-    return pieces.withColumn("_bin", lot).groupBy("_bin").applyInPandas(place, schema)
+    return pieces.withColumn("_bin", lot).groupBy("_bin").applyInArrow(place, schema)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False, docs_per_bin: int = DOCS_PER_BIN) -> DataFrame:

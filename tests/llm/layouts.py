@@ -63,4 +63,34 @@ and they are <em>doing well</em> &mdash; better than those of last year.<p>Next
         "How I make rye bread Mix the flour, the water and a spoon of the starter in the evening, and let it stand in a warm place. In the morning the dough should have doubled. Add the salt, shape a loaf, and wait for another hour. "
         "Rye flour 500 g Water 400 g Bake it hot for ten minutes and then at a lower heat for fifty.",
     ),
+    "table": (
+        """<html><head><title>Lighthouses</title></head><body bgcolor=white><table width=90%><tr><td colspan=2><img src=logo.gif> The lighthouse page</td></tr>
+<tr><td><a href=a.html>Home</a><br><a href=b.html>Towers of the north</a><br><a href=c.html>Lenses</a><br><a href=d.html>Guest book</a></td>
+<td><p>The tower on the point was built of grey stone, and its lamp could be seen from eighteen miles away.</p><p>In the first years three families lived beside it. They kept goats, and they grew what the wind left them.</p>
+<p>When the lamp was changed for an electric one the keepers moved to the village, and the houses fell in.</p></td></tr><tr><td colspan=2>Copyright 1999 by the friends of the tower</td></tr></table></body></html>""",
+        "The tower on the point was built of grey stone, and its lamp could be seen from eighteen miles away. In the first years three families lived beside it. They kept goats, and they grew what the wind left them. "
+        "When the lamp was changed for an electric one the keepers moved to the village, and the houses fell in.",
+    ),
+    "table of three columns": (
+        """<html><body><table><tr><td>River walks</td></tr><tr><td><a href=1>Maps</a> | <a href=2>Tours</a> | <a href=3>Prices</a> | <a href=4>Contact</a></td></tr></table>
+<table><tr><td><a href=5>Upper valley</a><br><a href=6>Lower valley</a><br><a href=7>The mills</a></td><td><h1>From the spring to the mill</h1>
+<p>The path begins behind the church and follows the water for two hours, mostly in the shade.</p><p>After the second bridge it climbs to a meadow; from there one sees the whole valley, the mill and the ponds.</p>
+<p>Take good shoes, because the last part is wet in every season.</p></td></tr></table><table><tr><td>&copy; 2001 River walks, all rights reserved</td></tr></table></body></html>""",
+        "From the spring to the mill The path begins behind the church and follows the water for two hours, mostly in the shade. After the second bridge it climbs to a meadow; from there one sees the whole valley, the mill and the ponds. "
+        "Take good shoes, because the last part is wet in every season.",
+    ),
+    "manual": (
+        """<!doctype html><html><head><title>Backups</title></head><body><div class="sidebar"><ul><li><a href="/i">Installing</a></li><li><a href="/b">Backups</a></li><li><a href="/r">Restoring</a></li><li><a href="/u">Upgrading</a></li></ul></div>
+<section class="doc"><h1>Making a backup</h1><p>A backup holds all tables and the settings, but not the logs.</p><pre>store backup --to /var/backups</pre>
+<p>The command returns once the copy has been checked. It can be run while the server is in use.</p><ol><li>Choose a folder with enough room.</li><li>Run the command once a day.</li></ol></section>
+<form class="feedback"><p>Was this page helpful?</p><button>Yes</button><button>No</button></form></body></html>""",
+        "Making a backup A backup holds all tables and the settings, but not the logs. store backup --to /var/backups The command returns once the copy has been checked. It can be run while the server is in use. "
+        "Choose a folder with enough room. Run the command once a day.",
+    ),
+    "manual with pager": (
+        """<html><body><header><a href="/">Loom</a> <a href="/docs">Docs</a></header><nav class="docs-nav"><ul><li><a href="/1">Threads</a></li><li><a href="/2">Patterns</a></li><li><a href="/3">Exports</a></li></ul></nav>
+<div class="markdown-body"><h1>Patterns</h1><p>A pattern says for each thread of the warp when it is lifted.</p><h2>A first pattern</h2><p>Write one line for each row. A cross lifts the thread, a dot leaves it down.</p><pre><code>x.x. .x.x</code></pre>
+<p>Repeat the two rows until the cloth is long enough.</p></div><div class="pager"><a href="/1">Threads</a> <a href="/3">Exports</a></div><footer>Loom is free software.</footer></body></html>""",
+        "Patterns A pattern says for each thread of the warp when it is lifted. A first pattern Write one line for each row. A cross lifts the thread, a dot leaves it down. x.x. .x.x Repeat the two rows until the cloth is long enough.",
+    ),
 }
