@@ -418,7 +418,7 @@ def _frame_histogram(spark, d):
 @query("scene_change", with_(HIST, """, pa AS (SELECT video_id, frame_idx, bin, n AS a, 0 AS b FROM hi UNION ALL SELECT video_id, frame_idx + 1, bin, 0, n FROM hi), su AS (SELECT video_id, frame_idx, bin, sum(a) AS a, sum(b) AS b FROM pa GROUP BY ALL)
 SELECT f.video_id, f.frame_idx, round(CASE WHEN f.frame_idx = 1 THEN 0.0 ELSE coalesce(sum(abs(a - b)) FILTER (WHERE a <> b) / sum(a + b) FILTER (WHERE a <> b), 0.0) END, 6) AS scene_change FROM fr f JOIN su s ON f.video_id = s.video_id AND f.frame_idx = s.frame_idx GROUP BY f.video_id, f.frame_idx"""))
 def _scene_change(spark, d):
-    return frame_metrics.scene_change(metrics(spark, d, "histogram")).select("video_id", "frame_idx", "scene_change")
+    return frame_metrics.scene_change(frames(spark, d)).drop("ts")
 
 
 @query("frame_difference", with_(PIXELS, ", d AS (SELECT a.video_id, a.frame_idx, abs(a.r - coalesce(b.r, 0)) + abs(a.g - coalesce(b.g, 0)) + abs(a.b - coalesce(b.b, 0)) AS d FROM px a LEFT JOIN px b ON a.video_id = b.video_id AND a.frame_idx = b.frame_idx + 1 AND a.pos = b.pos) SELECT video_id, frame_idx, round(sum(d) / (64 * 765.0), 6) AS difference, round(avg(CASE WHEN d > 76.5 THEN 1.0 ELSE 0.0 END), 6) AS motion FROM d GROUP BY 1, 2"))

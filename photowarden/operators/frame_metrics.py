@@ -1,22 +1,29 @@
 """Per-frame metrics over pixels: one Arrow pass over the raster, numpy inside.
 
-The kernels that are asked for are chosen when the plan is built, and the luminance plane is computed once for all of
-them. Pixels are never exploded. Only the frame difference needs the previous raster (a lag of the bytes); the scene
-change needs only the previous 32-bin histogram.
+The kernels that are asked for are chosen when the plan is built, and the planes that several need are computed once for
+all of them. Pixels are never exploded.
+
+Frame difference and scene change compare a frame with the one before it. A task compares the frames that it reads one
+after the other itself; only the first and the last raster of each run of consecutive frames leave it, and the window over
+the narrow rows brings the last of one run to the first of the next. Frames in files in order cost two rasters a task;
+frames in no order at all cost each raster once, as an exchange of them would.
+
+A raster that is missing or shorter than width times height pixels is damaged: all its metrics are those of an empty
+frame, the metric `damaged` tells it, and the frame after it has no like frame before it.
 """
 
 from __future__ import annotations
 
-import itertools
+from collections import OrderedDict
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from photowarden.functions.color import LUMA
-from photowarden.operators.windows import by_frame
 from photowarden.runtime import ship
 
 _V = np.arange(256) / 255.0
@@ -27,12 +34,19 @@ _WEIGHTED = [w * LINEAR for w in LUMA]
 class Raster:
     """A frame's channels as (height, width) arrays, with planes that several kernels need computed once."""
 
-    def __init__(self, width: int, height: int, rgba: bytes):
-        self._pixels = np.frombuffer(rgba, np.uint8)[: width * height * 4].reshape(-1, 4)
+    def __init__(self, width: int | None, height: int | None, rgba: bytes | None):
+        width, height = max(width or 0, 0), max(height or 0, 0)
+        self.damaged = rgba is None or len(rgba) < width * height * 4
+        if self.damaged:
+            width = height = 0
+        self.bytes = np.frombuffer(rgba or b"", np.uint8)[: width * height * 4]
+        self._pixels = self.bytes.reshape(-1, 4)
         self._planes: list[np.ndarray | None] = [None] * 4
         self.width, self.height, self.size = width, height, width * height
         self._luma: np.ndarray | None = None
         self._opaque: bool | None = None
+        self._bins: np.ndarray | None = None
+        self._gradient: np.ndarray | None = None
 
     def _plane(self, k: int) -> np.ndarray:
         got = self._planes[k]
@@ -60,6 +74,20 @@ class Raster:
             self._luma += np.take(_WEIGHTED[2], self.b)
         return self._luma
 
+    @property
+    def bins(self) -> np.ndarray:
+        """The luminance bin of each pixel, of 32."""
+        if self._bins is None:
+            self._bins = np.minimum((self.luma * 255).astype(np.uint8) >> 3, 31)
+        return self._bins
+
+    @property
+    def gradient(self) -> np.ndarray:
+        """Gradient magnitude of the luminance of 0..1."""
+        if self._gradient is None:
+            self._gradient = sobel(self.luma)
+        return self._gradient
+
     def mean_luma(self) -> float:
         """By the plane if it is there, else by the counts of the channels' values."""
         if self._luma is not None:
@@ -135,40 +163,59 @@ def color_deviation(f: Raster, sample: int = 1024) -> tuple[float, float, float,
 
 
 def histogram(f: Raster) -> list[int]:
-    """32 luminance bins; transparent pixels count in `pixels_seen` only, see scene_change."""
-    bins = np.minimum((f.luma * 255).astype(np.int64) >> 3, 31)
-    return np.bincount(bins.ravel() if f.opaque else bins[f.a != 0], minlength=32).tolist()
+    """32 luminance bins of the pixels that aren't transparent."""
+    return np.bincount(f.bins.ravel() if f.opaque else f.bins[f.a != 0], minlength=32).tolist()
+
+
+@lru_cache(16)
+def _regions(width: int, height: int) -> tuple[np.ndarray, np.ndarray]:
+    """The region of each pixel, 2 * quadrant + (1 in the centre disc), and the pixels of each region."""
+    y, x = np.mgrid[:height, :width]
+    radius = 0.2 * min(width, height)
+    inner = (x - width / 2) ** 2 + (y - height / 2) ** 2 < radius * radius
+    region = 2 * (np.where(x < width / 2, 0, 1) + np.where(y < height / 2, 0, 2)) + inner
+    return region.ravel(), np.bincount(region.ravel(), minlength=8)
 
 
 def spatial(f: Raster) -> tuple[float, float, float, float, float, float]:
     """Mean luminance of the centre disc, the periphery and the four quadrants."""
-    y, x = np.mgrid[: f.height, : f.width]
-    radius = 0.2 * min(f.width, f.height)
-    inner = (x - f.width / 2) ** 2 + (y - f.height / 2) ** 2 < radius * radius
-    quadrant = np.where(x < f.width / 2, 0, 1) + np.where(y < f.height / 2, 0, 2)
-    mean = lambda mask: float(f.luma[mask].mean()) if mask.any() else 0.0
-    return mean(inner), mean(~inner), *(mean(quadrant == k) for k in range(4))
+    region, n = _regions(f.width, f.height)
+    total = np.bincount(region, f.luma.ravel(), minlength=8)
+    parts = [(total[1::2].sum(), n[1::2].sum()), (total[::2].sum(), n[::2].sum()), *((total[2 * k : 2 * k + 2].sum(), n[2 * k : 2 * k + 2].sum()) for k in range(4))]
+    return tuple(float(t / c) if c else 0.0 for t, c in parts)
 
 
 def edges(f: Raster, threshold: float = 50.0) -> tuple[float, int]:
-    count = int((sobel(f.luma * 255) > threshold).sum())
+    count = int(np.count_nonzero(f.gradient > threshold / 255))
     valid = (f.width - 2) * (f.height - 2)
     return (count / valid if f.width > 2 and f.height > 2 else 0.0), count
 
 
 def edge_map(f: Raster, threshold: float = 50.0) -> bytes:
-    return ((sobel(f.luma * 255) > threshold) * np.uint8(255)).tobytes()
+    return ((f.gradient > threshold / 255) * np.uint8(255)).tobytes()
+
+
+def block_deviations(plane: np.ndarray, block: int) -> np.ndarray:
+    """Population deviation of each block of the plane; blocks at the right and lower border may be smaller."""
+    rows, columns = np.arange(0, plane.shape[0], block), np.arange(0, plane.shape[1], block)
+    sums = lambda x: np.add.reduceat(np.add.reduceat(x, rows, 0), columns, 1)
+    high, wide = np.diff(np.append(rows, plane.shape[0])), np.diff(np.append(columns, plane.shape[1]))
+    n = high[:, None] * wide
+    mean = sums(plane) / n
+    rest = plane - np.repeat(np.repeat(mean, high, 0), wide, 1)  # squares of what is left lose nothing
+    rest *= rest
+    return np.sqrt(sums(rest) / n)
 
 
 def pattern(f: Raster, block: int = 8) -> float:
     """Mean block contrast and the periodicity of row sums of the edge plane, half each."""
-    blocks = [f.luma[y : y + block, x : x + block].std() / 0.5 for y in range(0, f.height, block) for x in range(0, f.width, block)]
-    rows = sobel(f.luma).sum(1)
-    d = rows - rows.mean()
+    contrast = float(block_deviations(f.luma, block).mean() / 0.5) if f.size else 0.0
+    rows = f.gradient.sum(1)
+    d = rows - rows.mean() if f.size else rows
     best = max([0.0, *(float((d[:-lag] * d[lag:]).sum() / (f.height - lag)) for lag in range(2, min(20, f.height >> 1)))])
     total = np.abs(d).sum()
     periodic = min(best / (total / f.height + 1e-6), 1.0) if total > 1e-6 else 0.0
-    return float(max(0.0, min(0.5 * (sum(blocks) / len(blocks) if blocks else 0.0) + 0.5 * periodic, 1.0)))
+    return float(max(0.0, min(0.5 * contrast + 0.5 * periodic, 1.0)))
 
 
 def palette(f: Raster, n: int = 5) -> list[dict]:
@@ -232,6 +279,7 @@ KERNELS: dict[str, tuple[Callable, str, tuple[str, ...]]] = {
     "edge_map": (edge_map, "binary", ()),
     "pattern": (pattern, "double", ()),
     "histogram": (histogram, "array<bigint>", ()),
+    "damaged": (lambda f: f.damaged, "boolean", ()),
     "palette": (palette, "array<struct<r: int, g: int, b: int, count: bigint>>", ()),
     "pixel_contrast": (lambda f: contrast(lab_plane(f)), _CONTRAST_TYPE, ()),
 }
@@ -242,53 +290,145 @@ def kernel_type(name: str) -> str:
     return "struct<" + ", ".join(f"{p}: {kind}" for p in parts) + ">" if parts else kind
 
 
-def frame_metrics(frames: DataFrame, metrics: list[str], with_difference: bool = False) -> DataFrame:
-    """video_id, frame_idx, ts and one column a metric of KERNELS; with_difference also difference and motion.
+#: What compares a frame with the one before it, in the order of compare().
+PAIRS = ("difference", "motion", "scene_change")
+#: Videos of which a task keeps the last raster.
+MOST_RUNS = 32
+#: Rows of a frame within a run, of a run's last raster, and of a run's first frame with its raster.
+_INNER, _LAST, _FIRST = 0, 1, 2
+
+
+class Runs:
+    """The last raster of each video in a task's order of rows."""
+
+    def __init__(self, stride: int):
+        self.stride = stride
+        self.open: OrderedDict = OrderedDict()
+
+    def follow(self, video, frame: int | None, raster: Raster) -> tuple[Raster | None, list[tuple]]:
+        """The raster before, if this frame continues its video's run; and the last (video, frame, raster) of runs that
+        end here. A run of one frame has no last raster: its first is it."""
+        number, before, length = self.open.pop(video, (None, None, 0))
+        goes_on = number is not None and frame is not None and frame == number + self.stride
+        ended = [(video, number, before)] if before is not None and not goes_on and length > 1 else []
+        self.open[video] = (frame, raster, length + 1 if goes_on else 1)
+        if len(self.open) > MOST_RUNS:
+            ended += self._ends(*self.open.popitem(last=False))
+        return (before if goes_on else None), ended
 
-    One pass over the pixels. Only the difference needs the frames of a video in order, and so an exchange of them.
+    @staticmethod
+    def _ends(video, run: tuple) -> list[tuple]:
+        return [(video, run[0], run[1])] if run[2] > 1 else []
+
+    def close(self) -> list[tuple]:
+        return [x for video, run in self.open.items() for x in self._ends(video, run)]
+
+
+def frame_metrics(frames: DataFrame, metrics: list[str], with_difference: bool = False, with_scene_change: bool = False, stride: int = 1) -> DataFrame:
+    """video_id, frame_idx, ts and one column a metric of KERNELS; with_difference also difference and motion,
+    with_scene_change also scene_change. One pass over the pixels.
+
+    stride: what consecutive frame numbers differ by; where they differ by something else rasters go through the exchange.
     """
-    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     ship()
     kinds = {m: kernel_type(m) for m in metrics}
-    arrow = {m: to_arrow_type(_parse_datatype_string(k)) for m, k in kinds.items()}
     plan = [(m, KERNELS[m][0], KERNELS[m][2]) for m in metrics]
+    pairs = [*PAIRS[:2]] * with_difference + [PAIRS[2]] * with_scene_change
+    rows = frames.select("video_id", "frame_idx", "ts", "width", "height", "rgba")
+    own = ", ".join(f"{n} {k}" for n, k in rows.dtypes[:3]) + "".join(f", {m} {k}" for m, k in kinds.items())
+    schema = own + ("".join(f", {p} double" for p in pairs) + ", _kind int, _width int, _height int, _raster binary" if pairs else "")
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    at = [PAIRS.index(p) for p in pairs]
 
     def run(batches):
+        runs = Runs(stride)
+        empty = [None] * (len(metrics) + len(pairs))
+        border = lambda kind, f: [kind, f.width, f.height, f.bytes.tobytes()]
+
+        def packed(found: list[list]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), arrow, strict=True)], arrow.names)
+
         for batch in batches:
-            found: list[list] = [[] for _ in plan]
-            moved: list[tuple[float, float]] = []
-            past = batch.column(6).to_pylist() if with_difference else itertools.repeat(None)
-            for w, h, rgba, before in zip(*(batch.column(k).to_pylist() for k in (3, 4, 5)), past, strict=False):
-                raster = Raster(w or 0, h or 0, rgba or b"")
-                for column, (_, kernel, parts) in zip(found, plan, strict=True):
+            found = []
+            for video, frame, ts, w, h, rgba in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                raster = Raster(w, h, rgba)
+                row = [video, frame, ts]
+                for _, kernel, parts in plan:
                     value = kernel(raster)
-                    column.append(dict(zip(parts, map(float, value), strict=True)) if parts else value)
-                if with_difference:
-                    n = (w or 0) * (h or 0) * 4
-                    moved.append(difference(np.frombuffer(rgba or b"", np.uint8)[:n], np.frombuffer(before, np.uint8)[:n] if before is not None else None))
-            extra = [pa.array([m[k] for m in moved], pa.float64()) for k in (0, 1)] if with_difference else []
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, arrow[m]) for c, m in zip(found, metrics, strict=True)), *extra], ["video_id", "frame_idx", "ts", *metrics, *["difference", "motion"][: len(extra)]])
-
-    rows = frames.select("video_id", "frame_idx", "ts", "width", "height", "rgba")
-    if with_difference:
-        w = by_frame()
-        same = (F.lag("width").over(w) == F.col("width")) & (F.lag("height").over(w) == F.col("height"))
-        rows = rows.withColumn("before", F.when(same, F.lag("rgba").over(w)))
-    head = ", ".join(f"{n} {k}" for n, k in rows.dtypes[:3])
-    return rows.mapInArrow(run, head + "".join(f", {m} {k}" for m, k in kinds.items()) + ", difference double, motion double" * with_difference)
+                    row.append(dict(zip(parts, map(float, value), strict=True)) if parts else value)
+                if pairs:
+                    before, ended = runs.follow(video, frame, raster)
+                    found += [[v, n, None, *empty, *border(_LAST, f)] for v, n, f in ended]
+                    if before is None:
+                        row += [*empty[len(metrics) :], *border(_FIRST, raster)]
+                    else:
+                        got = compare(raster, before, with_scene_change)
+                        row += [*(got[k] for k in at), _INNER, None, None, None]
+                found.append(row)
+            if found:
+                yield packed(found)
+        if pairs and (ended := runs.close()):
+            yield packed([[v, n, None, *empty, *border(_LAST, f)] for v, n, f in ended])
+
+    made = rows.mapInArrow(run, schema)
+    return _across_runs(made, pairs, with_scene_change) if pairs else made
+
+
+def _across_runs(rows: DataFrame, pairs: list[str], scene: bool) -> DataFrame:
+    """Compares the first frame of each run with the last of the run before it."""
+    at = [PAIRS.index(p) for p in pairs]
+
+    @F.arrow_udf("struct<" + ", ".join(f"{p}: double" for p in pairs) + ">")
+    def met(kind: pa.Array, width: pa.Array, height: pa.Array, raster: pa.Array, width_before: pa.Array, height_before: pa.Array, before: pa.Array) -> pa.Array:
+        found: list = [None] * len(kind)
+        for k in np.flatnonzero(kind.to_numpy(zero_copy_only=False) == _FIRST).tolist():
+            now = Raster(width[k].as_py(), height[k].as_py(), raster[k].as_py())
+            then = before[k].as_py()
+            got = compare(now, Raster(width_before[k].as_py(), height_before[k].as_py(), then) if then is not None else None, scene)
+            found[k] = dict(zip(pairs, (got[j] for j in at), strict=True))
+        return pa.array(found, pa.struct([(p, pa.float64()) for p in pairs]))
+
+    w = Window.partitionBy("video_id").orderBy("frame_idx", "_kind")
+    held = ("_width", "_height", "_raster")
+    rows = rows.withColumns({f"{c}_before": F.lag(c).over(w) for c in held}).filter(F.col("_kind") != _LAST)
+    rows = rows.withColumn("_met", met("_kind", *held, *(f"{c}_before" for c in held)))
+    return rows.withColumns({p: F.coalesce(p, F.col(f"_met.{p}")) for p in pairs}).drop("_met", "_kind", *held, *(f"{c}_before" for c in held))
+
+
+def compare(now: Raster, before: Raster | None, scene: bool = True) -> tuple[float, float, float]:
+    """The values of PAIRS; a missing frame before, or one of another size, is black, and no change of scene."""
+    like = before if before is not None and (before.width, before.height) == (now.width, now.height) else None
+    return (*difference(now.bytes, like.bytes if like is not None else None), scene_score(now, like) if scene and like is not None else 0.0)
 
 
 def difference(now: np.ndarray, before: np.ndarray | None, motion_share: float = 0.1) -> tuple[float, float]:
     """Mean channel difference, and share of pixels that moved by more than motion_share; no frame before is black."""
     if not now.size:
         return 0.0, 0.0
-    px = now.reshape(-1, 4).astype(np.int16)
+    px = now.reshape(-1, 4)
     if before is not None:
-        px = np.abs(px - before.reshape(-1, 4))
-    d = px[:, 0] + px[:, 1] + px[:, 2]
-    return float(d.sum(dtype=np.int64) / (len(d) * 765)), float((d > motion_share * 765).mean())
+        other = before.reshape(-1, 4)
+        px = np.maximum(px, other) - np.minimum(px, other)
+    d = px[:, 0].astype(np.int16)
+    d += px[:, 1]
+    d += px[:, 2]
+    return float(d.sum(dtype=np.int64) / (len(d) * 765)), float(np.count_nonzero(d > motion_share * 765) / len(d))
+
+
+def scene_score(now: Raster, before: Raster) -> float:
+    """Normalised difference of the 32-bin histograms; pixels that are transparent in both frames don't count, and only
+    bins that differ do."""
+    if now.opaque or before.opaque:
+        a, b = (np.bincount(f.bins.ravel(), minlength=32) for f in (now, before))
+    else:
+        seen = (now.a != 0) | (before.a != 0)
+        a, b = (np.bincount(f.bins[seen], minlength=32) for f in (now, before))
+    differs = a != b
+    below = (a + b)[differs].sum()
+    return float(np.abs(a - b).sum() / below) if below else 0.0
 
 
 def frame_difference(frames: DataFrame) -> DataFrame:
@@ -296,17 +436,9 @@ def frame_difference(frames: DataFrame) -> DataFrame:
     return frame_metrics(frames, [], with_difference=True)
 
 
-def scene_change(with_histogram: DataFrame) -> DataFrame:
-    """Adds scene_change: normalised difference of 32-bin histograms of consecutive frames; 0 without a previous one.
-
-    Only bins that differ count, in numerator and denominator.
-    """
-    before = F.lag("histogram").over(by_frame())
-    differs = F.filter(F.arrays_zip(F.col("histogram").alias("a"), F.col("_before").alias("b")), lambda p: p["a"] != p["b"])
-    add = lambda f: F.aggregate(differs, F.lit(0).cast("long"), lambda s, p: s + f(p))
-    below = add(lambda p: p["a"] + p["b"])
-    score = F.when(F.col("_before").isNotNull() & (below > 0), add(lambda p: F.abs(p["a"] - p["b"])) / below).otherwise(0.0)
-    return with_histogram.withColumn("_before", before).withColumn("scene_change", score).drop("_before")
+def scene_change(frames: DataFrame) -> DataFrame:
+    """scene_change against the previous frame of the video; 0 for a missing or unlike previous frame."""
+    return frame_metrics(frames, [], with_scene_change=True)
 
 
 def pixels(frames: DataFrame) -> DataFrame:

@@ -18,18 +18,17 @@ from photowarden.operators.windows import by_frame, so_far
 from photowarden.params import Flags, Sampling, Thresholds
 from photowarden.sources.store import materialized
 
-PIXEL_METRICS = ["brightness", "coverage", "red_intensity", "dominant_color", "entropy", "chromatic", "color_deviation", "spatial", "edges", "pattern", "histogram", "pixel_contrast"]
+PIXEL_METRICS = ["brightness", "coverage", "red_intensity", "dominant_color", "entropy", "chromatic", "color_deviation", "spatial", "edges", "pattern", "pixel_contrast"]
 KEYS = ["video_id", "frame_idx"]
 
 
 def analyze(frames: DataFrame, thresholds: Thresholds | None = None, flags: Flags | None = None, sampling: Sampling | None = None, spectral_fps: float = 60.0) -> DataFrame:
     """One row a frame: video_id, frame_idx and the nested metrics. Flags decide which optional groups are planned."""
     thresholds, flags, sampling = thresholds or Thresholds(), flags or Flags(), sampling or Sampling()
-    rows = frame_metrics.frame_metrics(frames, PIXEL_METRICS, with_difference=True)
+    rows = frame_metrics.frame_metrics(frames, PIXEL_METRICS, with_difference=True, with_scene_change=True)
     start = F.min("ts").over(so_far())
     rows = rows.withColumn("relative_timestamp", F.col("ts") - start)
     rows = flash.temporal_change(flash.with_flashes(rows, thresholds.brightness_change))
-    rows = frame_metrics.scene_change(rows).drop("histogram")
     rows = temporal.flicker_frequency(rows, thresholds.brightness_change)
     rows = temporal.temporal_contrast(rows, compat=flags.compat)
     rows = temporal.coherence(rows)
