@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from photowarden.llm import common
-from photowarden.llm.components import connected_components
+from photowarden.llm.components import contracted_components
 
 THRESHOLD = 0.95
 #: Bytes and rows of a block at most; small inputs have about BLOCKS blocks of at least LEAST_ROWS rows.
@@ -310,7 +310,7 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     met = sides.join(blocks.select("block", "classes", "copies", "vecs"), "block").groupBy("left", "right").applyInArrow(compare, "class long, found long, a long, b long")
     met = scratch.written(met, "met")
     counts = met.filter("class is not null").groupBy("class").agg(F.sum("found").alias("found"))
-    joined = connected_components(met.filter("a is not null").select("a", "b"), "a", "b", scratch, "components").withColumnRenamed("node", "class")
+    joined = contracted_components(met.filter("a is not null").select("a", "b"), "a", "b", scratch, "components").withColumnRenamed("node", "class")
     lowest = classes.select("class", "least").join(joined, "class").groupBy("component").agg(F.min("least").alias("lowest"))
     facts = classes.join(counts, "class", "left").join(joined, "class", "left").join(lowest, "component", "left")
     facts = scratch.written(facts.select("vec", (F.col("copies") - 1 + F.coalesce("found", F.lit(0))).alias("n_links"), F.coalesce("lowest", "least").alias("component_id")), "facts")
