@@ -141,18 +141,19 @@ def _dense(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order of the keys and each one's dense rank from 1."""
     order = np.argsort(key, kind="stable")
     sorted_key = key[order]
-    new = np.ones(len(key), np.int64)
-    new[1:] = sorted_key[1:] != sorted_key[:-1]
-    rank = np.empty(len(key), np.int64)
-    rank[order] = np.cumsum(new)
-    return order, rank
+    new = np.ones(len(key), bool)
+    np.not_equal(sorted_key[1:], sorted_key[:-1], out=new[1:])
+    rank = np.empty(len(key), np.int32)
+    rank[order] = np.cumsum(new, dtype=np.int32)
+    return order.astype(np.int32), rank
 
 
 def _behind(rank: np.ndarray, k: int, room: np.ndarray) -> np.ndarray:
     """The rank k words on, 0 beyond the piece's end."""
     out = np.zeros(len(rank), np.int64)
     out[:-k] = rank[k:]
-    return np.where(room > k, out, 0)
+    out[room <= k] = 0
+    return out
 
 
 def suffix_array(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,21 +163,22 @@ def suffix_array(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = np.flatnonzero(ids)
     if not len(at):
         return at, at, at
-    place = np.arange(len(ids))
-    room = np.minimum(ends[np.searchsorted(ends, place)] - place, MOST_WORDS)
+    lengths = np.diff(ends, prepend=-1)  # of pieces with their end
+    room = np.minimum(np.repeat(ends, lengths) - np.arange(len(ids)), MOST_WORDS).astype(np.int8)
     ranks = {1: ids}
-    for k in (1, 2):
-        key = ranks[k] * (int(ranks[k].max()) + 1) + _behind(ranks[k], k, room)
-        ranks[2 * k] = _dense(np.where(ids > 0, key, 0))[1]
-    key = ranks[4] * (int(ids.max()) + 1) + _behind(ids, 4, room)
-    order, ranks[5] = _dense(np.where(ids > 0, key, 0))
+    for k, more in ((1, 1), (2, 2), (4, 1)):
+        key = _behind(ranks[more], k, room)
+        key += ranks[k].astype(np.int64) * (int(ranks[more].max()) + 1)
+        key[ids == 0] = 0
+        order, ranks[k + more] = _dense(key)
+    del key
     order = order[len(ids) - len(at) :]  # separators come first
     last, this = order[:-1], order[1:]
     third = _behind(ids, 2, room)
-    same = np.zeros(len(order), np.int64)
+    same = np.zeros(len(order), np.int8)
     alike = [ids[this] == ids[last], ranks[2][this] == ranks[2][last]]
     alike += [alike[1] & (third[this] == third[last]), ranks[4][this] == ranks[4][last], ranks[5][this] == ranks[5][last]]
-    same[1:] = np.minimum(np.sum(alike, axis=0), np.minimum(room[this], room[last]))
+    same[1:] = np.minimum(sum(x.astype(np.int8) for x in alike), np.minimum(room[this], room[last]))
     return order, same, room[order]
 
 
@@ -198,7 +200,7 @@ class Shard:
         wide = _width(len(ends))
         raw = np.zeros((len(row["ids"]) // wide, 4), np.uint8)
         raw[:, :wide] = np.frombuffer(row["ids"], np.uint8).reshape(-1, wide)
-        self.ids = raw.view("<u4").ravel().astype(np.int64)
+        self.ids = raw.view("<i4").ravel()
         self.order, self.same, self.room = suffix_array(self.ids)
 
     def lang_of(self, at: np.ndarray) -> np.ndarray:
