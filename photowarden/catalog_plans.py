@@ -6,8 +6,6 @@ The SQL of the composed analysis is that of the single operators with its signal
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +16,7 @@ from photowarden.functions import color
 from photowarden.operators import flash, frame_metrics, risk, spectral
 from photowarden.params import Flags, Thresholds
 from photowarden.plans import analysis
-from photowarden.runtime import shared_folder
+from photowarden.runtime import passing_folder
 from photowarden.sources import importers, sinks
 from photowarden.streaming import live
 
@@ -256,7 +254,7 @@ def _cluster_list(spark, d):
 
 
 def _new_folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
+    return passing_folder(spark, "export")
 
 
 def _plain(spark: SparkSession, d: str) -> DataFrame:
@@ -319,7 +317,7 @@ def _live_violations(spark, d):
     """Closed windows from a stream of the signal, kept batch by batch by the Parquet sink."""
     path = _new_folder(spark)
     signal(spark, d).select(F.col("video_id").cast("string").alias("video_id"), F.col("frame_idx").cast("long").alias("frame_idx"), "ts", "brightness").write.parquet(f"{path}/in")
-    stream = spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).parquet(f"{path}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
     found = live.flash_events(live.with_event_time(stream), 0.1, GAP)
     run = found.writeStream.foreachBatch(sinks.append_sink(f"{path}/out")).option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -37,3 +38,11 @@ def shared_folder(spark: SparkSession) -> str:
     if getattr(sc, "_photowarden_folder", None) is None:
         sc._photowarden_folder = "file://" + tempfile.mkdtemp(prefix="photowarden-")
     return sc._photowarden_folder
+
+
+def passing_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one for what an application reads back itself; it goes when the application ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
+    return path

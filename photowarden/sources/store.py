@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 
-from photowarden.runtime import shared_folder
+from photowarden.runtime import passing_folder
 
 
 def materialized(df: DataFrame) -> DataFrame:
-    """df, written once and read back: several readers don't compute it again."""
-    path = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    """df, written once and read back: several readers don't compute it again. The table goes when the application ends."""
+    path = passing_folder(df.sparkSession, "rows")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -19,57 +19,79 @@ STATE = "prev double, ws double, wf long, k long, cs double, cl double, cf long,
 _EMPTY = (None, None, None, 0, None, None, None, None, 0, None, 0)
 
 
+#: Seconds that event_time is after ts: a watermark begins at 0, and a frame at or before it counts as late.
+EVENT_START = 86_400
+
+
 def with_event_time(frames: DataFrame, delay: str = "10 seconds") -> DataFrame:
-    """Adds event_time from ts (seconds) and its watermark."""
-    return frames.withColumn("event_time", F.timestamp_micros((F.col("ts") * 1_000_000).cast("long"))).withWatermark("event_time", delay)
+    """Adds event_time from ts (seconds, a day on) and its watermark."""
+    return frames.withColumn("event_time", F.timestamp_micros(((F.col("ts") + EVENT_START) * 1_000_000).cast("long"))).withWatermark("event_time", delay)
+
+
+def event_ms(ts: float) -> int:
+    """event_time of a ts in milliseconds."""
+    return int((ts + EVENT_START) * 1000)
+
+
+def advance(video: str, s: tuple, ts: list, frames: list, brightness: list, threshold: float, gap: float, allowed: int, length: float) -> tuple[tuple, list]:
+    """The state after some frames in order, and the rows of OUT that end in them."""
+    prev, ws, wf, k, cs, cl, cf, ce, cn, last, n = s
+    out = []
+    for t, frame, b in zip(ts, frames, brightness, strict=True):
+        n += 1
+        if prev is not None and abs(b - prev) > threshold:
+            if ws is None:
+                ws, wf, k = t, frame, 1
+            else:
+                k += 1
+            if cn and t - cl > gap:
+                out.append((video, "cluster", cs, cl, cf, ce, cn, False))
+                cn = 0
+            if not cn:
+                cs, cf = t, frame
+            cl, ce, cn = t, frame, cn + 1
+        if ws is not None and t >= ws + length:
+            if k > allowed:
+                out.append((video, "violation", ws, ws + length, wf, frame - 1, k, False))
+            ws, wf, k = None, None, 0
+        prev, last = b, t
+    return (prev, ws, wf, k, cs, cl, cf, ce, cn, last, n), out
 
 
-def flash_events(frames: DataFrame, threshold: float = 0.2, gap: float = 0.3, allowed: int = 3, length: float = 1.0, quiet_ms: int = 5_000) -> DataFrame:
-    """Violation windows and closed clusters as they end (append mode); a quiet video gives its open ones."""
+def ending(video: str, s: tuple, allowed: int, length: float) -> list:
+    """The rows of OUT that a video's end gives: its open window, from half its length on, and its open cluster."""
+    _, ws, wf, k, cs, cl, cf, ce, cn, last, n = s
+    out = []
+    if ws is not None:
+        end = min(ws + length, last)
+        if end - ws >= length / 2 and k > allowed:
+            out.append((video, "violation", ws, end, wf, n, k, True))
+    if cn:
+        out.append((video, "cluster", cs, cl, cf, ce, cn, False))
+    return out
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = list(state.get) if state.exists else list(_EMPTY)
-        prev, ws, wf, k, cs, cl, cf, ce, cn, last, n = (None if isinstance(v, float) and v != v else v for v in s)
-        out = []
-        video = str(key[0])
 
-        def violation(end: float, frame: int, incomplete: bool) -> None:
-            if k > allowed:
-                out.append((video, "violation", ws, end, wf, frame, k, incomplete))
+def cleaned(s) -> tuple:
+    """A state as read back: what was None isn't a number."""
+    return tuple(None if isinstance(v, float) and v != v else v for v in s)
 
-        def cluster() -> None:
-            if cn:
-                out.append((video, "cluster", cs, cl, cf, ce, cn, False))
 
+def flash_events(frames: DataFrame, threshold: float = 0.2, gap: float = 0.3, allowed: int = 3, length: float = 1.0, quiet_ms: int = 5_000) -> DataFrame:
+    """Violation windows and closed clusters as they end (append mode); a quiet video gives its open ones.
+
+    Frames are put in order within a micro-batch; `ordered.flash_events_in_order` does so across them.
+    """
+
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        s, video = cleaned(state.get) if state.exists else _EMPTY, str(key[0])
         if state.hasTimedOut:
-            if ws is not None:
-                end = min(ws + length, last)
-                if end - ws >= length / 2:
-                    violation(end, n, True)
-            cluster()
+            out = ending(video, s, allowed, length)
             state.remove()
         else:
-            frames = pd.concat(list(batches)).sort_values(["ts", "frame_idx"], kind="stable")
-            for t, frame, b in zip(frames["ts"].tolist(), frames["frame_idx"].tolist(), frames["brightness"].tolist(), strict=True):
-                n += 1
-                is_flash = prev is not None and abs(b - prev) > threshold
-                if is_flash:
-                    if ws is None:
-                        ws, wf, k = t, frame, 1
-                    else:
-                        k += 1
-                    if cn and t - cl > gap:
-                        cluster()
-                        cn = 0
-                    if not cn:
-                        cs, cf = t, frame
-                    cl, ce, cn = t, frame, cn + 1
-                if ws is not None and t >= ws + length:
-                    violation(ws + length, frame - 1, False)
-                    ws, wf, k = None, None, 0
-                prev, last = b, t
-            state.update((prev, ws, wf, k, cs, cl, cf, ce, cn, last, n))
-            state.setTimeoutTimestamp(max(int(last * 1000) + quiet_ms, state.getCurrentWatermarkMs() + 1))
+            rows = pd.concat(list(batches)).sort_values(["ts", "frame_idx"], kind="stable")
+            s, out = advance(video, s, rows["ts"].tolist(), rows["frame_idx"].tolist(), rows["brightness"].tolist(), threshold, gap, allowed, length)
+            state.update(s)
+            state.setTimeoutTimestamp(max(event_ms(s[9]) + quiet_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in OUT.split(", ")])
 
     return frames.groupBy("video_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
