@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from photowarden.catalog import (
     CLUSTERS, ORACLES, QUERIES, COHERENCE, COLORS, FLAGGED, GAP, HIST, PIXEL_CONTRAST, PIXELS, RATES, SIGNAL, SOBEL, W, WINDOWS, colors, flagged, frames, lab_sql, metrics, query, signal, smooth_lin_sql, table, with_,
@@ -17,7 +18,8 @@ from photowarden.operators import flash, frame_metrics, risk, spectral
 from photowarden.params import Flags, Thresholds
 from photowarden.plans import analysis
 from photowarden.runtime import passing_folder
-from photowarden.sources import importers, sinks
+from photowarden.sources import documents, importers, sinks
+from photowarden.sources.frames import frames_from_embeddings
 from photowarden.streaming import live
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -296,6 +298,44 @@ def _chart_import(spark, d):
     return importers.read_json_document(spark, f"{path}/json", out.schema)
 
 
+def _reports(spark, d, rows: DataFrame, **options) -> str:
+    path = _new_folder(spark)
+    documents.write_reports(rows, path, made_at="2024-01-01T00:00:00.000Z", **options)
+    return path
+
+
+def _event_report(spark, d) -> str:
+    return _reports(spark, d, event_rows(spark, d).withColumn("timestamp", F.col("ts")))
+
+
+@query("report_metadata", with_(FLAGGED, """SELECT video_id::VARCHAR AS video_title, '2024-01-01T00:00:00.000Z' AS analysis_date, count(*) AS total_frames_analyzed, count_if(is_flash)::BIGINT AS total_flashes_detected,
+  CASE WHEN count(*) > 5 THEN 'high' ELSE 'low' END AS risk_level, false AS red_metrics_enabled, false AS temporal_contrast_enabled, 0.0::DOUBLE AS spectral_bin_resolution, count(*) AS entries FROM flagged GROUP BY video_id"""))
+def _report_metadata(spark, d):
+    """The metadata of each video's document, and how many entries it has, read as whole documents."""
+    meta = "struct<videoTitle: string, analysisDate: string, totalFramesAnalyzed: bigint, totalFlashesDetected: bigint, riskLevel: string, redMetricsEnabled: boolean, temporalContrastEnabled: boolean, spectralBinResolution: double>"
+    back = spark.read.schema(f"metadata {meta}, analysis array<struct<timestamp: string>>, colorHistory struct<r: array<double>>").option("multiLine", True).option("mode", "FAILFAST").json(_event_report(spark, d))
+    names = ("video_title", "analysis_date", "total_frames_analyzed", "total_flashes_detected", "risk_level", "red_metrics_enabled", "temporal_contrast_enabled", "spectral_bin_resolution")
+    return back.select("metadata.*", F.size("analysis").cast("long").alias("entries")).toDF(*names, "entries")
+
+
+@query("report_entries", with_(FLAGGED, "SELECT round(ts, 6) AS timestamp, round(round(brightness, 4), 6) AS brightness, is_flash, round(round(intensity, 4), 6) AS intensity, 0.0::DOUBLE AS entropy, 0::BIGINT AS edge_count FROM flagged WHERE ts >= 0"))
+def _report_entries(spark, d):
+    """The entries of all documents, read in many ranges of bytes."""
+    schema = T.StructType.fromDDL("timestamp string, brightness string, isFlash boolean, intensity string, entropy string, edgeDetection struct<count: bigint>")
+    back = importers.documents.read_rows(spark, _event_report(spark, d), schema, 5_000)
+    return back.select(F.col("timestamp").cast("double").alias("timestamp"), F.col("brightness").cast("double").alias("brightness"), F.col("isFlash").alias("is_flash"), F.col("intensity").cast("double").alias("intensity"), F.col("entropy").cast("double").alias("entropy"), F.col("edgeDetection.count").alias("edge_count"))
+
+
+@query("report_history", with_(COLORS, """, o AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx DESC) AS k, count(*) OVER (PARTITION BY video_id) AS n FROM col)
+SELECT video_id::VARCHAR AS video_title, (least(n, 30) - k)::INTEGER AS place, round(r, 6) AS r, round(g, 6) AS g, round(b, 6) AS b FROM o WHERE k <= 30"""))
+def _report_history(spark, d):
+    """The colour history of each video's document."""
+    path = _reports(spark, d, analyzed(spark, d), red=True, temporal_contrast=True)
+    back = spark.read.schema("metadata struct<videoTitle: string>, colorHistory struct<r: array<double>, g: array<double>, b: array<double>>").option("multiLine", True).json(path)
+    each = back.select(F.col("metadata.videoTitle").alias("video_title"), F.posexplode(F.arrays_zip("colorHistory.r", "colorHistory.g", "colorHistory.b")).alias("place", "c"))
+    return each.select("video_title", "place", "c.r", "c.g", "c.b")
+
+
 @query("exported_formats", with_(FLAGGED, "SELECT unnest(['csv', 'json', 'ndjson', 'summary']) AS format, unnest([count(*), count(*), count(*), count(DISTINCT video_id)]) AS n FROM flagged WHERE ts >= 0"))
 def _exported_formats(spark, d):
     path, rows = _new_folder(spark), _plain(spark, d)
@@ -309,6 +349,40 @@ def _exported_formats(spark, d):
     return named[0].unionByName(named[1]).unionByName(named[2]).unionByName(named[3])
 
 
+# ---- transparent pixels -------------------------------------------------------------------------------------------------
+
+
+def _clear_frames(spark, d) -> DataFrame:
+    return frames_from_embeddings(table(spark, d, "embeddings"), transparent_below=96)
+
+
+CLEAR = PIXELS + ", cl AS (SELECT *, b < 96 AS clear, least(31, floor(floor(lum * 255) / 8))::INTEGER AS bin, greatest(0, least(255, floor(lum * 255 + 0.5))) AS shade FROM px), se AS (SELECT * FROM cl WHERE NOT clear)"
+
+
+@query("transparent_kernels", with_(CLEAR, """, eh AS (SELECT video_id, frame_idx, shade, count(*) AS c FROM se GROUP BY ALL), ep AS (SELECT *, c / sum(c) OVER (PARTITION BY video_id, frame_idx) AS p FROM eh), en AS (SELECT video_id, frame_idx, -sum(p * log2(p)) AS entropy FROM ep GROUP BY 1, 2),
+of AS (SELECT video_id, frame_idx, avg(r) AS r, avg(g) AS g, avg(b) AS b, avg(abs(r - g)) / sqrt(2) / 255 AS red_green, avg(abs(b - (r + g) / 2.0)) / sqrt(6) / 255 AS blue_yellow FROM se GROUP BY 1, 2)
+SELECT f.video_id, f.frame_idx, round(coalesce(r, 0.0), 6) AS r, round(coalesce(g, 0.0), 6) AS g, round(coalesce(b, 0.0), 6) AS b, round(coalesce(entropy, 0.0), 6) AS entropy, round(coalesce(red_green, 0.0), 6) AS red_green, round(coalesce(blue_yellow, 0.0), 6) AS blue_yellow
+FROM fr f LEFT JOIN of USING (video_id, frame_idx) LEFT JOIN en USING (video_id, frame_idx)"""))
+def _transparent_kernels(spark, d):
+    rows = frame_metrics.frame_metrics(_clear_frames(spark, d), ["dominant_color", "entropy", "chromatic"])
+    return rows.select("video_id", "frame_idx", "dominant_color.*", "entropy", "chromatic.*")
+
+
+@query("transparent_palette", with_(CLEAR, ", k AS (SELECT video_id, frame_idx, r // 32 * 32 AS r, g // 32 * 32 AS g, b // 32 * 32 AS b, count(*) AS n FROM se GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY video_id, frame_idx ORDER BY n DESC, r, g, b)::INTEGER AS place FROM k) SELECT video_id, frame_idx, place, r, g, b, n FROM o WHERE place <= 5"))
+def _transparent_palette(spark, d):
+    rows = frame_metrics.frame_metrics(_clear_frames(spark, d), ["palette"]).select("video_id", "frame_idx", F.posexplode("palette").alias("p", "c"))
+    return rows.select("video_id", "frame_idx", (F.col("p") + 1).alias("place"), "c.r", "c.g", "c.b", F.col("c.count").alias("n"))
+
+
+@query("transparent_scene_change", with_(CLEAR, """, pr AS (SELECT a.video_id, a.frame_idx, a.bin AS now, b.bin AS before FROM cl a JOIN cl b ON a.video_id = b.video_id AND a.frame_idx = b.frame_idx + 1 AND a.pos = b.pos WHERE NOT (a.clear AND b.clear)),
+hb AS (SELECT video_id, frame_idx, bin, sum(a) AS a, sum(b) AS b FROM (SELECT video_id, frame_idx, now AS bin, 1 AS a, 0 AS b FROM pr UNION ALL SELECT video_id, frame_idx, before, 0, 1 FROM pr) GROUP BY ALL),
+sc AS (SELECT video_id, frame_idx, sum(abs(a - b)) FILTER (WHERE a <> b) / sum(a + b) FILTER (WHERE a <> b) AS s FROM hb GROUP BY 1, 2)
+SELECT f.video_id, f.frame_idx, round(coalesce(s, 0.0), 6) AS scene_change FROM fr f LEFT JOIN sc USING (video_id, frame_idx)"""))
+def _transparent_scene_change(spark, d):
+    """A pixel that is transparent in one of two frames only counts in both histograms."""
+    return frame_metrics.scene_change(_clear_frames(spark, d)).drop("ts")
+
+
 # ---- streams ------------------------------------------------------------------------------------------------------------
 
 

@@ -64,12 +64,13 @@ def byte_of(x: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(255), F.floor((x.cast("double") + 0.5) * 255))).cast("int")
 
 
-def frames_from_embeddings(embeddings: DataFrame, fps: float = 30.0) -> DataFrame:
-    """8x8 frames of each label's vectors; red, green and blue are the bytes shifted by 0, 21 and 42 places."""
+def frames_from_embeddings(embeddings: DataFrame, fps: float = 30.0, transparent_below: int = 0) -> DataFrame:
+    """8x8 frames of each label's vectors; red, green and blue are the bytes shifted by 0, 21 and 42 places. Pixels whose
+    blue is below `transparent_below` are transparent."""
     order = Window.partitionBy("label").orderBy("vec_id")
     bytes_ = F.transform("embedding", byte_of)
     two = lambda v: F.lpad(F.hex(v), 2, "0")
-    pixels = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.concat(two(F.get("b", i)), two(F.get("b", (i + 21) % 64)), two(F.get("b", (i + 42) % 64)), F.lit("FF")))
+    pixels = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.concat(two(F.get("b", i)), two(F.get("b", (i + 21) % 64)), two(F.get("b", (i + 42) % 64)), F.when(F.get("b", (i + 42) % 64) < transparent_below, "00").otherwise("FF")))
     numbered = embeddings.select(F.col("label").alias("video_id"), F.row_number().over(order).alias("frame_idx"), bytes_.alias("b"))
     return numbered.select("video_id", "frame_idx", ((F.col("frame_idx") - 1) / fps).alias("ts"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.unhex(F.array_join(pixels, "")).alias("rgba"))
 
@@ -100,7 +101,8 @@ def limit_rate(rows: DataFrame, least_gap: float = 1 / 60) -> DataFrame:
         return table.select(["video_id", "frame_idx"]).take(pa.array(order[kept_times(ts[order], least_gap)]))
 
     kept = narrow.groupBy("video_id").applyInArrow(run, f"video_id {kinds['video_id']}, frame_idx {kinds['frame_idx']}")
-    return rows.join(kept, ["video_id", "frame_idx"], "left_semi")
+    same = rows["video_id"].eqNullSafe(kept["video_id"]) & rows["frame_idx"].eqNullSafe(kept["frame_idx"])
+    return rows.join(kept, same, "left_semi")
 
 
 def sessions(rows: DataFrame, gap: float = 1000.0) -> DataFrame:

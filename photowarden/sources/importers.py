@@ -6,19 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from photowarden.sources import documents
+
 LAST = "last_analysis"
 
 
 def read_json_document(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Rows of a JSON file that is a list of rows, {"analysis": rows}, {"data": rows} or one row."""
+    """Rows of a JSON file that is a list of rows, {"analysis": rows}, {"data": rows} or one row; a damaged file ends the
+    read. With a schema files of any size are read by many tasks; without one it is inferred from whole files."""
     if schema is not None:
-        text = spark.read.text(path, wholetext=True)
-        many = T.ArrayType(schema)
-        wrapped = F.from_json("value", T.StructType([T.StructField("analysis", many), T.StructField("data", many)]))
-        bare = F.when(F.ltrim("value").startswith("["), F.from_json("value", many))
-        one = F.array(F.from_json("value", schema))
-        return text.select(F.inline(F.coalesce(bare, wrapped["analysis"], wrapped["data"], one)))
-    df = spark.read.option("multiLine", True).json(path)
+        return documents.read_rows(spark, path, schema)
+    df = spark.read.option("multiLine", True).option("mode", "FAILFAST").json(path)
     for name in ("analysis", "data"):
         if name in df.columns and isinstance(df.schema[name].dataType, T.ArrayType):
             return df.select(F.inline(name))
@@ -34,9 +32,9 @@ def read_json_documents(spark: SparkSession, path: str, schema: T.StructType) ->
 
 def read_ndjson(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """One row a line; blank lines are skipped and a bad line fails the read."""
-    lines = spark.read.text(path).select(F.rtrim(F.regexp_replace("value", "\r$", "")).alias("value")).filter(F.trim("value") != "")
     if schema is None:
         return spark.read.option("mode", "FAILFAST").json(path)
+    lines = spark.read.text(path).select(F.rtrim(F.regexp_replace("value", "\r$", "")).alias("value")).filter(F.trim("value") != "")
     return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
