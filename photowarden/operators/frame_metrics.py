@@ -92,7 +92,8 @@ class Raster:
         """By the plane if it is there, else by the counts of the channels' values."""
         if self._luma is not None:
             return float(self._luma.mean())
-        return sum(float(np.bincount(c.ravel(), minlength=256) @ w) for c, w in zip((self.r, self.g, self.b), _WEIGHTED, strict=True)) / self.size
+        planes = (self._pixels[:, k] if p is None else p.ravel() for k, p in enumerate(self._planes[:3]))
+        return sum(float(np.bincount(c, minlength=256) @ w) for c, w in zip(planes, _WEIGHTED, strict=True)) / self.size
 
 
 def sobel(gray: np.ndarray) -> np.ndarray:
@@ -102,9 +103,14 @@ def sobel(gray: np.ndarray) -> np.ndarray:
         return out
     dx = gray[:, 2:] - gray[:, :-2]
     dy = gray[2:] - gray[:-2]
-    gx = dx[:-2] + 2 * dx[1:-1] + dx[2:]
-    gy = dy[:, :-2] + 2 * dy[:, 1:-1] + dy[:, 2:]
-    out[1:-1, 1:-1] = np.hypot(gx, gy)
+    gx = dx[:-2] + dx[2:]
+    gx += 2 * dx[1:-1]
+    gy = dy[:, :-2] + dy[:, 2:]
+    gy += 2 * dy[:, 1:-1]
+    gx *= gx
+    gy *= gy
+    gx += gy
+    np.sqrt(gx, out=out[1:-1, 1:-1])
     return out
 
 
@@ -228,12 +234,23 @@ def palette(f: Raster, n: int = 5) -> list[dict]:
 
 
 def lab_plane(f: Raster) -> np.ndarray:
-    rgb = np.stack([LINEAR[c].ravel() for c in (f.r, f.g, f.b)])
     from photowarden.functions.color import WHITE, XYZ
 
-    t = (np.array(XYZ) @ rgb) / np.array(WHITE)[:, None]
-    t = np.where(t > (6 / 29) ** 3, np.cbrt(t), t / (3 * (6 / 29) ** 2) + 16 / 116)
-    return np.stack([116 * t[1] - 16, 500 * (t[0] - t[1]), 200 * (t[1] - t[2])])
+    linear = np.stack([LINEAR.take(c.ravel()) for c in (f.r, f.g, f.b)])
+    t = (np.array(XYZ) / np.array(WHITE)[:, None]) @ linear
+    low = t <= (6 / 29) ** 3
+    root = np.cbrt(t)
+    if low.any():
+        root[low] = t[low] / (3 * (6 / 29) ** 2) + 16 / 116
+    return np.stack([116 * root[1] - 16, 500 * (root[0] - root[1]), 200 * (root[1] - root[2])])
+
+
+def quantiles(x: np.ndarray, shares: tuple[float, ...]) -> list[float]:
+    """Linear between neighbours, as np.quantile, from a partition."""
+    at = [s * (len(x) - 1) for s in shares]
+    sides = sorted({k for a in at for k in (int(a), min(int(a) + 1, len(x) - 1))})
+    part = np.partition(x, sides)
+    return [float(part[int(a)] + (part[min(int(a) + 1, len(x) - 1)] - part[int(a)]) * (a - int(a))) for a in at]
 
 
 def contrast(labs: np.ndarray, threshold: float = 2.3, window: int = 50, decay: float = 0.1, sample: bool = False, weights: np.ndarray | None = None) -> dict:
@@ -241,7 +258,8 @@ def contrast(labs: np.ndarray, threshold: float = 2.3, window: int = 50, decay:
     half = lambda x, p: float(np.floor(x * 10**p + 0.5) / 10**p)
     if labs.shape[1] < 2:
         return dict.fromkeys(CONTRAST, 0.0) | {"significant_changes": 0, "total_samples": int(labs.shape[1]), "window_size": window, "weight_decay": decay}
-    d = np.sqrt(((labs[:, 1:] - labs[:, :-1]) ** 2).sum(0))
+    steps = labs[:, 1:] - labs[:, :-1]
+    d = np.sqrt(np.einsum("ij,ij->j", steps, steps))
     mean, std = d.mean(), d.std(ddof=1 if sample and len(d) > 1 else 0)
     if weights is None:
         recent = d[-window:][::-1]
@@ -250,7 +268,7 @@ def contrast(labs: np.ndarray, threshold: float = 2.3, window: int = 50, decay:
     else:
         weighted = (d * weights).sum() / weights.sum()
     hits = int((d >= threshold).sum())
-    q = np.quantile(d, [0.5, 0.9, 0.95])
+    q = quantiles(d, (0.5, 0.9, 0.95))
     return {
         "sensitivity": half(min(100.0, mean / threshold * 100), 2), "fluctuations": half(std, 2), "average_delta_e": half(mean, 2), "max_delta_e": half(d.max(), 2),
         "significant_changes": hits, "total_samples": int(labs.shape[1]), "fluctuation_rate": half(hits / len(d) * 100, 2), "weighted_average_delta_e": half(weighted, 2),

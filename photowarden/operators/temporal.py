@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from photowarden.functions.color import cie76, red_area_fraction, rgb_to_lab
 from photowarden.functions.scalar import clean_unit, half_up
-from photowarden.operators.windows import by_frame, last_rows, so_far, within_seconds
+from photowarden.operators import sliding
+from photowarden.operators.windows import by_frame, last_rows, so_far
 from photowarden.runtime import ship
 
 
@@ -146,7 +147,7 @@ def periodicity(values: Column, min_lag: int = 2, threshold: float = 0.25) -> Co
 def flicker_frequency(flagged: DataFrame, threshold: float = 0.2, history: int = 1000) -> DataFrame:
     """Adds flicker_frequency: one over the median gap (0 to 10 s) between strong changes of the last rows, at most 100.
 
-    Event time, not the clock of the machine, is measured.
+    Event time, not the clock of the machine, is measured. Rows that share a video and frame number get one value.
     """
     w = by_frame()
     strong = F.col("temporal_change") > threshold
@@ -154,8 +155,9 @@ def flicker_frequency(flagged: DataFrame, threshold: float = 0.2, history: int =
     rows = rows.withColumn("_prev", F.last("_at", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
     gap = F.col("_at") - F.col("_prev")
     rows = rows.withColumn("_gap", F.when((gap > 0) & (gap < 10), gap))
-    median = F.percentile("_gap", 0.5).over(last_rows(history))
-    return rows.withColumn("flicker_frequency", F.coalesce(F.when(median > 0, F.least(1 / median, F.lit(100.0))), F.lit(0.0))).drop("_at", "_prev", "_gap")
+    rows = sliding.in_row_blocks(rows, {"gap": F.col("_gap")}, history, sliding.median_kernel(history), {"w_median": "double"})
+    median = F.col("w_median")
+    return rows.withColumn("flicker_frequency", F.coalesce(F.when(median > 0, F.least(1 / median, F.lit(100.0))), F.lit(0.0))).drop("_at", "_prev", "_gap", "w_median")
 
 
 def edge_change(rows: DataFrame, window: int = 2) -> DataFrame:
@@ -269,7 +271,7 @@ def with_contrast_windows(colors: DataFrame, interval: float = 1 / 30, window_se
     """Adds contrast_window: colour contrast over a sliding range of time, null where the range holds too few samples.
 
     Colour differences are to the previous sample; a window's differences are those within it. Weights halve every
-    half_life; stream_weighted is the decayed mean over all differences so far, in closed form by blocks of time.
+    half_life, in blocks of time, see `sliding`; stream_weighted is the decayed mean over all differences so far, in closed form by blocks of time.
     """
     least = max(5, math.ceil(1 / interval))
     span = max(window_seconds, least * interval)
@@ -277,22 +279,15 @@ def with_contrast_windows(colors: DataFrame, interval: float = 1 / 30, window_se
     rows = rows.withColumn("_d", cie76(F.col("_lab"), F.lag("_lab").over(by_frame())))
     lam = math.log(2) / (stream_half_life or half_life)
     rows = with_decayed_mean(rows, "_d", lam, "_stream")
-    rows = rows.withColumns({"_count": within_seconds("count(*)", span), "_from": within_seconds("min(ts)", span), "_all": within_seconds("collect_list(struct(ts, _d))", span)})
-    rows = rows.withColumn("_ds", F.filter(F.slice(F.array_sort("_all"), F.lit(2), F.greatest(F.size("_all"), F.lit(1))), lambda x: x["_d"].isNotNull()))
-    add = lambda f: F.aggregate("_ds", F.lit(0.0), lambda s, x: s + f(x))
-    rows = rows.withColumn("_n", F.greatest(F.size("_ds"), F.lit(1)))
-    rows = rows.withColumn("_mean", add(lambda x: x["_d"]) / F.col("_n"))
-    std = F.sqrt(add(lambda x: (x["_d"] - F.col("_mean")) * (x["_d"] - F.col("_mean"))) / F.col("_n"))
-    weight = lambda x: F.exp(-(F.col("ts") - x["ts"]) * (math.log(2) / half_life))
-    hits = F.size(F.filter("_ds", lambda x: x["_d"] >= threshold))
+    rows = sliding.in_time_blocks(rows, {"d": F.col("_d")}, span, sliding.contrast_kernel(span, threshold, half_life, least), sliding.CONTRAST_FIELDS)
     made = F.struct(
-        F.col("_from").alias("start_time"), F.col("ts").alias("end_time"), (F.col("ts") - F.col("_from")).alias("duration"), F.col("_count").alias("sample_count"),
-        half_up(F.least(F.lit(100.0), F.col("_mean") / threshold * 100), 2).alias("sensitivity"), half_up(std, 2).alias("fluctuations"), half_up(F.col("_mean"), 2).alias("average_delta_e"),
-        half_up(F.array_max(F.transform("_ds", lambda x: x["_d"])), 2).alias("max_delta_e"), hits.cast("long").alias("significant_changes"),
-        half_up(F.try_divide(add(lambda x: x["_d"] * weight(x)), add(weight)), 2).alias("weighted_average_delta_e"), half_up(F.col("_stream"), 2).alias("stream_weighted_average_delta_e"),
+        F.col("w_from").alias("start_time"), F.col("ts").alias("end_time"), (F.col("ts") - F.col("w_from")).alias("duration"), F.col("w_count").alias("sample_count"),
+        half_up(F.least(F.lit(100.0), F.col("w_mean") / threshold * 100), 2).alias("sensitivity"), half_up(F.col("w_std"), 2).alias("fluctuations"), half_up(F.col("w_mean"), 2).alias("average_delta_e"),
+        half_up(F.col("w_max"), 2).alias("max_delta_e"), F.col("w_hits").alias("significant_changes"), half_up(F.nanvl(F.col("w_weighted"), F.lit(None).cast("double")), 2).alias("weighted_average_delta_e"),
+        half_up(F.col("_stream"), 2).alias("stream_weighted_average_delta_e"),
     )
-    rows = rows.withColumn("contrast_window", F.when(F.col("_count") >= least, made))
-    return rows.drop("_lab", "_d", "_count", "_from", "_all", "_stream", "_ds", "_n", "_mean")
+    rows = rows.withColumn("contrast_window", F.when(F.col("w_count").isNotNull(), made))
+    return rows.drop("_lab", "_d", "_stream", *sliding.CONTRAST_FIELDS)
 
 
 def contrast_windows(colors: DataFrame, **options: float) -> DataFrame:

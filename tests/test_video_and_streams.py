@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from photowarden import catalog
-from photowarden.operators import frame_metrics, risk
+from photowarden.operators import frame_metrics, risk, sliding, temporal
 from photowarden.plans import analysis
 from photowarden.sources import documents, importers, video
 from photowarden.streaming import live, ordered
@@ -259,3 +259,60 @@ def catalog_rows(spark, sf):
     from photowarden.params import Flags, Thresholds
 
     return analysis.analyze(catalog.frames(spark, sf).filter("video_id < 3"), Thresholds(0.05), Flags(red=True, temporal_contrast=True))
+
+
+# ---- sliding windows ----------------------------------------------------------------------------------------------------
+
+
+def test_sliding_median_and_maximum():
+    rng = np.random.default_rng(6)
+    x = np.where(rng.random(400) < 0.3, rng.integers(1, 9, 400) / 4, np.nan)
+    got = sliding.sliding_median(x, 50)
+    for k in range(400):
+        window = x[max(0, k - 49) : k + 1]
+        window = window[~np.isnan(window)]
+        assert got[k] == pytest.approx(np.median(window)) if len(window) else np.isnan(got[k])
+    y = rng.random(300)
+    low = rng.integers(0, 300, 500)
+    high = np.minimum(low + rng.integers(0, 300, 500), 300)
+    assert sliding.sliding_max(y, low, high).tolist() == [y[a:b].max() if b > a else -np.inf for a, b in zip(low, high, strict=True)]
+
+
+@pytest.mark.parametrize(("seconds", "half_life"), [(2.0, 1 / 3), (60.0, 1 / 3), (3.0, 0.001)])
+def test_contrast_windows_in_blocks(spark, monkeypatch, seconds, half_life):
+    """Against each window by itself, with gaps, ties and a window at the border of blocks."""
+    monkeypatch.setattr(sliding, "SECONDS", seconds)
+    rng = np.random.default_rng(3)
+    ts = np.sort(np.concatenate((np.arange(300) / 30, 40 + rng.random(80), [40.5, 40.5, 2.0])))
+    d = rng.random(len(ts)) * 5
+    rows = spark.createDataFrame([("v", k + 1, float(t), None if k == 0 else float(x)) for k, (t, x) in enumerate(zip(ts, d, strict=True))], "video_id string, frame_idx int, ts double, x double")
+    made = sliding.in_time_blocks(rows, {"d": F.col("x")}, 1.0, sliding.contrast_kernel(1.0, 2.3, half_life, 5), sliding.CONTRAST_FIELDS)
+    got = {r.frame_idx: r for r in made.collect()}
+    d[0] = np.nan
+    for k, t in enumerate(ts):
+        inside = np.flatnonzero((ts >= t - 1.0) & (ts <= t))
+        r = got[k + 1]
+        if len(inside) < 5:
+            assert r.w_count is None
+            continue
+        x, at = d[inside[1:]], ts[inside[1:]]
+        x, at = x[~np.isnan(x)], at[~np.isnan(x)]
+        w = np.exp(-(t - at) * np.log(2) / half_life)
+        assert (r.w_count, r.w_from, r.w_hits) == (len(inside), ts[inside[0]], (x >= 2.3).sum())
+        assert (r.w_mean, r.w_std, r.w_max, r.w_weighted) == pytest.approx((x.mean(), x.std(), x.max(), (x * w).sum() / w.sum()))
+
+
+def test_flicker_in_blocks_of_rows(spark, monkeypatch):
+    rows = spark.createDataFrame([(v, k, k / 30, float((k * k + v) % 7) / 7) for v in (1, 2) for k in range(1, 400)], "video_id int, frame_idx int, ts double, temporal_change double")
+    want = {tuple(r) for r in temporal.flicker_frequency(rows, 0.5, 60).select("video_id", "frame_idx", "flicker_frequency").collect()}
+    monkeypatch.setattr(sliding, "ROWS", 64)
+    got = {tuple(r) for r in temporal.flicker_frequency(rows, 0.5, 60).select("video_id", "frame_idx", "flicker_frequency").collect()}
+    assert got == want and len(got) == 798 and len({r[2] for r in got}) > 3
+
+
+def test_one_video_of_a_million_frames(spark):
+    """Blocks of one video are many tasks; linear in its rows."""
+    rows = spark.range(1_000_000).select(F.lit("v").alias("video_id"), (F.col("id") + 1).cast("int").alias("frame_idx"), (F.col("id") / 1000.0).alias("ts"), (F.col("id") % 97 / 97.0).alias("x"))
+    made = sliding.in_time_blocks(rows, {"d": F.col("x")}, 1.0, sliding.contrast_kernel(1.0, 0.5, 1 / 3, 30), sliding.CONTRAST_FIELDS)
+    r = made.agg(F.count("w_count").alias("n"), F.max("w_count").alias("most"), F.max("w_max").alias("top")).first()
+    assert (r.n, r.most) == (1_000_000 - 29, 1001) and r.top == pytest.approx(96 / 97)
