@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import re
+import time
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from photowarden.llm import catalog, embdup, fim, phrases
+from photowarden.llm import catalog, chat, embdup, fim, phrases
 from tests.conftest import duck, rows_of
 from tests.llm.test_operators import awkward, empty
 
@@ -232,3 +233,31 @@ def test_rates_and_seed(spark, sf):
     assert plain == {"plain"} and suffix_first <= {"spm", "plain"} and "spm" in suffix_first
     forms = [[tuple(r) for r in fim.fill_in_middle(docs, seed=s).select("doc_id", "output_sha256").orderBy("doc_id").collect()] for s in (1, 1, 2)]
     assert forms[0] == forms[1] != forms[2]
+
+
+# ---- templates that tell their tails ---------------------------------------------------------------------------------
+
+
+def test_tails_give_what_prefixes_give():
+    rng = np.random.default_rng(4)
+    pieces = ["<|im_end|>", "\ue000mark\ue001", "a\\b", "\n", "", "hello", chat.START]
+    for n in (0, 1, 2, 5, 9, 33):
+        messages = [{"role": str(rng.choice(["user", "assistant", "x\n"])), "text": "".join(rng.choice(pieces, rng.integers(0, 5)))} for _ in range(n)]
+        assert chat.locate(messages, chat.marked_template) == chat.locate(messages, lambda m: chat.marked_template(m))
+
+
+def test_a_template_with_wrong_tails_is_a_black_box():
+    def render(messages):
+        return "".join(f"[{m['role']}:{m['text']}]" for m in messages) + ("!" if len(messages) > 5 else "")
+
+    render.tail = lambda messages, k: f"[{messages[k]['role']}:{messages[k]['text']}]"
+    messages = [{"role": "user", "text": f"t{k}"} for k in range(9)]
+    got = chat.locate(messages, render)
+    assert got == chat.locate(messages, lambda m: render(m)) and got["rewrites"] == [6, 7, 8]
+
+
+def test_many_turns_in_linear_time():
+    messages = [{"role": ("user", "assistant")[k % 2], "text": "x" * 200} for k in range(4000)]
+    start = time.perf_counter()
+    got = chat.locate(messages, chat.marked_template)
+    assert time.perf_counter() - start < 2 and all(got["output"][a:b] == "x" * 200 for a, b in got["texts"])
