@@ -1,11 +1,14 @@
 """Flashes, clusters and violation windows.
 
 Everything is keyed by video: one exchange and one sort serve all windows. The window state machine, which no associative
-aggregate can run, goes over a video's narrow rows in an Arrow group, from window to window and not from frame to frame.
+aggregate can run, goes over blocks of a video's narrow rows, from window to window and not from frame to frame; how a block
+leaves it is tabulated for every way of finding it, and only these tables are followed through a video.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -135,21 +138,141 @@ def violation_windows(flagged: DataFrame, allowed: int = 3, length: float = 1.0)
     return rows.groupBy("video_id").applyInArrow(run, schema)
 
 
+#: Rows of a block of a video's frames.
+BLOCK_ROWS = 65_536
+_ENTRY = "ws double, wf int, k long"
+_TABLE = f"_block long, until array<double>, exits array<struct<ws:double,wf:int,k:bigint>>, idle struct<ws:double,wf:int,k:bigint>, flashes long"
+
+
+def _first_at(ts: np.ndarray, start: int, until: float, rising: bool) -> int:
+    """The first place from `start` on whose time is `until` or later; the length if there is none."""
+    if rising:
+        return max(start, int(np.searchsorted(ts, until)))
+    later = np.flatnonzero(ts[start:] >= until)
+    return start + int(later[0]) if len(later) else len(ts)
+
+
+def block_exits(frame: np.ndarray, ts: np.ndarray, is_flash: np.ndarray, length: float, before: float) -> dict:
+    """How a block of frames leaves the window state, by how it finds it: `idle` if no window is open, and exits[j] if the
+    open window closes at the first frame of time until[j] or later. Windows that were opened before the block end by
+    before + length, so only the block's first frames can close them."""
+    starts, counts = np.flatnonzero(is_flash), np.concatenate(([0], np.cumsum(is_flash)))
+    rising = bool((np.diff(ts) >= 0).all())
+    known: dict[int, dict | None] = {}  # the exit after the window that opens at a place
+
+    def leave(at: int) -> dict | None:
+        path = []
+        while True:
+            nth = int(np.searchsorted(starts, at))
+            if nth == len(starts):
+                found = None
+                break
+            opens = int(starts[nth])
+            if opens in known:
+                found = known[opens]
+                break
+            path.append(opens)
+            closes = _first_at(ts, opens, ts[opens] + length, rising)
+            if closes == len(ts):
+                found = {"ws": float(ts[opens]), "wf": int(frame[opens]), "k": int(counts[-1] - counts[opens])}
+                break
+            at = closes + 1
+        known.update(dict.fromkeys(path, found))
+        return found
+
+    highest = np.maximum.accumulate(ts)
+    new = np.flatnonzero(np.diff(highest, prepend=-np.inf) > 0)
+    new = new[: int(np.searchsorted(highest[new], before + length)) + 1]
+    return {"until": highest[new].tolist(), "exits": [leave(int(k) + 1) for k in new], "idle": leave(0), "flashes": int(counts[-1])}
+
+
+def block_entries(blocks: list[dict]) -> tuple[list[dict | None], dict | None]:
+    """The state in which each of a video's blocks, in order, finds the window, and the state at the end."""
+    entries, state = [], None
+    for b in blocks:
+        entries.append(state)
+        if state is None:
+            state = b["idle"]
+            continue
+        at = bisect_left(b["until"], state["ws"] + b["length"])
+        state = b["exits"][at] if at < len(b["until"]) else {**state, "k": state["k"] + b["flashes"]}
+    return entries, state
+
+
+def windows_in_blocks(flagged: DataFrame, length: float = 1.0, rows_a_block: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The closed windows (video_id and the fields of violation_windows' done) and the open window of each video (video_id,
+    ws, wf, k; null without one), as violation_windows has them, with no task that holds more than a block of frames.
+
+    Where a block leaves the window state is a function of how it finds it, of a few values: those of the frames that can
+    close a window from before. A block gives this function as a table; a video's tables, a row a block, are followed
+    from the first to the last; then every block knows how it begins, and finds its windows.
+    """
+    ship()
+    size = rows_a_block or BLOCK_ROWS
+    number = F.row_number().over(by_frame()) - 1
+    earlier = F.max("ts").over(by_frame().rowsBetween(Window.unboundedPreceding, -1))
+    rows = flagged.select("video_id", F.col("frame_idx").cast("int").alias("frame_idx"), F.col("ts").cast("double").alias("ts"), F.coalesce("is_flash", F.lit(False)).alias("is_flash"))
+    rows = rows.withColumns({"_block": F.floor(number / size), "_before": earlier})
+    video = f"video_id {dict(rows.dtypes)['video_id']}"
+    arrow = lambda schema: to_arrow_schema(flagged.sparkSession.createDataFrame([], schema).schema)
+    table_kinds, entry_kinds, window_kinds = arrow(f"{video}, {_TABLE}"), arrow(f"{video}, _block long, {_ENTRY}"), arrow(f"{video}, {_WINDOW[7:-1].replace(':', ' ')}")
+
+    def ordered(table: pa.Table) -> tuple:
+        order = np.argsort(table.column("frame_idx").to_numpy(), kind="stable")
+        return tuple(table.column(c).to_numpy(zero_copy_only=False)[order] for c in ("frame_idx", "ts", "is_flash", "_before"))
+
+    def exits(table: pa.Table) -> pa.Table:
+        frame, ts, is_flash, before = ordered(table)
+        found = block_exits(frame, ts, is_flash.astype(bool), length, float(before[0]) if before[0] == before[0] else -np.inf)
+        return pa.Table.from_pylist([{"video_id": table.column("video_id")[0].as_py(), "_block": table.column("_block")[0].as_py(), **found}], schema=table_kinds)
+
+    def follow(table: pa.Table) -> pa.Table:
+        blocks = sorted(({**b, "length": length} for b in table.to_pylist()), key=lambda b: b["_block"])
+        states, last = block_entries(blocks)
+        none = {"ws": None, "wf": None, "k": 0}
+        rows = [{"video_id": b["video_id"], "_block": b["_block"], **(s or none)} for b, s in zip(blocks, states, strict=True)]
+        return pa.Table.from_pylist([*rows, {"video_id": blocks[0]["video_id"], "_block": -1, **(last or none)}], schema=entry_kinds)
+
+    def windows(table: pa.Table, entry: pa.Table) -> pa.Table:
+        if not table.num_rows:  # the state at the video's end
+            return window_kinds.empty_table()
+        frame, ts, is_flash, _ = ordered(table)
+        is_flash, (e,) = is_flash.astype(bool), entry.to_pylist()
+        done, at = [], 0
+        if e["ws"] is not None:
+            closes = _first_at(ts, 0, e["ws"] + length, bool((np.diff(ts) >= 0).all()))
+            if closes == len(ts):
+                return window_kinds.empty_table()
+            flashes = e["k"] + int(is_flash[: closes + 1].sum())
+            done.append({"start_time": e["ws"], "start_frame": e["wf"], "end_frame": int(frame[closes]) - 1, "frame_count": int(frame[closes]) - e["wf"], "flash_count": flashes, "closed_at": float(ts[closes])})
+            at = closes + 1
+        done += closed_windows(frame[at:], ts[at:], is_flash[at:], length)[0] if at < len(ts) else []
+        name = table.column("video_id")[0].as_py()
+        return pa.Table.from_pylist([{"video_id": name, **w} for w in done], schema=window_kinds)
+
+    tables = rows.groupBy("video_id", "_block").applyInArrow(exits, f"{video}, {_TABLE}")
+    entries = tables.groupBy("video_id").applyInArrow(follow, f"{video}, _block long, {_ENTRY}")
+    closed = rows.groupBy("video_id", "_block").cogroup(entries.groupBy("video_id", "_block")).applyInArrow(windows, f"{video}, {_WINDOW[7:-1].replace(':', ' ')}")
+    return closed, entries.filter("_block = -1").drop("_block")
+
+
 def violations(flagged: DataFrame, allowed: int = 3, length: float = 1.0, compat: bool = False) -> DataFrame:
     """Windows with more than `allowed` flashes; one still open at the end counts from half its length on.
 
     compat: the frame count of an incomplete window is one short.
     """
-    state = violation_windows(flagged, allowed, length)
-    closed = state.select("video_id", F.explode("done").alias("w")).select(
-        "video_id", "w.start_time", (F.col("w.start_time") + length).alias("end_time"), F.lit(length).alias("duration"), "w.start_frame", "w.end_frame", "w.frame_count", "w.flash_count",
-        F.lit(False).alias("incomplete"), F.col("w.closed_at").alias("closed_at"),
+    done, left = windows_in_blocks(flagged, length)
+    closed = done.select(
+        "video_id", "start_time", (F.col("start_time") + length).alias("end_time"), F.lit(length).alias("duration"), "start_frame", "end_frame", "frame_count", "flash_count",
+        F.lit(False).alias("incomplete"), "closed_at",
     )
+    ends = flagged.groupBy("video_id").agg(F.max_by(F.col("ts").cast("double"), "frame_idx").alias("last"), F.count("*").cast("int").alias("frames"))
+    state = left.withColumnRenamed("video_id", "_video").join(ends, F.col("_video").eqNullSafe(F.col("video_id"))).drop("_video")
     end = F.least(F.col("ws") + length, F.col("last"))
     last = F.col("frames") - (1 if compat else 0)
     tail = state.filter(F.col("ws").isNotNull() & (end - F.col("ws") >= length / 2)).select(
         "video_id", F.col("ws").alias("start_time"), end.alias("end_time"), (end - F.col("ws")).alias("duration"), F.col("wf").alias("start_frame"), last.alias("end_frame"),
-        (last - F.col("wf") + 1).alias("frame_count"), F.col("k").alias("flash_count"), F.lit(True).alias("incomplete"), F.col("last").alias("closed_at"),
+        (last - F.col("wf") + 1).alias("frame_count"), F.col("k").cast("int").alias("flash_count"), F.lit(True).alias("incomplete"), F.col("last").alias("closed_at"),
     )
     return closed.unionByName(tail).filter(F.col("flash_count") > allowed)
 

@@ -86,21 +86,71 @@ def kept_times(ts: np.ndarray, least_gap: float) -> list[int]:
     return kept
 
 
-def limit_rate(rows: DataFrame, least_gap: float = 1 / 60) -> DataFrame:
+def last_kept(ts: np.ndarray, least_gap: float, before: float) -> dict:
+    """The last time that a block of sorted times keeps, by the first that it keeps: kept[j] if that is time[j]. What was
+    kept before the block is at `before` or earlier, so only the block's first times can be first."""
+    first = int(np.searchsorted(ts, before + least_gap * (1 + 1e-9))) + 1
+    after = np.searchsorted(ts, ts + least_gap * (1 - 1e-9))  # a little early, see kept_times
+    known: dict[int, float] = {}
+    for start in range(min(first, len(ts))):
+        path, at = [], start
+        while at not in known:
+            path.append(at)
+            then = max(at + 1, int(after[at]))
+            while then < len(ts) and ts[then] - ts[at] < least_gap:
+                then += 1
+            if then >= len(ts):
+                known[at] = float(ts[at])
+                break
+            at = then
+        known.update(dict.fromkeys(path, known[at]))
+    return {"time": ts[:first].tolist(), "kept": [known[k] for k in range(min(first, len(ts)))]}
+
+
+#: Rows of a block of a video's times.
+BLOCK_ROWS = 65_536
+
+
+def limit_rate(rows: DataFrame, least_gap: float = 1 / 60, rows_a_block: int | None = None) -> DataFrame:
     """Greedy limiter: a row is dropped when it comes less than `least_gap` after the last row that was kept.
 
-    A task finds the kept times of one video, from kept one to kept one; rows join back on their number.
+    Blocks of a video's times tell the last time that they keep for each time that they may begin with; these tables are
+    followed through a video, and then every block finds its kept rows. No task holds more than a block.
     """
     ship()
+    w = Window.partitionBy("video_id").orderBy("ts", "frame_idx")
     narrow = rows.select("video_id", "frame_idx", F.col("ts").cast("double").alias("ts"))
+    narrow = narrow.withColumns({"_block": F.floor((F.row_number().over(w) - 1) / (rows_a_block or BLOCK_ROWS)), "_before": F.lag("ts").over(w)})
     kinds = dict(narrow.dtypes)
-
-    def run(table: pa.Table) -> pa.Table:
-        ts, frame = table.column("ts").to_numpy(), table.column("frame_idx").to_numpy()
-        order = np.lexsort((frame, ts))
-        return table.select(["video_id", "frame_idx"]).take(pa.array(order[kept_times(ts[order], least_gap)]))
-
-    kept = narrow.groupBy("video_id").applyInArrow(run, f"video_id {kinds['video_id']}, frame_idx {kinds['frame_idx']}")
+    video = f"video_id {kinds['video_id']}"
+
+    def ordered(table: pa.Table) -> pa.Table:
+        return table.take(pa.array(np.lexsort((table.column("frame_idx").to_numpy(zero_copy_only=False), table.column("ts").to_numpy(zero_copy_only=False)))))
+
+    def tabulate(table: pa.Table) -> pa.Table:
+        table = ordered(table)
+        before = table.column("_before")[0].as_py()
+        found = last_kept(table.column("ts").to_numpy(), least_gap, -np.inf if before is None else before)
+        return pa.Table.from_arrays([table.column("video_id").slice(0, 1), table.column("_block").slice(0, 1), pa.array([found["time"]], pa.list_(pa.float64())), pa.array([found["kept"]], pa.list_(pa.float64()))], ["video_id", "_block", "time", "kept"])
+
+    def follow(table: pa.Table) -> pa.Table:
+        blocks, last, found = sorted(table.select(["_block", "time", "kept"]).to_pylist(), key=lambda b: b["_block"]), None, []
+        for b in blocks:
+            found.append(last)
+            last = next((k for t, k in zip(b["time"], b["kept"], strict=True) if last is None or t - last >= least_gap), last)
+        return pa.Table.from_arrays([table.column("video_id"), pa.array([b["_block"] for b in blocks], pa.int64()), pa.array(found, pa.float64())], ["video_id", "_block", "last"])
+
+    def keep(table: pa.Table, entry: pa.Table) -> pa.Table:
+        table, last = ordered(table), entry.column("last")[0].as_py()
+        ts = table.column("ts").to_numpy()
+        start = 0
+        while last is not None and start < len(ts) and ts[start] - last < least_gap:
+            start += 1
+        return table.select(["video_id", "frame_idx"]).take(pa.array([start + k for k in kept_times(ts[start:], least_gap)], pa.int64()))
+
+    tables = narrow.groupBy("video_id", "_block").applyInArrow(tabulate, f"{video}, _block long, time array<double>, kept array<double>")
+    entries = tables.groupBy("video_id").applyInArrow(follow, f"{video}, _block long, last double")
+    kept = narrow.groupBy("video_id", "_block").cogroup(entries.groupBy("video_id", "_block")).applyInArrow(keep, f"{video}, frame_idx {kinds['frame_idx']}")
     same = rows["video_id"].eqNullSafe(kept["video_id"]) & rows["frame_idx"].eqNullSafe(kept["frame_idx"])
     return rows.join(kept, same, "left_semi")
 

@@ -9,9 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from photowarden import catalog
-from photowarden.operators import frame_metrics, risk, sliding, temporal
+from photowarden.operators import flash, frame_metrics, risk, sliding, temporal
 from photowarden.plans import analysis
-from photowarden.sources import documents, importers, video
+from photowarden.sources import documents, frames, importers, video
 from photowarden.streaming import live, ordered
 
 FRAME_TYPE = "video_id string, frame_idx int, ts double, width int, height int, rgba binary"
@@ -316,3 +316,60 @@ def test_one_video_of_a_million_frames(spark):
     made = sliding.in_time_blocks(rows, {"d": F.col("x")}, 1.0, sliding.contrast_kernel(1.0, 0.5, 1 / 3, 30), sliding.CONTRAST_FIELDS)
     r = made.agg(F.count("w_count").alias("n"), F.max("w_count").alias("most"), F.max("w_max").alias("top")).first()
     assert (r.n, r.most) == (1_000_000 - 29, 1001) and r.top == pytest.approx(96 / 97)
+
+
+# ---- violation windows in blocks ----------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("rows_a_block", [1, 2, 7, 50, 10_000])
+@pytest.mark.parametrize("kind", ["steady", "gaps", "ties", "back in time"])
+def test_windows_in_blocks(rows_a_block, kind):
+    """The tables of blocks, followed and then filled, against one pass."""
+    rng = np.random.default_rng(rows_a_block)
+    for share in (0.02, 0.3, 0.9):
+        n = 300
+        step = {"steady": np.full(n, 0.05), "gaps": np.where(rng.random(n) < 0.05, 7.0, 0.1), "ties": rng.integers(0, 2, n) * 0.2, "back in time": rng.normal(0.1, 0.3, n)}[kind]
+        ts, hit, frame = np.cumsum(step), rng.random(n) < share, np.arange(1, n + 1)
+        want, left = flash.closed_windows(frame, ts, hit, 1.0)
+        blocks = []
+        for a in range(0, n, rows_a_block):
+            part = slice(a, a + rows_a_block)
+            blocks.append(flash.block_exits(frame[part], ts[part], hit[part], 1.0, ts[:a].max() if a else -np.inf) | {"length": 1.0})
+        entries, end = flash.block_entries(blocks)
+        assert (None if end is None else (end["ws"], end["wf"], end["k"])) == left
+        for k, e in enumerate(entries):  # a block begins with the window that is open there
+            at = k * rows_a_block
+            open_there = [w for w in want if w["start_frame"] <= at < w["end_frame"] + 1] or ([{"start_time": left[0], "start_frame": left[1]}] if left and left[1] <= at else [])
+            assert (None if e is None else (e["ws"], e["wf"])) == (None if not open_there else (open_there[0]["start_time"], open_there[0]["start_frame"]))
+
+
+def test_violations_of_videos_in_blocks(spark, sf, monkeypatch):
+    rows = catalog.flagged(spark, sf)
+    want = sorted(map(tuple, flash.violations(rows).collect()), key=repr)
+    monkeypatch.setattr(flash, "BLOCK_ROWS", 5)
+    got = sorted(map(tuple, flash.violations(rows).collect()), key=repr)
+    assert got == want and len(got) > 20
+    by_video = {r.video_id: r for r in flash.violation_windows(rows).collect()}
+    closed, left = flash.windows_in_blocks(rows)
+    assert closed.count() == sum(len(r.done) for r in by_video.values())
+    assert {r.video_id: (r.ws, r.wf, r.k) for r in left.collect()} == {v: (r.ws, r.wf, r.k) for v, r in by_video.items()}
+
+
+def test_violations_of_a_long_video(spark):
+    rows = spark.range(1_000_000).select(F.lit("v").alias("video_id"), (F.col("id") + 1).cast("int").alias("frame_idx"), (F.col("id") / 60).alias("ts"), (F.col("id") % 10 == 0).alias("is_flash"))
+    r = flash.violations(rows).filter("not incomplete").agg(F.count("*").alias("n"), F.min("flash_count").alias("least"), F.max("end_frame").alias("last")).first()
+    assert r.n == 14_285 and r.least == 7 and r.last > 999_000
+
+
+@pytest.mark.parametrize("rows_a_block", [1, 3, 40, 10_000])
+def test_rate_limit_in_blocks(spark, rows_a_block):
+    rng = np.random.default_rng(rows_a_block)
+    videos = {v: np.cumsum(rng.choice([0.0, 0.004, 0.01, 0.0166667, 1 / 60, 3.0], 200)) for v in ("a", "b")}
+    rows = spark.createDataFrame([(v, k, float(t)) for v, ts in videos.items() for k, t in enumerate(ts)], "video_id string, frame_idx int, ts double")
+    got = {(r.video_id, r.frame_idx) for r in frames.limit_rate(rows, 1 / 60, rows_a_block).collect()}
+    assert got == {(v, k) for v, ts in videos.items() for k in frames.kept_times(ts, 1 / 60)}
+
+
+def test_rate_limit_keeps_rows_of_a_null_video(spark):
+    rows = spark.createDataFrame([(None, 1, 0.0), (None, 2, 1.0), ("a", 1, 0.0)], "video_id string, frame_idx int, ts double")
+    assert frames.limit_rate(rows).count() == 3
