@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from photowarden.llm import catalog, chat, embdup, fim, phrases
+from photowarden.llm import catalog, chat, embdup, fim, neardup, phrases
 from tests.conftest import duck, rows_of
 from tests.llm.test_operators import awkward, empty
 
@@ -261,3 +261,14 @@ def test_many_turns_in_linear_time():
     start = time.perf_counter()
     got = chat.locate(messages, chat.marked_template)
     assert time.perf_counter() - start < 2 and all(got["output"][a:b] == "x" * 200 for a, b in got["texts"])
+
+
+# ---- near-duplicates beyond what is broadcast ------------------------------------------------------------------------
+
+
+def test_near_duplicates_of_more_than_is_broadcast(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    rows = lambda: sorted(map(tuple, neardup.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept").collect()))
+    want = rows()
+    monkeypatch.setattr(neardup, "BROADCAST_ROWS", 0)
+    assert rows() == want
