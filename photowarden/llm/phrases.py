@@ -37,7 +37,7 @@ from photowarden.llm import common
 from photowarden.llm.substring import _by_block, _pack, _pack_sorted, _table, _unpack, _unpack_sorted
 
 MOST_WORDS, LEAST_COUNT, TOP = 5, 100, 2000
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Bigrams of a block: from here, with the root of the input, up to the second figure; there are at least 2^LEAST_BITS blocks.
 BLOCK_KEYS, BLOCK_KEYS_MOST, LEAST_BITS = 1 << 18, 1 << 24, 8
 #: Lots in which a language's phrases are ranked first.
