@@ -39,7 +39,7 @@ class Raster:
         self.damaged = rgba is None or len(rgba) < width * height * 4
         if self.damaged:
             width = height = 0
-        self.bytes = np.frombuffer(rgba or b"", np.uint8)[: width * height * 4]
+        self.bytes = np.frombuffer(rgba if rgba is not None else b"", np.uint8)[: width * height * 4]
         self._pixels = self.bytes.reshape(-1, 4)
         self._planes: list[np.ndarray | None] = [None] * 4
         self.width, self.height, self.size = width, height, width * height
