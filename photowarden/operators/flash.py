@@ -213,6 +213,9 @@ def windows_in_blocks(flagged: DataFrame, length: float = 1.0, rows_a_block: int
     earlier = F.max("ts").over(by_frame().rowsBetween(Window.unboundedPreceding, -1))
     rows = flagged.select("video_id", F.col("frame_idx").cast("int").alias("frame_idx"), F.col("ts").cast("double").alias("ts"), F.coalesce("is_flash", F.lit(False)).alias("is_flash"))
     rows = rows.withColumns({"_block": F.floor(number / size), "_before": earlier})
+    rows = rows.withColumn("_last", F.max("_block").over(Window.partitionBy("video_id")))
+    one = violation_windows(rows.filter("_last = 0"), length=length)  # videos of one block need no tables
+    rows = rows.filter("_last > 0").drop("_last")
     video = f"video_id {dict(rows.dtypes)['video_id']}"
     arrow = lambda schema: to_arrow_schema(flagged.sparkSession.createDataFrame([], schema).schema)
     table_kinds, entry_kinds, window_kinds = arrow(f"{video}, {_TABLE}"), arrow(f"{video}, _block long, {_ENTRY}"), arrow(f"{video}, {_WINDOW[7:-1].replace(':', ' ')}")
@@ -253,7 +256,9 @@ def windows_in_blocks(flagged: DataFrame, length: float = 1.0, rows_a_block: int
     tables = rows.groupBy("video_id", "_block").applyInArrow(exits, f"{video}, {_TABLE}")
     entries = tables.groupBy("video_id").applyInArrow(follow, f"{video}, _block long, {_ENTRY}")
     closed = rows.groupBy("video_id", "_block").cogroup(entries.groupBy("video_id", "_block")).applyInArrow(windows, f"{video}, {_WINDOW[7:-1].replace(':', ' ')}")
-    return closed, entries.filter("_block = -1").drop("_block")
+    names = [f.split(":")[0] for f in _WINDOW[7:-1].split(",")]
+    closed = one.select("video_id", F.explode("done").alias("w")).select("video_id", *(f"w.{n}" for n in names)).unionByName(closed)
+    return closed, one.select("video_id", "ws", "wf", F.col("k").cast("long").alias("k")).unionByName(entries.filter("_block = -1").drop("_block"))
 
 
 def violations(flagged: DataFrame, allowed: int = 3, length: float = 1.0, compat: bool = False) -> DataFrame:
