@@ -106,6 +106,11 @@ def with_(parts: str, select: str) -> str:
     return f"WITH RECURSIVE {parts} {select}" if "RECURSIVE_STEPS" in parts else f"WITH {parts} {select}"
 
 
+def fixed_sql(x: str, places: int) -> str:
+    """Decimals as text, halves away from zero: printf rounds exact halves to even."""
+    return f"printf('%.{places}f', CASE WHEN abs(({x}) * {2 ** (places + 1)}.0::DOUBLE) % 2 = 1 THEN ({x})::DOUBLE * (1 + pow(2, -51)) ELSE ({x})::DOUBLE END)"
+
+
 def lin_sql(v: str) -> str:
     return f"(CASE WHEN {v} / 255.0 > 0.04045 THEN pow(({v} / 255.0 + 0.055) / 1.055, 2.4) ELSE {v} / 255.0 / 12.92 END)"
 
@@ -281,9 +286,13 @@ def _fixed(spark, d):
     return sources.fixed_intervals(signal(spark, d), 0.5, ["brightness"]).withColumnRenamed("at", "rel_ts")
 
 
-@query("psi", with_(FLAGGED, f""", p AS (SELECT *, coalesce(count_if(is_flash) OVER (PARTITION BY video_id ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f, CASE WHEN is_flash THEN coalesce(ts - lag(ts) OVER {W}, 0.0) END AS lasted FROM flagged),
-q AS (SELECT *, coalesce(last_value(lasted IGNORE NULLS) OVER (PARTITION BY video_id ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS l FROM p)
-SELECT video_id, frame_idx, round(0.3 * least(f / (frame_idx / 60.0) / 3.0, 1.0) + 0.25 * least(intensity / 0.2, 1.0) + 0.15 * least(l / 50.0, 1.0) + 0.1 * brightness, 6) AS score FROM q"""))
+#: The severity score of the rows of q.
+SCORES = FLAGGED + f""", p AS (SELECT *, coalesce(count_if(is_flash) OVER (PARTITION BY video_id ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f, CASE WHEN is_flash THEN coalesce(ts - lag(ts) OVER {W}, 0.0) END AS lasted FROM flagged),
+q AS (SELECT *, coalesce(last_value(lasted IGNORE NULLS) OVER (PARTITION BY video_id ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS l FROM p)"""
+SCORE = "0.3 * least(f / (frame_idx / 60.0) / 3.0, 1.0) + 0.25 * least(intensity / 0.2, 1.0) + 0.15 * least(l / 50.0, 1.0) + 0.1 * brightness"
+
+
+@query("psi", with_(SCORES, f"SELECT video_id, frame_idx, round({SCORE}, 6) AS score FROM q"))
 def _psi(spark, d):
     return risk.with_psi(flagged(spark, d)).select("video_id", "frame_idx", F.col("psi.score").alias("score"))
 
@@ -607,9 +616,12 @@ def _json_scan(spark, d):
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("p.k").alias("total"))
 
 
-@query("fixed_decimals", "SELECT event_id, printf('%.2f', value) AS two, printf('%.4f', value / 7) AS four FROM events")
+@query("fixed_decimals", f"SELECT event_id, {fixed_sql('value', 2)} AS two, {fixed_sql('value / 7', 4)} AS four, {fixed_sql('floor(value) / 8 - 20', 2)} AS halves, {fixed_sql('floor(value) / 2', 0)} AS whole FROM events")
 def _fixed_decimals(spark, d):
-    return table(spark, d, "events").select("event_id", scalar.to_fixed(F.col("value"), 2).alias("two"), scalar.to_fixed(F.col("value") / 7, 4).alias("four"))
+    return table(spark, d, "events").select(
+        "event_id", scalar.to_fixed(F.col("value"), 2).alias("two"), scalar.to_fixed(F.col("value") / 7, 4).alias("four"),
+        scalar.to_fixed(F.floor("value") / 8 - 20, 2).alias("halves"), scalar.to_fixed(F.floor("value") / 2, 0).alias("whole"),
+    )
 
 
 @query("csv_rows", with_(FLAGGED, "SELECT printf('%.6f', ts) AS \"Timestamp\", printf('%.4f', brightness) AS \"Brightness\", (is_flash::INTEGER)::VARCHAR AS \"Flash Detected\", printf('%.4f', intensity) AS \"Intensity\" FROM flagged WHERE ts >= 0"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from photowarden.catalog import (
-    CLUSTERS, ORACLES, QUERIES, COHERENCE, COLORS, FLAGGED, GAP, HIST, PIXEL_CONTRAST, PIXELS, RATES, SIGNAL, SOBEL, W, WINDOWS, colors, flagged, frames, lab_sql, metrics, query, signal, smooth_lin_sql, table, with_,
+    CLUSTERS, ORACLES, QUERIES, COHERENCE, COLORS, FLAGGED, GAP, HIST, PIXEL_CONTRAST, PIXELS, RATES, SIGNAL, SOBEL, W, WINDOWS, colors, fixed_sql, flagged, frames, lab_sql, metrics, query, signal, smooth_lin_sql, table, with_,
 )
 from photowarden.functions import color
 from photowarden.operators import flash, frame_metrics, risk, spectral
@@ -242,7 +242,7 @@ def _signal_summary(spark, d):
 _REPORT = with_(CLUSTERS.replace(SIGNAL, RELATIVE), "{}")
 
 
-@query("cluster_report", _REPORT.format("SELECT video_id, count(*) AS cluster_count, sum(count)::BIGINT AS flashes, printf('%.2f', avg(count)) AS avg_size, max(count) AS max_size, printf('%.2f', median(count)) AS median_size, printf('%.2f', CASE WHEN max(end_time) - min(start_time) > 0 THEN sum(count) / (max(end_time) - min(start_time)) ELSE 0.0 END) AS density FROM clusters GROUP BY 1"))
+@query("cluster_report", _REPORT.format(f"SELECT video_id, count(*) AS cluster_count, sum(count)::BIGINT AS flashes, {fixed_sql('avg(count)', 2)} AS avg_size, max(count) AS max_size, {fixed_sql('median(count)', 2)} AS median_size, {fixed_sql('CASE WHEN max(end_time) - min(start_time) > 0 THEN sum(count) / (max(end_time) - min(start_time)) ELSE 0.0 END', 2)} AS density FROM clusters GROUP BY 1"))
 def _cluster_report(spark, d):
     return analysis.cluster_report(event_rows(spark, d), GAP).select("video_id", "cluster_count", "flashes", "avg_size", "max_size", "median_size", "density")
 

@@ -15,10 +15,14 @@ def half_up(x: Column, places: int = 0) -> Column:
 
 
 def to_fixed(x: Column, places: int) -> Column:
-    """A fixed number of decimals from the exact binary value, halves away from zero; missing is 0."""
+    """A fixed number of decimals from the exact binary value, halves away from zero; missing is 0.
+
+    format_number rounds halves to even. A double is such a half if it is an odd multiple of 2 ** -(places + 1), and only then;
+    it is moved to a neighbour away from zero first.
+    """
     value = F.coalesce(F.nanvl(x.cast("double"), F.lit(0.0)), F.lit(0.0))
-    text = F.replace(F.format_number(value, places), F.lit(","), F.lit(""))
-    return text
+    half = F.abs(value * 2.0 ** (places + 1)) % 2.0 == 1.0
+    return F.replace(F.format_number(F.when(half, value * (1 + 2.0**-51)).otherwise(value), places), F.lit(","), F.lit(""))
 
 
 def clean_unit(x: Column) -> Column:
@@ -57,6 +61,34 @@ def base_file_name(name: Column, prefix: str = "analysis") -> Column:
     return F.concat(F.lit(prefix + "-"), safe_file_name(F.regexp_replace(name, r"\.[^/.]+$", "")))
 
 
+def recommended_cluster_gap(interval: Column) -> Column:
+    """3.5 intervals of analysis, within 0.05 and 2 seconds, to 2 places."""
+    return half_up(F.greatest(F.lit(0.05), F.least(F.lit(2.0), 3.5 * interval)), 2)
+
+
+def percent_argument(text: Column) -> Column:
+    """A percentile argument in a column, as `params.percent` reads one: 0.95, 95, 95% and p95 are the same; null if it is none."""
+    plain = F.lower(F.trim(text))
+    marked = plain.startswith("p") | plain.endswith("%")
+    number = F.when(plain.endswith("%"), F.substring(plain, F.lit(1), F.length(plain) - 1)).when(plain.startswith("p"), F.substring(plain, F.lit(2), F.length(plain))).otherwise(plain).try_cast("double")
+    scaled = F.when(~marked & number.between(0.0, 1.0), number * 100.0).otherwise(number)
+    return F.when(number.isNotNull() & ~F.isnan(number), F.greatest(F.lit(0.0), F.least(F.lit(100.0), scaled)))
+
+
+def label(key: Column) -> Column:
+    """`label_of` on a column of dotted metric names."""
+    spaced = F.regexp_replace(F.translate(key, "._", "  "), r"(?<=[a-z0-9])(?=[A-Z])", " ")
+    words = F.filter(F.split(spaced, r"\s+"), lambda w: w != "")
+    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), " ")
+
+
+def color_number(key: Column, size: int = 16) -> Column:
+    """`color_index` on a column of names without characters beyond the basic plane."""
+    codes = F.transform(F.split(key, ""), lambda c: F.ascii(c).cast("long"))
+    h = F.aggregate(codes, F.lit(0).cast("long"), lambda a, c: (a * 31 + c).bitwiseAND(F.lit(0xFFFFFFFF)))
+    return (F.when(h >= 1 << 31, F.lit(1 << 32) - h).otherwise(h) % size).cast("int")
+
+
 def label_of(key: str) -> str:
     """Label of a dotted metric name: words in capitals, parts joined by a space."""
     words = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", key.replace(".", " ").replace("_", " ")).split()

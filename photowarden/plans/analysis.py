@@ -87,14 +87,18 @@ def summarize(rows: DataFrame, thresholds: Thresholds | None = None, sampling: S
     found = flash.clusters(flagged, thresholds.cluster_gap)
     out = base.join(flash.violation_statistics(flagged), "video_id").join(flash.cluster_statistics(found).drop("flashes"), "video_id", "left").join(scores, "video_id", "left")
     zeros = [c for c, k in out.dtypes if k in ("double", "bigint", "int") and c != "video_id"]
-    out = out.fillna(0, zeros).withColumns({"analysis_interval": F.lit(sampling.interval), "analysis_fps": to_fixed(F.lit(1 / sampling.interval), 2).cast("double"), "cluster_gap": F.lit(thresholds.cluster_gap)})
+    out = out.fillna(0, zeros).withColumns({"analysis_interval": F.lit(sampling.interval), "analysis_fps": to_fixed(F.lit(1 / sampling.interval), 2).cast("double"), "cluster_gap": F.lit(thresholds.cluster_gap), "flash_intensity": F.lit(thresholds.brightness_change), "flashes_per_second": F.lit(thresholds.flashes_per_second)})
     if names is not None:
         out = out.join(names, "video_id", "left").withColumn("file_name", F.coalesce(base_file_name(F.col("name")), F.lit("unknown"))).drop("name")
     return out
 
 
 def short_summary(summary: DataFrame) -> DataFrame:
-    return summary.select("video_id", "duration", "flash_count", "risk_level", "violation_count", "dangerous_frame_percent", "dangerous_time_percent", "analysis_interval", "cluster_gap")
+    """Totals, violations, severity (of the scores other than zero) and thresholds of each video."""
+    return summary.select(
+        "video_id", "duration", "flash_count", "risk_level", "violation_count", "dangerous_frame_percent", "dangerous_time_percent", "psi_avg", "psi_max", "psi_min",
+        "analysis_interval", "cluster_gap", "flash_intensity", "flashes_per_second",
+    )
 
 
 def cluster_report(rows: DataFrame, gap: float = 0.3) -> DataFrame:

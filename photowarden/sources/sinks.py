@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from photowarden.functions.scalar import magnitude, to_fixed
 from photowarden.operators.explore import flatten_metrics
+from photowarden.sources.store import materialized
 
 # The CSV contract. Header, flat source column, decimals (None: a whole number).
 CSV_BASE: list[tuple[str, str, int | None]] = [
@@ -68,7 +69,9 @@ def csv_rows(rows: DataFrame, red: bool = False, temporal_contrast: bool = False
 
 
 def write_csv(rows: DataFrame, path: str, single_file: bool = False, **flags: bool) -> None:
-    out = csv_rows(rows, **flags)
+    """Rows are computed once, then sorted: a sort over all partitions reads what it sorts twice."""
+    wanted = {source.split(".")[0] for _, source, _ in csv_columns(**flags)}
+    out = csv_rows(materialized(rows.select(*(F.col(f"`{c}`") for c in rows.columns if c.split(".")[0] in wanted))), **flags)
     (out.coalesce(1) if single_file else out).write.mode("overwrite").option("header", True).csv(path)
 
 
@@ -78,7 +81,8 @@ def ndjson_lines(rows: DataFrame, key: str = "timestamp") -> DataFrame:
 
 
 def write_ndjson(rows: DataFrame, path: str, single_file: bool = False) -> None:
-    out = ndjson_lines(rows)
+    """As `write_csv`, with all columns."""
+    out = ndjson_lines(materialized(valid_rows(rows)))
     (out.coalesce(1) if single_file else out).write.mode("overwrite").text(path)
 
 

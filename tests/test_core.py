@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from photowarden import params
 from photowarden.functions import color, scalar
-from photowarden.operators import explore, flash, frame_metrics, risk, spectral, temporal
+from photowarden.operators import explore, flash, frame_metrics, risk, spectral, temporal, windows
+from photowarden.params import Sampling
 from photowarden.plans import analysis
 from photowarden.sources import frames as sources
 from photowarden.sources import importers, sinks
@@ -409,3 +410,39 @@ def test_sinks_of_streams(spark, tmp_path):
     seen = []
     sinks.flash_alerts(lambda b, n: seen.append((n, b.count())))(batch, 4)
     assert seen == [(4, 2)]
+
+
+def test_decimals_of_exact_halves(spark):
+    """Halves go away from zero, as the export's contract has it; what only looks like a half does not."""
+    values = [0.125, 0.375, -0.125, 12.25, 12.75, 2.5, 0.5, 1.005, -0.001, 1e15 + 0.5, 0.0]
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double").orderBy("k")
+    got = lambda p: [r[0] for r in rows.select(scalar.to_fixed(F.col("v"), p)).collect()]
+    assert got(2) == ["0.13", "0.38", "-0.13", "12.25", "12.75", "2.50", "0.50", "1.00", "-0.00", "1000000000000000.50", "0.00"]
+    assert got(1)[3:5] == ["12.3", "12.8"] and got(0)[5:7] == ["3", "1"] and got(0)[9] == "1000000000000001"
+
+
+def test_labels_and_arguments_in_columns(spark):
+    """The functions of a column give what those of a value do; a null stays null."""
+    keys = ["psi.components.frequency", "edgeDetection.edge_count", "x", "a1B2C", "", "risk  level", "Zz.9"]
+    rows = spark.createDataFrame([(k,) for k in keys], "k string")
+    got = rows.select("k", scalar.label(F.col("k")).alias("l"), scalar.color_number(F.col("k")).alias("c")).collect()
+    assert [(r.l, r.c) for r in got] == [(scalar.label_of(r.k), scalar.color_index(r.k)) for r in got]
+    assert scalar.color_index("edgeDetection.edge_count") == got[1].c
+    spelled = ["0.95", "95", "95%", " P95 ", "1", "p1", "-3", "250", "0.5%", "median", "", None]
+    found = spark.createDataFrame([(k, v) for k, v in enumerate(spelled)], "k int, v string").orderBy("k").select(scalar.percent_argument(F.col("v"))).collect()
+    assert [r[0] for r in found] == [95.0, 95.0, 95.0, 95.0, 100.0, 1.0, 0.0, 100.0, 0.5, None, None, None]
+    gaps = spark.createDataFrame([(0.01,), (1 / 30,), (0.1,), (0.9,)], "i double").select(scalar.recommended_cluster_gap(F.col("i"))).collect()
+    assert [r[0] for r in gaps] == [0.05, 0.12, 0.35, 2.0] and Sampling(0.1).recommended_cluster_gap() == 0.35
+
+
+def test_restarts_within_a_video(spark):
+    """After a restart nothing of before counts; a level may be carried through; null videos and segments are kept."""
+    levels = ["low", "high", "low", "low"]
+    data = [("a", k + 1, k // 2, 0.9 * (k % 2), levels[k]) for k in range(4)] + [(None, 1, None, 0.5, "low")]
+    rows = spark.createDataFrame(data, "video_id string, frame_idx int, part int, brightness double, risk_level string")
+    cut = windows.restarted(rows.withColumn("ts", F.col("frame_idx") / 30.0), F.col("part"))
+    seen = flash.with_flashes(cut).withColumn("carried", windows.levels_carried(["low", "high"])).orderBy("video_id", "frame_idx")
+    assert [(r.video_id, r.frame_idx, r.intensity, r.carried) for r in seen.collect()] == [
+        ("#0", 1, 0.0, "low"), ("a#0", 1, 0.0, "low"), ("a#0", 2, 0.9, "high"), ("a#1", 1, 0.0, "high"), ("a#1", 2, 0.9, "high"),
+    ]
+    assert windows.restarted(rows.limit(0), F.col("part")).count() == 0

@@ -2,7 +2,7 @@
 
 import pytest
 
-from photowarden import catalog_live as catalog
+from photowarden import catalog_exports as catalog
 from tests.conftest import duck, rows_of
 
 
