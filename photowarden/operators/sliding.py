@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from photowarden.operators.windows import by_frame
 from photowarden.runtime import ship
@@ -25,43 +26,52 @@ SECONDS, ROWS = 60.0, 65_536
 POWERS = 300.0
 
 
-def _run(placed: DataFrame, kernel: Callable, fields: dict[str, str], rows: DataFrame) -> DataFrame:
-    """The kernel's arrays for each block's own rows, beside those rows; null where it gives none."""
+def _run(rows: DataFrame, at: Column, reach: Column, columns: dict[str, Column], kernel: Callable, fields: dict[str, str]) -> DataFrame:
+    """The kernel's arrays for each block's own rows, beside those rows; null where it gives none.
+
+    A row goes whole to its own block, and with the kernel's columns only to those that reach back to it; so nothing is joined,
+    and what made the rows runs once. `at` and `reach` are a row's place and the last place that reaches back to it, in blocks.
+    Rows without a place are spread by their frame number.
+    """
     ship()
-    kinds = dict(placed.dtypes)
     types = {"double": pa.float64(), "long": pa.int64()}
+    own = F.floor(at)
+    placed = rows.select(
+        "video_id", "frame_idx", *(c.alias(f"_k_{n}") for n, c in columns.items()), own.alias("_own"), F.struct("*").alias("_whole"), F.explode_outer(F.sequence(own, F.floor(reach))).alias("_block"),
+    ).withColumns({"_whole": F.when(F.col("_own").isNull() | (F.col("_own") == F.col("_block")), F.col("_whole")), "_part": F.when(F.col("_own").isNull(), F.pmod(F.xxhash64("frame_idx"), F.lit(4096))).otherwise(0)})
 
     def run(table: pa.Table) -> pa.Table:
-        frame, ts = table.column("frame_idx").to_numpy(zero_copy_only=False), table.column("ts").to_numpy(zero_copy_only=False)
+        whole, narrow = table.column("_whole"), table.drop_columns(["_whole"])
+        narrow = narrow.rename_columns([n.removeprefix("_k_") for n in narrow.column_names])
+        if narrow.column("_own")[0].as_py() is None:
+            return pa.Table.from_arrays([whole, *(pa.nulls(len(whole), types[k]) for k in fields.values())], ["_whole", *fields])
+        frame, ts = (narrow.column(c).to_numpy(zero_copy_only=False) for c in ("frame_idx", "_at"))
         order = np.lexsort((frame, ts))
-        table = table.take(pa.array(order))
-        keep, found = kernel(ts[order], table)
-        own = np.flatnonzero((table.column("_own").to_numpy() == table.column("_block").to_numpy()) & keep)
-        columns = [table.column("video_id").take(pa.array(own)), table.column("frame_idx").take(pa.array(own))]
-        return pa.Table.from_arrays([*columns, *(pa.array(np.asarray(found[n])[own].astype("f8" if k == "double" else "i8"), types[k]) for n, k in fields.items())], ["_video", "_frame", *fields])
+        narrow = narrow.take(pa.array(order))
+        keep, found = kernel(ts[order], narrow)
+        own = np.flatnonzero(narrow.column("_own").to_numpy() == narrow.column("_block").to_numpy())
+        none = ~np.broadcast_to(keep, len(order))[own]
+        made = (pa.array(np.where(none, 0, np.asarray(found[n])[own]).astype("f8" if k == "double" else "i8"), types[k], mask=none) for n, k in fields.items())
+        return pa.Table.from_arrays([whole.take(pa.array(order[own])), *made], ["_whole", *fields])
 
-    schema = f"_video {kinds['video_id']}, _frame {kinds['frame_idx']}" + "".join(f", {n} {k}" for n, k in fields.items())
-    made = placed.groupBy("video_id", "_block").applyInArrow(run, schema).dropDuplicates(["_video", "_frame"])
-    same = rows["video_id"].eqNullSafe(made["_video"]) & rows["frame_idx"].eqNullSafe(made["_frame"])
-    return rows.join(made, same, "left").drop("_video", "_frame")
+    schema = T.StructType([placed.schema["_whole"], *(T.StructField(n, T.DoubleType() if k == "double" else T.LongType()) for n, k in fields.items())])
+    made = placed.groupBy("video_id", "_block", "_part").applyInArrow(run, schema)
+    return made.select("_whole.*", *fields)
 
 
 def in_time_blocks(rows: DataFrame, columns: dict[str, Column], span: float, kernel: Callable, fields: dict[str, str], seconds: float | None = None) -> DataFrame:
-    """Adds the fields of a kernel(ts, table) over rows of at most `span` seconds before each row."""
+    """Adds the fields of a kernel(ts, table) over rows of at most `span` seconds before each row; null without a time."""
     wide = max(SECONDS if seconds is None else seconds, span)
-    own = F.floor(F.col("ts") / wide)
-    narrow = rows.select("video_id", "frame_idx", F.col("ts").cast("double").alias("ts"), *(c.alias(n) for n, c in columns.items())).filter("ts is not null and not isnan(ts)")
-    reach = F.floor((F.col("ts") + span * (1 + 1e-9) + 1e-9) / wide)
-    return _run(narrow.withColumn("_own", own).withColumn("_block", F.explode(F.sequence(own, reach))), kernel, fields, rows)
+    ts = F.nanvl(F.col("ts").cast("double"), F.lit(None).cast("double"))
+    return _run(rows, ts / wide, (ts + span * (1 + 1e-9) + 1e-9) / wide, {"_at": ts, **columns}, kernel, fields)
 
 
 def in_row_blocks(rows: DataFrame, columns: dict[str, Column], history: int, kernel: Callable, fields: dict[str, str], size: int | None = None) -> DataFrame:
-    """Adds the fields of a kernel(ts, table) over the last `history` rows; the table is in order of its column _row."""
+    """Adds the fields of a kernel(row, table) over the last `history` rows."""
     wide = max(ROWS if size is None else size, history)
-    row = F.row_number().over(by_frame()) - 1
-    narrow = rows.select("video_id", "frame_idx", row.cast("double").alias("ts"), *(c.alias(n) for n, c in columns.items()))
-    own = F.floor(F.col("ts") / wide)
-    return _run(narrow.withColumn("_own", own).withColumn("_block", F.explode(F.sequence(own, F.floor((F.col("ts") + history - 1) / wide)))), kernel, fields, rows)
+    numbered = rows.withColumn("_row", (F.row_number().over(by_frame()) - 1).cast("double"))
+    row = F.col("_row")
+    return _run(numbered, row / wide, (row + history - 1) / wide, {"_at": row, **columns}, kernel, fields).drop("_row")
 
 
 # ---- kernels -----------------------------------------------------------------------------------------------------------

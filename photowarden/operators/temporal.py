@@ -147,7 +147,7 @@ def periodicity(values: Column, min_lag: int = 2, threshold: float = 0.25) -> Co
 def flicker_frequency(flagged: DataFrame, threshold: float = 0.2, history: int = 1000) -> DataFrame:
     """Adds flicker_frequency: one over the median gap (0 to 10 s) between strong changes of the last rows, at most 100.
 
-    Event time, not the clock of the machine, is measured. Rows that share a video and frame number get one value.
+    Event time, not the clock of the machine, is measured. Rows that share a video and frame number each have their own.
     """
     w = by_frame()
     strong = F.col("temporal_change") > threshold

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from photowarden import catalog
 from photowarden.operators import flash, frame_metrics, risk, sliding, temporal
+from photowarden.params import Flags
 from photowarden.plans import analysis
 from photowarden.sources import documents, frames, importers, video
 from photowarden.streaming import live, ordered
@@ -373,3 +374,21 @@ def test_rate_limit_in_blocks(spark, rows_a_block):
 def test_rate_limit_keeps_rows_of_a_null_video(spark):
     rows = spark.createDataFrame([(None, 1, 0.0), (None, 2, 1.0), ("a", 1, 0.0)], "video_id string, frame_idx int, ts double")
     assert frames.limit_rate(rows).count() == 3
+
+
+def test_pixels_are_read_once(spark, sf):
+    """The whole analysis has one pass over the rasters; blocks take whole rows along and nothing is joined."""
+    rows = analysis.analyze(frames.frames_from_embeddings(spark.read.parquet(f"{sf}/embeddings.parquet")), flags=Flags(red=True, temporal_contrast=True))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+
+
+def test_rows_without_a_time_keep_their_columns(spark):
+    """Null and NaN times have null fields, also where the video is null; other columns are as they were."""
+    data = [("v", 1, 0.0, 1.0, [1]), ("v", 2, None, 2.0, None), (None, 3, float("nan"), 3.0, [3]), ("v", 4, 0.5, None, [4]), ("v", 5, -70.0, 2.0, [5])]
+    rows = spark.createDataFrame(data, "video_id string, frame_idx int, ts double, x double, other array<int>")
+    made = sliding.in_time_blocks(rows, {"d": F.col("x")}, 1.0, sliding.contrast_kernel(1.0, 2.3, 1.0, 1), sliding.CONTRAST_FIELDS)
+    got = {r.frame_idx: r for r in made.collect()}
+    assert [got[k].other for k in range(1, 6)] == [[1], None, [3], [4], [5]] and made.columns[:5] == rows.columns
+    assert [got[k].w_count for k in range(1, 6)] == [1, None, None, 2, 1]
+    assert sliding.in_time_blocks(rows.limit(0), {"d": F.col("x")}, 1.0, sliding.contrast_kernel(1.0, 2.3, 1.0, 1), sliding.CONTRAST_FIELDS).count() == 0
