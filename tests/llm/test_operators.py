@@ -117,6 +117,23 @@ def test_sql(spark, sf, name):
     assert rows_of(catalog.QUERIES[name](spark, sf).toPandas()) == rows_of(duck(sf).sql(catalog.ORACLES[name]).df())
 
 
+def test_rake_goes_on_until_margins_are_met(spark):
+    """Few rounds at a time reach the residual; cells that can't meet their targets end the raking; the residual is told."""
+    cells = spark.createDataFrame([("a", "x", 50.0), ("a", "y", 0.5), ("b", "x", 0.5), ("b", "y", 10.0), ("c", "y", 4.0)], "s string, l string, w0 double")
+    aims = {"s": spark.createDataFrame([("a", 1.0), ("b", 1.0), ("c", 1.0)], "s string, target double"), "l": spark.createDataFrame([("x", 1.0), ("y", 2.0)], "l string, target double")}
+    once = mixing.residual(mixing._rounds(mixing._aimed(cells, aims), ["s", "l"], 1), ["s", "l"])
+    raked, left = mixing.rake_until(cells, aims, rounds=1, most=1e-6)
+    got = raked.toPandas()
+    assert once > 1e-4 >= 1e-6 >= left
+    assert got.groupby("s").raked.sum().tolist() == pytest.approx([65 / 3] * 3, abs=1e-3) and got.groupby("l").raked.sum().tolist() == pytest.approx([65 / 3, 130 / 3], abs=1e-3)
+    apart = spark.createDataFrame([("a", "x", 3.0), ("b", "y", 1.0)], "s string, l string, w0 double")
+    aims = {"s": spark.createDataFrame([("a", 1.0), ("b", 1.0)], "s string, target double"), "l": spark.createDataFrame([("x", 3.0), ("y", 1.0)], "l string, target double")}
+    assert mixing.rake_until(apart, aims)[1] == pytest.approx(0.25)
+    assert mixing.rake_until(apart.limit(0), aims)[1] == 0.0
+    docs = spark.createDataFrame([(1, "a", "x", 3, 9.0), (2, "b", "y", 1, 9.0)], "doc_id long, s string, l string, tokens long, residual double")
+    assert {r.residual for r in mixing.mix_to_targets(docs, aims).collect()} == {0.25}
+
+
 def test_rake_meets_margins(spark):
     cells = spark.createDataFrame([("a", "x", 10.0), ("a", "y", 20.0), ("b", "x", 30.0), ("b", "y", 5.0)], "s string, l string, w0 double")
     t = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "s string, target double")
