@@ -27,9 +27,12 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 
 from photowarden.functions.scalar import magnitude, to_fixed
 from photowarden.runtime import ship
+from photowarden.sources.store import materialized
 
 PARTITION_BYTES = 32 << 20
 _CHUNK = 1 << 20
+#: Bytes that a task reads, about, where ranges are small.
+TASK_BYTES = 4 << 20
 
 # ---- reading -----------------------------------------------------------------------------------------------------------
 
@@ -59,108 +62,158 @@ class Scan:
 
     def __init__(self, data: bytes, escaped: bool = False, in_string: bool = False):
         buf = np.frombuffer(data, np.uint8)
-        slash = buf == 0x5C
-        # a character is escaped by an odd run of backslashes before it
-        place = np.arange(len(buf))
-        last_other = np.maximum.accumulate(np.where(slash, -1, place))
-        run = place - last_other  # length of the run that ends here, 0 where there is none
-        if escaped:
-            run = np.where(last_other < 0, run + 1, run)
-        before = np.concatenate(([1 if escaped else 0], run[:-1])) if len(buf) else run
-        quote = (buf == 0x22) & (before % 2 == 0)
+        quote, slash = buf == 0x22, buf == 0x5C
+        self.escaped_after = False
+        if escaped or slash.any():
+            # a character is escaped by an odd run of backslashes before it
+            place = np.arange(len(buf))
+            last_other = np.maximum.accumulate(np.where(slash, -1, place))
+            run = place - last_other  # length of the run that ends here, 0 where there is none
+            if escaped:
+                run = np.where(last_other < 0, run + 1, run)
+            before = np.concatenate(([1 if escaped else 0], run[:-1])) if len(buf) else run
+            quote &= before % 2 == 0
+            self.escaped_after = bool(len(buf) and slash[-1] and run[-1] % 2)
         self.quotes = int(quote.sum())
-        self.text = (np.cumsum(quote) - quote + in_string) % 2 == 1  # inside a string, or its closing quote
+        self.text = np.logical_xor.accumulate(quote) ^ in_string if len(buf) else quote  # inside a string, or its opening quote
         self.text |= quote
         step = np.zeros(len(buf), np.int8)
         step[(buf == 0x5B) | (buf == 0x7B)] = 1
         step[(buf == 0x5D) | (buf == 0x7D)] = -1
-        self.steps = np.where(self.text, 0, step)
-        self.buf, self.escaped_after = buf, bool(len(buf) and slash[-1] and run[-1] % 2)
+        self.steps = np.where(self.text, np.int8(0), step)
+        self.all_steps = int(step.sum(dtype=np.int64))
+        self.buf = buf
 
 
-def _ranges(path: str, partition_bytes: int) -> list[tuple]:
-    return [(name, a, min(a + partition_bytes, size), size) for name, size in _files(path) for a in range(0, max(size, 1), partition_bytes)]
+def _scans(f, a: int, b: int, escaped: bool, inside: bool) -> Iterator[tuple[int, Scan]]:
+    """Places and scans of the pieces of a range, one after the other."""
+    for offset in range(a, b, _CHUNK):
+        f.seek(offset)
+        scan = Scan(f.read(min(_CHUNK, b - offset)), escaped, inside)
+        yield offset, scan
+        escaped, inside = scan.escaped_after, bool((inside + scan.quotes) % 2)
+
+
+def _name_before(f, at: int) -> bytes | None:
+    """The name that a value beginning at a place has in its object; None in a list."""
+    f.seek(max(0, at - 64))
+    if not f.read(min(64, at)).rstrip().endswith(b":"):
+        f.seek(max(0, at - 4096))
+        if not f.read(min(4096, at)).rstrip().endswith(b":"):
+            return None
+    f.seek(max(0, at - 4096))
+    key = re.search(rb'"((?:[^"\\]|\\.)*)"\s*:\s*$', f.read(min(4096, at)))
+    return key[1] if key else None
+
+
+class _Opened:
+    """Keeps the file open that was read last: a task's ranges of a file follow each other."""
+
+    def __init__(self, path: str):
+        self.fs, self.name, self.file = pafs.FileSystem.from_uri(path)[0], None, None
+
+    def __call__(self, name: str):
+        if name != self.name:
+            self.close()
+            self.name, self.file = name, self.fs.open_input_file(name)
+        return self.file
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+        self.name = self.file = None
 
 
 def _list_rows(spark: SparkSession, path: str, partition_bytes: int) -> DataFrame:
     """file, value: the text of each row of each file, in one of the four shapes."""
     ship(spark)
-    ranges = spark.createDataFrame(_ranges(path, partition_bytes), "file string, a long, b long, size long")
-    ranges = ranges.repartition(max(1, min(ranges.count(), 4096)), "file", "a")
+    files = _files(path)
+    many = sum(-(-max(size, 1) // partition_bytes) for _, size in files)
+    tasks = max(1, min(many, 4096, max(spark.sparkContext.defaultParallelism, sum(size for _, size in files) // TASK_BYTES)))
+    begin = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(partition_bytes).cast("long")))
+    listed = spark.createDataFrame(files, "file string, size long").select("file", begin.alias("a"), "size")
+    listed = listed.select("file", "a", F.least(F.col("a") + partition_bytes, F.col("size")).alias("b"), "size")
 
-    def opened(name: str):
-        return pafs.FileSystem.from_uri(path)[0].open_input_file(name)
+    def dealt(rows: DataFrame) -> DataFrame:
+        # by count, which isn't taken together again for being a few bytes: each row is a range of a file to be read
+        return rows.repartition(tasks, "file", F.floor(F.col("a") / PARTITION_BYTES)).sortWithinPartitions("file", "a")
 
     def sums(batches):
+        opened = _Opened(path)
         for batch in batches:
             rows = []
             for name, a, b in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                with opened(name) as f:
-                    escaped = _escaped_before(f, a)
-                    f.seek(a)
-                    data = f.read(b - a)
-                plain, text = Scan(data, escaped), Scan(data, escaped, True)
-                rows.append((plain.quotes % 2, int(plain.steps.sum()), int(text.steps.sum()), escaped))
+                f = opened(name)
+                escaped = _escaped_before(f, a)
+                quotes = plain = every = 0
+                for _, scan in _scans(f, a, b, escaped, False):
+                    quotes, plain, every = quotes + scan.quotes, plain + int(scan.steps.sum(dtype=np.int64)), every + scan.all_steps
+                rows.append((quotes % 2, plain, every - plain, escaped))  # what stands outside strings is inside them if the range begins in one
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True))], [*batch.schema.names, "odd", "plain", "text", "escaped"])
+        opened.close()
 
     w = Window.partitionBy("file").orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
-    summed = ranges.mapInArrow(sums, "file string, a long, b long, size long, odd long, plain long, text long, escaped boolean")
+    summed = dealt(listed).mapInArrow(sums, "file string, a long, b long, size long, odd long, plain long, text long, escaped boolean")
     summed = summed.withColumn("inside", F.coalesce(F.sum("odd").over(w), F.lit(0)) % 2 == 1)
     summed = summed.withColumn("change", F.when(F.col("inside"), F.col("text")).otherwise(F.col("plain")))
     starts = summed.withColumn("depth", F.coalesce(F.sum("change").over(w), F.lit(0))).select("file", "a", "b", "size", "escaped", "inside", "depth", "change", (F.col("inside") != (F.col("odd") == 1)).alias("ends_inside"))
+    starts = materialized(starts)  # one row a range, read twice
 
     def lists(batches):
         """Lists that open outside of everything or behind a name in the outermost object, and what is wrong."""
+        opened = _Opened(path)
         for batch in batches:
             rows = []
             for name, a, b, size, escaped, inside, depth, change, ends_inside in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                with opened(name) as f:
-                    f.seek(a)
-                    data = f.read(b - a)
-                    scan = Scan(data, escaped, inside)
-                    levels = depth + np.cumsum(scan.steps)
-                    wrong = bool(len(levels) and levels.min() < 0) or (b == size and (depth + change != 0 or ends_inside)) or size == 0
-                    for k in np.flatnonzero((scan.steps == 1) & (levels <= 2)).tolist():
+                f, at = opened(name), depth
+                wrong = (b == size and (depth + change != 0 or ends_inside)) or size == 0
+                for offset, scan in _scans(f, a, b, escaped, inside):
+                    levels = at + np.cumsum(scan.steps, dtype=np.int64)
+                    wrong = wrong or bool(len(levels) and levels.min() < 0)
+                    for k in np.flatnonzero((scan.steps == 1) & ((levels == 1) | (levels == 2) & (scan.buf == 0x5B))).tolist():
                         level = int(levels[k]) - 1
-                        f.seek(max(0, a + k - 4096))
-                        head = f.read(min(4096, a + k))
-                        key = re.search(rb'"((?:[^"\\]|\\.)*)"\s*:\s*$', head) if level == 1 else None
-                        if level == 0 or key and key[1] in (b"analysis", b"data") and data[k] == 0x5B:
-                            rows.append((name, a + k, level, chr(data[k]), key[1].decode() if key else "", False))
-                    if wrong:
-                        rows.append((name, a, -1, "", "", True))
+                        key = _name_before(f, offset + k) if level == 1 else None
+                        if level == 0 or key in (b"analysis", b"data"):
+                            rows.append((name, offset + k, level, chr(scan.buf[k]), key.decode() if key else "", False))
+                    at = int(levels[-1]) if len(levels) else at
+                if wrong:
+                    rows.append((name, a, -1, "", "", True))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_()))], ["file", "at", "level", "bracket", "key", "wrong"])
+        opened.close()
 
-    found = starts.mapInArrow(lists, "file string, at long, level long, bracket string, key string, wrong boolean")
+    found = dealt(starts).mapInArrow(lists, "file string, at long, level long, bracket string, key string, wrong boolean")
     bare = F.min(F.when((F.col("level") == 0) & (F.col("bracket") == "["), F.col("at")))
     named = lambda key: F.min(F.when((F.col("level") == 1) & (F.col("key") == key), F.col("at")))
     chosen = found.groupBy("file").agg(bare.alias("bare"), named("analysis").alias("analysis"), named("data").alias("data"), F.min(F.when(F.col("level") == 0, F.col("at"))).alias("one"), F.count_if(F.col("level") == 0).alias("roots"), F.max("wrong").alias("wrong"))
-    every = ranges.select("file").distinct().join(chosen, "file", "left")
+    every = listed.select("file").distinct().join(chosen, "file", "left")
     damaged = F.coalesce(F.col("wrong"), F.lit(False)) | F.coalesce(F.col("roots") != 1, F.lit(True))
     every = every.withColumn("at", F.when(damaged, F.raise_error(F.concat(F.lit("no whole JSON document: "), F.col("file"))).cast("long")).otherwise(F.coalesce("bare", "analysis", "data", "one")))
     every = every.select("file", "at", F.coalesce("bare", "analysis", "data").isNull().alias("single"), F.when(F.col("bare").isNotNull(), 1).otherwise(2).alias("level"))
 
     def rows_of(batches):
+        opened = _Opened(path)
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([t.decode("utf-8") for t in texts], pa.string())], ["file", "value"])
+        names, texts = [], []
         for batch in batches:
-            names, texts = [], []
             for name, a, b, escaped, inside, depth, at, single, level in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                with opened(name) as f:
-                    if single:
-                        if a <= at < b:
-                            f.seek(at)
-                            names.append(name)
-                            texts.append(f.read())
-                        continue
-                    for text in _elements(f, a, b, escaped, inside, depth, at, level):
+                f = opened(name)
+                if single:
+                    if a <= at < b:
+                        f.seek(at)
                         names.append(name)
-                        texts.append(text)
-                        if len(texts) >= 4096:
-                            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([t.decode("utf-8") for t in texts], pa.string())], ["file", "value"])
-                            names, texts = [], []
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([t.decode("utf-8") for t in texts], pa.string())], ["file", "value"])
+                        texts.append(f.read())
+                    continue
+                for text in _elements(f, a, b, escaped, inside, depth, at, level):
+                    names.append(name)
+                    texts.append(text)
+                    if len(texts) >= 4096:
+                        yield made()
+                        names, texts = [], []
+        yield made()
+        opened.close()
 
     placed = starts.join(every, "file").select("file", "a", "b", "escaped", "inside", "depth", "at", "single", "level")
-    return placed.mapInArrow(rows_of, "file string, value string")
+    return dealt(placed).mapInArrow(rows_of, "file string, value string")
 
 
 def _elements(f, a: int, b: int, escaped: bool, inside: bool, depth: int, at: int, level: int) -> Iterator[bytes]:
@@ -173,7 +226,7 @@ def _elements(f, a: int, b: int, escaped: bool, inside: bool, depth: int, at: in
     offset = a
     while True:
         f.seek(offset)
-        data = f.read(_CHUNK if offset >= b else min(_CHUNK, b - offset))
+        data = f.read(min(_CHUNK, max(b - a, 4096)) if offset >= b else min(_CHUNK, b - offset))  # the last element goes on beyond
         if not data:
             return
         scan = Scan(data, escaped, inside)

@@ -392,3 +392,10 @@ def test_rows_without_a_time_keep_their_columns(spark):
     assert [got[k].other for k in range(1, 6)] == [[1], None, [3], [4], [5]] and made.columns[:5] == rows.columns
     assert [got[k].w_count for k in range(1, 6)] == [1, None, None, 2, 1]
     assert sliding.in_time_blocks(rows.limit(0), {"d": F.col("x")}, 1.0, sliding.contrast_kernel(1.0, 2.3, 1.0, 1), sliding.CONTRAST_FIELDS).count() == 0
+
+
+def test_json_files_are_read_by_several_tasks(spark, tmp_path):
+    for k in range(12):  # what tells the ranges is a few bytes a file, and must not decide how many tasks read them
+        (tmp_path / f"{k}.json").write_text(json.dumps([{"n": k, "s": "x" * 50}] * 40))
+    rows = documents._list_rows(spark, str(tmp_path), 500)
+    assert rows.select(F.spark_partition_id().alias("p")).distinct().count() > 1 and rows.count() == 480
