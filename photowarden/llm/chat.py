@@ -5,10 +5,9 @@ consecutive outputs locates every turn's span without knowing the template; rend
 its text locates the text inside the span. A template whose output for a longer prefix does not start with the output
 for the shorter one rewrites history: that is reported by turn, and no span before it is trusted.
 
-Rendering every prefix costs a conversation of n turns the length of its n outputs: that is the price for knowing nothing
-of the template. A template may have an attribute `tail(messages, k)`, the text that turn k adds to the output of the turns
-before it. Then only tails are rendered, and the prefixes of 1, 2, 4, ... and of all turns, which must be what the tails make
-together: the cost is linear. Where they are not, the template is taken as one of which nothing is known.
+Rendering every prefix, plain and with the marker, costs a conversation of n turns the length of its 2n outputs: that is the
+price for knowing nothing of the template. The default template goes on from what it rendered last, so a prefix costs it a
+turn and a copy.
 
 Defined results: null text or role is empty; very long texts are kept whole; a text or role may hold control strings or
 any marker; turns are ordered by (turn, role, text), so repeated rows stay and ties
@@ -20,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import deque
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -52,19 +52,28 @@ def unescape_role(role: str) -> str:
     return _ESCAPED.sub(lambda m: "\n" if m[1] == "n" else m[1], role)
 
 
-def marked_template(messages: list[Message]) -> str:
-    """The default template: a start mark with the role, the escaped text, an end mark."""
-    return "".join(_marked_turn(messages, k) for k in range(len(messages)))
+#: The last renderings of the default template: messages and output.
+_RECENT: deque[tuple[list[Message], str]] = deque(maxlen=3)
 
 
-def _marked_turn(messages: list[Message], k: int) -> str:
-    m = messages[k]
+def marked_template(messages: list[Message]) -> str:
+    """The default template: a start mark with the role, the escaped text, an end mark. Messages aren't changed in place
+    between renderings."""
+    if not messages:
+        return ""
+    head = messages[:-1]
+    before = next((out for made, out in _RECENT if made == head), None)
+    if before is None:
+        before = "".join(map(_marked_turn, head))
+    out = before + _marked_turn(messages[-1])
+    _RECENT.append((list(messages), out))
+    return out
+
+
+def _marked_turn(m: Message) -> str:
     return f"{START}{escape_role(m['role'])}\n{escape(m['text'])}{END}\n"
 
 
-marked_template.tail = _marked_turn
-
-
 def parse_marked(output: str) -> list[tuple[str, str]]:
     """Roles and texts read back from the default template's output."""
     at, turns = 0, []
@@ -79,20 +88,17 @@ def parse_marked(output: str) -> list[tuple[str, str]]:
 
 def unused(messages: list[Message]) -> str:
     """A marker that no role or text of the conversation holds."""
-    mark = "\ue000mark\ue001"
-    held = "\n".join(v for m in messages for v in m.values() if "\ue000" in v)
+    mark = "\x02mark\x03"
+    held = "\n".join(v for m in messages for v in m.values() if "\x02" in v)
     k = 0
     while mark in held:
         k += 1
-        mark = f"\ue000mark{k}\ue001"
+        mark = f"\x02mark{k}\x03"
     return mark
 
 
 def locate(messages: list[Message], render: Callable[[list[Message]], str]) -> dict:
     """Output, turn spans, text spans and the turns at which the template rewrote its earlier output."""
-    tail = getattr(render, "tail", None)
-    if tail is not None and (got := _locate_tails(messages, render, tail)) is not None:
-        return got
     before, spans, texts, rewrites, mark = render([]), [], [], [], unused(messages)
     for k, m in enumerate(messages):
         now = render(messages[: k + 1])
@@ -118,30 +124,6 @@ def locate(messages: list[Message], render: Callable[[list[Message]], str]) -> d
     return {"output": before, "spans": spans, "texts": texts, "rewrites": rewrites}
 
 
-def _locate_tails(messages: list[Message], render: Callable[[list[Message]], str], tail: Callable[[list[Message], int], str]) -> dict | None:
-    """As locate, from the tails; None if the prefixes that are rendered differ from them."""
-    messages, mark = list(messages), unused(messages)
-    parts, spans, texts = [render([])], [], []
-    end = len(parts[0])
-    for k, m in enumerate(messages):
-        piece = tail(messages, k)
-        messages[k] = {**m, "text": mark}
-        probe = tail(messages, k)
-        messages[k] = m
-        start, end = end, end + len(piece)
-        parts.append(piece)
-        spans.append((start, end))
-        at = probe.find(mark)
-        rest = len(probe) - at - len(mark)
-        texts.append((start + at, end - rest) if 0 <= at <= len(piece) - rest else None)
-        n = k + 1
-        if n & k == 0 or n == len(messages):
-            parts = ["".join(parts)]
-            if render(messages[:n]) != parts[0]:
-                return None
-    return {"output": "".join(parts), "spans": spans, "texts": texts, "rewrites": []}
-
-
 def format_conversations(rows: DataFrame, render: Callable[[list[Message]], str] = marked_template, loss_role: str = "assistant") -> DataFrame:
     """One row a conversation: conv_id, formatted, n_turns, spans (start, end, text start, text end; -1: not located),
     loss (start, end) of the texts under the loss mask, rewrites (turns at which the template rewrote history)."""

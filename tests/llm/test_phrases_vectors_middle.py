@@ -263,6 +263,18 @@ def test_many_turns_in_linear_time():
     assert time.perf_counter() - start < 2 and all(got["output"][a:b] == "x" * 200 for a, b in got["texts"])
 
 
+def test_every_prefix_is_rendered():
+    seen = []
+
+    def render(messages):  # what it tells of its tails isn't true at three turns, which no power of two shows
+        seen.append(len(messages))
+        return ("?" if len(messages) == 3 else "") + "".join(f"[{m['role']}:{m['text']}]" for m in messages)
+
+    render.tail = lambda messages, k: f"[{messages[k]['role']}:{messages[k]['text']}]"
+    got = chat.locate([{"role": "user", "text": f"t{k}"} for k in range(4)], render)
+    assert got["rewrites"] == [2, 3] and set(seen) == {0, 1, 2, 3, 4}
+
+
 # ---- near-duplicates beyond what is broadcast ------------------------------------------------------------------------
 
 
