@@ -12,6 +12,7 @@ from photowarden.catalog_plans import _LIVE, ORACLES, QUERIES, risk_sql
 from photowarden.operators import frame_metrics, risk
 from photowarden.runtime import passing_folder
 from photowarden.sources import sinks, video
+from photowarden.sources.store import materialized
 from photowarden.streaming import live, ordered
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -110,12 +111,14 @@ _BOUND = f"ts <= (SELECT max(ts) FROM sig s WHERE s.video_id = {{t}}.video_id) -
 def _shuffled(spark: SparkSession, rows: DataFrame, batches: int = 10) -> DataFrame:
     """A stream of the rows in so many micro-batches, in which about half of the frames come a batch later than their time
     asks for, and no batch is in order."""
-    path = passing_folder(spark, "shuffled")
+    path, rows = passing_folder(spark, "shuffled"), materialized(rows)
     first, last = rows.agg(F.min("ts"), F.max("ts")).first()
     slot = F.least(F.floor((F.col("ts") - first) * (batches - 1) / (last - first)), F.lit(batches - 2)) + F.pmod(F.xxhash64("video_id", "frame_idx"), F.lit(2))
     kept = rows.withColumn("_slot", slot.cast("int"))
+    kept.repartition(batches, "_slot").write.partitionBy("_slot").parquet(f"{path}-slots")
     for k in range(batches):  # a file a batch, the oldest first
-        kept.filter(F.col("_slot") == k).drop("_slot").coalesce(1).sortWithinPartitions(F.xxhash64("frame_idx", "video_id")).write.mode("append").parquet(path)
+        one = spark.read.schema(kept.schema).parquet(f"{path}-slots").filter(F.col("_slot") == k).drop("_slot")
+        one.coalesce(1).sortWithinPartitions(F.xxhash64("frame_idx", "video_id")).write.mode("append").parquet(path)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
     return live.with_event_time(stream, "1 day")
 

@@ -7,7 +7,8 @@ its frames leave, and what was open ends. Rows that are behind the watermark its
 them in the query's progress (numRowsDroppedByWatermark), so the watermark's delay should be the greater one.
 
 State is in several variables a video (transformWithState), which need the RocksDB state store: see `state_store`. It is
-bounded by the frames of `delay` seconds, the flashes of one second, and a few numbers.
+bounded by the frames of `delay` seconds, the flashes of one second, and a few numbers. A video's frames of a micro-batch are
+few, so they are handled as plain rows, and each variable is read and written once.
 """
 
 from __future__ import annotations
@@ -16,8 +17,7 @@ import contextlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
@@ -51,46 +51,56 @@ class InOrder(StatefulProcessor):
         self.out = [c.split(" ")[0] for c in out.split(", ")]
 
     def init(self, handle) -> None:
-        self.handle = handle
+        self.handle, self.row = handle, Row(*self.out)
         self.pending = handle.getListState("pending", ", ".join(f"{c} {'long' if c == 'frame_idx' else 'double'}" for c in self.columns))
-        self.times = handle.getValueState("times", "latest double, left double, late long, timer long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat([r[list(self.columns)] for r in rows])
-        latest, left, late, timer = self.times.get() if self.times.exists() else (-np.inf, -np.inf, 0, -1)
-        behind = new["ts"] <= left
-        late += int(behind.sum())
-        held = self._frames([*self.pending.get(), *new[~behind].astype(object).itertuples(index=False, name=None)])
-        latest = max(latest, float(new["ts"].max()))
-        goes = held["ts"] <= latest - self.delay
-        ready, kept = held[goes], held[~goes]
-        self.pending.clear()
-        if len(kept):
-            self.pending.put([tuple(r) for r in kept.astype(object).itertuples(index=False, name=None)])
-        if timer >= 0:
-            self.handle.deleteTimer(timer)
-        timer = max(live.event_ms(latest) + self.quiet_ms, timerValues.getCurrentWatermarkInMs() + 1)
-        self.handle.registerTimer(timer)
-        self.times.update((latest, float(ready["ts"].max()) if len(ready) else left, late, timer))
-        yield self._rows(self.released(str(key[0]), ready, late) if len(ready) else [])
-
-    def _frames(self, rows: list[tuple]) -> pd.DataFrame:
-        frames = pd.DataFrame(rows, columns=self.columns).astype({c: "int64" if c == "frame_idx" else "float64" for c in self.columns})
-        return frames.sort_values(["ts", "frame_idx"], kind="stable")
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        ready = self._frames(list(self.pending.get()))
-        late = self.times.get()[2]
-        out = self.released(str(key[0]), ready, late) if len(ready) else []
+        # closes: when the video is over, if nothing comes; timer: the one that is registered, not later than that
+        self.times = handle.getValueState("times", "latest double, left double, late long, closes long, timer long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        known = self.times.get()
+        latest, left, late, _, timer = known or (-np.inf, -np.inf, 0, -1, -1)
+        fresh = [self._frame(r) for r in rows]
+        new = [f for f in fresh if not f[0] <= left]
+        late += len(fresh) - len(new)
+        waiting = list(self.pending.get()) if known else []
+        latest = max([latest, *(f[0] for f in fresh if f[0] == f[0])])
+        ready, kept = self._split([*waiting, *new], latest - self.delay)
+        if kept:
+            self.pending.put(kept)
+        elif waiting:
+            self.pending.clear()
+        closes = max(live.event_ms(latest) + self.quiet_ms, timerValues.getCurrentWatermarkInMs() + 1)
+        if timer < 0:
+            timer = closes
+            self.handle.registerTimer(timer)
+        self.times.update((latest, ready[-1][0] if ready else left, late, closes, timer))
+        yield from map(self._row, self.released(str(key[0]), ready, late) if ready else [])
+
+    def _frame(self, row: Row) -> tuple:
+        return tuple((int if c == "frame_idx" else float)(v) if (v := row[c]) is not None else np.nan for c in self.columns)
+
+    def _split(self, frames: list[tuple], until: float) -> tuple[list[tuple], list[tuple]]:
+        """Frames of at most a time, in order, and the others."""
+        ready = sorted((f for f in frames if f[0] <= until), key=lambda f: f[:2])
+        return ready, [tuple(f) for f in frames if not f[0] <= until]
+
+    def _row(self, values: tuple) -> Row:
+        return self.row(*values)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        latest, left, late, closes, timer = self.times.get()
+        if closes > timerValues.getCurrentWatermarkInMs():  # frames came since it was registered
+            self.handle.registerTimer(closes)
+            self.times.update((latest, left, late, closes, closes))
+            return
+        ready = sorted(map(tuple, self.pending.get()), key=lambda f: (f[0] != f[0], *f[:2]))
+        out = self.released(str(key[0]), ready, late) if ready else []
         out += self.end(str(key[0]))
         self.pending.clear()
         self.times.clear()
-        yield self._rows(out)
-
-    def _rows(self, out: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(out, columns=self.out)
+        yield from map(self._row, out)
 
-    def released(self, video: str, frames: pd.DataFrame, late: int) -> list[tuple]:
+    def released(self, video: str, frames: list[tuple], late: int) -> list[tuple]:
         raise NotImplementedError
 
     def end(self, video: str) -> list[tuple]:
@@ -111,14 +121,15 @@ class FlashEvents(InOrder):
         super().init(handle)
         self.state = handle.getValueState("flash", live.STATE)
 
-    def released(self, video: str, frames: pd.DataFrame, late: int) -> list[tuple]:
-        s = live.cleaned(self.state.get()) if self.state.exists() else live._EMPTY
-        s, out = live.advance(video, s, *(frames[c].tolist() for c in ("ts", "frame_idx", "brightness")), *self.limits)
+    def released(self, video: str, frames: list[tuple], late: int) -> list[tuple]:
+        ts, frame, brightness = map(list, zip(*frames, strict=True))
+        s, out = live.advance(video, live.cleaned(self.state.get() or live._EMPTY), ts, frame, brightness, *self.limits)
         self.state.update(s)
         return out
 
     def end(self, video: str) -> list[tuple]:
-        out = live.ending(video, live.cleaned(self.state.get()), *self.limits[2:]) if self.state.exists() else []
+        s = self.state.get()
+        out = live.ending(video, live.cleaned(s), *self.limits[2:]) if s else []
         self.state.clear()
         return out
 
@@ -126,7 +137,7 @@ class FlashEvents(InOrder):
 def flash_events_in_order(frames: DataFrame, delay: float = 2.0, threshold: float = 0.2, gap: float = 0.3, allowed: int = 3, length: float = 1.0, quiet_ms: int = 5_000) -> DataFrame:
     """live.flash_events where frames may come up to `delay` seconds of their video's time after later ones."""
     ship(frames.sparkSession)
-    return frames.groupBy("video_id").transformWithStateInPandas(FlashEvents(delay, quiet_ms, threshold, gap, allowed, length), live.OUT, "append", "eventTime")
+    return frames.groupBy("video_id").transformWithState(FlashEvents(delay, quiet_ms, threshold, gap, allowed, length), live.OUT, "append", "eventTime")
 
 
 def _clamp(x):
@@ -155,42 +166,50 @@ class LiveRisk(InOrder):
         self.recent = handle.getListState("recent", "ts double")
         self.risk = handle.getValueState("risk", "debt double, level long")
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        r = initialState.iloc[0]
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        r = initialState
         self.signal.update((int(r["frames"]), float(r["ts"]), float(r["brightness"]), float(r["red"]), 0))
         self.flashes.update((int(r["flashes"]), float(r["intensity"]), int(r["valid"]), int(r["peak"]), int(r["over"])))
         if len(r["recent"]):
             self.recent.put([(float(t),) for t in sorted(r["recent"])])
         self.risk.update((float(r["debt"]), int(r["level"])))
-        self.times.update((float(r["ts"]), float(r["ts"]), 0, -1))
+        self.times.update((float(r["ts"]), float(r["ts"]), 0, -1, -1))
 
-    def released(self, video: str, frames: pd.DataFrame, late: int) -> list[tuple]:
-        signal = self.signal.get() if self.signal.exists() else (0, None, None, None, 0)
-        ts = frames["ts"].to_numpy(float)
+    def released(self, video: str, frames: list[tuple], late: int) -> list[tuple]:
+        signal = self.signal.get() or (0, None, None, None, 0)
+        values = dict(zip(self.columns, map(np.array, zip(*frames, strict=True)), strict=True))
+        ts = values["ts"]
         before = np.concatenate(([signal[1] if signal[0] else np.nan], ts[:-1]))
         cuts = [0, *np.flatnonzero(ts - before > self.gap).tolist(), len(ts)]
+        carried = (self.flashes.get() or (0, 0.0, 0, 0, 0), [t for (t,) in self.recent.get()] if signal[0] else [], self.risk.get() or (0.0, 0))
+        had = bool(carried[1])
         out: list[tuple] = []
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b > a:
                 fresh = a > 0 or bool(ts[0] - before[0] > self.gap)
                 if fresh:
                     signal = (0, None, None, None, signal[4] + 1)
-                    self.flashes.clear()
-                    self.recent.clear()
-                signal, rows = self._step(video, frames.iloc[a:b], signal, late)
+                    carried = ((0, 0.0, 0, 0, 0), [], carried[2])
+                signal, carried, rows = self._step(video, {c: v[a:b] for c, v in values.items()}, signal, carried, late)
                 out += rows
         self.signal.update(signal)
+        self.flashes.update(carried[0])
+        if carried[1]:
+            self.recent.put([(t,) for t in carried[1]])
+        elif had:
+            self.recent.clear()
+        self.risk.update(carried[2])
         return out
 
-    def _step(self, video: str, frames: pd.DataFrame, signal: tuple, late: int) -> tuple[tuple, list[tuple]]:
-        ts, b, red = (frames[c].to_numpy(float) for c in ("ts", "brightness", "red"))
+    def _step(self, video: str, frames: dict[str, np.ndarray], signal: tuple, carried: tuple, late: int) -> tuple[tuple, tuple, list[tuple]]:
+        """carried: the numbers of flashes, the times of the last ones, debt and level."""
+        ts, b, red = (frames[c] for c in ("ts", "brightness", "red"))
         n = np.arange(1, len(ts) + 1) + signal[0]
         intensity = np.abs(np.diff(b, prepend=signal[2] if signal[0] else b[0]))
         red_delta = np.abs(np.diff(red, prepend=signal[3] if signal[0] else red[0]))
         is_flash = intensity > self.threshold
-        flashes, total, valid, peak, over = self.flashes.get() if self.flashes.exists() else (0, 0.0, 0, 0, 0)
-        debt, level = self.risk.get() if self.risk.exists() else (0.0, 0)
-        times = np.concatenate(([t for (t,) in self.recent.get()], ts[is_flash]))
+        (flashes, total, valid, peak, over), recent, (debt, level) = carried
+        times = np.concatenate((recent, ts[is_flash]))
         rolling = np.zeros(len(ts), np.int64)
         rolling[is_flash] = np.searchsorted(times, ts[is_flash], "right") - np.searchsorted(times, ts[is_flash] - 1.0, "left")
         count = flashes + np.cumsum(is_flash)
@@ -200,7 +219,7 @@ class LiveRisk(InOrder):
         peaks, overs = np.maximum.accumulate(np.maximum(rolling, peak)), over + np.cumsum(rolling > risk.FLASHES)
         several = count > 1
         most, violations = np.where(several, peaks, 0), np.where(several, overs, 0)
-        psi, cover, rg, by, hz, pattern = (frames[c].to_numpy(float) for c in ("psi_score", "coverage", "chroma_rg", "chroma_by", "flicker_hz", "pattern"))
+        psi, cover, rg, by, hz, pattern = (frames[c] for c in ("psi_score", "coverage", "chroma_rg", "chroma_by", "flicker_hz", "pattern"))
         values = {"psi": _clamp(psi), "avg_intensity": _clamp(average), "coverage": _clamp(cover), "red": red, "red_delta": red_delta, "chroma": np.maximum(rg, by), "pattern": _clamp(pattern)}
         low, high = risk.FLICKER
         in_band = (hz >= low) & (hz <= high)
@@ -218,16 +237,11 @@ class LiveRisk(InOrder):
         base = np.select([~(several & (n > 1)), reaches[0] | (most > risk.FLASHES) | (violations > 0), reaches[1], weighted >= risk.WEIGHTED[0], weighted >= risk.WEIGHTED[1]], [0, 2, 1, 2, 1], 0)
         rank = np.where(debts >= risk.DEBT_LIMITS[0], 2, np.where(debts >= risk.DEBT_LIMITS[1], np.maximum(base, 1), base))
         levels = np.maximum.accumulate(np.maximum(rank, level))
-        self.flashes.update((int(count[-1]), float(totals[-1]), int(valids[-1]), int(peaks[-1]), int(overs[-1])))
-        kept = times[times >= ts[-1] - 1.0]
-        self.recent.clear()
-        if len(kept):
-            self.recent.put([(float(t),) for t in kept])
-        self.risk.update((float(debts[-1]), int(levels[-1])))
+        carried = (int(count[-1]), float(totals[-1]), int(valids[-1]), int(peaks[-1]), int(overs[-1])), times[times >= ts[-1] - 1.0].tolist(), (float(debts[-1]), int(levels[-1]))
         names = lambda x: [risk.RANKS[k] for k in x.tolist()]
         frame = frames["frame_idx"].astype(int).tolist()
         rows = zip([video] * len(ts), frame, ts.tolist(), [signal[4]] * len(ts), is_flash.tolist(), intensity.tolist(), red_delta.tolist(), most.tolist(), debts.tolist(), names(rank), names(levels), [late] * len(ts), strict=True)
-        return (int(n[-1]), float(ts[-1]), float(b[-1]), float(red[-1]), signal[4]), list(rows)
+        return (int(n[-1]), float(ts[-1]), float(b[-1]), float(red[-1]), signal[4]), carried, list(rows)
 
     def end(self, video: str) -> list[tuple]:
         for state in (self.signal, self.flashes, self.recent, self.risk):
@@ -239,7 +253,7 @@ def live_risk(frames: DataFrame, delay: float = 2.0, threshold: float = 0.2, gap
     """Rows of RISK_OUT, a frame each, from frames with RISK_INPUTS; carried: what carried_state made of earlier frames."""
     ship(frames.sparkSession)
     grouped = None if carried is None else carried.groupBy("video_id")
-    return frames.groupBy("video_id").transformWithStateInPandas(LiveRisk(delay, quiet_ms, threshold, gap), RISK_OUT, "append", "eventTime", grouped)
+    return frames.groupBy("video_id").transformWithState(LiveRisk(delay, quiet_ms, threshold, gap), RISK_OUT, "append", "eventTime", grouped)
 
 
 def carried_state(rows: DataFrame, seconds: float = 1.0) -> DataFrame:
