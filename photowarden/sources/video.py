@@ -1,7 +1,7 @@
 """Uncompressed video files (YUV4MPEG2, .y4m) as a data source: batch, stream and sink.
 
 A file is a header line and frames of one size, so a frame's place follows from its number: files are planned as ranges of
-frames of about partitionBytes, and a long file is many tasks. A frame is read, turned from YUV to RGBA in whole numbers and,
+frames of about partitionBytes (longer, where that made over 1,024 of them), and a long file is many tasks. A frame is read, turned from YUV to RGBA in whole numbers and,
 with sample=k, averaged over blocks of k by k pixels; only a few frames are in memory at once. Row: sources.frames.FRAMES,
 with the file's name (without .y4m) as video_id and ts from the header's rate.
 
@@ -33,6 +33,8 @@ from photowarden.sources.frames import FRAMES
 MAGIC, FRAME = b"YUV4MPEG2", b"FRAME\n"
 MOST_HEADER = 4096
 PARTITION_BYTES, BATCH_BYTES = 64 << 20, 16 << 20
+#: Partitions of a read, about: where partitionBytes would ask for more, ranges are longer.
+MOST_PARTITIONS = 1024
 _ARROW = pa.schema([("video_id", pa.string()), ("frame_idx", pa.int32()), ("ts", pa.float64()), ("width", pa.int32()), ("height", pa.int32()), ("rgba", pa.binary())])
 # BT.601 in millionths, for samples of the full range and of the video range (16..235, 16..240).
 _TO_YUV = {
@@ -216,7 +218,8 @@ class Y4mReader(DataSourceReader):
     def partitions(self) -> list[FrameRange]:
         fs, _ = _file_system(self.path)
         found = [(p, read_header(fs, p), size) for p, size in list_files(self.path)]
-        return [r for p, header, size in found if header for r in _ranges(p, header, 0, header.frames(size), self.bytes)]
+        each = max(self.bytes, sum(size for _, _, size in found) // MOST_PARTITIONS)
+        return [r for p, header, size in found if header for r in _ranges(p, header, 0, header.frames(size), each)]
 
     def read(self, partition: FrameRange) -> Iterator[pa.RecordBatch]:
         return _read(self.path, partition, self.sample) if partition is not None else iter(())
