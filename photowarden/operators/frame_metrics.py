@@ -14,18 +14,22 @@ frame, the metric `damaged` tells it, and the frame after it has no like frame b
 
 from __future__ import annotations
 
+import itertools
 from collections import OrderedDict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from photowarden.functions.color import LUMA
 from photowarden.runtime import ship
 
+#: Bytes of rasters whose pixels are laid out at once.
+PIXEL_BYTES = 1 << 20
 _V = np.arange(256) / 255.0
 LINEAR = np.where(_V > 0.04045, ((_V + 0.055) / 1.055) ** 2.4, _V / 12.92)
 _WEIGHTED = [w * LINEAR for w in LUMA]
@@ -459,12 +463,22 @@ def scene_change(frames: DataFrame) -> DataFrame:
     return frame_metrics(frames, [], with_scene_change=True)
 
 
+def by_bytes(batch: pa.RecordBatch, most: int = PIXEL_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose rasters (column 3) have about so many bytes; one at least in each."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(3)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def pixels(frames: DataFrame) -> DataFrame:
     """The exploded form, one row a pixel: for tests and ad-hoc SQL, not for production."""
     ship()
 
     def run(batches):
-        for batch in batches:
+        for batch in itertools.chain.from_iterable(map(by_bytes, batches)):
             rasters = [np.frombuffer(x or b"", np.uint8).reshape(-1, 4).astype(np.int32) for x in batch.column(3).to_pylist()]
             flat = np.concatenate(rasters) if rasters else np.zeros((0, 4), np.int32)
             offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in rasters]))), pa.int32())
