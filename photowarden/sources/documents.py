@@ -324,15 +324,18 @@ class DocumentParts(DataSource):
         return PartWriter(self.options)
 
 
-def write_documents(pieces: DataFrame, path: str) -> None:
+def write_documents(pieces: DataFrame, path: str, text: Column | None = None) -> None:
     """<path>/<video>.json for each video of pieces: video_id, kind (0: text before the list, 1: an element, 2: text after
-    it), at (order of the elements), text. Existing documents of these names are replaced."""
+    it), at (order of the elements), text. Existing documents of these names are replaced.
+
+    text: made of the pieces' other columns when they are in order, so that texts are neither exchanged nor sorted."""
     spark = pieces.sparkSession
     ship(spark)
     spark.dataSource.register(DocumentParts)
     keys = ("video_id", "kind", "at")
-    rows = pieces.select(F.col("video_id").cast("string"), F.col("kind").cast("int"), F.coalesce(F.col("at").cast("double"), F.lit(0.0)).alias("at"), "text")
-    rows.repartitionByRange(*keys).sortWithinPartitions(*keys).write.format("document_parts").mode("append").save(path)
+    rows = pieces.withColumns({"video_id": F.col("video_id").cast("string"), "kind": F.col("kind").cast("int"), "at": F.coalesce(F.col("at").cast("double"), F.lit(0.0))})
+    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ordered.select(*keys, (F.col("text") if text is None else text).alias("text")).write.format("document_parts").mode("append").save(path)
     fs, folder = pafs.FileSystem.from_uri(path)
     uri = path[: len(path) - len(folder)] if path.endswith(folder) else ""
     manifest = spark.read.schema("video string, kind int, at double, last int, part string").json(f"{uri}{folder}/_parts/manifest.json")
@@ -404,14 +407,20 @@ def _has(schema: T.DataType, path: list[str]) -> bool:
     return not path or isinstance(schema, T.StructType) and path[0] in schema.names and _has(schema[path[0]].dataType, path[1:])
 
 
-def _entry(fields: dict, schema: T.StructType) -> Column:
+def _sources(fields: dict) -> Iterator[str]:
+    """Source columns of an entry's fields."""
+    for source in fields.values():
+        yield from _sources(source) if isinstance(source, dict) else (source[0],)
+
+
+def _entry(fields: dict, schema: T.StructType, within: str) -> Column:
     made = []
     for name, source in fields.items():
         if isinstance(source, dict):
-            made.append(_entry(source, schema).alias(name))
+            made.append(_entry(source, schema, within).alias(name))
             continue
         path, places = source
-        there = F.col(path) if _has(schema, path.split(".")) else None
+        there = F.col(f"{within}.{path}") if _has(schema, path.split(".")) else None
         if places == "as it is":
             if there is not None or name in ("spikes", "spectrum"):
                 made.append((there if there is not None else F.array().cast("array<double>")).alias(name))
@@ -422,8 +431,8 @@ def _entry(fields: dict, schema: T.StructType) -> Column:
     return F.struct(*made)
 
 
-def report_pieces(rows: DataFrame, red: bool = False, temporal_contrast: bool = False, title: Column | None = None, made_at: str | None = None) -> DataFrame:
-    """The pieces, for write_documents, of one report a video: metadata, the entries in order of time, the colour history.
+def report_pieces(rows: DataFrame, red: bool = False, temporal_contrast: bool = False, title: Column | None = None, made_at: str | None = None) -> tuple[DataFrame, Column]:
+    """The pieces and their text, for write_documents, of one report a video: metadata, the entries in order of time, the colour history.
 
     rows: those of plans.analysis. made_at: the metadata's date (ISO); now, if None. The colour history has the mean colours
     of the last HISTORY frames, oldest first, from mean_color, or else dominant_color; it is empty without either.
@@ -449,16 +458,20 @@ def report_pieces(rows: DataFrame, red: bool = False, temporal_contrast: bool =
         (title if title is not None else F.col("video_id").cast("string")).alias("videoTitle"), made.alias("analysisDate"), F.col("frames").alias("totalFramesAnalyzed"), F.col("flashes").alias("totalFlashesDetected"),
         F.col("level").alias("riskLevel"), F.lit(red).alias("redMetricsEnabled"), F.lit(temporal_contrast).alias("temporalContrastEnabled"), F.col("bins").alias("spectralBinResolution"),
     )
-    head = facts.select("video_id", F.lit(0).alias("kind"), F.lit(0.0).alias("at"), F.concat(F.lit('{\n"metadata": '), F.to_json(metadata), F.lit(',\n"analysis": [\n')).alias("text"))
-    body = rows.select("video_id", F.lit(1).alias("kind"), F.col("timestamp").alias("at"), F.to_json(_entry(entry, have)).alias("text"))
+    head = facts.select("video_id", F.lit(0).alias("kind"), F.lit(0.0).alias("at"), metadata.alias("metadata"))
+    used = sorted({c.split(".")[0] for c in _sources(entry)} & set(have.names))
+    body = rows.select("video_id", F.lit(1).alias("kind"), F.col("timestamp").alias("at"), F.struct(*used).alias("row"))
     color = next((c for c in ("mean_color", "dominant_color") if c in have.names), None)
     recent = rows.withColumn("_k", F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("timestamp"), F.desc("frame_idx")))).filter(F.col("_k") <= HISTORY)
     kept = F.array_sort(F.collect_list(F.struct(-F.col("_k"), *((F.col(f"{color}.{c}") if color else F.lit(0.0)).alias(c) for c in _RGB))))
     history = F.struct(*((F.col(f"h.{c}") if color else F.array().cast("array<double>")).alias(c) for c in _RGB))
-    tail = recent.groupBy("video_id").agg(kept.alias("h")).select("video_id", F.lit(2).alias("kind"), F.lit(0.0).alias("at"), F.concat(F.lit('\n],\n"colorHistory": '), F.to_json(history), F.lit("\n}\n")).alias("text"))
-    return head.unionByName(body).unionByName(tail)
+    tail = recent.groupBy("video_id").agg(kept.alias("h")).select("video_id", F.lit(2).alias("kind"), F.lit(0.0).alias("at"), history.alias("history"))
+    first, last = F.concat(F.lit('{\n"metadata": '), F.to_json("metadata"), F.lit(',\n"analysis": [\n')), F.concat(F.lit('\n],\n"colorHistory": '), F.to_json("history"), F.lit("\n}\n"))
+    text = F.when(F.col("kind") == 0, first).when(F.col("kind") == 1, F.to_json(_entry(entry, have, "row"))).otherwise(last)
+    return head.unionByName(body, allowMissingColumns=True).unionByName(tail, allowMissingColumns=True), text
 
 
 def write_reports(rows: DataFrame, path: str, **options) -> None:
     """<path>/<video>.json: the report of each video."""
-    write_documents(report_pieces(rows, **options), path)
+    pieces, text = report_pieces(rows, **options)
+    write_documents(pieces, path, text)

@@ -418,3 +418,9 @@ def test_partitions_of_a_long_video_are_bounded(tmp_path, monkeypatch):
     monkeypatch.setattr(video, "MOST_PARTITIONS", 10)
     got = parts()
     assert len(got) <= 11 and [k for p in got for k in range(p.first, p.last)] == list(range(500))
+
+
+def test_texts_of_reports_are_made_after_the_sort(spark, sf, tmp_path):
+    rows = catalog.flagged(spark, sf).withColumn("timestamp", F.col("ts"))
+    pieces, text = documents.report_pieces(rows, made_at="x")
+    assert "string" not in {k for n, k in pieces.dtypes if n not in ("video_id", "metadata")} and pieces.select(text.alias("t")).filter("t is null").count() == 0
