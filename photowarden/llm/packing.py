@@ -13,6 +13,7 @@ and checksum, and windows of equal room latest first; an empty table gives no ro
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import re
@@ -36,15 +37,44 @@ MOST_KNOWN = 1 << 18
 # The characters that Unicode calls white space.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECE = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+# Words as byte-level BPE splits them, of characters whose kind no version of Unicode has changed. A word that
+# another character follows, which might belong to it, is left to _PIECE.
+_LATIN, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "!-/:-@\\[-`{-~"
+_WORD = f"(?:'(?:s|t|re|ve|m|ll|d)|(?: ?[{_LATIN}]++| ?[0-9]++| ?[{_MARKS}]++)(?![^\t\n\r -~{_LATIN}]))"
+_ONE_WORD, _WORD_OR_PIECE = re.compile(_WORD), re.compile(f"{_WORD}|{_PIECE.pattern}")
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+def _byte_characters() -> dict[int, str]:
+    """The character of each byte in a byte-level BPE file: printable ones stand for themselves, others count from 256."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+_BYTES = _byte_characters()
+_SPACE_BYTE = _BYTES[32]
+
+
+class _Known(dict):
+    """Ids by piece; what is missing is taken from the generation before, or made."""
+
+    def __init__(self, make, before: dict[str, bytes]):
+        self.make, self.before = make, before
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self[piece] = self.before.get(piece) or self.make(piece)  # frequent pieces pass from one generation to the next
+        return found
+
+
 class Bpe:
     """Ids of a byte-level BPE file as little-endian 32-bit bytes, made by `tokenizers` with add_special_tokens=False.
 
     Where white space begins a token always begins, so a run of white space with the word after it is tokenised
     independently of the rest: each different such piece is given to `tokenizers` once and kept (the tests compare whole
-    texts). A text with a special token's string in it is given to `tokenizers` whole.
+    texts). Where the file has the usual split, words, numbers and marks of ASCII and Latin letters are cut here as it cuts
+    them, and go to its model in `tokenizers` without the layers before it, which cost more than the merges. A text with a
+    special token's string in it is given to `tokenizers` whole.
     """
 
     def __init__(self, path: str):
@@ -52,29 +82,41 @@ class Bpe:
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
+        self._model = self._tok.model
+        split = json.loads(self._tok.pre_tokenizer.__getstate__()) if self._tok.pre_tokenizer and not self._tok.normalizer else {}
+        usual = split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
+        self._cut, self._make = (_WORD_OR_PIECE, self._word_or_piece) if usual else (_PIECE, self._piece)
         self._special = [t.content for t in self._tok.get_added_tokens_decoder().values()]
-        self._known: dict[str, bytes] = {}
         self._before: dict[str, bytes] = {}
+        self._known = _Known(self._make, self._before)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self._tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _piece(self, piece: str) -> bytes:
+        return self._ids([piece])[0]
+
+    def _word_or_piece(self, piece: str) -> bytes:
+        bare = piece.removeprefix(" ")
+        if bare.isascii() and bare.isalpha():
+            word = _SPACE_BYTE * (len(bare) < len(piece)) + bare
+        elif _ONE_WORD.fullmatch(piece):
+            word = piece.encode().decode("latin-1").translate(_BYTES)
+        else:
+            return self._piece(piece)
+        return array("I", [t.id for t in self._model.tokenize(word)]).tobytes()
+
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        whole = {k for k, t in enumerate(texts) if any(s in t for s in self._special)}
-        cut = [_PIECE.findall(t) if k not in whole else [] for k, t in enumerate(texts)]
-        missing = set().union(*cut) - self._known.keys()
-        for piece in missing & self._before.keys():  # frequent pieces pass from one generation to the next
-            self._known[piece] = self._before[piece]
-        new = list(missing - self._before.keys())
-        self._known.update(zip(new, self._ids(new), strict=True))
-        out = [b"".join(map(self._known.__getitem__, pieces)) for pieces in cut]
-        for k in whole:
-            (out[k],) = self._ids([texts[k]])
+        ids, out = self._known.__getitem__, []
+        for t in texts:
+            whole = any(s in t for s in self._special)
+            out.append(self._piece(t) if whole else b"".join(map(ids, self._cut.findall(t))))
         if len(self._known) > MOST_KNOWN // 2:
-            self._before, self._known = self._known, {}
+            self._before = dict(self._known)
+            self._known = _Known(self._make, self._before)
         return out
 
 

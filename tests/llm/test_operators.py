@@ -756,6 +756,19 @@ def test_frequent_pieces_pass_to_the_next_generation(monkeypatch):
         assert len(bpe._known) <= 40 and len(bpe._before) <= 40 and " cat" in bpe._known.keys() | bpe._before.keys()
 
 
+def test_words_go_to_the_model_once(monkeypatch):
+    """Words, numbers and marks don't pass the layers before the model, and a word is made once whatever stands beside it."""
+    bpe, made = packing.Bpe(packing.tokenizer_path()), []
+    text = "Eine été ñandú, (été) 123! été's it's été; 4été\u0301 Eine été."
+    want = bpe._ids([text])[0]
+    model, ids = bpe._model, bpe._ids
+    monkeypatch.setattr(bpe, "_model", type("Model", (), {"tokenize": lambda self, word: made.append(word) or model.tokenize(word)})())
+    monkeypatch.setattr(bpe, "_ids", lambda texts: made.extend(texts) or ids(texts))
+    assert bpe.encode(text) == want and bpe.encode(text) == want
+    assert len(made) == len(set(made)) and [x for x in made if "\u0301" in x] == ["été\u0301"]
+    assert len(made) == 16 and "ĠÃ©tÃ©" in made
+
+
 def test_packing_awkward(spark):
     got = packing.pack_documents(awkward(spark)).toPandas()
     assert got[got.doc_id == 1].length.tolist() == [1] and got.doc_id.isna().sum() == 1 and len(got[got.doc_id == 4]) == 2
