@@ -386,13 +386,20 @@ def _transparent_scene_change(spark, d):
 # ---- streams ------------------------------------------------------------------------------------------------------------
 
 
+#: Most micro-batches of the stream below: each costs some tenths of a second a state partition, however many rows it has.
+LIVE_BATCHES = 4
+
+
 @query("live_violations", with_(WINDOWS, "SELECT video_id::VARCHAR AS video_id, round(start_time, 6) AS start_time, round(end_time, 6) AS end_time, start_frame::BIGINT AS start_frame, end_frame::BIGINT AS end_frame, flash_count::BIGINT AS flash_count FROM closed WHERE flash_count > 3"))
 def _live_violations(spark, d):
-    """Closed windows from a stream of the signal, kept batch by batch by the Parquet sink."""
+    """Closed windows from a stream of the signal, kept batch by batch by the Parquet sink. A file has videos from their
+    beginning, so the watermark stays behind all of them."""
     path = _new_folder(spark)
     signal(spark, d).select(F.col("video_id").cast("string").alias("video_id"), F.col("frame_idx").cast("long").alias("frame_idx"), "ts", "brightness").write.parquet(f"{path}/in")
-    stream = spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    found = live.flash_events(live.with_event_time(stream), 0.1, GAP)
+    written = spark.read.parquet(f"{path}/in")
+    files = -(-len(written.inputFiles()) // LIVE_BATCHES)
+    stream = spark.readStream.schema(written.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/in")
+    found = live.flash_events(live.with_event_time(stream, "1 day"), 0.1, GAP)
     run = found.writeStream.foreachBatch(sinks.append_sink(f"{path}/out")).option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.parquet(f"{path}/out").filter("kind = 'violation' and not incomplete").select("video_id", "start_time", "end_time", "start_frame", "end_frame", "flash_count")

@@ -262,6 +262,27 @@ def test_stream_equals_batch(spark, tmp_path):
     assert closed <= spans and len(spans - closed) <= 2
 
 
+def test_stream_of_many_videos_has_few_states(spark, tmp_path):
+    """Videos share calls and rows of state; one that goes quiet still gives what it has open, and only that one."""
+    from photowarden.streaming import live
+
+    points = [(None if v == 0 else str(v), k, 0.04 * k, k % 2 * 1.0) for v in range(300) for k in range(1, 16)]
+    points += [(None if v == 0 else str(v), k, 90 + 0.04 * k, k % 2 * 1.0) for v in range(0, 300, 2) for k in range(16, 46)]
+    df = spark.createDataFrame(points, "video_id string, frame_idx long, ts double, brightness double")
+    for k, part in enumerate((df.filter("ts < 90"), df.filter("ts >= 90"))):
+        part.coalesce(1).write.parquet(f"{tmp_path}/in/b{k}")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    got = []
+    q = live.flash_events(live.with_event_time(stream), 0.5, 0.06).writeStream.foreachBatch(lambda b, n: got.extend(b.collect())).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) <= 256
+    name = lambda v: "None" if v == 0 else str(v)
+    found = [r for r in got if r["kind"] == "violation"]
+    assert sorted(r["video_id"] for r in found if r["incomplete"]) == sorted(map(name, range(1, 300, 2)))
+    want = {(r["video_id"] or "None", r["start_frame"], r["end_frame"], r["flash_count"]) for r in flash.violations(flash.with_flashes(df, 0.5)).filter("not incomplete").collect()}
+    assert want == {(r["video_id"], r["start_frame"], r["end_frame"], r["flash_count"]) for r in found if not r["incomplete"]} and len(want) >= 150
+
+
 def test_rounding_is_plain(spark):
     row = spark.createDataFrame([(0.4999999995, 0.5, -0.5, 1.25)], "a double, b double, c double, d double")
     got = row.select(*(scalar.half_up(F.col(c)).alias(c) for c in "abc"), scalar.half_up(F.col("d"), 1).alias("d")).first()
