@@ -11,6 +11,7 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -120,22 +121,38 @@ def violation_windows(flagged: DataFrame, allowed: int = 3, length: float = 1.0)
 
     A window opens at the first flash outside of a window and closes at the first frame, flash or not, that is `length`
     or more later; a flash on that frame counts, and opens no window. Returns one row a video: first, last (times),
-    frames, ws, wf, k (the open window, null if none) and done (closed windows). A task holds the numbers of one video.
+    frames, ws, wf, k (the open window, null if none) and done (closed windows). A task holds the numbers of one video; its
+    videos pass one after the other in order, as a call a video would cost more than the video does.
     """
     ship()
-    rows = flagged.select("video_id", "frame_idx", F.col("ts").cast("double").alias("ts"), "is_flash")
+    rows = flagged.select("video_id", "frame_idx", F.col("ts").cast("double").alias("ts"), F.coalesce("is_flash", F.lit(False)).alias("is_flash"))
     schema = f"video_id {dict(rows.dtypes)['video_id']}, {_STATE}"
     kinds = to_arrow_schema(flagged.sparkSession.createDataFrame([], schema).schema)
 
-    def run(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("frame_idx").to_numpy(), kind="stable")
-        frame, ts, is_flash = (table.column(c).to_numpy()[order] for c in ("frame_idx", "ts", "is_flash"))
+    def video(name, pieces: list[pa.RecordBatch]) -> dict:
+        frame, ts, is_flash = (np.concatenate([p.column(k).to_numpy(zero_copy_only=False) for p in pieces]) for k in (1, 2, 3))
         done, left = closed_windows(frame, ts, is_flash.astype(bool), length)
         ws, wf, k = left or (None, None, 0)
-        row = {"video_id": table.column("video_id")[0].as_py(), "first": float(ts[0]), "ws": ws, "wf": wf, "k": k, "last": float(ts[-1]), "frames": len(ts), "done": done}
-        return pa.Table.from_pylist([row], schema=kinds)
-
-    return rows.groupBy("video_id").applyInArrow(run, schema)
+        return {"video_id": name, "first": float(ts[0]), "ws": ws, "wf": wf, "k": k, "last": float(ts[-1]), "frames": len(ts), "done": done}
+
+    def run(batches):
+        name, held = None, []  # the video that may go on
+        for batch in batches:
+            codes = pc.dictionary_encode(batch.column(0), null_encoding="encode").indices.to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)] if len(codes) else []
+            found = []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                this = batch.column(0)[a].as_py()
+                if held and this != name:
+                    found.append(video(name, held))
+                    held = []
+                name = this
+                held.append(batch.slice(a, b - a))
+            yield pa.RecordBatch.from_pylist(found, schema=kinds)
+        if held:
+            yield pa.RecordBatch.from_pylist([video(name, held)], schema=kinds)
+
+    return rows.repartition("video_id").sortWithinPartitions("video_id", F.asc_nulls_last("frame_idx")).mapInArrow(run, schema)
 
 
 #: Rows of a block of a video's frames.

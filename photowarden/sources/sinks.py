@@ -68,10 +68,11 @@ def csv_rows(rows: DataFrame, red: bool = False, temporal_contrast: bool = False
     return flat.orderBy("timestamp").select(*(cell(s, p).alias(h) for h, s, p in csv_columns(red, temporal_contrast)))
 
 
-def write_csv(rows: DataFrame, path: str, single_file: bool = False, **flags: bool) -> None:
-    """Rows are computed once, then sorted: a sort over all partitions reads what it sorts twice."""
+def write_csv(rows: DataFrame, path: str, single_file: bool = False, stored: bool = False, **flags: bool) -> None:
+    """Rows are computed once, then sorted: a sort over all partitions reads what it sorts twice. stored: they are a table."""
     wanted = {source.split(".")[0] for _, source, _ in csv_columns(**flags)}
-    out = csv_rows(materialized(rows.select(*(F.col(f"`{c}`") for c in rows.columns if c.split(".")[0] in wanted))), **flags)
+    rows = rows.select(*(F.col(f"`{c}`") for c in rows.columns if c.split(".")[0] in wanted))
+    out = csv_rows(rows if stored else materialized(rows), **flags)
     (out.coalesce(1) if single_file else out).write.mode("overwrite").option("header", True).csv(path)
 
 
@@ -80,9 +81,9 @@ def ndjson_lines(rows: DataFrame, key: str = "timestamp") -> DataFrame:
     return valid_rows(rows).orderBy(key).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def write_ndjson(rows: DataFrame, path: str, single_file: bool = False) -> None:
+def write_ndjson(rows: DataFrame, path: str, single_file: bool = False, stored: bool = False) -> None:
     """As `write_csv`, with all columns."""
-    out = ndjson_lines(materialized(valid_rows(rows)))
+    out = ndjson_lines(rows if stored else materialized(valid_rows(rows)))
     (out.coalesce(1) if single_file else out).write.mode("overwrite").text(path)
 
 
@@ -130,9 +131,11 @@ def export_charts(rows: DataFrame, charts: list[tuple[str, list[str]]], path: st
 
 
 def export_selected(rows: DataFrame, path: str, csv: bool = True, json: bool = False, ndjson: bool = False, summary: DataFrame | None = None, **flags: bool) -> list[str]:
-    """Writes each selected format and, if given, the summary; returns the paths."""
-    done = []
-    for on, name, write in ((csv, "csv", lambda p: write_csv(rows, p, **flags)), (json, "json", lambda p: write_json(rows, p)), (ndjson, "ndjson", lambda p: write_ndjson(rows, p))):
+    """Writes each selected format and, if given, the summary; returns the paths. Rows are computed once for all formats."""
+    done, stored = [], csv + json + ndjson > 1
+    if stored:
+        rows = materialized(valid_rows(rows))
+    for on, name, write in ((csv, "csv", lambda p: write_csv(rows, p, stored=stored, **flags)), (json, "json", lambda p: write_json(rows, p)), (ndjson, "ndjson", lambda p: write_ndjson(rows, p, stored=stored))):
         if on:
             write(f"{path}/{name}")
             done.append(f"{path}/{name}")

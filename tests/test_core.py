@@ -283,6 +283,37 @@ def test_stream_of_many_videos_has_few_states(spark, tmp_path):
     assert want == {(r["video_id"], r["start_frame"], r["end_frame"], r["flash_count"]) for r in found if not r["incomplete"]} and len(want) >= 150
 
 
+def test_windows_of_videos_that_pass_one_after_the_other(spark):
+    """Many short videos and two that are longer than an Arrow batch, one of them without a name, without a call a video."""
+    rng = np.random.default_rng(5)
+    sizes = {None: 23_000, "long": 25_000} | {f"v{k}": int(rng.integers(1, 40)) for k in range(200)}
+    signal = {v: (np.arange(n) * 0.05, rng.random(n) > 0.5) for v, n in sizes.items()}
+    df = spark.createDataFrame([(v, k + 1, float(t), bool(f)) for v, (ts, fl) in signal.items() for k, (t, f) in enumerate(zip(ts, fl, strict=True))], "video_id string, frame_idx int, ts double, is_flash boolean")
+    found = flash.violation_windows(df.orderBy(F.rand(1)))
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+    got = {r["video_id"]: r for r in found.collect()}
+    assert len(got) == found.count() == len(sizes)
+    for v, (ts, fl) in signal.items():
+        done, left = flash.closed_windows(np.arange(len(ts)) + 1, ts, fl, 1.0)
+        assert [w.asDict() for w in got[v]["done"]] == done and got[v]["frames"] == len(ts)
+        assert (got[v]["ws"], got[v]["wf"], got[v]["k"]) == (left or (None, None, 0))
+
+
+def test_selected_exports_compute_their_rows_once(spark, tmp_path):
+    from photowarden.sources import sinks
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(x):
+        seen.add(1)
+        return x
+
+    rows = spark.range(50).select((F.col("id") % 3).alias("video_id"), F.col("id").alias("frame_idx"), (F.col("id") / 30.0).alias("timestamp"), F.udf(look, "double")(F.col("id") / 50.0).alias("brightness"))
+    sinks.export_selected(rows, str(tmp_path), csv=True, json=True, ndjson=True)
+    assert seen.value == 50
+    assert spark.read.option("header", True).csv(f"{tmp_path}/csv").count() == spark.read.json(f"{tmp_path}/ndjson").count() == 50
+
+
 def test_rounding_is_plain(spark):
     row = spark.createDataFrame([(0.4999999995, 0.5, -0.5, 1.25)], "a double, b double, c double, d double")
     got = row.select(*(scalar.half_up(F.col(c)).alias(c) for c in "abc"), scalar.half_up(F.col("d"), 1).alias("d")).first()
