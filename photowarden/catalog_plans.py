@@ -6,6 +6,8 @@ The SQL of the composed analysis is that of the single operators with its signal
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -304,8 +306,25 @@ def _reports(spark, d, rows: DataFrame, **options) -> str:
     return path
 
 
-def _event_report(spark, d) -> str:
-    return _reports(spark, d, event_rows(spark, d).withColumn("timestamp", F.col("ts")))
+#: Rows whose documents are on disk at once in the two queries below; a row's entry takes 1.4 KB.
+REPORT_ROWS = 4_000_000
+
+
+def _event_reports(spark, d, read: Callable[[str], DataFrame]) -> DataFrame:
+    """What `read` makes of the documents of all videos. They are written, read and removed by groups of videos, so that disk
+    holds those of about REPORT_ROWS rows; a group has whole videos."""
+    rows, out = _new_folder(spark), _new_folder(spark)
+    made = event_rows(spark, d).withColumn("timestamp", F.col("ts"))
+    groups = max(1, -(-table(spark, d, "events").count() // REPORT_ROWS))
+    made = made.withColumn("_group", F.pmod(F.xxhash64("video_id"), F.lit(groups)).cast("int"))
+    made.write.partitionBy("_group").parquet(rows)
+    kept = spark.read.schema(made.schema).parquet(rows)
+    for g in sorted(r[0] for r in kept.select("_group").distinct().collect()) or [0]:
+        path = _reports(spark, d, kept.filter(F.col("_group") == g).drop("_group"))
+        found = read(path)
+        found.write.mode("append").parquet(out)
+        documents.remove(path)
+    return spark.read.schema(found.schema).parquet(out)
 
 
 @query("report_metadata", with_(FLAGGED, """SELECT video_id::VARCHAR AS video_title, '2024-01-01T00:00:00.000Z' AS analysis_date, count(*) AS total_frames_analyzed, count_if(is_flash)::BIGINT AS total_flashes_detected,
@@ -313,17 +332,26 @@ def _event_report(spark, d) -> str:
 def _report_metadata(spark, d):
     """The metadata of each video's document, and how many entries it has, read as whole documents."""
     meta = "struct<videoTitle: string, analysisDate: string, totalFramesAnalyzed: bigint, totalFlashesDetected: bigint, riskLevel: string, redMetricsEnabled: boolean, temporalContrastEnabled: boolean, spectralBinResolution: double>"
-    back = spark.read.schema(f"metadata {meta}, analysis array<struct<timestamp: string>>, colorHistory struct<r: array<double>>").option("multiLine", True).option("mode", "FAILFAST").json(_event_report(spark, d))
+    schema = f"metadata {meta}, analysis array<struct<timestamp: string>>, colorHistory struct<r: array<double>>"
     names = ("video_title", "analysis_date", "total_frames_analyzed", "total_flashes_detected", "risk_level", "red_metrics_enabled", "temporal_contrast_enabled", "spectral_bin_resolution")
-    return back.select("metadata.*", F.size("analysis").cast("long").alias("entries")).toDF(*names, "entries")
+
+    def read(path: str) -> DataFrame:
+        back = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+        return back.select("metadata.*", F.size("analysis").cast("long").alias("entries")).toDF(*names, "entries")
+
+    return _event_reports(spark, d, read)
 
 
 @query("report_entries", with_(FLAGGED, "SELECT round(ts, 6) AS timestamp, round(round(brightness, 4), 6) AS brightness, is_flash, round(round(intensity, 4), 6) AS intensity, 0.0::DOUBLE AS entropy, 0::BIGINT AS edge_count FROM flagged WHERE ts >= 0"))
 def _report_entries(spark, d):
     """The entries of all documents, read in many ranges of bytes."""
     schema = T.StructType.fromDDL("timestamp string, brightness string, isFlash boolean, intensity string, entropy string, edgeDetection struct<count: bigint>")
-    back = importers.documents.read_rows(spark, _event_report(spark, d), schema, 5_000)
-    return back.select(F.col("timestamp").cast("double").alias("timestamp"), F.col("brightness").cast("double").alias("brightness"), F.col("isFlash").alias("is_flash"), F.col("intensity").cast("double").alias("intensity"), F.col("entropy").cast("double").alias("entropy"), F.col("edgeDetection.count").alias("edge_count"))
+
+    def read(path: str) -> DataFrame:
+        back = documents.read_rows(spark, path, schema, 5_000)
+        return back.select(F.col("timestamp").cast("double").alias("timestamp"), F.col("brightness").cast("double").alias("brightness"), F.col("isFlash").alias("is_flash"), F.col("intensity").cast("double").alias("intensity"), F.col("entropy").cast("double").alias("entropy"), F.col("edgeDetection.count").alias("edge_count"))
+
+    return _event_reports(spark, d, read)
 
 
 @query("report_history", with_(COLORS, """, o AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx DESC) AS k, count(*) OVER (PARTITION BY video_id) AS n FROM col)

@@ -1,7 +1,9 @@
 """JSON documents of any size: one a video, written by many tasks; lists of rows, read by many tasks.
 
 Writing: rows are dealt to tasks by ranges of video and time. A task writes its rows as parts; when all have committed, each
-video's parts are joined, byte by byte and in order, to one document under its own name. No document is held as a string.
+video's parts are joined, byte by byte and in order, to one document under its own name, and go; a document of one part is that
+part, under its new name. So disk holds documents once, but for those of several parts that are being joined. No document is
+held as a string.
 
 Reading: a file is cut into ranges of bytes. Whether a byte stands inside a string, and how deep, depends on all bytes before
 it, so each range is first summed up for both answers to the first question (how many quotes, how the depth changes); running
@@ -19,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,7 +35,9 @@ from photowarden.sources.store import materialized
 PARTITION_BYTES = 32 << 20
 _CHUNK = 1 << 20
 #: Bytes that a task reads, about, where ranges are small.
-TASK_BYTES = 4 << 20
+TASK_BYTES = 16 << 20
+#: Ranges that a task reads as one where they follow each other.
+RUN = 64
 
 # ---- reading -----------------------------------------------------------------------------------------------------------
 
@@ -106,6 +111,20 @@ def _name_before(f, at: int) -> bytes | None:
     return key[1] if key else None
 
 
+def _runs(ranges: Iterator[tuple[str, int, int, int]]) -> Iterator[list]:
+    """Ranges (file, from, to, size) in order, those that follow each other in a file taken together, up to PARTITION_BYTES."""
+    run, n = None, 0
+    for name, a, b, size in ranges:
+        if run is not None and n < RUN and (run[0], run[2], run[1] // PARTITION_BYTES) == (name, a, a // PARTITION_BYTES):
+            run[2], n = b, n + 1
+            continue
+        if run is not None:
+            yield run
+        run, n = [name, a, b, size], 1
+    if run is not None:
+        yield run
+
+
 class _Opened:
     """Keeps the file open that was read last: a task's ranges of a file follow each other."""
 
@@ -142,14 +161,14 @@ def _list_rows(spark: SparkSession, path: str, partition_bytes: int) -> DataFram
         opened = _Opened(path)
         for batch in batches:
             rows = []
-            for name, a, b in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for name, a, b, size in _runs(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
                 f = opened(name)
                 escaped = _escaped_before(f, a)
                 quotes = plain = every = 0
                 for _, scan in _scans(f, a, b, escaped, False):
                     quotes, plain, every = quotes + scan.quotes, plain + int(scan.steps.sum(dtype=np.int64)), every + scan.all_steps
-                rows.append((quotes % 2, plain, every - plain, escaped))  # what stands outside strings is inside them if the range begins in one
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True))], [*batch.schema.names, "odd", "plain", "text", "escaped"])
+                rows.append((name, a, b, size, quotes % 2, plain, every - plain, escaped))  # what stands outside strings is inside them if the range begins in one
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), *[pa.int64()] * 6, pa.bool_()))], [*batch.schema.names, "odd", "plain", "text", "escaped"])
         opened.close()
 
     w = Window.partitionBy("file").orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
@@ -285,7 +304,7 @@ class PartWriter(DataSourceArrowWriter):
         out = None
         try:
             for batch in iterator:
-                for video, kind, at, text in zip(*(batch.column(c).to_pylist() for c in ("video_id", "kind", "at", "text")), strict=True):
+                for video, kind, at, text in self._texts(batch):
                     if out is None or parts[-1][0] != video:
                         if out is not None:
                             out.close()
@@ -293,13 +312,27 @@ class PartWriter(DataSourceArrowWriter):
                         out = fs.open_output_stream(parts[-1][4])
                     elif kind == parts[-1][3] == 1:
                         out.write(b",\n")
-                    out.write(text.encode())
+                    out.write(text)
                     parts[-1][3] = kind
         finally:
             if out is not None:
                 out.close()
         return Parts([tuple(p) for p in parts])
 
+    @staticmethod
+    def _texts(batch: pa.RecordBatch) -> Iterator[tuple]:
+        """Video, kind, first place and joined text of the rows of one video and kind that follow each other."""
+        if not batch.num_rows:
+            return
+        video, kind = batch.column("video_id"), batch.column("kind").to_numpy()
+        codes = pc.dictionary_encode(video, null_encoding="encode").indices.to_numpy()
+        starts = np.concatenate(([0], np.flatnonzero((np.diff(codes) != 0) | (np.diff(kind) != 0)) + 1))
+        runs = pa.ListArray.from_arrays(pa.array([*starts, len(kind)], pa.int32()), batch.column("text").cast(pa.large_string()))
+        joined = pc.binary_join(runs, pa.array(np.where(kind[starts] == 1, ",\n", ""), pa.large_string()))
+        at = batch.column("at").to_numpy()[starts].tolist()
+        for k, (v, t) in enumerate(zip(video.take(pa.array(starts)).to_pylist(), joined, strict=True)):
+            yield v, int(kind[starts[k]]), at[k], t.as_buffer()
+
     def commit(self, messages: list) -> None:
         fs, folder = pafs.FileSystem.from_uri(self.path)
         with fs.open_output_stream(f"{folder}/_parts/manifest.json") as out:
@@ -339,29 +372,51 @@ def write_documents(pieces: DataFrame, path: str, text: Column | None = None) ->
     fs, folder = pafs.FileSystem.from_uri(path)
     uri = path[: len(path) - len(folder)] if path.endswith(folder) else ""
     manifest = spark.read.schema("video string, kind int, at double, last int, part string").json(f"{uri}{folder}/_parts/manifest.json")
-    joined = manifest.groupBy("video").agg(F.sort_array(F.collect_list(F.struct("kind", "at", "last", "part"))).alias("parts"))
+    joined = manifest.repartition(spark.sparkContext.defaultParallelism, "video").groupBy("video").agg(F.sort_array(F.collect_list(F.struct("kind", "at", "last", "part"))).alias("parts"))
 
     def join(batches):
         fs = pafs.FileSystem.from_uri(path)[0]
         for batch in batches:
             for video, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                name = f"{folder}/_parts/{uuid.uuid4().hex}"
-                with fs.open_output_stream(name) as out:
-                    last = 0
-                    for p in parts:
-                        if p["kind"] == last == 1:
-                            out.write(b",\n")
-                        with fs.open_input_stream(p["part"]) as f:
-                            while data := f.read(_CHUNK):
-                                out.write(data)
-                        last = p["last"]
-                fs.move(name, f"{folder}/{re.sub(r'[^A-Za-z0-9_.-]', '_', str(video))}.json")
+                _join_parts(fs, folder, parts, f"{folder}/{re.sub(r'[^A-Za-z0-9_.-]', '_', str(video))}.json")
             yield pa.RecordBatch.from_arrays([batch.column(0)], ["video"])
 
     joined.mapInArrow(join, "video string").count()
     fs.delete_dir(f"{folder}/_parts")
 
 
+def _join_parts(fs: pafs.FileSystem, folder: str, parts: list[dict], target: str) -> None:
+    """Makes a document of its parts, in order, which go. Parts go when the document is there, so where one is missing an
+    earlier attempt of the task has made it."""
+    there = [i.type != pafs.FileType.NotFound for i in fs.get_file_info([p["part"] for p in parts])]
+    if not all(there):
+        if fs.get_file_info(target).type == pafs.FileType.NotFound:
+            raise FileNotFoundError(f"parts of {target} are not there")
+        parts = [p for p, t in zip(parts, there, strict=True) if t]
+    elif len(parts) == 1:
+        fs.move(parts[0]["part"], target)
+        return
+    else:
+        name = f"{folder}/_parts/{uuid.uuid4().hex}"
+        with fs.open_output_stream(name) as out:
+            last = 0
+            for p in parts:
+                if p["kind"] == last == 1:
+                    out.write(b",\n")
+                with fs.open_input_stream(p["part"]) as f:
+                    while data := f.read(_CHUNK):
+                        out.write(data)
+                last = p["last"]
+        fs.move(name, target)
+    for p in parts:
+        fs.delete_file(p["part"])
+
+
+def remove(path: str) -> None:
+    """Documents that are no longer needed, with their folder."""
+    fs, folder = pafs.FileSystem.from_uri(path)
+    fs.delete_dir(folder)
+
 
 # ---- the report of a video ---------------------------------------------------------------------------------------------
 
@@ -413,22 +468,37 @@ def _sources(fields: dict) -> Iterator[str]:
         yield from _sources(source) if isinstance(source, dict) else (source[0],)
 
 
-def _entry(fields: dict, schema: T.StructType, within: str) -> Column:
-    made = []
+def _entry(fields: dict, schema: T.StructType, within: str) -> Iterator[str | Column]:
+    """The text of an entry, as to_json has it, in pieces: what every row has (a report has many fields that rows don't), and
+    what depends on the row. A field that is as it is goes where it is null, so it is never an object's first."""
+    comma = ""
     for name, source in fields.items():
+        begin, comma = f'{comma}"{name}":', ","
         if isinstance(source, dict):
-            made.append(_entry(source, schema, within).alias(name))
+            yield begin + "{"
+            yield from _entry(source, schema, within)
+            yield "}"
             continue
         path, places = source
         there = F.col(f"{within}.{path}") if _has(schema, path.split(".")) else None
         if places == "as it is":
-            if there is not None or name in ("spikes", "spectrum"):
-                made.append((there if there is not None else F.array().cast("array<double>")).alias(name))
+            if there is not None:
+                value = F.to_json(F.struct(there.alias("v")))  # {"v":value}
+                yield F.when(there.isNotNull(), F.concat(F.lit(begin), F.substring(value, F.lit(6), F.length(value) - 6))).otherwise("")
+            elif name in ("spikes", "spectrum"):
+                yield begin + "[]"
         elif places is None:
-            made.append(F.coalesce(there if there is not None else F.lit(0), F.lit(0)).cast("long").alias(name))
+            yield begin
+            yield "0" if there is None else F.coalesce(there.cast("long"), F.lit(0).cast("long")).cast("string")
         else:
-            made.append(to_fixed(there if there is not None else F.lit(0.0), places).alias(name))
-    return F.struct(*made)
+            yield begin + '"'
+            yield f"{0:.{places}f}" if there is None else to_fixed(there, places)
+            yield '"'
+
+
+def _entry_text(fields: dict, schema: T.StructType, within: str) -> Column:
+    pieces = itertools.groupby(("{", *_entry(fields, schema, within), "}"), lambda p: isinstance(p, str))
+    return F.concat(*itertools.chain.from_iterable([F.lit("".join(same))] if text else same for text, same in pieces))
 
 
 def report_pieces(rows: DataFrame, red: bool = False, temporal_contrast: bool = False, title: Column | None = None, made_at: str | None = None) -> tuple[DataFrame, Column]:
@@ -467,7 +537,7 @@ def report_pieces(rows: DataFrame, red: bool = False, temporal_contrast: bool =
     history = F.struct(*((F.col(f"h.{c}") if color else F.array().cast("array<double>")).alias(c) for c in _RGB))
     tail = recent.groupBy("video_id").agg(kept.alias("h")).select("video_id", F.lit(2).alias("kind"), F.lit(0.0).alias("at"), history.alias("history"))
     first, last = F.concat(F.lit('{\n"metadata": '), F.to_json("metadata"), F.lit(',\n"analysis": [\n')), F.concat(F.lit('\n],\n"colorHistory": '), F.to_json("history"), F.lit("\n}\n"))
-    text = F.when(F.col("kind") == 0, first).when(F.col("kind") == 1, F.to_json(_entry(entry, have, "row"))).otherwise(last)
+    text = F.when(F.col("kind") == 0, first).when(F.col("kind") == 1, _entry_text(entry, have, "row")).otherwise(last)
     return head.unionByName(body, allowMissingColumns=True).unionByName(tail, allowMissingColumns=True), text
 
 

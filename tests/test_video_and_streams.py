@@ -424,3 +424,48 @@ def test_texts_of_reports_are_made_after_the_sort(spark, sf, tmp_path):
     rows = catalog.flagged(spark, sf).withColumn("timestamp", F.col("ts"))
     pieces, text = documents.report_pieces(rows, made_at="x")
     assert "string" not in {k for n, k in pieces.dtypes if n not in ("video_id", "metadata")} and pieces.select(text.alias("t")).filter("t is null").count() == 0
+
+
+def test_parts_go_as_documents_are_joined(tmp_path):
+    """A document of one part is that part renamed; a task that runs again finds what the first attempt left."""
+    import pyarrow.fs as pafs
+
+    fs = pafs.LocalFileSystem()
+    part = lambda name, text, kind, last: (tmp_path / name).write_text(text) and {"kind": kind, "at": 0.0, "last": last, "part": str(tmp_path / name)}
+    (tmp_path / "_parts").mkdir()
+    one = [part("a", "whole", 0, 2)]
+    node = os.stat(tmp_path / "a").st_ino
+    for _ in range(2):
+        documents._join_parts(fs, str(tmp_path), one, str(tmp_path / "one.json"))
+    assert os.stat(tmp_path / "one.json").st_ino == node and not (tmp_path / "a").exists()
+    more = [part("b", "[1", 0, 1), part("c", "2", 1, 1), part("d", "]", 2, 2)]
+    documents._join_parts(fs, str(tmp_path), more, str(tmp_path / "more.json"))
+    part("d", "]", 2, 2)
+    documents._join_parts(fs, str(tmp_path), more, str(tmp_path / "more.json"))  # ended before its last part went
+    assert (tmp_path / "more.json").read_text() == "[1,\n2]" and sorted(os.listdir(tmp_path)) == ["_parts", "more.json", "one.json"]
+    with pytest.raises(FileNotFoundError):
+        documents._join_parts(fs, str(tmp_path), more, str(tmp_path / "none.json"))
+
+
+def test_documents_are_on_disk_by_groups_of_videos(spark, sf, monkeypatch):
+    from photowarden import catalog_plans
+
+    seen = []
+
+    def read(path):
+        seen.append((path.removeprefix("file://"), sorted(n for n in os.listdir(path.removeprefix("file://")) if n.endswith(".json"))))
+        return spark.read.schema("metadata struct<videoTitle: string, totalFramesAnalyzed: bigint>").option("multiLine", True).json(path).select("metadata.*")
+
+    monkeypatch.setattr(catalog_plans, "REPORT_ROWS", 300)
+    got = catalog_plans._event_reports(spark, sf, read).collect()
+    want = catalog.flagged(spark, sf).groupBy(F.col("video_id").cast("string")).count().collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    names = [n for _, found in seen for n in found]
+    assert len(seen) > 1 and sorted(names) == sorted(f"{r[0]}.json" for r in want) and not any(os.path.exists(p) for p, _ in seen)
+
+
+def test_ranges_that_follow_each_other_are_read_as_one():
+    mb = 1 << 20
+    ranges = [("x", a, a + mb, 40 * mb) for a in range(0, 40 * mb, mb)] + [("y", 0, 5, 5), ("z", 7, 9, 20), ("z", 12, 20, 20)]
+    assert list(documents._runs(iter(ranges))) == [["x", 0, 32 * mb, 40 * mb], ["x", 32 * mb, 40 * mb, 40 * mb], ["y", 0, 5, 5], ["z", 7, 9, 20], ["z", 12, 20, 20]]
+    assert len(list(documents._runs(("x", a, a + 7, 7000) for a in range(0, 7000, 7)))) == -(-1000 // documents.RUN)
