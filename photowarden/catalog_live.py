@@ -108,6 +108,15 @@ DELAY = 2.0
 _BOUND = f"ts <= (SELECT max(ts) FROM sig s WHERE s.video_id = {{t}}.video_id) - {DELAY}"
 
 
+#: Rows of a file of a micro-batch, at least; videos of a bucket of state, about.
+FILE_ROWS, BUCKET_VIDEOS = 250_000, 500
+
+
+def _buckets(rows: DataFrame) -> int:
+    """Buckets that the rows' videos are dealt to: a call and its state have a bounded number of videos."""
+    return max(live.BUCKETS, rows.select("video_id").distinct().count() // BUCKET_VIDEOS)
+
+
 def _shuffled(spark: SparkSession, rows: DataFrame, batches: int = 10) -> DataFrame:
     """A stream of the rows in so many micro-batches, in which about half of the frames come a batch later than their time
     asks for, and no batch is in order."""
@@ -115,11 +124,13 @@ def _shuffled(spark: SparkSession, rows: DataFrame, batches: int = 10) -> DataFr
     first, last = rows.agg(F.min("ts"), F.max("ts")).first()
     slot = F.least(F.floor((F.col("ts") - first) * (batches - 1) / (last - first)), F.lit(batches - 2)) + F.pmod(F.xxhash64("video_id", "frame_idx"), F.lit(2))
     kept = rows.withColumn("_slot", slot.cast("int"))
-    kept.repartition(batches, "_slot").write.partitionBy("_slot").parquet(f"{path}-slots")
-    for k in range(batches):  # a file a batch, the oldest first
+    sizes = [n for _, n in kept.groupBy("_slot").count().collect()]
+    files = max(1, min(sizes) // FILE_ROWS) if len(sizes) == batches else 1
+    kept.repartition(batches * files, "_slot", F.pmod(F.xxhash64("video_id"), F.lit(files))).write.partitionBy("_slot").parquet(f"{path}-slots")
+    for k in range(batches):  # so many files a batch, the oldest first; none is empty, as rows are dealt in turn
         one = spark.read.schema(kept.schema).parquet(f"{path}-slots").filter(F.col("_slot") == k).drop("_slot")
-        one.coalesce(1).sortWithinPartitions(F.xxhash64("frame_idx", "video_id")).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        (one.coalesce(1) if files == 1 else one.repartition(files)).sortWithinPartitions(F.xxhash64("frame_idx", "video_id")).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
     return live.with_event_time(stream, "1 day")
 
 
@@ -138,7 +149,8 @@ def _narrow(rows: DataFrame, *more: str) -> DataFrame:
 @query("live_ordered", with_(WINDOWS, f"SELECT video_id::VARCHAR AS video_id, round(start_time, 6) AS start_time, round(end_time, 6) AS end_time, start_frame::BIGINT AS start_frame, end_frame::BIGINT AS end_frame, flash_count::BIGINT AS flash_count FROM closed c WHERE flash_count > 3 AND EXISTS (SELECT 1 FROM sig f WHERE f.video_id = c.video_id AND f.frame_idx = c.end_frame + 1 AND f.{_BOUND.format(t='f')})"))
 def _live_ordered(spark, d):
     """Closed windows of frames in ten shuffled micro-batches."""
-    found = ordered.flash_events_in_order(_shuffled(spark, _narrow(flagged(spark, d))), DELAY, 0.1, GAP)
+    rows = _narrow(flagged(spark, d))
+    found = ordered.flash_events_in_order(_shuffled(spark, rows), DELAY, 0.1, GAP, buckets=_buckets(rows))
     return _collected(spark, found).filter("kind = 'violation' and not incomplete").select("video_id", "start_time", "end_time", "start_frame", "end_frame", "flash_count")
 
 
@@ -153,8 +165,8 @@ _LEVELS = "['low', 'medium', 'high']"
 @query("live_risk", with_(FLAGGED + ", rows_ AS (SELECT * FROM flagged)" + risk_sql(_LIVE), f"SELECT * FROM (SELECT video_id::VARCHAR AS video_id, frame_idx::BIGINT AS frame_idx, round(rdelta, 6) AS red_delta, mf::BIGINT AS max_flashes, round(debt, 6) AS risk_debt, {_LEVELS}[rank + 1] AS base_level, {_LEVELS}[max(rank) OVER {W} + 1] AS risk_level FROM le) q WHERE EXISTS (SELECT 1 FROM sig f WHERE f.video_id::VARCHAR = q.video_id AND f.frame_idx = q.frame_idx AND f.{_BOUND.format(t='f')})"))
 def _live_risk(spark, d):
     """Debt and level of each frame from ten shuffled micro-batches."""
-    stream = _shuffled(spark, _narrow(_with_inputs(flagged(spark, d)), *ordered.RISK_INPUTS[1:]))
-    return _collected(spark, ordered.live_risk(stream, DELAY, 0.1)).select("video_id", "frame_idx", "red_delta", "max_flashes", "risk_debt", "base_level", "risk_level")
+    rows = _narrow(_with_inputs(flagged(spark, d)), *ordered.RISK_INPUTS[1:])
+    return _collected(spark, ordered.live_risk(_shuffled(spark, rows), DELAY, 0.1, buckets=_buckets(rows))).select("video_id", "frame_idx", "red_delta", "max_flashes", "risk_debt", "base_level", "risk_level")
 
 
 @query("live_risk_carried", ORACLES["live_risk"].replace("AND f.frame_idx = q.frame_idx AND", "AND f.frame_idx = q.frame_idx AND f.ts > (SELECT (min(ts) + max(ts)) / 2 FROM sig) AND"))
@@ -164,7 +176,7 @@ def _live_risk_carried(spark, d):
     middle = rows.agg(((F.min("ts") + F.max("ts")) / 2)).first()[0]
     early = risk.risk_levels(risk.with_flash_peaks(rows.filter(F.col("ts") <= middle)))
     stream = _shuffled(spark, _narrow(rows.filter(F.col("ts") > middle), *ordered.RISK_INPUTS[1:]))
-    found = ordered.live_risk(stream, DELAY / 2, 0.1, carried=ordered.carried_state(early))
+    found = ordered.live_risk(stream, DELAY / 2, 0.1, carried=ordered.carried_state(early), buckets=_buckets(rows))
     latest = rows.groupBy(F.col("video_id").cast("string").alias("video_id")).agg(F.max("ts").alias("_end"))
     kept = _collected(spark, found).join(latest, "video_id").filter(F.col("ts") <= F.col("_end") - DELAY)
     return kept.select("video_id", "frame_idx", "red_delta", "max_flashes", "risk_debt", "base_level", "risk_level")

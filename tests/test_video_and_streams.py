@@ -469,3 +469,78 @@ def test_ranges_that_follow_each_other_are_read_as_one():
     ranges = [("x", a, a + mb, 40 * mb) for a in range(0, 40 * mb, mb)] + [("y", 0, 5, 5), ("z", 7, 9, 20), ("z", 12, 20, 20)]
     assert list(documents._runs(iter(ranges))) == [["x", 0, 32 * mb, 40 * mb], ["x", 32 * mb, 40 * mb, 40 * mb], ["y", 0, 5, 5], ["z", 7, 9, 20], ["z", 12, 20, 20]]
     assert len(list(documents._runs(("x", a, a + 7, 7000) for a in range(0, 7000, 7)))) == -(-1000 // documents.RUN)
+
+
+class Handle:
+    """What a stateful processor gets from Spark: one state variable and timers; writes are counted."""
+
+    def __init__(self):
+        self.value, self.timers, self.writes = None, [], 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value, self.writes = value, self.writes + 1
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+
+def bucket_rows(processor, handle, batches, now=0):
+    import pandas as pd
+
+    handle.now, out = now, []
+    for rows in batches:
+        frames = pd.DataFrame([(v, k, t, b, *[b / 2] * 7) for v, k, t, b in rows], columns=["video_id", "frame_idx", "ts", *ordered.RISK_INPUTS])
+        out += [r for made in processor.handleInputRows((0,), iter([frames]), handle) for r in made.itertuples(index=False)]
+    return out
+
+
+@pytest.mark.parametrize("make", [lambda: ordered.LiveRisk(1.0, 5000, 0.2, 2.0), lambda: ordered.FlashEvents(1.0, 5000, 0.2, 0.3, 3, 1.0)])
+def test_videos_of_a_bucket_are_one_call(make):
+    """Two videos in one bucket give what each gives alone, with one write of state a micro-batch; a quiet one ends alone."""
+    rng = random.Random(3)
+    videos = {v: [(v, k, k * step, rng.choice([0.0, 0.1, 1.0])) for k in range(60)] for v, step in (("a", 0.05), (None, 0.2))}
+    alone, ends = {}, {}
+    for v, rows in videos.items():
+        one, h = make(), Handle()
+        one.init(h)
+        alone[str(v)] = bucket_rows(one, h, [rows[10:25][::-1], rows[:10] + rows[25:40], rows[40:]])
+        h.now = 10**12
+        ends[str(v)] = [r for made in one.handleExpiredTimer((0,), h, None) for r in made.itertuples(index=False)]
+        assert h.value is None
+    both, h = make(), Handle()
+    both.init(h)
+    batches = [sorted((r for rows in videos.values() for r in part(rows)), key=lambda r: (r[1] * 7) % 60) for part in (lambda x: x[10:25], lambda x: x[:10] + x[25:40], lambda x: x[40:])]
+    got = bucket_rows(both, h, batches)
+    assert h.writes == 3 and got and {v: [r for r in got if r.video_id == v] for v in alone} == alone
+    h.now = live.event_ms(59 * 0.05) + 5000  # the first is over, the other isn't
+    last = [r for made in both.handleExpiredTimer((0,), h, None) for r in made.itertuples(index=False)]
+    assert last == ends["a"] and h.value[0] == [None] and h.timers[-1] == live.event_ms(59 * 0.2) + 5000
+
+
+def test_shuffled_batches_of_several_files(spark, sf, monkeypatch, tmp_path):
+    """Micro-batches have the same rows whether they are a file or several."""
+    from photowarden import catalog_live
+
+    rows, found = catalog_live._narrow(catalog.flagged(spark, sf)), {}
+    for least in (10**6, 20):
+        monkeypatch.setattr(catalog_live, "FILE_ROWS", least)
+        monkeypatch.setattr(catalog_live, "passing_folder", lambda spark, name, least=least: f"{tmp_path}/{name}{least}")
+        got = found[least] = []
+        stream = catalog_live._shuffled(spark, rows)
+        q = stream.writeStream.foreachBatch(lambda b, n, got=got: got.append(sorted(map(tuple, b.select("video_id", "frame_idx").collect())))).option("checkpointLocation", f"{tmp_path}/c{least}").trigger(availableNow=True).start()
+        q.awaitTermination()
+        files = [f for f in os.listdir(f"{tmp_path}/shuffled{least}") if f.endswith(".parquet")]
+        assert len(got) == 10 and (len(files) == 10 if least > 20 else len(files) > 10 and len(files) % 10 == 0)
+    assert found[20] == found[10**6] and sum(map(len, found[20])) == rows.count()
